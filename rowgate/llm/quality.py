@@ -83,6 +83,21 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def encode_all(texts: list[bytes], at_once: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    """``encode`` in stretches of so many bytes, or one text: the working arrays of a stretch are many times its size."""
+    parts, firsts, at = [], [np.zeros(1, np.int64)], 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (size < at_once or upto == at):
+            size += len(texts[upto])
+            upto += 1
+        x, first = encode(texts[at:upto])
+        parts.append(x)
+        firsts.append(first[1:] + firsts[-1][-1])
+        at = upto
+    return np.concatenate(parts), np.concatenate(firsts)
+
+
 class Network:
     """Gated attention: a ~ softmax(w . (tanh(V h) * sigmoid(U h))), score = sigmoid(c . sum a h + b)."""
 
@@ -129,7 +144,7 @@ class Network:
         return g
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 30, rate: float = 5e-3, decay: float = 1e-4) -> Network:
-        x, first = encode(texts)
+        x, first = encode_all(texts)
         self.mean, self.sd = x.mean(0), x.std(0) + 1e-3
         x = (x - self.mean) / self.sd
         rng = np.random.default_rng(5)
@@ -160,7 +175,7 @@ class Network:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x, first = encode(texts)
+        x, first = encode_all(texts)
         return self.forward((x - self.mean) / self.sd, first)[0].astype(np.float64)
 
 
@@ -199,15 +214,7 @@ def score(docs: DataFrame, network: Network | None, name: str = "quality_score")
         for whole in batches:
             for batch in slices(whole):
                 texts = [x or b"" for x in utf8(batch.column("text"))]
-                found = np.full(len(texts), 0.5)
-                at = 0
-                while network is not None and at < len(texts):  # a few hundred kilobytes at a time
-                    upto, size = at, 0
-                    while upto < len(texts) and (size < 300_000 or upto == at):
-                        size += len(texts[upto])
-                        upto += 1
-                    found[at:upto] = network.score(texts[at:upto])
-                    at = upto
+                found = np.full(len(texts), 0.5) if network is None else network.score(texts)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
