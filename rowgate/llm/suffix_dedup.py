@@ -27,9 +27,9 @@ from rowgate.llm.common import runs, slices, stored, utf8
 
 LENGTH = 400
 GRAM = 128
-#: Windows of a segment, segments of an anchor that are sorted together, bytes of a slice of a long text.
+#: Windows of a segment, segments of an anchor that are sorted together (some 2 MB), bytes of a slice of a long text.
 PIECE = 512
-BLOCK = 512
+BLOCK = 4096
 SLICE = 1 << 19
 _RNG = np.random.default_rng(97)
 _VALUE = _RNG.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,25 +106,24 @@ def suffix_order(text: bytes, ends: np.ndarray, wanted: np.ndarray) -> np.ndarra
     nxt[:-1] = raw[1:]
     nxt[ends - 1] = -1
     # smaller than the successor: by the next unequal byte to the right
-    unequal = np.where(raw != nxt, np.arange(n), n)
-    turn = np.minimum.accumulate(unequal[::-1])[::-1]
+    at = np.arange(n, dtype=np.int32)
+    turn = np.minimum.accumulate(np.where(raw != nxt, at, np.int32(n))[::-1])[::-1]
     small = raw[turn] < nxt[turn]
+    del turn
     # each wanted suffix needs its successors up to the first small one
-    needed = np.zeros(n, bool)
-    needed[wanted] = True
-    stop = np.where(small, np.arange(n), n)
-    stop = np.minimum.accumulate(stop[::-1])[::-1]
-    end_of = ends[np.searchsorted(ends, np.arange(n), "right")]
-    reach = np.minimum(stop, end_of - 1)
-    depth = np.zeros(n + 1, np.int64)
+    stop = np.minimum.accumulate(np.where(small, at, np.int32(n))[::-1])[::-1]
+    end_of = np.repeat(ends, np.diff(ends, prepend=0)).astype(np.int32)
+    depth = np.zeros(n + 1, np.int32)
     np.add.at(depth, wanted, 1)
-    np.add.at(depth, reach[wanted] + 1, -1)
-    needed |= np.cumsum(depth)[:-1] > 0
+    np.add.at(depth, np.minimum(stop[wanted], end_of[wanted] - 1) + 1, -1)
+    needed = np.cumsum(depth)[:-1] > 0
+    del stop, depth, at
     direct = np.flatnonzero(needed & small)
     finish = end_of[direct].tolist()
     keys = [text[i:e] for i, e in zip(direct.tolist(), finish, strict=True)]
     ordered = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)] if len(keys) else direct
-    rank = np.full(n + 1, -1, np.int64)  # of what has its place; the end of a segment is before all
+    del keys, finish, end_of
+    rank = np.full(n + 1, -1, np.int32)  # of what has its place; the end of a segment is before all
     large = np.flatnonzero(needed & ~small)
     follows = np.where(nxt[large] < 0, n, large + 1)
     by_byte = np.argsort(raw[large], kind="stable")
@@ -210,7 +209,7 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             rows: list[tuple] = []
             for d, t, raw in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), utf8(batch.column("text")), strict=True):
                 for anchor, start, windows, places in segments(raw):
@@ -355,7 +354,7 @@ def _open_texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "d", "t", "text", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "ships"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPAN, pa.int64(), pa.int64(), pa.int64(), pa.string(), _SHIP]
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             rows = []
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "d", "t", "known"))
             for doc_id, d, t, known, raw in zip(*columns, utf8(batch.column("text")), strict=True):
@@ -385,7 +384,7 @@ def _open_texts(docs: DataFrame) -> DataFrame:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPAN]
-    for batch in batches:
+    for batch in (x for b in batches for x in slices(b)):
         rows = []
         columns = (batch.column(c).to_pylist() for c in ("doc_id", "spans", "more"))
         for doc_id, spans, more, raw in zip(*columns, utf8(batch.column("text")), strict=True):
