@@ -65,17 +65,17 @@ def copies(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
         F.col("source").alias("mix_source"),
         F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"),
-        "rate",
+        F.col("rate").alias("mix_rate"),
     )
     # one row for each source: small in any corpus that names its sources; Spark checks the size before it broadcasts
     joined = sized.join(by_source, sized["source"].eqNullSafe(by_source["mix_source"]))
-    extra = F.when(uniform("doc_id", seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return joined.withColumn("mix_copies", F.floor("rate") + extra).drop("mix_source", "rate")
+    extra = F.when(uniform("doc_id", seed) < F.col("mix_rate") - F.floor("mix_rate"), 1).otherwise(0)
+    return joined.withColumn("mix_copies", F.floor("mix_rate") + extra).drop("mix_source", "mix_rate")
 
 
 def mix(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged."""
-    taken = copies(docs, seed, **how).filter("mix_copies > 0")
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(
-        *(taken[c] for c in docs.columns)
-    )
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("mix_row"))
+    taken = copies(rows, seed, **how).filter("mix_copies > 0")
+    again = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
+    return taken.select("mix_row", again.alias("mix_copy")).select("mix_row.*")

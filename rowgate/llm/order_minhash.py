@@ -81,8 +81,9 @@ def neighbours(docs: DataFrame, partitions: int) -> DataFrame:
     each, pass through the driver. Rows of one id and equal text are neighbours in any order.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / partitions for i in range(1, partitions)], 0.5 / partitions)))
-    cuts = [int(c) for c in cuts]
+    at = [i / partitions for i in range(1, partitions)]
+    cuts = ids.agg(F.percentile_approx("doc_id", at, 4 * partitions)).first()[0] if at else None
+    cuts = sorted(set(cuts or []))
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bucket = F.lit(0)
     if cuts:
