@@ -72,7 +72,8 @@ def viterbi(name: str, counts: dict[str, int], total: int) -> list[str]:
         for start in range(max(0, end - WORD_MOST), end):
             word = name[start:end]
             n = counts.get(word)
-    XX
+            # what no text has: as likely as ten counts, ten times less for each letter
+            p = math.log(n / total) if n else math.log(10 / total) - math.log(10) * len(word)
             choices.append((best[start][0] + p, start))
         best.append(max(choices, key=lambda c: (c[0], -c[1])))
     out, at = [], len(name)
