@@ -223,7 +223,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
         mask -= (1 << 64) if mask >= 1 << 63 else 0
         keys.append(F.struct(F.lit(n).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
     keyed = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select(
-        F.col("fp").alias("node"), F.reverse(F.unhex(F.lpad(F.hex("fp"), 16, "0"))).alias("fp"), "k.t", "k.key"
+        F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "k.t", "k.key"
     )
     return _compared(keyed, (radius,), tile)
 
