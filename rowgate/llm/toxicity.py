@@ -119,41 +119,52 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def learn_lexicon(rows: list[tuple[str, int]], least: int = 4, purity: float = 0.9) -> tuple[dict[str, float], dict[str, float]]:
+def learn_lexicon(
+    rows: list[tuple[str, int]], least: int = 4, share: float = 0.005, purity: float = 0.97
+) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems that nearly only toxic documents have, with their log odds.
 
-    A stem is a beginning of three letters or more that several words share; it is as long as it
-    can be without losing a tenth of its documents.
+    An entry stands in ``least`` toxic documents and in that share of them, between as many different pairs of neighbours (what
+    merely comes with copied documents keeps its neighbours), and ``purity`` of its occurrences, were both classes as
+    large, are in toxic ones. A stem is a beginning of three letters or more that several words share; it is as long as
+    it can be without losing a tenth of its documents.
     """
-    seen = {0: Counter(), 1: Counter()}
-    begun = {0: Counter(), 1: Counter()}
-    total = Counter(y for _, y in rows)
-    for text, y in rows:
-        words = set(tokens(text or ""))
-        seen[y].update(words)
-        begun[y].update({w[:k] for w in words for k in range(3, min(len(w), 13) + 1)})
-
-    def odds(table: dict[int, Counter], s: str) -> float:
-        return math.log((table[1][s] + 0.5) / (total[1] + 1)) - math.log((table[0][s] + 0.5) / (total[0] + 1))
-
-    def pure(table: dict[int, Counter], s: str) -> bool:
-        a, b = table[1][s] / max(1, total[1]), table[0][s] / max(1, total[0])
-        return table[1][s] >= least and a / (a + b) >= purity
-
-    words = {w: odds(seen, w) for w in seen[1] if len(w) > 2 and pure(seen, w)}
+    texts = sorted({(t or "", y) for t, y in rows})
+    total = Counter(y for _, y in texts)
+    least = max(least, math.ceil(share * total[1]))
+    docs: dict[tuple[bool, int], Counter] = {(stem, y): Counter() for stem in (False, True) for y in (0, 1)}
+    spots: dict[bool, dict[str, set]] = {False: defaultdict(set), True: defaultdict(set)}
+    for text, y in texts:
+        words = tokens(text)
+        docs[False, y].update({w for w in words if len(w) > 2})
+        docs[True, y].update({w[:k] for w in set(words) for k in range(3, min(len(w), 13) + 1)})
+    for text, y in texts:
+        words = ["", *tokens(text), ""] if y else []
+        for before, w, after in zip(words, words[1:], words[2:], strict=False):
+            for stem, part in ((False, w), *((True, w[:k]) for k in range(3, min(len(w), 13) + 1))):
+                if docs[stem, 1][part] >= least and len(spots[stem][part]) < least:
+                    spots[stem][part].add((before, after))
+
+    def odds(s: str, stem: bool) -> float:
+        return math.log((docs[stem, 1][s] + 0.5) / (total[1] + 1)) - math.log((docs[stem, 0][s] + 0.5) / (total[0] + 1))
+
+    def stands(s: str, stem: bool) -> bool:
+        a, b = docs[stem, 1][s] / max(1, total[1]), docs[stem, 0][s] / max(1, total[0])
+        return len(spots[stem][s]) >= least and a / (a + b) >= purity
+
+    words = {w: odds(w, False) for w, n in docs[False, 1].items() if n >= least and stands(w, False)}
     longer: dict[str, int] = defaultdict(int)
-    for s, n in begun[1].items():
+    for s, n in docs[True, 1].items():
         if len(s) > 3:
             longer[s[:-1]] = max(longer[s[:-1]], n)
     stems = {
-        s: odds(begun, s)
-        for s, n in begun[1].items()
-        if n >= 3 * least and pure(begun, s) and longer[s] < 0.9 * n and seen[1][s] < 0.5 * n
+        s: odds(s, True)
+        for s, n in docs[True, 1].items()
+        if n >= 3 * least and stands(s, True) and longer[s] < 0.9 * n and docs[False, 1][s] < 0.5 * n
     }
     # what a stem covers needs no entry of its own
     kept = {s: x for s, x in stems.items() if not any(s[:k] in stems for k in range(3, len(s)))}
-    words = {w: x for w, x in words.items() if not any(w[:k] in kept for k in range(3, len(w)))}
-    return words, kept
+    return {w: x for w, x in words.items() if not any(w[:k] in kept for k in range(3, len(w)))}, kept
 
 
 class Model:
