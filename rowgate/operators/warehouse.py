@@ -174,3 +174,21 @@ def run_summary(decided: DataFrame, facts_: DataFrame, customers: DataFrame, pro
         one = one.crossJoin(p)
     verdict = F.when((F.col("failed_checks") == 0) & (F.col("failed_files") == 0), "PASS").otherwise("FAIL")
     return one.withColumn("verdict", verdict)
+
+
+def stage_log(batch_id: str, stage: str, rows: DataFrame, started: Column, finished: Column) -> DataFrame:
+    """A run log row: the stage's row count and how long it took."""
+    return rows.agg(F.count("*").alias("rows")).select(
+        F.lit(batch_id).alias("batch_id"), F.lit(stage).alias("stage"), "rows", started.alias("started_at"), (F.unix_millis(finished) - F.unix_millis(started)).alias("duration_ms")
+    )
+
+
+def metrics(one: DataFrame, batch_id: str, package: str) -> DataFrame:
+    """A row of numbers in long form: (batch_id, package, metric, value)."""
+    wide = one.select(*(F.col(c).cast("decimal(20,4)").alias(c) for c in one.columns))
+    return wide.unpivot([], wide.columns, "metric", "value").select(F.lit(batch_id).alias("batch_id"), F.lit(package).alias("package"), "metric", "value")
+
+
+def retained(df: DataFrame, ts: str, as_of: Column, keep: str = "6 hours") -> DataFrame:
+    """Rows that are no older than ``keep``."""
+    return df.filter(F.col(ts) >= as_of - F.expr(f"interval {keep}"))
