@@ -57,8 +57,9 @@ def process(
 ) -> Batch:
     """One batch. ``loaded`` has the keys of all batches before it: lines with one of them are DUP_KEY."""
     judged = decide(lines, products, customers, contract, as_of_ms)
+    bad, good = rejected(judged), judged.filter(F.col("reason").isNull())
     # dealt by order once: the dedupe by (order, line) and the rollup by order both use it
-    bad, good = rejected(judged), judged.repartition("order_id").filter(F.col("reason").isNull()).withColumn("order_id", F.trim("order_id")).withColumn("line_no", F.col("line_no_v"))
+    good = good.withColumns({"order_id": F.trim("order_id"), "line_no": F.col("line_no_v")}).repartition("order_id")
     parts = dedupe(good, list(ITEM_KEYS), list(order))
     first, again = parts["first"], parts["duplicate"]
     if loaded is not None:
