@@ -30,83 +30,71 @@ def unescape(c: Column) -> Column:
 
 
 def branches(messages: DataFrame) -> DataFrame:
-    """Root-to-leaf paths: ``tree``, ``leaf``, ``path`` (node ids from the root), ``path_score``.
+    """Root-to-leaf paths, one row for each message of each: ``tree``, ``leaf``, ``node``, ``up`` (steps above the leaf), ``score``.
 
-    ``messages`` has ``tree``, ``node``, ``parent``, ``score``; a node id is unique in its tree. Each round
-    of self-joins doubles the stretch that a leaf's path and every ancestor link spans, so depth d takes
-    log2(d) rounds. A parent that isn't there makes its child a root. Nodes on a cycle
-    reach no root and give no path. ``path_score`` is the sum of the scores, null counting 0.
+    ``messages`` has ``tree``, ``node``, ``parent``, ``score``; a node id is unique in its tree. Round k of self-joins
+    turns each node's ancestor 2^k steps up into the one twice as far; then each round adds to every leaf's
+    ancestors those as many steps above them. Depth d takes log2(d) rounds, and the rows made are those returned.
+    A parent that isn't there makes its child a root. What hangs on a cycle reaches no root and gives no path.
+    A null score counts 0.
     """
     nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0)).cast("double").alias("score"))
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    up = nodes.join(known, ["tree", "parent"], "left").select(
-        "tree", "node", F.when(F.col("known"), F.col("parent")).alias("above"), F.array("node").alias("span"), "score"
+    first = nodes.join(known, ["tree", "parent"], "left").select(
+        "tree", "node", F.when(F.col("known"), F.col("parent")).alias("above"), "score"
     )
-    up = stored(up)
-    parents = up.filter("above is not null").select("tree", F.col("above").alias("node")).distinct()
-    paths = up.join(parents, ["tree", "node"], "left_anti").select(
-        "tree", F.col("node").alias("leaf"), "above", F.col("span").alias("path"), "score"
-    )
-    done = paths.filter("above is null")
-    open_ = stored(paths.filter("above is not null"))
-    nodes_left = up.count()
-    reach = 1
-    while open_.take(1):
-        jump = up.select("tree", F.col("node").alias("above"), F.col("above").alias("next"), "span", F.col("score").alias("more"))
-        paths = stored(
-            open_.join(jump, ["tree", "above"]).select(
-                "tree", "leaf", F.col("next").alias("above"), F.concat("span", "path").alias("path"), (F.col("score") + F.col("more")).alias("score")
-            )
-        )
-        done = done.unionByName(paths.filter("above is null"))
-        open_ = paths.filter("above is not null")
-        reach *= 2
-        if reach > 2 * nodes_left:  # what is left turns in a cycle
-            break
-        if open_.take(1):
-            further = jump.select("tree", "above", "next", F.col("span").alias("far"), "more")
-            up = stored(
-                up.join(further, ["tree", "above"], "left").select(
-                    "tree",
-                    "node",
-                    F.col("next").alias("above"),
-                    F.concat(F.coalesce("far", F.array().cast("array<bigint>")), "span").alias("span"),
-                    (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-                )
-            )
-    return done.select("tree", "leaf", "path", F.col("score").alias("path_score"))
+    steps = [stored(first)]
+    most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while 1 << (len(steps) - 1) < most and steps[-1].filter("above is not null").take(1):
+        near = steps[-1].select("tree", "node", "above")
+        far = near.select("tree", F.col("node").alias("above"), F.col("above").alias("next"))
+        steps.append(stored(near.join(far, ["tree", "above"], "left").select("tree", "node", F.col("next").alias("above"))))
+    # further up than any tree is large: these turn in a cycle
+    lost = steps[-1].filter("above is not null").select("tree", "node") if 1 << (len(steps) - 1) >= most else None
+    parents = steps[0].filter("above is not null").select("tree", F.col("above").alias("node")).distinct()
+    leaves = steps[0].select("tree", "node").join(parents, ["tree", "node"], "left_anti")
+    if lost is not None:
+        leaves = leaves.join(lost, ["tree", "node"], "left_anti")
+    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    for k, step in enumerate(steps):
+        higher = found.join(step.filter("above is not null").select("tree", "node", "above"), ["tree", "node"])
+        higher = higher.select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        found = stored(found.unionByName(higher))
+    return found.join(steps[0].select("tree", "node", "score"), ["tree", "node"]).select("tree", "leaf", "node", "up", "score")
 
 
 def rank(paths: DataFrame) -> DataFrame:
-    """``paths`` with ``branch_rank`` in its tree: best score, then longest, then smallest leaf first."""
-    by = Window.partitionBy("tree").orderBy(F.desc("path_score"), F.desc(F.size("path")), "leaf")
-    return paths.withColumn("branch_rank", F.row_number().over(by))
+    """``tree``, ``leaf``, ``path_score``, ``length``, ``branch_rank``: best sum of scores, then longest, then smallest leaf first."""
+    leaves = paths.groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"), F.count("*").alias("length"))
+    by = Window.partitionBy("tree").orderBy(F.desc("path_score"), F.desc("length"), "leaf")
+    return leaves.withColumn("branch_rank", F.row_number().over(by))
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
-    """One conversation for each path: ``tree``, ``leaf``, ``formatted``, ``loss_mask``.
+    """One conversation for each leaf of ``paths``: ``tree``, ``leaf``, ``formatted``, ``loss_mask``.
 
     ``formatted`` is the template's text; ``loss_mask`` lists (start, length) in code points of
     the assistant texts in it. Null roles and texts are empty.
     """
-    at = paths.select("tree", "leaf", F.posexplode("path").alias("pos", "node"))
     texts = messages.select(
         "tree", "node", escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")
     )
-    turn = F.struct("pos", "role", "text")
-    turns = at.join(texts, ["tree", "node"]).groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    turn = F.struct((-F.col("up")).alias("at"), "role", "text")
+    turns = paths.join(texts, ["tree", "node"]).groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     rendered = F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit(MIDDLE), t["text"], F.lit(END)))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask"))
-
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["role"]) + len(START) + len(MIDDLE)
-        own = F.struct(start.alias("start"), F.length(t["text"]).alias("length"))
-        mask = F.when(t["role"] == "assistant", F.concat(acc["mask"], F.array(own))).otherwise(acc["mask"])
-        return F.struct((start + F.length(t["text"]) + len(END)).alias("at"), mask.alias("mask"))
-
-    return turns.select(
-        "tree", "leaf", F.array_join(rendered, "").alias("formatted"), F.aggregate("turns", zero, step)["mask"].alias("loss_mask")
+    # a turn's place is the length of what comes before it: running sums over one row's turns
+    before = Window.partitionBy("tree", "leaf").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    frame = len(START) + len(MIDDLE)
+    lengths = turns.select("tree", "leaf", F.posexplode("turns").alias("pos", "t")).select(
+        "tree", "leaf", "pos", F.length("t.role").alias("r"), F.length("t.text").alias("l"), (F.col("t.role") == "assistant").alias("own")
+    )
+    start = F.coalesce(F.sum(F.col("r") + F.col("l") + frame + len(END)).over(before), F.lit(0)) + F.col("r") + frame
+    spans = lengths.withColumn("start", start.cast("int")).filter("own").groupBy("tree", "leaf").agg(
+        F.array_sort(F.collect_list(F.struct("start", F.col("l").alias("length")))).alias("loss_mask")
     )
+    whole = turns.select("tree", "leaf", F.array_join(rendered, "").alias("formatted"))
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    return whole.join(spans, ["tree", "leaf"], "left").withColumn("loss_mask", F.coalesce("loss_mask", none))
 
 
 def read_back(formatted: str = "formatted") -> Column:
@@ -148,6 +136,7 @@ def threads(conversations: DataFrame) -> DataFrame:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """Each conversation's best branch in the template, one row a conversation. No rows give no rows."""
     messages = stored(threads(conversations))
-    best = rank(branches(messages)).filter("branch_rank = 1")
-    out = format_paths(best, messages)
+    paths = branches(messages)
+    best = rank(paths).filter("branch_rank = 1").select("tree", "leaf")
+    out = format_paths(paths.join(best, ["tree", "leaf"], "left_semi"), messages)
     return out.withColumn("tree", F.when(F.col("tree") != -(2**63), F.col("tree")))

@@ -126,7 +126,9 @@ class Items:
                 spans[-1][1] = max(hi, spans[-1][1])
             elif lo < hi:
                 spans.append([lo, hi])
-        for lo, hi in spans:
+        # stretches of bounded size, however long the text is
+        pieces = [(at, min(at + 8192, hi)) for lo, hi in spans for at in range(lo, hi, 8192)]
+        for lo, hi in pieces:
             hashes = _hash(words, lo, hi + shingles - 1, width)
             fps = window_fingerprints(hashes, shingles)
             differ = fps[:, None] ^ self.fps[rivals][None, :]

@@ -42,10 +42,10 @@ _KINDS = len(_CLASSES) + 1
 WIDTH = _KINDS + HASHED + 6
 
 
-def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: list[bytes], whole: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Passage features (passages, WIDTH) and the index of each text's first passage, then their number.
 
-    Passages are the text's consecutive stretches of PASSAGE bytes; an empty text is one empty passage.
+    ``whole`` has the lengths of the texts that these are parts of. Passages are the text's consecutive stretches of PASSAGE bytes; an empty text is one empty passage.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     pieces = np.maximum(1, -(-sizes // PASSAGE))
@@ -79,23 +79,30 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out[:, -4] = np.bincount(owner[1:][same], minlength=n) / some[:, 0]
     out[:, -3] = length / PASSAGE
     out[:, -2] = shape[:, 0] / np.maximum(1, shape[:, 0] + shape[:, 1])
-    out[:, -1] = np.log1p(np.repeat(sizes, pieces)) / 10
+    out[:, -1] = np.log1p(np.repeat(sizes if whole is None else np.array(whole), pieces)) / 10
     return out, first
 
 
-def encode_all(texts: list[bytes], at_once: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
-    """``encode`` in stretches of so many bytes, or one text: the working arrays of a stretch are many times its size."""
-    parts, firsts, at = [], [np.zeros(1, np.int64)], 0
-    while at < len(texts):
-        upto, size = at, 0
-        while upto < len(texts) and (size < at_once or upto == at):
-            size += len(texts[upto])
-            upto += 1
-        x, first = encode(texts[at:upto])
-        parts.append(x)
-        firsts.append(first[1:] + firsts[-1][-1])
-        at = upto
-    return np.concatenate(parts), np.concatenate(firsts)
+def encode_all(texts: list[bytes], at_once: int = 512 * PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """``encode``, in stretches of so many bytes: the working arrays of a stretch are many times its size.
+
+    A longer text is taken in several, cut between passages.
+    """
+    parts, counts = [], np.maximum(1, -(-np.array([len(t) for t in texts], np.int64) // PASSAGE))
+    pieces: list[bytes] = []
+    whole: list[int] = []
+    size = 0
+    for t in texts:
+        for at in range(0, max(1, len(t)), at_once):
+            pieces.append(t[at : at + at_once])
+            whole.append(len(t))
+            size += len(pieces[-1])
+            if size >= at_once:
+                parts.append(encode(pieces, whole)[0])
+                pieces, whole, size = [], [], 0
+    if pieces:
+        parts.append(encode(pieces, whole)[0])
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum(counts)))
 
 
 class Network:

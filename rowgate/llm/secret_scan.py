@@ -25,8 +25,9 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PERCENT = re.compile(r"[A-Za-z0-9_.~+/=:-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=:-]*)+")
-_ESCAPED = re.compile(r"[!-\[\]-~]*(?:\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2})[!-\[\]-~]*)+")
+# from the start of a run of plain characters, so that a long one is walked once
+_PERCENT = re.compile(r"(?<![A-Za-z0-9_.~+/=:-])[A-Za-z0-9_.~+/=:-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=:-]*+)+")
+_ESCAPED = re.compile(r"(?<![!-\[\]-~])[!-\[\]-~]*+(?:\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2})[!-\[\]-~]*+)+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))")
 #: Bytes that the layers of one document may come to; beyond it ``truncated`` is true (compressed bombs).

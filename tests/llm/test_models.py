@@ -35,7 +35,8 @@ def test_gradients_against_differences():
 def test_encoding_doesnt_depend_on_company():
     texts = [b"", b"plain words here", b"X" * 3000, "é ñ".encode() * 100]
     alone = np.concatenate([quality.encode([t])[0] for t in texts])
-    assert np.allclose(alone, quality.encode(texts)[0]) and np.allclose(alone, quality.encode_all(texts, 10)[0])
+    assert np.allclose(alone, quality.encode(texts)[0]) and np.allclose(alone, quality.encode_all(texts, 512)[0])
+    assert (quality.encode_all(texts, 512)[1] == quality.encode(texts)[1]).all()
 
 
 def labelled(spark, n=400):

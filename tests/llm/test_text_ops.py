@@ -21,6 +21,10 @@ def test_escape_is_reversible(spark):
         assert r.back == r.t and "<" not in r.e and "[" not in r.e
 
 
+def walk(paths, tree, leaf):
+    return [r.node for r in paths.filter((F.col("tree") == tree) & (F.col("leaf") == leaf)).orderBy(F.desc("up")).collect()]
+
+
 def test_branches_of_trees(spark):
     rows = [
         ("a", 1, None, 1.0), ("a", 2, 1, 1.0), ("a", 3, 1, 5.0), ("a", 4, 2, 1.0), ("a", 5, 4, 1.0), ("a", 6, 5, None),
@@ -28,14 +32,21 @@ def test_branches_of_trees(spark):
         ("c", 1, 2, 1.0), ("c", 2, 1, 1.0),  # a cycle has no root
     ]
     df = spark.createDataFrame(rows, "tree string, node long, parent long, score double")
-    got = {(r.tree, r.leaf): (r.path, r.path_score, r.branch_rank) for r in chat.rank(chat.branches(df)).collect()}
+    paths = chat.branches(df)
+    got = {(r.tree, r.leaf): (walk(paths, r.tree, r.leaf), r.path_score, r.branch_rank) for r in chat.rank(paths).collect()}
     assert got == {("a", 6): ([1, 2, 4, 5, 6], 4.0, 2), ("a", 3): ([1, 3], 6.0, 1), ("b", 1): ([1], 2.0, 1)}
 
 
 def test_cycle_with_a_tail_ends(spark):
     rows = [(1, i, i - 1 if i > 1 else 5, 1.0) for i in range(1, 6)] + [(1, 6, 5, 1.0), (2, 1, None, 1.0)]
     got = chat.branches(spark.createDataFrame(rows, "tree long, node long, parent long, score double")).collect()
-    assert [(r.tree, r.path) for r in got] == [(2, [1])]
+    assert [(r.tree, r.node, r.up) for r in got] == [(2, 1, 0)]
+
+
+def test_long_chain(spark):
+    df = spark.range(1, 3001).selectExpr("7L AS tree", "id AS node", "nullif(id - 1, 0) AS parent", "1.0D AS score")
+    one = chat.branches(df).agg(F.count("*").alias("n"), F.max("up").alias("up"), F.count_distinct("node").alias("d")).first()
+    assert tuple(one) == (3000, 2999, 3000)
 
 
 def test_conversations_read_back(spark):
