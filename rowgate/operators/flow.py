@@ -145,6 +145,11 @@ def sample_rows(df: DataFrame, keys: list[str], percent: float, seed: int = 0) -
     return {"selected": df.filter(inside), "rest": df.filter(~inside)}
 
 
+def sample_n(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """A repeatable sample of ``n`` rows: those with the smallest hashes of their keys."""
+    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+
+
 def character_map(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """In-place ``upper``, ``lower``, ``reverse`` or ``trim``."""
     how = {"upper": F.upper, "lower": F.lower, "reverse": F.reverse, "trim": F.trim}

@@ -450,6 +450,23 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.since(events, "ts", mark).agg(F.count("*").alias("n"))
 
 
+def sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the orders by a hash of their key, and a fixed number of rows: sizes and disjointness."""
+    o = table(spark, sf_dir, "orders")
+    parts = flow.sample_rows(o, ["o_orderkey"], 10)
+    some = flow.sample_n(o, ["o_orderkey"], 100)
+    both = parts["selected"].join(parts["rest"].select("o_orderkey"), "o_orderkey", "left_semi")
+    counts = [(n, df) for n, df in (("all", flow.union_all(*parts.values())), ("in both", both), ("fixed", some))]
+    return flow.union_all(*(df.agg(F.count("*").alias("n")).withColumn("part", F.lit(n)) for n, df in counts))
+
+
+def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations found again by misspelled names."""
+    n = table(spark, sf_dir, "nation")
+    wrong = n.select(F.concat(F.left("n_name", F.length("n_name") - 2), F.lit("#"), F.right("n_name", F.lit(1))).alias("wrong"))
+    return flow.fuzzy_lookup(wrong, n, "wrong", "n_name", 1)
+
+
 def newest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raised = batch(spark, sf_dir).alerts.select("alert_type", "order_id", "line_no", "metric_value", "order_ts")
     return rollup.latest(raised, 200, F.desc("order_ts"), "order_id", "line_no", "alert_type").drop("order_ts")
@@ -529,6 +546,8 @@ QUERIES = (
     term_counts,
     incremental,
     newest_alerts,
+    sampling,
+    fuzzy_names,
     run_verdict,
     latest_event,
 )
