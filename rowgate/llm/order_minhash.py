@@ -59,13 +59,15 @@ def signature(words: np.ndarray) -> np.ndarray:
         kmers = _mixed(words[:-1] * _PRIME + _mixed(words[1:]))
     kmers = _numbered(kmers)
     picked = np.empty((SKETCHES, 2), np.int64)
-    for i in range(SKETCHES):
-        h = kmers * _MULTIPLY[i]
-        a = b = int(h.argmin())
-        if len(h) > 1:
-            h[a] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            b = int(h.argmin())
-        picked[i] = (a, b) if a <= b else (b, a)
+    some = 8 if len(kmers) <= 4096 else 1  # functions at once, as long as their hashes stay in the cache
+    rows = np.arange(some)
+    for i in range(0, SKETCHES, some):
+        h = kmers[None, :] * _MULTIPLY[i : i + some, None]
+        a = b = h.argmin(1)
+        if len(kmers) > 1:
+            h[rows, a] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            b = h.argmin(1)
+        picked[i : i + some, 0], picked[i : i + some, 1] = np.minimum(a, b), np.maximum(a, b)
     pairs = kmers[picked]
     return (_mixed(pairs[:, 0] * _PRIME + pairs[:, 1]) >> np.uint64(48)).astype(np.uint16)
 
