@@ -52,8 +52,8 @@ def majority(hashes: np.ndarray) -> int:
     """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
-        part = np.ascontiguousarray(hashes[at : at + 8192]).view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        part = np.unpackbits(np.ascontiguousarray(hashes[at : at + 8192]).view(np.uint8), bitorder="little")
+        ones += np.add.reduce(part.reshape(-1, 64), axis=0, dtype=np.uint16)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
@@ -115,6 +115,7 @@ class _Merged:
 
     def __init__(self, n: int) -> None:
         self.label = np.arange(n)
+        self.left = n  # components
 
     def link(self, i: int, others: np.ndarray) -> list[int]:
         new, first = np.unique(self.label[others], return_index=True)
@@ -122,6 +123,7 @@ class _Merged:
         out = [int(others[f]) for x, f in zip(new, first, strict=True) if x != mine]
         if out:
             self.label[np.isin(self.label, new)] = mine
+            self.left -= len(out)
         return out
 
 
@@ -161,6 +163,8 @@ def _small_groups(fps: np.ndarray, starts: np.ndarray, size: np.ndarray, radii:
             found = near[i, level] & valid & ~np.uint64((2 << i) - 1)
             for k in np.flatnonzero(found):
                 own = merged.setdefault(int(k), _Merged(int(size[k])))
+                if own.left == 1:
+                    continue
                 for j in own.link(i, _lanes(found[k])):
                     yield int(starts[k]) + i, int(starts[k]) + j
 
@@ -171,11 +175,16 @@ def _large_group(g: np.ndarray, first: int, radii: tuple[int, ...]) -> Iterator[
     padded[: len(g)] = g
     planes = _planes(padded.reshape(rows, 64, -1))[:, None, :]
     merged = _Merged(len(g))
-    near = [_near(planes[:, :, at // 64 :], g[at : at + 256].T[:, :, None], radii) for at in range(0, len(g), 256)]
+    near: dict[int, list[np.ndarray]] = {}
     for level in range(len(radii)):
-        for block, at in zip(near, range(0, len(g), 256), strict=True):
+        for at in range(0, len(g), 256):
+            if not level:
+                near[at] = _near(planes[:, :, at // 64 :], g[at : at + 256].T[:, :, None], radii)
+            block = near[at]
             lanes = np.unpackbits(np.ascontiguousarray(block[level]).view(np.uint8), axis=1, bitorder="little").astype(bool)
             for q in range(len(lanes)):
+                if merged.left == 1:
+                    return
                 others = np.flatnonzero(lanes[q]) + at // 64 * 64
                 others = others[(others > at + q) & (others < len(g))]
                 if len(others):
@@ -271,7 +280,10 @@ def wide_sketch(text: bytes | None, words: int) -> tuple[bytes, list[int]]:
     """The 256-bit fingerprint of the distinct shingles, and a key for each band."""
     hashes = np.unique(shingle_hashes(text, words))
     fp = np.array([majority(_mixed(hashes * m)) for m in _WIDEN], np.uint64)
-    least = np.array([(hashes * m).min() if len(hashes) else 0 for m in _MULTIPLY], np.uint64).reshape(BANDS, ROWS)
+    least = np.full(BANDS * ROWS, _ONES)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[None, at : at + 2048] * _MULTIPLY[:, None]).min(1), out=least)
+    least = least.reshape(BANDS, ROWS)
     keys = _mixed(least[:, 0] + _mixed(least[:, 1] + _mixed(least[:, 2] + _mixed(least[:, 3]))))
     return fp.tobytes(), keys.view(np.int64).tolist()
 
@@ -335,7 +347,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Of repeated rows with that id one stays.
     """
-    keep = wide_groups(docs, words).select(F.col("component_id").alias("kept_id")).distinct()
     name = "_" + "_".join(docs.columns)
-    kept = docs.join(keep.withColumnRenamed("kept_id", name), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    missing = F.lit(-(2**63)).cast("long")
+    keep = wide_groups(docs, words).select(F.coalesce("component_id", missing).alias(name)).distinct()
+    marked = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), missing))
+    # one deal by id serves the join and the choice among repeated rows
+    return marked.join(keep, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
