@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import utf8
+from rowgate.llm.common import stored, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -198,5 +198,6 @@ def _matcher(items: Items, similarity: float):
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without those that have a benchmark passage; columns unchanged. Rows of one id go together."""
-    found = leaks(docs, benchmark, similarity).select("doc_id").distinct()
+    # written first: its size is known then, and where it is small the documents need no shuffle
+    found = stored(leaks(docs, benchmark, similarity).select("doc_id").distinct())
     return docs.join(found, docs["doc_id"] == found["doc_id"], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import WORD
+from rowgate.llm.common import WORD, stored
 
 WEIGHTS = (3, 1, 2)
 #: The mix's size as a part of all sizes, and the most a source or document is repeated.
@@ -61,13 +61,15 @@ def copies(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
     empty texts have size 0 and follow their source's rate. No rows give no rows.
     """
     sized = docs.withColumn("mix_size", word_count("text"))
-    by_source = rates(sized.select("source", F.col("mix_size").alias("size")), **how).select(
-        F.col("source").alias("mix_source"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        F.col("rate").alias("mix_rate"),
+    # one row for each source, written first: where its known size is small, the documents need no shuffle
+    by_source = stored(
+        rates(sized.select("source", F.col("mix_size").alias("size")), **how).select(
+            F.col("source").alias("mix_source"),
+            F.col("source_size").alias("mix_source_size"),
+            F.col("target").alias("mix_target"),
+            F.col("rate").alias("mix_rate"),
+        )
     )
-    # one row for each source: small in any corpus that names its sources; Spark checks the size before it broadcasts
     joined = sized.join(by_source, sized["source"].eqNullSafe(by_source["mix_source"]))
     extra = F.when(uniform("doc_id", seed) < F.col("mix_rate") - F.floor("mix_rate"), 1).otherwise(0)
     return joined.withColumn("mix_copies", F.floor("mix_rate") + extra).drop("mix_source", "mix_rate")
