@@ -43,24 +43,26 @@ def branches(messages: DataFrame) -> DataFrame:
     first = nodes.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("above"), "score"
     )
-    steps = [stored(first)]
+    first = stored(first)
     most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while 1 << (len(steps) - 1) < most and steps[-1].filter("above is not null").take(1):
-        near = steps[-1].select("tree", "node", "above")
-        far = near.select("tree", F.col("node").alias("above"), F.col("above").alias("next"))
-        steps.append(stored(near.join(far, ["tree", "above"], "left").select("tree", "node", F.col("next").alias("above"))))
-    # further up than any tree is large: these turn in a cycle
-    lost = steps[-1].filter("above is not null").select("tree", "node") if 1 << (len(steps) - 1) >= most else None
-    parents = steps[0].filter("above is not null").select("tree", F.col("above").alias("node")).distinct()
-    leaves = steps[0].select("tree", "node").join(parents, ["tree", "node"], "left_anti")
-    if lost is not None:
-        leaves = leaves.join(lost, ["tree", "node"], "left_anti")
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    # a step holds the nodes that have an ancestor so far up, and no others
+    steps = [stored(first.filter("above is not null").select("tree", "node", "above"))]
+    while 1 << (len(steps) - 1) < most:
+        far = steps[-1].select("tree", F.col("node").alias("above"), F.col("above").alias("next"))
+        step = stored(steps[-1].join(far, ["tree", "above"]).select("tree", "node", F.col("next").alias("above")))
+        if not step.take(1):
+            break
+        steps.append(step)
+    parents = steps[0].select("tree", F.col("above").alias("node")).distinct()
+    leaves = first.select("tree", "node").join(parents, ["tree", "node"], "left_anti")
+    if 1 << (len(steps) - 1) >= most:  # further up than any tree is large: these turn in a cycle
+        leaves = leaves.join(steps[-1].select("tree", "node"), ["tree", "node"], "left_anti")
+    found = stored(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
     for k, step in enumerate(steps):
-        higher = found.join(step.filter("above is not null").select("tree", "node", "above"), ["tree", "node"])
+        higher = found.join(step, ["tree", "node"])
         higher = higher.select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        found = stored(found.unionByName(higher))
-    return found.join(steps[0].select("tree", "node", "score"), ["tree", "node"]).select("tree", "leaf", "node", "up", "score")
+        found = found.unionByName(stored(higher))
+    return found.join(first.select("tree", "node", "score"), ["tree", "node"]).select("tree", "leaf", "node", "up", "score")
 
 
 def rank(paths: DataFrame) -> DataFrame:
