@@ -192,6 +192,26 @@ def _large_group(g: np.ndarray, first: int, radii: tuple[int, ...]) -> Iterator[
                         yield first + at + q, first + j
 
 
+def cross_links(
+    fps: np.ndarray, edges: np.ndarray, root: np.ndarray, deal: np.ndarray, radius: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All rows of a group that are within ``radius`` and have different ``root``s, in pieces.
+
+    Rows of the same ``deal`` meet elsewhere, unless it is negative.
+    """
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if (root[lo:hi] == root[lo]).all():
+            continue
+        for at in range(lo, hi, 64):
+            upto = min(at + 64, hi)
+            near = np.bitwise_count(fps[at:upto, None] ^ fps[None, at:hi]).sum(2, dtype=np.uint16) <= radius
+            near &= root[at:upto, None] != root[None, at:hi]
+            near &= (deal[at:upto, None] != deal[None, at:hi]) | (deal[at:upto, None] < 0)
+            i, j = np.nonzero(np.triu(near, 1))
+            if len(i):
+                yield i + at, j + at
+
+
 def _compared(keyed: DataFrame, radii: tuple[int, ...], tile: int) -> DataFrame:
     """Links ``a``, ``b`` between the ``node``s (with ``fp``, binary) that share ``t``, ``key`` and are within the last radius.
 
@@ -202,12 +222,42 @@ def _compared(keyed: DataFrame, radii: tuple[int, ...], tile: int) -> DataFrame:
     keyed = keyed.join(hot, ["t", "key"], "left").withColumn(
         "tiles", F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(tile)).cast("int")
     )
+
+    def pairs(rows: pa.Table, fps: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        found = np.array(list(links_within(fps, edges, radii)), np.int64).reshape(-1, 2)
+        yield found[:, 0], found[:, 1]
+
+    return _dealt(keyed, ["fp"], pairs)
+
+
+def _unlinked(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """All ``a``, ``b`` that share ``t``, ``key``, are within the radius and have different ``root``s.
+
+    Keys whose nodes all have one root are left out.
+    """
+    mixed = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    keyed = keyed.join(mixed.filter("lo <> hi").drop("lo", "hi"), ["t", "key"]).withColumn(
+        "tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int")
+    )
+
+    def pairs(rows: pa.Table, fps: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from cross_links(fps, edges, rows.column("root").to_numpy(), rows.column("deal").to_numpy(), radius)
+
+    return _dealt(keyed, ["fp", "root"], pairs)
+
+
+def _dealt(keyed: DataFrame, columns: list[str], pairs) -> DataFrame:
+    """``pairs`` of the nodes of each cell: two tiles of a key, or one (then ``deal`` is negative)."""
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
     cells = F.transform(
         F.sequence(F.lit(0), F.col("tiles") - 1),
-        lambda u: F.least(u, own).cast("long") * F.col("tiles") + F.greatest(u, own),
+        lambda u: F.struct(
+            (F.least(u, own).cast("long") * F.col("tiles") + F.greatest(u, own)).alias("cell"),
+            F.when(u == own, F.lit(-1)).otherwise(own).alias("deal"),
+        ),
     )
-    keyed = keyed.select("t", "key", "node", "fp", F.explode(cells).alias("cell"))
+    keyed = keyed.select("t", "key", "node", *columns, F.explode(cells).alias("c"))
+    keyed = keyed.select("t", "key", "node", *columns, "c.cell", "c.deal")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs((x for b in batches for x in slices(b, 4096)), ["t", "key", "cell"], 16_384):
@@ -215,13 +265,26 @@ def _compared(keyed: DataFrame, radii: tuple[int, ...], tile: int) -> DataFrame:
             cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (cell[1:] != cell[:-1])) + 1
             edges = np.concatenate(([0], cut, [len(node)]))
             fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(node), -1)
-            pairs = np.array(list(links_within(fps, edges, radii)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"])
+            for a, b in _gathered(pairs(rows, fps, edges)):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     dealt = keyed.repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell")
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def _gathered(pieces: Iterator[tuple[np.ndarray, np.ndarray]], at_least: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= at_least:
+            yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+            held, n = [], 0
+    if held:
+        yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links ``a``, ``b`` between distinct 64-bit fingerprints (column ``fp``, long) that connect all within the radius (3 at most)."""
     if not 0 <= radius <= 3:
@@ -307,11 +370,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -
     return both.mapInArrow(run, "a long, b long")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def wide_groups(docs: DataFrame, words: int = 5) -> DataFrame:
     """``doc_id``, ``component_id`` for each row of ``docs``: groups of documents linked by a shingle similarity of 0.8 or more.
 
-    In every candidate block the closest fingerprints are linked first, as long as a link connects anything new; the
-    links are then verified by their shingle sets. Null and wordless texts are one group. A null doc_id is a document
+    In every candidate block the closest fingerprints are linked first, as long as a link connects anything new, and the
+    links are verified by their shingle sets. Then every other candidate pair is verified whose ends no verified links
+    join. Null and wordless texts are one group. A null doc_id is a document
     like another, without a say in names. Of rows with one doc_id and several texts each is a document.
     """
 
@@ -333,9 +401,13 @@ def wide_groups(docs: DataFrame, words: int = 5) -> DataFrame:
     )
     nodes = stored(marked.groupBy("node", "fp", "keys").agg(F.min("doc_id").alias("first")))
     keyed = nodes.select("node", "fp", F.posexplode("keys").alias("t", "key"))
-    near = _compared(keyed, RADII, TILE // 4)
-    pairs = stored(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    roots = components(_verified(pairs, nodes, own, words))
+    pairs = stored(_ordered(_compared(keyed, RADII, TILE // 4)))
+    linked = stored(_verified(pairs, nodes, own, words))
+    roots = components(linked)
+    # a link that failed may have kept another from being compared: now all that no verified links join
+    rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node")))
+    rest = stored(_ordered(_unlinked(rooted, RADII[-1], TILE // 4)).join(pairs, ["a", "b"], "left_anti"))
+    roots = components(linked.unionByName(_verified(rest, nodes, own, words)))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node")))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_node = stored(named.join(smallest, "root").select("node", "component_id"))

@@ -104,3 +104,46 @@ def test_stage_keeps_one_of_a_group(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [*range(12), *range(18, 21), 22]
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_stage_verifies_what_failed_links_hid(spark):
+    """Against every pair: families just around the similarity, where a spanning forest of candidates fails."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(3):
+        stem = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        for _ in range(20):
+            words = list(stem)
+            at = int(rng.integers(0, 400 - 20))
+            words[at : at + 20] = [f"z{x}" for x in rng.integers(0, 10**6, 20)]
+            texts.append(" ".join(words))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    bands = [set(enumerate(simhash.wide_sketch(t.encode(), 5)[1])) for t in texts]
+    fps = [np.frombuffer(simhash.wide_sketch(t.encode(), 5)[0], np.uint64) for t in texts]
+    pairs = [
+        (i, j)
+        for i in range(len(texts))
+        for j in range(i + 1, len(texts))
+        if bands[i] & bands[j]
+        and np.bitwise_count(fps[i] ^ fps[j]).sum() <= simhash.RADII[-1]
+        and len(sets[i] & sets[j]) >= simhash.SIMILARITY * len(sets[i] | sets[j])
+    ]
+    got = {r.doc_id: r.component_id for r in simhash.wide_groups(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == groups(pairs, len(texts))
+
+
+def test_cross_links_against_every_pair():
+    rng = np.random.default_rng(6)
+    edges = np.array([0, 5, 6, 206, 300])
+    base = rng.integers(0, 2**63, (4, 1), np.uint64)
+    fps = base[rng.integers(0, 4, 300)] ^ (np.uint64(1) << rng.integers(0, 64, (300, 1)).astype(np.uint64))
+    root, deal = rng.integers(0, 3, 300), rng.integers(-1, 2, 300)
+    want = {
+        (i, j)
+        for a, b in zip(edges[:-1], edges[1:], strict=True)
+        for i in range(a, b)
+        for j in range(i + 1, b)
+        if np.bitwise_count(fps[i] ^ fps[j]).sum() <= 2 and root[i] != root[j] and (deal[i] != deal[j] or deal[i] < 0)
+    }
+    found = [p for a, b in simhash.cross_links(fps, edges, root, deal, 2) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(found) == len(want) and set(found) == want
