@@ -25,6 +25,11 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def row_key() -> Column:
+    """128 bits of doc_id and text: rows of one key are the same document. A null id is none's; a null text is empty."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; only a local session may make its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)

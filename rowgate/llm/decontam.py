@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import stored, utf8
+from rowgate.llm.common import row_key, stored, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -165,39 +165,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     The benchmark is a stated query set: it goes to the workers in blocks of at most ``BLOCK_BYTES`` (or one
     item), and every block meets all documents.
     """
+    return _found(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, similarity)
+
+
+def _found(texts: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
+    """``leaks`` of ``texts`` (a key and the text), by that key."""
+    key = texts.columns[0]
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, item_id long, similarity double, first_word long"
+    schema = f"{key} {texts.schema[key].dataType.simpleString()}, item_id long, similarity double, first_word long"
     found = None
     for n in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()
         pairs = texts.mapInArrow(_matcher(Items([(r[0], r[1].encode()) for r in rows]), similarity), schema)
         found = pairs if found is None else found.unionByName(pairs)
-    return found if found is not None else docs.sparkSession.createDataFrame([], schema)
+    return found if found is not None else texts.sparkSession.createDataFrame([], schema)
 
 
 def _matcher(items: Items, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column("text")), strict=True):
                 best: dict[int, tuple[float, int]] = {}
                 for n, likeness, start in items.matches(text):
                     if likeness >= similarity:
                         best[items.ids[n]] = max(best.get(items.ids[n], (0.0, 0)), (likeness, start))
                 rows += ((doc_id, item_id, *x) for item_id, x in sorted(best.items()))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            names = ["doc_id", "item_id", "similarity", "first_word"]
+            types = (batch.column(0).type, pa.int64(), pa.float64(), pa.int64())
+            names = [batch.schema.names[0], "item_id", "similarity", "first_word"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return run
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without those that have a benchmark passage; columns unchanged. Rows of one id go together."""
+    """``docs`` without those that have a benchmark passage; columns unchanged. Each row goes by its own text."""
+    name = "_" + "_".join(docs.columns)
     # written first: its size is known then, and where it is small the documents need no shuffle
-    found = stored(leaks(docs, benchmark, similarity).select("doc_id").distinct())
-    return docs.join(found, docs["doc_id"] == found["doc_id"], "left_anti")
+    found = stored(_found(docs.select(row_key().alias("row"), "text"), benchmark, similarity).select("row").distinct())
+    return docs.withColumn(name, row_key()).join(found.toDF(name), name, "left_anti").select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import runs, slices, stored, utf8
+from rowgate.llm.common import row_key, runs, slices, stored, utf8
 from rowgate.llm.graph import components
 
 RADIUS = 3
@@ -354,8 +354,8 @@ def wide_sketch(text: bytes | None, words: int) -> tuple[bytes, list[int]]:
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The candidate links whose texts have a shingle similarity of ``SIMILARITY`` or more, by the shingle sets themselves."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = nodes.join(ends, "node").select("node", F.col("first").alias("doc_id")).join(docs, "doc_id")
-    texts = stored(texts.groupBy("node").agg(F.min("text").alias("text")))
+    texts = docs.join(nodes.join(ends, "node").select("node", F.col("first.row").alias("row")), "row").select("node", "text")
+    texts = stored(texts.dropDuplicates(["node"]))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,14 +374,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def wide_groups(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``doc_id``, ``component_id`` for each row of ``docs``: groups of documents linked by a shingle similarity of 0.8 or more.
-
-    In every candidate block the closest fingerprints are linked first, as long as a link connects anything new, and the
-    links are verified by their shingle sets. Then every other candidate pair is verified whose ends no verified links
-    join. Null and wordless texts are one group. A null doc_id is a document
-    like another, without a say in names. Of rows with one doc_id and several texts each is a document.
-    """
+def _rooted(docs: DataFrame, words: int) -> DataFrame:
+    """``first``, ``root`` for each row of ``docs``: (whether the id is null, doc_id, row key), and its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,17 +383,18 @@ def wide_groups(docs: DataFrame, words: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("row"),
                     pa.array([s[0] for s in sketches], pa.binary()),
                     pa.array([s[1] for s in sketches], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "fp", "keys"],
+                ["doc_id", "row", "fp", "keys"],
             )
 
-    own = docs.select(F.col("doc_id").cast("long"), "text")
-    marked = stored(
-        own.mapInArrow(run, "doc_id long, fp binary, keys array<long>").withColumn("node", F.xxhash64("fp", "keys"))
-    )
-    nodes = stored(marked.groupBy("node", "fp", "keys").agg(F.min("doc_id").alias("first")))
+    own = docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row"))
+    sketched = own.mapInArrow(run, "doc_id long, row string, fp binary, keys array<long>")
+    first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row").alias("first")
+    marked = stored(sketched.select(first, "fp", "keys", F.xxhash64("fp", "keys").alias("node")))
+    nodes = stored(marked.groupBy("node", "fp", "keys").agg(F.min("first").alias("first")))
     keyed = nodes.select("node", "fp", F.posexplode("keys").alias("t", "key"))
     pairs = stored(_ordered(_compared(keyed, RADII, TILE // 4)))
     linked = stored(_verified(pairs, nodes, own, words))
@@ -408,20 +403,28 @@ def wide_groups(docs: DataFrame, words: int = 5) -> DataFrame:
     rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node")))
     rest = stored(_ordered(_unlinked(rooted, RADII[-1], TILE // 4)).join(pairs, ["a", "b"], "left_anti"))
     roots = components(linked.unionByName(_verified(rest, nodes, own, words)))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node")))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_node = stored(named.join(smallest, "root").select("node", "component_id"))
-    return marked.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+    return marked.select("first", "node").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+
+
+def wide_groups(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``doc_id``, ``component_id`` for each row of ``docs``: groups of documents linked by a shingle similarity of 0.8 or more.
+
+    In every candidate block the closest fingerprints are linked first, as long as a link connects anything new, and the
+    links are verified by their shingle sets. Then every other candidate pair is verified whose ends no verified links
+    join. Null and wordless texts are one group. A null doc_id is a document like another, without a say in names.
+    Of rows with one doc_id and several texts each is a document.
+    """
+    rooted = stored(_rooted(docs, words))
+    smallest = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    return rooted.join(smallest, "root").select("first.doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, the one with the smallest doc_id; columns unchanged.
 
-    Of repeated rows with that id one stays.
+    A null doc_id comes last. Of rows with that id and several texts in the group one stays, as of repeated rows.
     """
     name = "_" + "_".join(docs.columns)
-    missing = F.lit(-(2**63)).cast("long")
-    keep = wide_groups(docs, words).select(F.coalesce("component_id", missing).alias(name)).distinct()
-    marked = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), missing))
-    # one deal by id serves the join and the choice among repeated rows
-    return marked.join(keep, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+    keep = _rooted(docs, words).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(name))
+    # one deal by the row's key serves the join and the choice among repeated rows
+    return docs.withColumn(name, row_key()).join(keep, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

@@ -259,3 +259,10 @@ def test_mix_repeats_and_agrees(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     blank = spark.createDataFrame([(1, "a", None), (2, "a", "")], "doc_id long, source string, text string")
     assert [r.mix_target for r in mixing.copies(blank).collect()] == [0.0, 0.0]
+
+
+def test_leaking_rows_go_by_their_own_text(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    df = spark.createDataFrame([(None, item), (None, "other"), (7, f"x {item}"), (7, "more")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.text for r in decontam.drop_leaking(df, items).collect()) == ["more", "other"]

@@ -147,3 +147,13 @@ def test_cross_links_against_every_pair():
     }
     found = [p for a, b in simhash.cross_links(fps, edges, root, deal, 2) for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert len(found) == len(want) and set(found) == want
+
+
+def test_stage_keeps_rows_of_null_and_shared_ids(spark):
+    rng = np.random.default_rng(7)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 100)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, a + " end"), (7, c), (7, d), (3, c), (3, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text) for r in simhash.drop_near_duplicates(df).collect()))
+    assert [x for x in kept if x[0]] == [(3, c), (7, d)]
+    assert len(kept) == 4 and {t.removesuffix(" end") for i, t in kept if not i} == {a, b}
