@@ -1,18 +1,22 @@
 """Secret scans: base patterns over whole texts, and over every layer that decoding uncovers.
 
-A worklist unwraps percent-encoded, Unicode-escaped, base64 and compressed stretches of a text, rescans what
-comes out and unwraps that again, until nothing new appears. A layer that was already seen in the
-document isn't taken up again. A secret found in a layer gets the span of the stretch of the
-original text that it came from.
+A worklist unwraps percent-encoded, Unicode-escaped, base64 (also wrapped in lines) and compressed stretches of a
+text, rescans what comes out, and the text with the decoded stretches in their places, and unwraps that again, until
+nothing new appears. A layer that was already seen in the document isn't taken up again. A secret found in a layer
+gets the span of the stretch of the original text that it came from. Layers beyond ``EXPANSION`` are
+inflated and scanned in windows that are cut between lines, and in overlapping ones where no line ends.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +33,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?<![A-Za-z0-9_.~+/=:-])[A-Za-z0-9_.~+/=:-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=:-]*+)+")
 _ESCAPED = re.compile(r"(?<![!-\[\]-~])[!-\[\]-~]*+(?:\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2})[!-\[\]-~]*+)+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]++={0,2}")
+_LINE_END = re.compile(r"[A-Za-z0-9+/_-]{16}[\x20\t]*\r?$")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))")
-#: Bytes that the layers of one document may come to; beyond it ``truncated`` is true (compressed bombs).
+#: Characters of a layer that are held at once. ``truncated`` is true where a layer beyond it has a line so long
+#: that an encoded stretch may not fit one window.
 EXPANSION = 16 << 20
 
 
@@ -54,84 +61,224 @@ def _readable(data: bytes) -> str | None:
     return text if text and not odd else None
 
 
-def _inflate(data: bytes, room: int) -> tuple[bytes | None, bool]:
-    """Decompressed gzip or zlib data, and whether the room ended it."""
+def _compressed(data: bytes) -> bool:
+    """Whether gzip or zlib data starts here, by its head and the first byte that comes out."""
     if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
         try:
             unpack = zlib.decompressobj(47)
-            out = unpack.decompress(data, max(1, room))
-            return out, bool(unpack.unconsumed_tail)
+            return bool(unpack.decompress(data, 1)) or unpack.eof
         except zlib.error:
             pass
-    return None, False
+    return False
 
 
-def _unpercent(s: str) -> str | None:
-    raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), s.encode())
-    return _readable(raw)
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members come to, in pieces; of damaged data what comes before the damage. Other data behind it follows as it is."""
+    unpack, data = zlib.decompressobj(47), b""
+    while True:
+        data = data or next(chunks, b"")
+        if not data:
+            return
+        try:
+            out = unpack.decompress(data, 1 << 20)
+        except zlib.error:
+            return
+        data = unpack.unconsumed_tail
+        if out:
+            yield out
+        while not unpack.eof and not data and len(out) == 1 << 20:  # what the decompressor still holds
+            out = unpack.decompress(b"", 1 << 20)
+            data = unpack.unconsumed_tail
+            if out:
+                yield out
+        if unpack.eof:
+            data = unpack.unused_data.lstrip(b"\0")
+            while len(data) < 64 and (more := next(chunks, b"")):
+                data = (data + more).lstrip(b"\0")
+            if not _compressed(data):
+                if data:
+                    yield data
+                yield from chunks
+                return
+            unpack = zlib.decompressobj(47)
+
+
+def _head(chunks: Iterator[bytes]) -> tuple[bytes, bool]:
+    """The first ``EXPANSION`` bytes or more, and whether that is all."""
+    held, n = [], 0
+    for piece in chunks:
+        held.append(piece)
+        n += len(piece)
+        if n > EXPANSION:
+            return b"".join(held), False
+    return b"".join(held), True
+
+
+def _opened(data: bytes, seen: set[bytes]) -> Iterator[bytes]:
+    """``data`` without all its compressions; nothing if it comes back to what was seen."""
+    chunks: Iterator[bytes] = iter((data,))
+    while True:
+        data, whole = _head(chunks)
+        if not _compressed(data):
+            return chain((data,), chunks)
+        key = hashlib.blake2b(data + (b"+" if not whole else b""), digest_size=16).digest()
+        if key in seen:
+            return iter(())
+        seen.add(key)
+        rest = () if whole else chunks
+        chunks = _inflated(chain((data[at : at + 65_536] for at in range(0, len(data), 65_536)), rest))
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
+    """The text of ``chunks``, whole or in windows, and whether a stretch may not fit the window."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    held, n = [], 0
+    for piece in chunks:
+        held.append(decoder.decode(piece))
+        n += len(held[-1])
+        if n <= EXPANSION:
+            continue
+        text = "".join(held)
+        at = text.rfind("\n", EXPANSION // 2)
+        while at > 0 and _LINE_END.search(text, max(0, at - 64), at):  # base64 may go on in the next line
+            at = text.rfind("\n", EXPANSION // 2, at)
+        if at > 0:
+            yield text[: at + 1], False
+            held = [text[at + 1 :]]
+        else:
+            yield text, True
+            held = [text[-(EXPANSION // 2) :]]
+        n = len(held[0])
+    held.append(decoder.decode(b"", True))
+    if text := "".join(held):
+        yield text, False
 
 
-def _unescape(s: str) -> str | None:
+def _unpercent(s: str) -> bytes:
+    return re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), s.encode("utf-8", "surrogatepass"))
+
+
+def _unescape(s: str) -> bytes:
     out = _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)), s)
-    out = out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    return out if out != s else None
+    raw = out.encode("latin-1", "replace")
+    if _compressed(raw):
+        return raw
+    return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode()
 
 
-def _unbase64(s: str, room: int) -> tuple[str | None, bool]:
+def _unbase64(s: str, wrapped: bool = False) -> bytes | None:
     body = s.rstrip("=").replace("-", "+").replace("_", "/")
+    if wrapped:  # the last line may have a word's end too much
+        body = "".join(body.split())
+        body = body[: len(body) - (len(body) % 4 == 1)]
     if len(body) % 4 == 1:
-        return None, False
+        return None
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except ValueError:
-        return None, False
-    unpacked, cut = _inflate(data, room)
-    depth = 0
-    while unpacked is not None and not cut and depth < 64:
-        data, depth = unpacked, depth + 1
-        unpacked, cut = _inflate(data, room)
-    if unpacked is not None:
-        data = unpacked
-    return _readable(data), cut
-
-
-def _layers(text: str, room: int) -> Iterator[tuple[int, int, str | None, bool]]:
-    """Stretches of ``text`` that decode: start, end, what comes out, whether it was cut short."""
+        return None
+
+
+def _stretches(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """Stretches of ``text`` that decode: start, end, what comes out."""
     if "%" in text:
         for m in _PERCENT.finditer(text):
-            yield m.start(), m.end(), _unpercent(m[0]), False
+            yield m.start(), m.end(), _unpercent(m[0])
     if "\\" in text:
         for m in _ESCAPED.finditer(text):
-            yield m.start(), m.end(), _unescape(m[0]), False
+            yield m.start(), m.end(), _unescape(m[0])
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            if (data := _unbase64(m[0], True)) is not None:
+                yield m.start(), m.end(), data
     for m in _BASE64.finditer(text):
-        yield m.start(), m.end(), *_unbase64(m[0], room)
-
-
-def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
-    """Base spans, all spans (both (start, kind, end), sorted), and whether decoding ran out of room."""
-    text = text or ""
+        if (data := _unbase64(m[0])) is not None:
+            yield m.start(), m.end(), data
+
+
+class _Place:
+    """Where a layer's positions lie in the original text: one stretch, or pieces (own start, own end, start, end) of the layer before."""
+
+    def __init__(self, before: _Place | None, pieces: list[tuple[int, int, int, int]], stretch: tuple[int, int] | None = None) -> None:
+        self.before, self.pieces, self.stretch = before, pieces, stretch
+        self.starts = [p[0] for p in pieces]
+
+    def of(self, start: int, end: int) -> tuple[int, int]:
+        place: _Place | None = self
+        while place is not None:
+            if place.stretch:
+                return place.stretch
+            start, end = place._one(start, False), place._one(end, True)
+            place = place.before
+        return start, end
+
+    def _one(self, at: int, is_end: bool) -> int:
+        k = (bisect_left if is_end else bisect_right)(self.starts, at) - 1
+        if k < 0:
+            return at
+        own, own_end, start, end = self.pieces[k]
+        if at > own_end or (at == own_end and not is_end):
+            return at - own_end + end
+        return end if is_end else start
+
+
+def _layers(text: str, place: _Place | None, seen: set[bytes]) -> Iterator[tuple[str, _Place, bool]]:
+    """What the stretches of ``text`` come to, then the text with the readable ones in their places."""
+    pieces: list[tuple[int, int, str]] = []
+    for start, end, data in _stretches(text):
+        at = place.of(start, end) if place else (start, end)
+        for window, cut in _windows(_opened(data, seen)):
+            yield window, _Place(None, [], at), cut
+        if (out := _readable(data)) is not None and out != text[start:end]:
+            pieces.append((start, end, out))
+    if not pieces:
+        return
+    out, mapped, at, length = [], [], 0, 0
+    for start, end, plain in sorted(pieces, key=lambda p: (p[0], -p[1])):
+        if start < at:
+            continue
+        out += (text[at:start], plain)
+        length += start - at + len(plain)
+        mapped.append((length - len(plain), length, start, end))
+        at = end
+    if mapped[0][2:] != (0, len(text)):
+        yield "".join(out) + text[at:], _Place(place, mapped), False
+
+
+def _scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int]], set[tuple[int, int]]]:
+    """Base spans, all spans, and stretches of which something may be unseen."""
     base = base_spans(text)
     spans = set(base)
-    seen = {text}
-    room, truncated = EXPANSION, False
-    work: list[tuple[str, tuple[int, int] | None]] = [(text, None)]
+    cuts: set[tuple[int, int]] = set()
+
+    def key(s: str) -> bytes:
+        return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+    seen, opened = {key(text)}, set()
+    # the innermost layer's stretches first, each read when its turn comes, so that few windows are held
+    work = [_layers(text, None, opened)]
     while work:
-        layer, origin = work.pop()
-        for start, end, out, cut in _layers(layer, room):
-            truncated |= cut
-            if out is None or out in seen:
-                continue
-            room -= len(out)
-            if room < 0:
-                truncated = True
-                break
-            seen.add(out)
-            at = origin or (start, end)
-            spans.update((at[0], kind, at[1]) for _, kind, _ in base_spans(out))
-            work.append((out, at))
-        if room < 0:
-            break
-    return base, sorted(spans), truncated
+        found = next(work[-1], None)
+        if found is None:
+            work.pop()
+            continue
+        layer, place, cut = found
+        if cut:
+            cuts.add(place.of(0, len(layer)))
+        if (digest := key(layer)) in seen:
+            continue
+        seen.add(digest)
+        for start, kind, end in base_spans(layer):
+            at = place.of(start, end)
+            spans.add((at[0], kind, at[1]))
+        work.append(_layers(layer, place, opened))
+    return base, spans, cuts
+
+
+def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
+    """Base spans, all spans (both (start, kind, end), sorted), and whether a stretch was too long for a window."""
+    base, spans, cuts = _scan(text or "")
+    return base, sorted(spans), bool(cuts)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -166,16 +313,21 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_text(text: str, mark: str = "[{kind}]") -> str:
-    """``text`` with every span replaced by its kind's mark; overlapping spans become one mark."""
+    """``text`` with every span replaced by its kind's mark; overlapping spans become one mark.
+
+    So are stretches too long for a window (``undecoded``), as something in them may be unseen.
+    """
+    kinds = (*KINDS, "undecoded")
     merged: list[list[int]] = []
-    for s, k, e in scan(text)[1]:
+    _, spans, cuts = _scan(text)
+    for s, k, e in sorted(spans | {(s, len(KINDS), e) for s, e in cuts}):
         if merged and s < merged[-1][2]:
             merged[-1][2] = max(e, merged[-1][2])
         else:
             merged.append([s, k, e])
     out, at = [], 0
     for s, k, e in merged:
-        out += (text[at:s], mark.format(kind=KINDS[k]))
+        out += (text[at:s], mark.format(kind=kinds[k]))
         at = e
     return "".join(out) + text[at:]
 

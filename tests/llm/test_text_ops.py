@@ -1,6 +1,7 @@
 """Chat formatting, secret scans, Order MinHash."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -108,6 +109,40 @@ def test_decoding_ends():
     assert secret_scan.scan(None) == ([], [], False)
 
 
+def packed(data, level=9):
+    return base64.b64encode(zlib.compress(data, level)).decode()
+
+
+def test_a_bomb_hides_nothing_behind_it():
+    secret = b"password=hunter2hunter2"
+    bomb = packed(b"A plain line of text\n" * (1 << 20) + secret)
+    after = base64.b64encode(secret).decode()
+    clean = secret_scan.redact_text(f"{bomb} then {after} end")
+    base, spans, cut = secret_scan.scan(f"{bomb} then {after} end")
+    assert not base and not cut and [s[0] for s in spans] == [0, len(bomb) + 6] and clean == "[assign] then [assign] end"
+    deep = secret
+    for _ in range(80):
+        deep = zlib.compress(deep)
+    assert len(secret_scan.scan(base64.b64encode(deep).decode())[1]) == 1
+    endless = packed(b"A" * (40 << 20))
+    assert secret_scan.redact_text(f"x {endless} {after}") == "x [undecoded] [assign]"
+
+
+def test_layers_of_any_bytes_and_in_place():
+    secret = b"password=hunter2hunter2"
+    members = gzip.compress(b"first ") + gzip.compress(secret)
+    wrapped = base64.encodebytes(b"some text before it, " * 2 + secret + b" and after").decode()
+    for text in (
+        "".join(f"%{b:02X}" for b in gzip.compress(secret)), "".join(f"\\x{b:02x}" for b in zlib.compress(secret)),
+        base64.b64encode(members).decode(), "password%3Dhunter2hunter2/Jos%E9", "password%3Dhunter2hunter2%00%1B",
+        base64.b64encode("José ".encode("latin-1") + secret).decode(), "password %3D hunter2hunter2", wrapped,
+    ):
+        base, spans, cut = secret_scan.scan(f"é {text} end")
+        assert not base and spans and not cut, text
+        assert "hunter2" not in secret_scan.redact_text(text)
+    assert secret_scan.scan("é password %3D hunter2hunter2 end")[1] == [(2, 0, 29)]
+
+
 def test_secrets_query_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, "password=abcdef"), (None, "x" * 300_000)], "doc_id long, text string").selectExpr("*", "1 AS spans")
     got = secret_scan.find_secrets(df).collect()
