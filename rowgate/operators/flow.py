@@ -164,20 +164,29 @@ def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str, value:
     return df.unpivot(ids, values, name, value)
 
 
-def fuzzy_lookup(df: DataFrame, reference: DataFrame, column: str, ref_column: str, most: int = 2, block: int = 3) -> DataFrame:
+def fuzzy_lookup(df: DataFrame, reference: DataFrame, column: str, ref_column: str, most: int = 2) -> DataFrame:
     """``df`` with the closest reference text within ``most`` edits.
 
-    Only texts that share their first or their last ``block`` letters are compared, so one that differs from its
-    match at both ends isn't found.
+    Two texts within that distance have a text in common that each becomes by deleting at most as many letters, so
+    all of them meet by their deletions, and texts that merely start or end alike don't.
     """
     left = df.withColumn("__id", F.monotonically_increasing_id())
     text, other = F.lower(F.trim(F.col(column))), F.lower(F.trim(F.col(ref_column)))
 
-    def blocks(c: Column) -> Column:
-        return F.array_distinct(F.array(F.left(c, F.lit(block)), F.right(c, F.lit(block))))
+    def without_one(c: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))
+        )
 
-    a = left.withColumn("__t", text).withColumn("__b", F.explode(blocks(F.col("__t"))))
-    b = reference.select(F.col(ref_column).alias("matched"), other.alias("__o")).withColumn("__b", F.explode(blocks(F.col("__o"))))
+    def deletions(c: Column) -> Column:
+        found = F.array(c)
+        for _ in range(most):
+            found = F.array_union(found, F.flatten(F.transform(found, without_one)))
+        return F.transform(found, lambda x: F.xxhash64(x))
+
+    a = left.withColumn("__t", text).filter("__t is not null").withColumn("__b", F.explode(deletions(F.col("__t"))))
+    b = reference.select(F.col(ref_column).alias("matched"), other.alias("__o")).filter("__o is not null").distinct()
+    b = b.withColumn("__b", F.explode(deletions(F.col("__o"))))
     close = a.join(b, "__b").withColumn("edits", F.levenshtein("__t", "__o")).filter(F.col("edits") <= most)
     best = close.groupBy("__id").agg(F.min(F.struct("edits", "matched")).alias("m"))
     return left.join(best, "__id", "left").select(*df.columns, F.col("m.matched").alias("matched"), F.col("m.edits").alias("edits"))

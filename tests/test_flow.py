@@ -120,3 +120,13 @@ def test_feed_profile_and_fuzzy(spark):
     names = spark.createDataFrame([("Jon Smith",), ("Unrelated",)], "n string")
     ref = spark.createDataFrame([("John Smith",), ("Joan Smythe",)], "r string")
     assert {r.n: r.matched for r in flow.fuzzy_lookup(names, ref, "n", "r").collect()} == {"Jon Smith": "John Smith", "Unrelated": None}
+
+
+def test_fuzzy_finds_all_within_the_distance(spark):
+    names = spark.createDataFrame([("IR#N",), ("cut",), ("xmiddley",), ("",), (None,), ("ab",), ("Customer#12",), ("abcdef",)], "n string")
+    ref = spark.createDataFrame([("IRAN",), ("cat",), ("amiddleb",), ("Customer#1",), ("fedcba",), (None,)], "r string")
+    got = {r.n: (r.matched, r.edits) for r in flow.fuzzy_lookup(names, ref, "n", "r").collect()}
+    assert got == {
+        "IR#N": ("IRAN", 1), "cut": ("cat", 1), "xmiddley": ("amiddleb", 2), "": (None, None), None: (None, None),
+        "ab": ("cat", 2), "Customer#12": ("Customer#1", 1), "abcdef": (None, None),
+    }
