@@ -1,6 +1,7 @@
 """Order MinHash fingerprints, and documents paired with the next by id.
 
-A text's tokens are its words and the k-mers are word pairs, each numbered by its occurrence.
+A text's tokens are its code points, and a k-mer of ``K`` ends at each of them (blanks stand before the first), numbered
+by its occurrence.
 For each of ``SKETCHES`` hash functions the two smallest are selected, put back in text order and
 hashed as a tuple; signatures of two texts agree in a position if both selections agree in
 content and order, so likeness falls with edit distance, not only with lost content.
@@ -13,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowgate.llm.common import utf8
 
-K = 2
+K = 5
+#: k-mers that are hashed at once, so that working arrays stay in the cache.
+BLOCK = 4096
 SKETCHES = 64
 _RNG = np.random.default_rng(20_240_607)
 _MULTIPLY = _RNG.integers(0, 2**63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,7 +41,7 @@ def _numbered(kmers: np.ndarray) -> np.ndarray:
     new = np.ones(len(kmers), bool)
     new[1:] = sorted_[1:] != sorted_[:-1]
     if new.all():
-        return kmers
+        return _mixed(kmers)
     first = np.maximum.accumulate(np.where(new, np.arange(len(kmers)), 0))
     out = np.empty_like(kmers)
     out[order] = _mixed(sorted_ + (np.arange(len(kmers)) - first).astype(np.uint64) * _PRIME)
@@ -47,27 +49,32 @@ def _numbered(kmers: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    """The code points."""
+    return np.frombuffer(text.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
 def signature(words: np.ndarray) -> np.ndarray:
-    """SKETCHES 16-bit values; a text of fewer than k + 1 words is one k-mer, of none a constant."""
-    if len(words) <= K:
-        kmers = _mixed(np.bitwise_xor.reduce(_mixed(words + np.arange(len(words), dtype=np.uint64)), keepdims=True))
-    else:
-        kmers = _mixed(words[:-1] * _PRIME + _mixed(words[1:]))
-    kmers = _numbered(kmers)
-    picked = np.empty((SKETCHES, 2), np.int64)
-    some = 8 if len(kmers) <= 4096 else 1  # functions at once, as long as their hashes stay in the cache
-    rows = np.arange(some)
-    for i in range(0, SKETCHES, some):
-        h = kmers[None, :] * _MULTIPLY[i : i + some, None]
-        a = b = h.argmin(1)
-        if len(kmers) > 1:
-            h[rows, a] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            b = h.argmin(1)
-        picked[i : i + some, 0], picked[i : i + some, 1] = np.minimum(a, b), np.maximum(a, b)
+    """SKETCHES 16-bit values; of a text without code points a constant."""
+    padded = np.concatenate((np.zeros(K - 1, np.uint64), words + np.uint64(1)))
+    kmers = padded[: len(words)].copy()
+    for i in range(1, K):
+        kmers = kmers * _PRIME + padded[i : len(words) + i]
+    kmers = _numbered(_mixed(kmers)) if len(words) else np.zeros(1, np.uint64)
+    # the two smallest of each block, then of all blocks
+    blocks = -(-len(kmers) // BLOCK)
+    at = np.empty((SKETCHES, 2 * blocks), np.int64)
+    least = np.empty((SKETCHES, 2 * blocks), np.uint64)
+    rows = np.arange(8)
+    for n in range(blocks):
+        part = kmers[n * BLOCK : (n + 1) * BLOCK]
+        for i in range(0, SKETCHES, 8):
+            h = part[None, :] * _MULTIPLY[i : i + 8, None]
+            for k in (2 * n, 2 * n + 1):
+                j = h.argmin(1)
+                at[i : i + 8, k], least[i : i + 8, k] = j + n * BLOCK, h[rows, j]
+                h[rows, j] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    first = np.argsort(least, axis=1, kind="stable")[:, :2]
+    picked = np.sort(np.take_along_axis(at, first, 1), axis=1)
     pairs = kmers[picked]
     return (_mixed(pairs[:, 0] * _PRIME + pairs[:, 1]) >> np.uint64(48)).astype(np.uint16)
 

@@ -175,6 +175,17 @@ def test_signatures_see_content_and_order():
         assert (sketch(t) == sketch(t)).all()
 
 
+def test_likeness_follows_code_points():
+    token = "".join(chr(0x4E00 + int(x)) for x in np.random.default_rng(9).integers(0, 5000, 6000))
+    half = token[:3000] + "x" * 3000
+    assert 0 < order_minhash.likeness(sketch(token), sketch(half)) < 0.7
+    assert order_minhash.likeness(sketch(token), sketch(token[:3000] + "y" + token[3000:])) > 0.9
+    words = [f"word{x}" for x in np.random.default_rng(3).integers(0, 9999, 500)]
+    edited = [w[:3] + "q" + w[4:] if n % 2 else w for n, w in enumerate(words)]
+    assert order_minhash.likeness(sketch(" ".join(words)), sketch(" ".join(edited))) > 0.05
+    assert order_minhash.likeness(sketch(" ".join(words)), sketch("\t".join(words))) < 1
+
+
 def test_numbering_against_a_count():
     rng = np.random.default_rng(5)
     kmers = rng.integers(0, 5, 60).astype(np.uint64)
