@@ -1,13 +1,14 @@
-"""Suffix-array dedup: remove every byte that a repeated string of ``LENGTH`` bytes covers.
+"""Suffix-array dedup: remove every byte that a repeated string of ``LENGTH`` bytes covers, report those of ``SHORT`` bytes.
 
-Documents are UTF-8 bytes. A window is a string of LENGTH bytes in one document; equal windows have the
-same anchor, the smallest hash of their ``GRAM``-byte strings. Consecutive windows with one anchor form a segment.
+Documents are UTF-8 bytes. A window is a string of SHORT bytes in one document; equal windows have the same anchor, the
+smallest hash of their ``GRAM``-byte strings. Consecutive windows with one anchor form a segment, whose text goes on for
+LENGTH bytes from the last window's start (or to the document's end), so that strings of both lengths are judged on it.
 
 1. Segments with an anchor that no other place has can't repeat and go at once (a count, no text moves).
 2. Segments equal as a whole are counted; all windows of a repeated one are repeated, and one of them stands for all.
 3. The texts of the segments that are left meet by anchor in blocks. A block's window suffixes are put in order by two-stage
    sorting: only those smaller than their successors are sorted directly, the others are induced by scanning the
-   buckets of first bytes. Adjacent common prefixes of LENGTH bytes or more mark repeated windows.
+   buckets of first bytes. Adjacent common prefixes of SHORT and of LENGTH bytes or more mark what is repeated.
 4. An anchor with more segments than ``BLOCK`` is dealt over several blocks; each names its distinct windows by
    digest, and a count of those joins the blocks. No task holds a whole anchor.
 """
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from rowgate.llm.common import runs, slices, stored, utf8
 
 LENGTH = 400
-GRAM = 128
+#: Passages of some fifty words are shorter than LENGTH as often as not; from here on they count as ``n_repeated``.
+SHORT = 256
+GRAM = 64
 #: Windows of a segment, segments of an anchor that are sorted together (some 2 MB), bytes of a slice of a long text.
 PIECE = 512
 BLOCK = 4096
@@ -65,29 +68,46 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :])
 
 
-def segments(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor, first window, windows, places of the anchor in the segment) over a whole text.
+def _sliding_most(x: np.ndarray, width: int) -> np.ndarray:
+    """For each i the largest of x[i - width + 1 : i + 1], as far as there are any."""
+    return ~_sliding_least(~np.concatenate((np.zeros(width - 1, x.dtype), x)), width)
+
+
+def segment_arrays(raw: bytes, length: int = SHORT, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Anchors, first windows, numbers of windows and places of the anchor in them, of the segments of a text.
 
     A long text is taken in slices that overlap so that every window is in one.
     """
+    reach = length - gram
     for at in range(0, max(1, len(raw) - length + 1), SLICE):
         part = np.frombuffer(raw, np.uint8)[at : at + SLICE + length - 1]
         if len(part) < length:
             return
         h = _gram_hashes(part, gram)
-        least = _sliding_least(h, length - gram + 1)
+        least = _sliding_least(h, reach + 1)
         cut = np.flatnonzero(least[1:] != least[:-1]) + 1
         edge = np.concatenate(([0], cut, [len(least)]))
-        size = np.diff(edge)
-        if size.max() > PIECE:
+        if np.diff(edge).max() > PIECE:
             edge = np.unique(np.concatenate([edge, *(np.arange(a, b, PIECE) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > PIECE)]))
-            size = np.diff(edge)
         anchor = least[edge[:-1]]
-        reach = length - gram
-        places = [
-            int(np.count_nonzero(h[a : b + reach] == x)) for a, b, x in zip(edge[:-1].tolist(), edge[1:].tolist(), anchor, strict=True)
-        ]
-        yield from zip(anchor.view(np.int64).tolist(), (edge[:-1] + at).tolist(), size.tolist(), places, strict=True)
+        # a gram is an anchor if a window over it has no smaller one; it has a place in each of that anchor's segments over it
+        most = _sliding_most(np.concatenate((least, np.zeros(reach, np.uint64))), reach + 1)
+        place = np.flatnonzero(most == h)
+        first = np.searchsorted(edge, np.maximum(place - reach, 0), "right") - 1
+        last = np.searchsorted(edge, np.minimum(place, len(least) - 1), "right") - 1
+        places = np.zeros(len(anchor), np.int64)
+        for k in range(int((last - first).max(initial=0)) + 1):
+            over = first + k
+            own = over <= last
+            own[own] = anchor[over[own]] == h[place[own]]
+            places += np.bincount(over[own], minlength=len(anchor))
+        yield anchor.view(np.int64), edge[:-1] + at, np.diff(edge), places
+
+
+def segments(raw: bytes, length: int = SHORT, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
+    """(anchor, first window, windows, places of the anchor in the segment) over a whole text."""
+    for columns in segment_arrays(raw, length, gram):
+        yield from zip(*(c.tolist() for c in columns), strict=True)
 
 
 # --- two-stage sorting ---------------------------------------------------------------------------------------------
@@ -169,8 +189,13 @@ def common_prefixes(text: bytes, order: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(out, most)
 
 
-def repeated_windows(parts: list[bytes], windows: list[int], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the first ``windows[i]`` windows of each part: part, window, and class; equal windows share a class."""
+def repeated_windows(
+    parts: list[bytes], windows: list[int], lengths: tuple[int, ...] = (SHORT, LENGTH)
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For the first ``windows[i]`` positions of each part: part, position, and for each of the ``lengths`` a class.
+
+    Positions whose next so many bytes are equal share a class; it is -1 where the part has fewer bytes left.
+    """
     text = b"".join(parts)
     sizes = np.array([len(p) for p in parts], np.int64)
     ends = np.cumsum(sizes)
@@ -179,10 +204,17 @@ def repeated_windows(parts: list[bytes], windows: list[int], length: int = LENGT
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     wanted = (ends - sizes)[part] + within
     order = suffix_order(text, ends, wanted)
-    prefix = common_prefixes(text, order, length)
+    prefix = common_prefixes(text, order, max(lengths))
+    left = np.zeros(len(text), np.int64)
+    left[wanted] = sizes[part] - within
+    room = left[order]
+    prefix[1:] = np.minimum(prefix[1:], np.minimum(room[1:], room[:-1]))
     place = np.empty(len(text), np.int64)
-    place[order] = np.cumsum(prefix < length)
-    return part, within, place[wanted]
+    classes = []
+    for length in lengths:
+        place[order] = np.cumsum(prefix < length)
+        classes.append(np.where(left[wanted] >= length, place[wanted], -1))
+    return part, within, classes
 
 
 # --- Spark ---------------------------------------------------------------------------------------------------------
@@ -205,19 +237,26 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
         names = ["d", "t", "anchor", "digest", "start", "windows", "places"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        def batch_of(held: list[list]) -> pa.RecordBatch:
+            columns = [np.concatenate(c) if c else [] for c in held]
+            columns[3] = [x for part in held[3] for x in part]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for batch in (x for b in batches for x in slices(b)):
-            rows: list[tuple] = []
+            held: list[list] = [[] for _ in names]
+            n = 0
             for d, t, raw in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), utf8(batch.column("text")), strict=True):
-                for anchor, start, windows, places in segments(raw):
-                    rows.append((d, t, anchor, digest(raw[start : start + windows + LENGTH - 1]), start, windows, places))
-                if len(rows) > 50_000:
-                    yield batch_of(rows)
-                    rows = []
-            yield batch_of(rows)
+                for anchor, start, windows, places in segment_arrays(raw):
+                    ends = (start + windows + LENGTH - 1).tolist()
+                    texts = [digest(raw[a:b]) for a, b in zip(start.tolist(), ends, strict=True)]
+                    who = np.full(len(anchor), d), np.full(len(anchor), t)
+                    for column, x in zip(held, (*who, anchor, texts, start, windows, places), strict=True):
+                        column.append(x)
+                    n += len(anchor)
+                if n > 50_000:
+                    yield batch_of(held)
+                    held, n = [[] for _ in names], 0
+            yield batch_of(held)
 
     schema = "d long, t long, anchor long, digest binary, start int, windows int, places int"
     return docs.select("d", "t", "text").mapInArrow(run, schema)
@@ -258,10 +297,10 @@ def _with_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of undecided segments (kind 0: start, end of their runs), and, of anchors dealt over several
-    blocks, a row for each distinct window that isn't known to be repeated or may match another block's (kind 1)."""
-    names = ["d", "t", "start", "end", "anchor", "digest", "open"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
+    """Repeated strings of ``length`` bytes of undecided segments (start, end of their runs; no anchor), and, of anchors dealt over
+    several blocks, a row for each distinct one, ``open`` if it isn't known to be repeated and may match another block's."""
+    names = ["d", "t", "start", "end", "length", "anchor", "digest", "open"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
     for table in runs((x for b in batches for x in slices(b, 512)), ["anchor", "block"], 1024):
         parts = utf8(table.column("piece").combine_chunks()) if table.num_rows else []
         windows = table.column("windows").to_numpy()
@@ -269,26 +308,29 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, t, anchor = (table.column(c).to_numpy() for c in ("d", "t", "anchor"))
         decided = table.column("all_repeated").to_numpy()
         many = table.column("blocks").to_numpy() > 1
-        part, within, kind = repeated_windows(parts, windows.tolist())
-        count = np.bincount(kind)
-        # a window of a segment that is repeated as a whole is repeated wherever else it stands
-        sure = np.bincount(kind, weights=decided[part], minlength=len(count)) > 0
-        twice = (count > 1) | sure
+        part, within, classes = repeated_windows(parts, windows.tolist())
         rows: list[tuple] = []
-        mine = np.flatnonzero(twice[kind] & ~decided[part])
-        if len(mine):
-            cut = np.flatnonzero((np.diff(part[mine]) != 0) | (np.diff(within[mine]) != 1)) + 1
-            edge = np.concatenate(([0], cut, [len(mine)]))
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                p = int(part[mine[a]])
-                s = int(start[p] + within[mine[a]])
-                rows.append((int(d[p]), int(t[p]), s, s + b - a - 1 + LENGTH, None, None, None))
-        if many.any():
-            _, first = np.unique(kind, return_index=True)
-            for i in first[many[part[first]]].tolist():
-                p, w = int(part[i]), int(within[i])
-                digest = xxhash.xxh3_128_digest(parts[p][w : w + LENGTH])
-                rows.append((int(d[p]), int(t[p]), int(start[p]) + w, 0, int(anchor[p]), digest, not bool(twice[kind[i]])))
+        for length, kind in zip((SHORT, LENGTH), classes, strict=True):
+            whole = np.flatnonzero(kind >= 0)
+            count = np.bincount(kind[whole], minlength=1)
+            # what stands in a segment that is repeated as a whole is repeated wherever else it stands
+            sure = np.bincount(kind[whole], weights=decided[part[whole]], minlength=len(count)) > 0
+            twice = (count > 1) | sure
+            mine = whole[twice[kind[whole]] & ~decided[part[whole]]]
+            if len(mine):
+                cut = np.flatnonzero((np.diff(part[mine]) != 0) | (np.diff(within[mine]) != 1)) + 1
+                edge = np.concatenate(([0], cut, [len(mine)]))
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    p = int(part[mine[a]])
+                    s = int(start[p] + within[mine[a]])
+                    rows.append((int(d[p]), int(t[p]), s, s + b - a - 1 + length, length, None, None, None))
+            if many.any() and len(whole):
+                _, first = np.unique(kind[whole], return_index=True)
+                first = whole[first]
+                for i in first[many[part[first]]].tolist():
+                    p, w = int(part[i]), int(within[i])
+                    digest = xxhash.xxh3_128_digest(parts[p][w : w + length])
+                    rows.append((int(d[p]), int(t[p]), int(start[p]) + w, 0, length, int(anchor[p]), digest, not bool(twice[kind[i]])))
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types, strict=True)], names)
 
@@ -306,9 +348,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 def removed(docs: DataFrame) -> DataFrame:
     """What is removed of each row of ``docs``.
 
-    ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``, ``spans`` (start, end in
-    bytes). Null and short texts lose nothing. Repeated rows are repeats of each other, so each loses all that is LENGTH bytes long.
-    No rows give no rows. Segments and documents are told apart by 128 and 64 bit digests.
+    ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``, ``n_repeated`` (bytes covered by
+    repeated strings of SHORT bytes, removed or not), ``spans`` (removed: start, end in bytes). Null and short texts lose
+    nothing. Repeated rows are repeats of each other, so each loses all that is LENGTH bytes long. No rows give no rows.
+    Segments and documents are told apart by 128 and 64 bit digests.
     """
     keyed = _keyed(docs)
     rows = stored(_segment_rows(keyed))
@@ -318,18 +361,19 @@ def removed(docs: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("d", "t", "start"), F.col("blocks"))
     pieces = pieces.withColumn("block", block).repartition("anchor", "block").sortWithinPartitions("anchor", "block", "d", "t", "start")
     found = stored(
-        pieces.mapInArrow(_block_rows, "d long, t long, start int, end int, anchor long, digest binary, open boolean")
+        pieces.mapInArrow(_block_rows, "d long, t long, start int, end int, length int, anchor long, digest binary, open boolean")
     )
     named = found.filter("anchor is not null")
     across = named.groupBy("anchor", "digest").agg(F.count("*").alias("n")).filter("n > 1")
-    more = named.filter("open").join(across, ["anchor", "digest"]).select("d", "t", "start", (F.col("start") + LENGTH).alias("end"))
+    more = named.filter("open").join(across, ["anchor", "digest"]).select("d", "t", "start", (F.col("start") + F.col("length")).alias("end"), "length")
     # open windows of one block's class are single there; a class with members in other blocks is repeated
-    spans = found.filter("anchor is null").select("d", "t", "start", "end").unionByName(more)
-    lists = spans.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("more"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
-    undecided = texts.filter("text is not null").select("doc_id", "d", "t", "text", "spans")
-    finished = undecided.join(lists, _KEY, "left").select("doc_id", "text", "spans", "more").mapInArrow(_finish, schema)
-    decided = texts.filter("text is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    spans = found.filter("anchor is null").select("d", "t", "start", "end", "length").unionByName(more)
+    lists = spans.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end", "length")).alias("more"))
+    span = "array<struct<start:int,end:int>>"
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, spans {span}"
+    undecided = texts.filter("text is not null").select("doc_id", "d", "t", "text", "spans", "short")
+    finished = undecided.join(lists, _KEY, "left").select("doc_id", "text", "spans", "short", "more").mapInArrow(_finish, schema)
+    decided = texts.filter("text is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "spans")
     return decided.unionByName(finished)
 
 
@@ -339,55 +383,68 @@ _SHIP = pa.list_(
 )
 
 
-def _result(raw: bytes, spans: list[list[int]]) -> tuple:
+def _result(raw: bytes, spans: list[list[int]], short: list[list[int]]) -> tuple:
     keep, at = hashlib.sha256(), 0
     for s, e in spans:
         keep.update(raw[at:s])
         at = e
     keep.update(raw[at:])
-    return len(raw), sum(e - s for s, e in spans), len(spans), keep.hexdigest(), [{"start": s, "end": e} for s, e in spans]
+    removed_, repeated = (sum(e - s for s, e in x) for x in (spans, short))
+    return len(raw), removed_, len(spans), keep.hexdigest(), repeated, _listed(spans)
+
+
+def _listed(spans: list[list[int]]) -> list[dict]:
+    return [{"start": s, "end": e} for s, e in spans]
 
 
 def _open_texts(docs: DataFrame) -> DataFrame:
     """Finish documents whose segments are all decided; keep the text of the others and cut out what is shipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "d", "t", "text", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "ships"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPAN, pa.int64(), pa.int64(), pa.int64(), pa.string(), _SHIP]
+        names = ["doc_id", "d", "t", "text", "spans", "short", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "ships"]
+        number = pa.int64()
+        types = [number, number, number, pa.string(), _SPAN, _SPAN, number, number, number, pa.string(), number, _SHIP]
         for batch in (x for b in batches for x in slices(b)):
             rows = []
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "d", "t", "known"))
             for doc_id, d, t, known, raw in zip(*columns, utf8(batch.column("text")), strict=True):
                 known = known or []
-                spans = _merged([(k["start"], k["start"] + k["windows"] - 1 + LENGTH) for k in known if k["all_repeated"]])
+                whole = [(k["start"], k["start"] + k["windows"] - 1) for k in known if k["all_repeated"]]
+                short = _merged([(a, b + SHORT) for a, b in whole])
+                spans = _merged([(a, min(b, len(raw) - LENGTH) + LENGTH) for a, b in whole if a + LENGTH <= len(raw)])
                 ships = [
                     {x: k[x] for x in ("start", "windows", "anchor", "blocks", "all_repeated")}
                     | {"piece": raw[k["start"] : k["start"] + k["windows"] + LENGTH - 1]}
                     for k in known
                     if k["ships"]
                 ] or None
-                n_bytes, n_removed, n_spans, digest, listed = _result(raw, spans)
                 if any(not k["all_repeated"] for k in known):
-                    rows.append((doc_id, d, t, raw.decode(), listed, None, None, None, None, ships))
+                    rows.append((doc_id, d, t, raw.decode(), _listed(spans), _listed(short), *[None] * 5, ships))
                 else:
-                    rows.append((doc_id, d, t, None, listed, n_bytes, n_removed, n_spans, digest, ships))
+                    *totals, listed = _result(raw, spans, short)
+                    rows.append((doc_id, d, t, None, listed, None, *totals, ships))
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types, strict=True)], names)
 
     span, ship = "array<struct<start:int,end:int>>", "array<struct<start:int,windows:int,anchor:long,blocks:int,all_repeated:boolean,piece:binary>>"
+    totals = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
     return docs.select("doc_id", "d", "t", "text", "known").mapInArrow(
-        run,
-        f"doc_id long, d long, t long, text string, spans {span}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, ships {ship}",
+        run, f"doc_id long, d long, t long, text string, spans {span}, short {span}, {totals}, ships {ship}"
     )
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPAN]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "spans"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), _SPAN]
     for batch in (x for b in batches for x in slices(b)):
         rows = []
-        columns = (batch.column(c).to_pylist() for c in ("doc_id", "spans", "more"))
-        for doc_id, spans, more, raw in zip(*columns, utf8(batch.column("text")), strict=True):
-            rows.append((doc_id, *_result(raw, _merged([(s["start"], s["end"]) for s in [*(spans or []), *(more or [])]]))))
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "spans", "short", "more"))
+        for doc_id, spans, short, more, raw in zip(*columns, utf8(batch.column("text")), strict=True):
+            more = more or []
+            merged = [
+                _merged([(s["start"], s["end"]) for s in [*known, *(x for x in more if x["length"] == length)]])
+                for known, length in ((spans, LENGTH), (short, SHORT))
+            ]
+            rows.append((doc_id, *_result(raw, *merged)))
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types, strict=True)], names)

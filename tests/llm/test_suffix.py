@@ -55,6 +55,7 @@ def corpus():
     say = lambda n: " ".join(rng.choices(words, k=n))
     long = say(400)
     texts = [say(120) for _ in range(20)] + [long, long[:900] + say(30) + long[900:], "x" + long[37:700], "ab" * 900, "a" * 399, "a" * 401, "a" * 400, "", None]
+    texts += [say(10) + long[50:380], long[2:300], say(30) + long[-330:], "b" + long[-399:], say(9) + long[-400:]]
     near = say(150).split(" ")
     for _ in range(60):
         other = list(near)
@@ -75,8 +76,20 @@ def test_removed_against_every_window(spark, monkeypatch, block, piece, cut):
             assert _windows(a) == _windows(b)
         return
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS d", "'x' AS spans")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(df).collect()}
+    rows = suffix_dedup.removed(df).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
     assert [got[i] for i in range(len(texts))] == plain(texts, 400)
+    reported = {r.doc_id: r.n_repeated for r in rows}
+    assert [reported[i] for i in range(len(texts))] == [x[1] for x in plain(texts, 256)]
+
+
+def test_places_of_the_anchor():
+    for text in corpus():
+        raw = (text or "").encode()
+        reach = suffix_dedup.SHORT - suffix_dedup.GRAM
+        h = suffix_dedup._gram_hashes(np.frombuffer(raw, np.uint8), suffix_dedup.GRAM).view(np.int64) if len(raw) >= suffix_dedup.SHORT else []
+        for anchor, start, windows, places in suffix_dedup.segments(raw):
+            assert places == int((h[start : start + windows + reach] == anchor).sum()) >= 1
 
 
 def _sliced(module, text, cut):
