@@ -2,7 +2,8 @@
 
 A worklist unwraps percent-encoded, Unicode-escaped, base64 (also wrapped in lines) and compressed stretches of a
 text, rescans what comes out, and the text with the decoded stretches in their places, and unwraps that again, until
-nothing new appears. A layer that was already seen in the document isn't taken up again. A secret found in a layer
+nothing new appears. A layer that lies within itself (a cycle) isn't taken up again; what a layer holds is
+remembered, so that one that comes up in several places counts in each of them. A secret found in a layer
 gets the span of the stretch of the original text that it came from. Layers beyond ``EXPANSION`` are
 inflated and scanned in windows that are cut between lines, and in overlapping ones where no line ends.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import math
 import re
 import zlib
 from bisect import bisect_left, bisect_right
@@ -36,6 +38,11 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]++={0,2}")
 _LINE_END = re.compile(r"[A-Za-z0-9+/_-]{16}[\x20\t]*\r?$")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))")
+#: What a run that isn't cut where base64 starts must show to be taken for text behind other letters.
+_PLAIN = re.compile(rb"[\x20-\x7e]{12}")
+_JOINT = re.compile(r"[+/_-]")
+#: Kind of a stretch of which something may be unseen.
+_CUT = len(KINDS)
 #: Characters of a layer that are held at once. ``truncated`` is true where a layer beyond it has a line so long
 #: that an encoded stretch may not fit one window.
 EXPANSION = 16 << 20
@@ -52,6 +59,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _key(data: bytes | str) -> bytes:
+    raw = data.encode("utf-8", "surrogatepass") if isinstance(data, str) else data
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
 def _readable(data: bytes) -> str | None:
     try:
         text = data.decode()
@@ -114,14 +126,15 @@ def _head(chunks: Iterator[bytes]) -> tuple[bytes, bool]:
     return b"".join(held), True
 
 
-def _opened(data: bytes, seen: set[bytes]) -> Iterator[bytes]:
-    """``data`` without all its compressions; nothing if it comes back to what was seen."""
+def _opened(data: bytes) -> Iterator[bytes]:
+    """``data`` without all its compressions; nothing if it comes back to what it was."""
     chunks: Iterator[bytes] = iter((data,))
+    seen = set()
     while True:
         data, whole = _head(chunks)
         if not _compressed(data):
             return chain((data,), chunks)
-        key = hashlib.blake2b(data + (b"+" if not whole else b""), digest_size=16).digest()
+        key = _key(data) + (b"" if whole else b"+")
         if key in seen:
             return iter(())
         seen.add(key)
@@ -166,17 +179,26 @@ def _unescape(s: str) -> bytes:
     return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode()
 
 
-def _unbase64(s: str, wrapped: bool = False) -> bytes | None:
+def _unbase64(s: str) -> bytes:
+    """A last letter too much, of a word behind it, is left out."""
     body = s.rstrip("=").replace("-", "+").replace("_", "/")
-    if wrapped:  # the last line may have a word's end too much
-        body = "".join(body.split())
-        body = body[: len(body) - (len(body) % 4 == 1)]
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except ValueError:
-        return None
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _unbase64_run(s: str) -> Iterator[bytes]:
+    """What a run comes to; where that is no text, also what it comes to when its base64 starts further on, as behind a path."""
+    data = _unbase64(s)
+    yield data
+    if _compressed(data) or _readable(data) is not None:
+        return
+    for k in (1, 2, 3):
+        data = _unbase64(s[k:])
+        if _PLAIN.search(data):
+            yield data
+    for m in _JOINT.finditer(s):
+        if _compressed(_unbase64(s[m.end() : m.end() + 64])):
+            yield _unbase64(s[m.end() :])
 
 
 def _stretches(text: str) -> Iterator[tuple[int, int, bytes]]:
@@ -189,25 +211,22 @@ def _stretches(text: str) -> Iterator[tuple[int, int, bytes]]:
             yield m.start(), m.end(), _unescape(m[0])
     if "\n" in text:
         for m in _WRAPPED.finditer(text):
-            if (data := _unbase64(m[0], True)) is not None:
-                yield m.start(), m.end(), data
+            yield m.start(), m.end(), _unbase64("".join(m[0].split()))
     for m in _BASE64.finditer(text):
-        if (data := _unbase64(m[0])) is not None:
+        for data in _unbase64_run(m[0]):
             yield m.start(), m.end(), data
 
 
 class _Place:
-    """Where a layer's positions lie in the original text: one stretch, or pieces (own start, own end, start, end) of the layer before."""
+    """Where a text's positions lie in the original: pieces (own start, own end, start, end) of the text before."""
 
-    def __init__(self, before: _Place | None, pieces: list[tuple[int, int, int, int]], stretch: tuple[int, int] | None = None) -> None:
-        self.before, self.pieces, self.stretch = before, pieces, stretch
+    def __init__(self, before: _Place | None, pieces: list[tuple[int, int, int, int]]) -> None:
+        self.before, self.pieces = before, pieces
         self.starts = [p[0] for p in pieces]
 
     def of(self, start: int, end: int) -> tuple[int, int]:
         place: _Place | None = self
         while place is not None:
-            if place.stretch:
-                return place.stretch
             start, end = place._one(start, False), place._one(end, True)
             place = place.before
         return start, end
@@ -222,17 +241,8 @@ class _Place:
         return end if is_end else start
 
 
-def _layers(text: str, place: _Place | None, seen: set[bytes]) -> Iterator[tuple[str, _Place, bool]]:
-    """What the stretches of ``text`` come to, then the text with the readable ones in their places."""
-    pieces: list[tuple[int, int, str]] = []
-    for start, end, data in _stretches(text):
-        at = place.of(start, end) if place else (start, end)
-        for window, cut in _windows(_opened(data, seen)):
-            yield window, _Place(None, [], at), cut
-        if (out := _readable(data)) is not None and out != text[start:end]:
-            pieces.append((start, end, out))
-    if not pieces:
-        return
+def _substituted(text: str, pieces: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, int, int]]] | None:
+    """``text`` with the decoded pieces in their places, and where these stand in it; None if that is one piece alone."""
     out, mapped, at, length = [], [], 0, 0
     for start, end, plain in sorted(pieces, key=lambda p: (p[0], -p[1])):
         if start < at:
@@ -241,8 +251,74 @@ def _layers(text: str, place: _Place | None, seen: set[bytes]) -> Iterator[tuple
         length += start - at + len(plain)
         mapped.append((length - len(plain), length, start, end))
         at = end
-    if mapped[0][2:] != (0, len(text)):
-        yield "".join(out) + text[at:], _Place(place, mapped), False
+    if not mapped or mapped[0][2:] == (0, len(text)):
+        return None
+    return "".join(out) + text[at:], mapped
+
+
+def _kinds(text: str) -> set[int]:
+    return {kind for _, kind, _ in base_spans(text)}
+
+
+#: A layer on the worklist: what it shows at once, its key, and the layers in it, made when they are asked for.
+_Child = tuple[set[int], bytes, Iterator]
+
+
+def _texts(data: bytes) -> Iterator[_Child]:
+    """The text of decoded data, inflated as often as it takes."""
+    for window, cut in _windows(_opened(data)):
+        yield _kinds(window) | ({_CUT} if cut else set()), b"t" + _key(window), _within(window)
+
+
+def _within(text: str) -> Iterator[_Child]:
+    """What the stretches of a layer's text come to, then that text with the readable ones in their places."""
+    pieces = []
+    for start, end, data in _stretches(text):
+        yield set(), b"d" + _key(data), _texts(data)
+        if (plain := _readable(data)) is not None and plain != text[start:end]:
+            pieces.append((start, end, plain))
+    if changed := _substituted(text, pieces):
+        yield _kinds(changed[0]), b"t" + _key(changed[0]), _within(changed[0])
+
+
+class _Layer:
+    def __init__(self, key: bytes, children: Iterator[_Child]) -> None:
+        self.key, self.children = key, children
+        self.kinds: set[int] = set()
+        self.back: float = math.inf  # depth of the highest layer around it that came up again within it
+
+
+def _below(data: bytes, known: dict[bytes, frozenset[int]]) -> frozenset[int]:
+    """The kinds in ``data`` and in all that it unwraps to; ``known`` has those of layers that are done."""
+    first = b"d" + _key(data)
+    if first in known:
+        return known[first]
+    # the innermost layer first, each text read when its turn comes, so that few windows are held
+    work, depth = [_Layer(first, _texts(data))], {first: 0}
+    while True:
+        layer = work[-1]
+        child = next(layer.children, None)
+        if child is not None:
+            kinds, key, children = child
+            layer.kinds |= kinds
+            if key in known:
+                layer.kinds |= known[key]
+            elif key in depth:
+                layer.back = min(layer.back, depth[key])
+            else:
+                depth[key] = len(work)
+                work.append(_Layer(key, children))
+            continue
+        work.pop()
+        del depth[layer.key]
+        found = frozenset(layer.kinds)
+        if layer.back >= len(work):  # else it lacks what a layer around it has
+            known[layer.key] = found
+        if not work:
+            return found
+        work[-1].kinds |= found
+        if layer.back < len(work):
+            work[-1].back = min(work[-1].back, layer.back)
 
 
 def _scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int]], set[tuple[int, int]]]:
@@ -250,28 +326,27 @@ def _scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, in
     base = base_spans(text)
     spans = set(base)
     cuts: set[tuple[int, int]] = set()
-
-    def key(s: str) -> bytes:
-        return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-    seen, opened = {key(text)}, set()
-    # the innermost layer's stretches first, each read when its turn comes, so that few windows are held
-    work = [_layers(text, None, opened)]
-    while work:
-        found = next(work[-1], None)
-        if found is None:
-            work.pop()
-            continue
-        layer, place, cut = found
-        if cut:
-            cuts.add(place.of(0, len(layer)))
-        if (digest := key(layer)) in seen:
-            continue
-        seen.add(digest)
-        for start, kind, end in base_spans(layer):
+    known: dict[bytes, frozenset[int]] = {}
+    place, seen = _Place(None, []), set()
+    while (key := _key(text)) not in seen:
+        seen.add(key)
+        pieces = []
+        for start, end, data in _stretches(text):
+            at = place.of(start, end)
+            for kind in _below(data, known):
+                if kind == _CUT:
+                    cuts.add(at)
+                else:
+                    spans.add((at[0], kind, at[1]))
+            if (plain := _readable(data)) is not None and plain != text[start:end]:
+                pieces.append((start, end, plain))
+        changed = _substituted(text, pieces)
+        if changed is None:
+            break
+        text, place = changed[0], _Place(place, changed[1])
+        for start, kind, end in base_spans(text):
             at = place.of(start, end)
             spans.add((at[0], kind, at[1]))
-        work.append(_layers(layer, place, opened))
     return base, spans, cuts
 
 

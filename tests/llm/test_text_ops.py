@@ -143,6 +143,26 @@ def test_layers_of_any_bytes_and_in_place():
     assert secret_scan.scan("é password %3D hunter2hunter2 end")[1] == [(2, 0, 29)]
 
 
+def test_every_origin_of_a_layer_counts():
+    secret = b"password=hunter2hunter2"
+    once, percent = base64.b64encode(secret).decode(), "".join(f"%{b:02X}" for b in secret)
+    squeezed, shut = packed(secret * 3), base64.b64encode(gzip.compress(secret)).decode()
+    for a, b in ((once, once), (once, percent), (squeezed, squeezed), (shut, packed(gzip.compress(secret))), (shut, shut)):
+        text = f"one {a} two {b} end"
+        assert secret_scan.scan(text)[1] == [(4, 0, 4 + len(a)), (9 + len(a), 0, 9 + len(a) + len(b))]
+        assert secret_scan.redact_text(text) == "one [assign] two [assign] end"
+    both = base64.b64encode(f"{squeezed} and {squeezed}".encode()).decode()
+    assert len(secret_scan.scan(f"{both} {squeezed}")[1]) == 2
+
+
+def test_base64_behind_other_letters():
+    secret = b"password=hunter2hunter2"
+    for glue in ("path/", "a/", "ab/", "abc_", "https://host.example/some/path/"):
+        for hidden in (base64.b64encode(secret).decode(), packed(secret), base64.b64encode(gzip.compress(secret)).decode()):
+            text = f"see {glue}{hidden} end"
+            assert "[assign]" in secret_scan.redact_text(text) and hidden not in secret_scan.redact_text(text), text
+
+
 def test_secrets_query_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, "password=abcdef"), (None, "x" * 300_000)], "doc_id long, text string").selectExpr("*", "1 AS spans")
     got = secret_scan.find_secrets(df).collect()
