@@ -1,10 +1,11 @@
-"""Benchmark decontamination: item-sized SimHash windows, multi-index blocks, exact shingle similarity.
-
-Texts are lower-cased words without ASCII punctuation, shingles five words (a shorter item is one shingle). A
-window has as many words as the item it is held against. Its 64-bit SimHash must agree with the item's in one
-of ``BLOCKS`` bit blocks, as any two fingerprints within ``RADIUS`` do, then be within the radius; then the
-similarity of the two multisets of shingles (sum of smaller by sum of larger counts) decides.
-A window that has no shingle of any item has similarity 0 to all and isn't hashed.
+"""Benchmark decontamination: item-sized SimHash windows, a multi-index of Hamming blocks, exact shingle similarity.
+
+Texts are lower-cased words without ASCII punctuation, shingles five words (a shorter item is one shingle). A window has as
+many words as the items it is held against. The 64-bit SimHashes of those items stand in an index of four tables, one for
+each block of 16 bits: two fingerprints within ``RADIUS`` differ in at most ``REACH`` bits in one of the blocks, so a window
+meets the items in the slots that near its own. What meets and is within the radius is a candidate, and the similarity of
+the two multisets of shingles (sum of smaller by sum of larger counts) decides. A window that has no shingle of any item has
+similarity 0 to all and isn't hashed.
 """
 
 from __future__ import annotations
@@ -19,17 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowgate.llm.common import row_key, stored, utf8
+from rowgate.llm.simhash import majority
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Shingle sets of similarity 0.8 differ in 9.7 bits on average, with a deviation of 2.9.
 RADIUS = 18
-_EDGES = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-BLOCKS = tuple(
-    np.uint64((1 << hi) - (1 << lo)) for lo, hi in zip(_EDGES[:-1], _EDGES[1:], strict=True)
-)
-#: Bytes of items that are held against the documents in one pass; a larger benchmark takes more passes.
-BLOCK_BYTES = 32 << 20
+#: Blocks of 16 bits, and how far one of them must near the item's: were each further off, RADIUS would be passed.
+BLOCKS = 4
+REACH = RADIUS // BLOCKS
+#: Bytes of items that are held against documents at once; a larger benchmark takes more steps.
+BLOCK_BYTES = 16 << 20
+#: Bits of the filter by which a benchmark of several blocks picks the documents that have any of its shingles.
+FILTER_BITS = 1 << 27
+#: Windows that are hashed at once, pairs of windows and items that are looked at at once.
+STRETCH = 8192
+PAIRS = 1 << 20
 _PLAIN = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,55 +51,107 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 def _hash(words: list[bytes], start: int, end: int, size: int) -> np.ndarray:
     """Hashes of the shingles that start in [start, end)."""
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(b" ".join(words[i : i + size]), 42) for i in range(start, end)], np.uint64)
+    return np.fromiter((digest(b" ".join(words[i : i + size]), 42) for i in range(start, end)), np.uint64, end - start)
 
 
 def window_fingerprints(hashes: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of every ``size`` shingles in a row, by running sums of the bits."""
-    total = np.zeros((len(hashes) + 1, 64), np.int32)
-    np.cumsum(_bits(hashes), axis=0, out=total[1:])
-    ones = total[size:] - total[:-size]
+    """SimHash of every ``size`` shingles in a row: the first window's bits, then what comes in and goes out."""
+    first = np.zeros(64, np.int32)
+    for at in range(0, size, STRETCH):
+        first += _bits(hashes[at : min(at + STRETCH, size)]).sum(0, dtype=np.int32)
+    ones = np.empty((len(hashes) - size + 1, 64), np.int32)
+    ones[0] = first
+    ones[1:] = _bits(hashes[size:])
+    ones[1:] -= _bits(hashes[: len(hashes) - size])
+    np.cumsum(ones, axis=0, out=ones)
     return np.packbits(ones * 2 > size, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+class Index:
+    """Fingerprints of the items of one size, by the values of their blocks."""
+
+    def __init__(self, fps: np.ndarray) -> None:
+        self.fps = fps
+        self.tables = []
+        for b in range(BLOCKS):
+            value = fps.view(np.uint16).reshape(-1, 4)[:, b]
+            order = np.argsort(value, kind="stable").astype(np.int32)
+            slots, first = np.unique(value[order], return_index=True)
+            self.tables.append((slots, np.append(first, len(order)), order))
+
+    def near(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item) pairs within the radius, in pieces."""
+        values = fps.view(np.uint16).reshape(-1, 4)
+        for b, (slots, edge, order) in enumerate(self.tables):
+            # windows in a row have few different values in a block
+            asked, back = np.unique(values[:, b], return_inverse=True)
+            by_value = np.argsort(back, kind="stable")
+            bounds = np.searchsorted(back[by_value], np.arange(len(asked) + 1))
+            for k, v in enumerate(asked.tolist()):
+                hit = np.flatnonzero(np.bitwise_count(slots ^ np.uint16(v)) <= REACH)
+                if not len(hit):
+                    continue
+                items = np.concatenate([order[edge[i] : edge[i + 1]] for i in hit.tolist()])
+                mine = by_value[bounds[k] : bounds[k + 1]]
+                step = max(1, PAIRS // len(mine))
+                for at in range(0, len(items), step):
+                    some = items[at : at + step]
+                    differ = fps[mine][:, None] ^ self.fps[some][None, :]
+                    i, j = np.nonzero(np.bitwise_count(differ) <= RADIUS)
+                    # a pair that an earlier block brought together has been looked at
+                    new = np.ones(len(i), bool)
+                    blocks = differ[i, j].view(np.uint16).reshape(-1, 4)
+                    for earlier in range(b):
+                        new &= np.bitwise_count(blocks[:, earlier]) > REACH
+                    if new.any():
+                        yield mine[i[new]], some[j[new]]
+
+
 class Items:
-    """The items of one pass."""
+    """The items of one block, in arrays."""
 
     def __init__(self, rows: list[tuple[int, bytes]]) -> None:
         self.vocabulary: dict[bytes, int] = {}
         self.ids: list[int] = []
-        self.size: list[int] = []  # words
-        self.counts: list[Counter] = []
-        own: list[tuple[int, list[int]]] = []
-        fps: list[int] = []
+        fps, sizes, hashes = [], [], []
+        keys: dict[int, list[np.ndarray]] = defaultdict(list)
+        owners: dict[int, list[np.ndarray]] = defaultdict(list)
         for item_id, text in rows:
             words = words_of(text)
             if not words:
                 continue
             width = min(SHINGLE, len(words))
-            hashes = _hash(words, 0, len(words) - width + 1, width)
-            own.append((width, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
+            own = _hash(words, 0, len(words) - width + 1, width)
+            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
+            keys[width].append(_keys(numbers, width))
+            owners[width].append(np.full(len(own), len(words), np.int64))
             self.ids.append(item_id)
-            self.size.append(len(words))
-            self.counts.append(Counter(hashes.tolist()))
-            fps.append(int(window_fingerprints(hashes, len(hashes))[0]))
-        self.fps = np.array(fps, np.uint64)
-        #: For each shingle width, the sorted keys of all item shingles and who has them.
-        self.shingles: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        by_width: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for n, (width, words) in enumerate(own):
-            for key in _keys(np.array(words, np.uint64), width).tolist():
-                by_width[width][key].add(n)
-        for width, found in by_width.items():
-            keys = sorted(found)
-            self.shingles[width] = (np.array(keys, np.uint64), [np.array(sorted(found[k])) for k in keys])
+            sizes.append(len(words))
+            hashes.append(own)
+            fps.append(majority(own))
+        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.edge = np.concatenate(([0], np.cumsum([len(h) for h in hashes]))).astype(np.int64)
+        #: For each shingle width: the keys of all item shingles, sorted, and the sizes of the items that have them.
+        self.shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width, parts in keys.items():
+            pairs = np.unique(np.stack((np.concatenate(parts), np.concatenate(owners[width]).astype(np.uint64))), axis=1)
+            found, first = np.unique(pairs[0], return_index=True)
+            self.shingles[width] = found, np.append(first, pairs.shape[1]), pairs[1].astype(np.int64)
+        self.by_size: dict[int, tuple[np.ndarray, Index]] = {}
+        size, fp = np.array(sizes, np.int64), np.array(fps, np.uint64)
+        order = np.argsort(size, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else []:
+            self.by_size[int(size[own[0]])] = own, Index(fp[own])
+
+    def counts(self, n: int) -> Counter:
+        return Counter(self.hashes[self.edge[n] : self.edge[n + 1]].tolist())
 
     def matches(self, text: bytes | None) -> Iterator[tuple[int, float, int]]:
         """(item, similarity, first word) of the best window of each item that is reached."""
         words = words_of(text)
         get = self.vocabulary.get
         numbers = np.fromiter([get(w, 0) for w in words], np.uint64, len(words))
-        for width, (keys, holders) in self.shingles.items():
+        for width, (keys, edge, sizes) in self.shingles.items():
             if len(words) < width:
                 continue
             known = numbers != 0
@@ -105,17 +163,17 @@ class Items:
             hit = keys[at] == mine
             if not hit.any():
                 continue
-            sizes: dict[int, set[int]] = defaultdict(set)
+            positions: dict[int, list[int]] = defaultdict(list)
             for position, k in zip(whole[hit].tolist(), at[hit].tolist(), strict=True):
-                for size in {self.size[n] for n in holders[k].tolist()}:
-                    sizes[size].add(position)
-            for size, positions in sizes.items():
-                yield from self._windows(words, width, size, sorted(positions))
+                for size in sizes[edge[k] : edge[k + 1]].tolist():
+                    positions[size].append(position)
+            for size, found in positions.items():
+                yield from self._windows(words, width, size, found)
 
     def _windows(self, words: list[bytes], width: int, size: int, positions: list[int]) -> Iterator[tuple[int, float, int]]:
+        """``positions`` are those of known shingles, ascending."""
+        own, index = self.by_size[size]
         shingles = size - width + 1
-        rivals = np.array([n for n, s in enumerate(self.size) if s == size])
-        best: dict[int, tuple[float, int]] = {}
         starts = len(words) - size + 1
         if starts <= 0:  # the document is shorter than the item: its one window is the whole text
             shingles, starts = len(words) - width + 1, 1
@@ -126,25 +184,27 @@ class Items:
                 spans[-1][1] = max(hi, spans[-1][1])
             elif lo < hi:
                 spans.append([lo, hi])
-        # stretches of bounded size, however long the text is
-        pieces = [(at, min(at + 8192, hi)) for lo, hi in spans for at in range(lo, hi, 8192)]
-        for lo, hi in pieces:
+        best: dict[int, tuple[float, int]] = {}
+        theirs: dict[int, Counter] = {}
+        for lo, hi in spans:
             hashes = _hash(words, lo, hi + shingles - 1, width)
-            fps = window_fingerprints(hashes, shingles)
-            differ = fps[:, None] ^ self.fps[rivals][None, :]
-            meets = np.logical_or.reduce([(differ & block) == 0 for block in BLOCKS])
-            near = meets & (np.bitwise_count(differ) <= RADIUS)
-            values = hashes.tolist()
-            for w, r in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                n = int(rivals[r])
-                theirs = self.counts[n]
-                inside = Counter(values[w : w + shingles])
-                common = sum(min(c, theirs[h]) for h, c in inside.items() if h in theirs)
-                likeness = common / (shingles + theirs.total() - common)
-                if likeness > best.get(n, (0.0, 0))[0]:
-                    best[n] = (likeness, lo + w)
+            for at in range(0, hi - lo, STRETCH):  # working arrays of bounded size, however long the text is
+                part = hashes[at : min(at + STRETCH, hi - lo) + shingles - 1]
+                for windows, items in index.near(window_fingerprints(part, shingles)):
+                    for w in np.unique(windows).tolist():
+                        inside = Counter(part[w : w + shingles].tolist())
+                        for n in own[items[windows == w]].tolist():
+                            if n not in theirs:
+                                if len(theirs) > 4096:
+                                    theirs.clear()
+                                theirs[n] = self.counts(n)
+                            common = (inside & theirs[n]).total()
+                            likeness = common / (shingles + theirs[n].total() - common)
+                            found = likeness, -(lo + at + w)
+                            if likeness and found > best.get(n, (0.0, 0)):
+                                best[n] = found
         for n, (likeness, start) in best.items():
-            yield n, likeness, start
+            yield n, likeness, -start
 
 
 def _keys(numbers: np.ndarray, width: int) -> np.ndarray:
@@ -162,8 +222,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     document row and item of at least ``similarity``. Null and wordless texts and items match nothing. Repeated
     documents each get their rows; items of one id count as one, by their best. Empty tables give no rows.
 
-    The benchmark is a stated query set: it goes to the workers in blocks of at most ``BLOCK_BYTES`` (or one
-    item), and every block meets all documents.
+    The benchmark is a stated query set: it goes to the workers in blocks of about ``BLOCK_BYTES`` (or one item). Where
+    that takes several, one pass picks the documents that have any shingle of any item, by a filter of ``FILTER_BITS``
+    whatever the benchmark's size, and the blocks meet those alone.
     """
     return _found(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, similarity)
 
@@ -174,6 +235,8 @@ def _found(texts: DataFrame, benchmark: DataFrame, similarity: float) -> DataFra
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
+    if blocks > 1:
+        texts = stored(_having_shingles(texts, items))
     schema = f"{key} {texts.schema[key].dataType.simpleString()}, item_id long, similarity double, first_word long"
     found = None
     for n in range(blocks):
@@ -183,6 +246,42 @@ def _found(texts: DataFrame, benchmark: DataFrame, similarity: float) -> DataFra
     return found if found is not None else texts.sparkSession.createDataFrame([], schema)
 
 
+def _marks(words: list[bytes], width: int) -> np.ndarray:
+    """Positions of a text's shingles in the filter."""
+    hashes = _hash(words, 0, len(words) - width + 1, width) + np.uint64(width)
+    return ((hashes * _P) >> np.uint64(32)) % np.uint64(FILTER_BITS)
+
+
+def _having_shingles(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """The ``texts`` with a shingle of any item, and a few others."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(min(SHINGLE, len(w)), w) for w in map(words_of, utf8(batch.column("text"))) if w]
+            at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_marks(w, n) for n, w in found)])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["word", "bits"])
+            widths = sorted({n for n, _ in found})
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(widths), pa.int64()), pa.array(widths, pa.int64())], ["word", "bits"])
+
+    rows = items.select("text").mapInArrow(marked, "word long, bits long")
+    words = rows.filter("word >= 0").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    widths = sorted(r[0] for r in rows.filter("word < 0").select("bits").distinct().collect())
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            keep = []
+            for words in map(words_of, utf8(batch.column("text"))):
+                places = (_marks(words, n).astype(np.int64) for n in widths if len(words) >= n)
+                keep.append(any(bool((table[p >> 3] >> (p & 7).astype(np.uint8) & 1).any()) for p in places))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def _matcher(items: Items, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -209,12 +209,40 @@ def test_benchmark_in_blocks_finds_the_same(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == {(i, i) for i in range(12)}
 
 
-def test_multi_index_blocks_cover_the_radius():
+def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
-    assert np.bitwise_or.reduce(decontam.BLOCKS) == np.uint64(2**64 - 1) and len(decontam.BLOCKS) == decontam.RADIUS + 1
-    for _ in range(200):
-        flips = sum(1 << int(k) for k in rng.permutation(64)[: decontam.RADIUS])
-        assert any(int(b) & flips == 0 for b in decontam.BLOCKS)
+    fps = rng.integers(0, 2**63, 3000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000, np.uint64)
+    fps[1000:1200] = fps[:200]
+    flips = np.array([sum(1 << int(k) for k in rng.permutation(64)[: i % 24]) for i in range(400)], np.uint64)
+    windows = fps[:400] ^ flips
+    want = {(w, i) for w, i in zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(windows[:, None] ^ fps[None]) <= decontam.RADIUS)), strict=True)}
+    got = [(w, i) for a, b in decontam.Index(fps).near(windows) for w, i in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_many_items_of_one_size_fit():
+    """100,000 items: every planted one is found with a word of fifty changed, all by way of the index."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"word{i}".encode() for i in range(30_000)], object)
+    items = [(i, b" ".join(words[row])) for i, row in enumerate(rng.integers(0, len(words), (100_000, 24)))]
+    held = decontam.Items(items)
+    found = 0
+    for i in range(0, 100_000, 2000):
+        own = items[i][1].split()
+        own[-1 if i % 4000 else 0] = b"changed"
+        text = b" ".join([b"some words before", *own, b"and after"])
+        found += any(held.ids[n] == i and likeness >= 0.8 for n, likeness, _ in held.matches(text))
+    assert found == 50
+
+
+def test_windows_of_long_items():
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 2**63, 9000, np.uint64)
+    for size in (1, 7, 8500, 9000):
+        got = decontam.window_fingerprints(hashes, size).tolist()
+        assert len(got) == len(hashes) - size + 1
+        for i in {*range(0, len(got), 97), len(got) - 1}:
+            assert got[i] == decontam.majority(hashes[i : i + size])
 
 
 # --- mixing ---
