@@ -38,6 +38,20 @@ def test_branches_of_trees(spark):
     assert got == {("a", 6): ([1, 2, 4, 5, 6], 4.0, 2), ("a", 3): ([1, 3], 6.0, 1), ("b", 1): ([1], 2.0, 1)}
 
 
+def test_scores_without_listing_paths(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for tree in range(6):
+        parents = [None] + [int(rng.integers(max(0, i - 4), i)) for i in range(1, 70)]
+        rows += [(tree, i, p, float(rng.integers(-3, 4))) for i, p in enumerate(parents)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, score double")
+    forest = chat.Forest(df)
+    ranked = chat.rank(forest.paths(forest.leaves)).collect()
+    listed = {(r.tree, r.leaf): (r.path_score, r.length) for r in ranked}
+    assert {(r.tree, r.leaf): (r.path_score, r.length) for r in forest.scores().collect()} == listed and len(listed) > 60
+    assert {(r.tree, r.leaf) for r in chat.best(forest.scores()).collect()} == {(r.tree, r.leaf) for r in ranked if r.branch_rank == 1}
+
+
 def test_cycle_with_a_tail_ends(spark):
     rows = [(1, i, i - 1 if i > 1 else 5, 1.0) for i in range(1, 6)] + [(1, 6, 5, 1.0), (2, 1, None, 1.0)]
     got = chat.branches(spark.createDataFrame(rows, "tree long, node long, parent long, score double")).collect()
