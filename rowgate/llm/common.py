@@ -59,6 +59,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: So many keys are joined by broadcast at most, and only those with that many rows.
+HOT_KEYS, HOT_ROWS = 4096, 10_000
+
+
+def joined_by_count(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """``rows.join(counted, keys)`` where ``counted`` has a row for each key, with the number ``n`` of its rows.
+
+    The ``HOT_KEYS`` keys of most rows go to all workers, so their rows stay where they are; any other key has less than a
+    HOT_KEYS-th of all rows. ``counted`` is a written table, ``rows`` too, or cheap to make twice.
+    """
+    hot = stored(counted.filter(F.col(n) >= HOT_ROWS).orderBy(F.desc(n), *keys).limit(HOT_KEYS))
+    if hot.isEmpty():
+        return rows.join(counted, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(cold.join(counted, keys))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The texts of an Arrow string column as UTF-8."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import row_key, runs, slices, stored, utf8
+from rowgate.llm.common import joined_by_count, row_key, runs, slices, stored, utf8
 from rowgate.llm.graph import components
 
 RADIUS = 3
@@ -309,14 +309,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     other than doc_id and text are not looked at. No rows give no rows.
     """
     marked = stored(fingerprints(docs, words))
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+        "fp", "first", "n", F.coalesce("root", "fp").alias("root")
     )
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = stored(named.join(smallest, "root").select("fp", "component_id"))
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = stored(named.join(smallest, "root").select("fp", "n", "component_id"))
+    return joined_by_count(marked, by_fp, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 # --- similarity 0.8 -------------------------------------------------------------------------------------------------
@@ -326,6 +326,8 @@ SIMILARITY = 0.8
 WORDS = 4
 #: Pairs within the last are candidates; the closest are linked first.
 RADII = (20, 30, 38, 46, 60)
+#: Pairs that no links join are candidates up to here: texts of few shingles are further apart (4 of 5 shared: 48, with a deviation of 6).
+FAR = 72
 #: A pair of similarity 0.8 shares none of 16 bands of four smallest hashes with probability 0.0002.
 BANDS, ROWS = 16, 4
 _RNG = np.random.default_rng(8)
@@ -401,7 +403,7 @@ def _rooted(docs: DataFrame, words: int) -> DataFrame:
     roots = components(linked)
     # a link that failed may have kept another from being compared: now all that no verified links join
     rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node")))
-    rest = stored(_ordered(_unlinked(rooted, RADII[-1], TILE // 4)).join(pairs, ["a", "b"], "left_anti"))
+    rest = stored(_ordered(_unlinked(rooted, FAR, TILE // 4)).join(pairs, ["a", "b"], "left_anti"))
     roots = components(linked.unionByName(_verified(rest, nodes, own, words)))
     return marked.select("first", "node").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import runs, slices, stored, utf8
+from rowgate.llm.common import joined_by_count, runs, slices, stored, utf8
 
 LENGTH = 400
 #: Passages of some fifty words are shorter than LENGTH as often as not; from here on they count as ``n_repeated``.
@@ -277,7 +277,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
     alone = (F.col("kinds") == 1) & ~F.col("own_repeats")
     classes = stored(classes.withColumn("blocks", F.when(alone, 0).otherwise(F.ceil(F.col("kinds") / BLOCK)).cast("int")))
     me = F.struct("d", "t", "start")
-    return rows.join(classes, ["anchor", "digest"]).select(
+    return joined_by_count(rows, classes, ["anchor", "digest"]).select(
         "d",
         "t",
         "start",

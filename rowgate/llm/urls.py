@@ -1,8 +1,9 @@
 """URL filters: rules, host word segmentation, multinomial naive Bayes over host and path tokens.
 
 Concatenated host names are split by a unigram Viterbi pass whose word counts come from all pages'
-texts. Naive Bayes learns from pages whose segmented host has a seed word (blocked) or not, so that other
-tokens that go with blocked hosts count as well.
+texts. There are no labels, so naive Bayes learns from pages whose segmented host has a seed word (blocked) or not. The seed
+words themselves aren't among what it learns from: it learns what else goes with them, and judges hosts without any by that. A
+seed word weighs as if it had been seen ``SEED_COUNT`` times on blocked pages.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import stored
+from rowgate.llm.common import joined_by_count, stored
 
 #: (host, path, verdict): fits the host and its subdomains if the path starts with the rule's.
 RULES = (
@@ -24,8 +25,10 @@ RULES = (
     ("com", "/de/", "block"),
 )
 #: Host words that mark a page as blocked when the classifier learns.
-SEEDS = ("ads", "bet", "casino", "cheap", "clickbait", "escort", "loans", "lottery", "malware", "pills", "porn", "spam", "track", "viagra", "xxx")
-WORD_MOST = 24
+SEEDS = ("ads", "adult", "bet", "bets", "casino", "cheap", "clickbait", "escort", "loans", "lottery", "malware", "pills", "porn", "spam", "track", "viagra", "xxx")
+SEED_COUNT = 10.0
+#: Letters of a word at most, and of a run of letters that is split at once (a label of a host name has 63 at most); longer runs are cut.
+WORD_MOST, NAME_MOST = 24, 256
 
 
 def _after_scheme(url: Column) -> Column:
@@ -57,6 +60,11 @@ def _letters(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
+def _names(host: Column) -> Column:
+    cut = F.transform(_letters(host), lambda w: F.regexp_extract_all(w, F.lit(f"(.{{1,{NAME_MOST}}})"), F.lit(1)))
+    return F.flatten(cut)
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
     """``word``, ``n`` over the visible texts of all pages."""
     visible = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&[#\w]+;", " ")
@@ -112,10 +120,10 @@ def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
 def classify(urls: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS, smoothing: float = 1.0) -> DataFrame:
     """``url``, ``tokens``, ``block_log_odds`` for each distinct ``url`` (with ``host``, ``path``).
 
-    Tokens are the words of the segmented host and the letter runs of the path.
+    Tokens are the words of the segmented host and the letter runs of the path; one that comes up again in a url counts once.
     """
     urls = stored(urls.select("url", "host", "path", F.lit(1).alias("one")).groupBy("url", "host", "path").agg(F.sum("one").alias("n")))
-    pieces = urls.select("host").distinct().select("host", F.posexplode(_letters(F.col("host"))).alias("pos", "name"))
+    pieces = urls.select("host").distinct().select("host", F.posexplode(_names(F.col("host"))).alias("pos", "name"))
     words = segment(pieces, counts)
     hosts = pieces.join(words, "name").groupBy("host").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("host_words")
@@ -125,14 +133,20 @@ def classify(urls: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS,
     path_words = F.transform(_letters(F.col("path")), lambda w: F.concat(F.lit("/"), w))
     bags = urls.join(hosts, "host", "left").select(
         "url",
+        F.md5(F.coalesce("url", F.lit(""))).alias("key"),  # a long url doesn't go with each of its tokens
         "n",
         F.coalesce("seeded", F.lit(False)).alias("seeded"),
         F.concat(F.coalesce("host_words", F.array().cast("array<string>")), path_words).alias("tokens"),
     )
     bags = stored(bags)
-    occurrences = bags.select("url", "n", "seeded", F.explode("tokens").alias("token"))
-    by_token = occurrences.groupBy("token").agg(
-        F.sum(F.when(F.col("seeded"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("seeded"), 0).otherwise(F.col("n"))).alias("good")
+    occurrences = bags.select("key", "n", "seeded", F.explode(F.array_distinct("tokens")).alias("token"))
+    is_seed = F.col("token").isin(*seeds)
+    bad, good = F.when(F.col("seeded"), F.col("n")).otherwise(0), F.when(F.col("seeded"), 0).otherwise(F.col("n"))
+    by_token = occurrences.groupBy("token").agg(F.sum(bad).alias("bad"), F.sum(good).alias("good"), F.count("*").alias("rows"))
+    by_token = stored(
+        by_token.select(
+            "token", "rows", F.when(is_seed, SEED_COUNT).otherwise(F.col("bad")).alias("bad"), F.when(is_seed, 0.0).otherwise(F.col("good")).alias("good")
+        )
     )
     sums = by_token.agg(F.sum("bad"), F.sum("good"), F.count("*")).first()
     classes = bags.agg(F.sum(F.when(F.col("seeded"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("seeded"), 0).otherwise(F.col("n")))).first()
@@ -140,11 +154,8 @@ def classify(urls: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS,
     prior = math.log(((classes[0] or 0) + smoothing) / ((classes[1] or 0) + smoothing))
     base = math.log((good + smoothing * max(1.0, kinds)) / (bad + smoothing * max(1.0, kinds)))
     odds = F.log((F.col("bad") + smoothing) / (F.col("good") + smoothing)) + F.lit(base)
-    scored = occurrences.join(by_token.select("token", odds.alias("odds")), "token").groupBy("url").agg(F.sum("odds").alias("odds"))
-    scored = scored.withColumnRenamed("url", "scored_url")
-    return bags.join(scored, F.col("url").eqNullSafe(F.col("scored_url")), "left").select(
-        "url", "tokens", (F.coalesce("odds", F.lit(0.0)) + F.lit(prior)).alias("block_log_odds")
-    )
+    scored = joined_by_count(occurrences, by_token.select("token", "rows", odds.alias("odds")), ["token"], "rows").groupBy("key").agg(F.sum("odds").alias("odds"))
+    return bags.join(scored, "key", "left").select("url", "tokens", (F.coalesce("odds", F.lit(0.0)) + F.lit(prior)).alias("block_log_odds"))
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:

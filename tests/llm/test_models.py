@@ -158,6 +158,21 @@ def test_judging(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_hosts_without_seed_words(spark):
+    """Held-out hosts: concatenated, and none has a seed word; what they share with seeded hosts was learned."""
+    rng = random.Random(12)
+    shady, plain = ["win", "bonus", "jackpot", "deal", "magic", "fast"], ["garden", "music", "river", "bread", "stone", "paper"]
+    text = " ".join([*shady, *plain, "casino", "pills", "cheap", "online"] * 30)
+    seeded = [f"http://{''.join(rng.sample(['casino', 'pills'], 1) + rng.sample(shady, 2))}{i % 3}.net/{i}" for i in range(60)]
+    good = [f"http://{''.join(rng.sample(plain, 3))}.net/{i}" for i in range(200)]
+    held = [f"http://{''.join(rng.sample(shady, 3))}.net/{i}" for i in range(20)] + ["http://www.cheappillsonline.net/", f"http://{'winbonus' * 40_000}.net/"]
+    rows = [(i, u, text if i < 5 else None) for i, u in enumerate(seeded + good + held)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    verdicts = [got[i].verdict for i in range(len(rows))]
+    assert len(got) == len(rows) and verdicts[60:260].count("allow") >= 195 and verdicts[260:].count("block") >= 20
+    assert verdicts[280] == verdicts[281] == "block" and {"cheap", "pills"} <= set(got[280].tokens)
+
+
 # --- decontamination ---
 
 

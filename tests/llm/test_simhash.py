@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rowgate.llm import simhash
+from rowgate.llm import common, simhash
 from rowgate.llm.graph import components
 
 
@@ -125,13 +125,22 @@ def test_stage_verifies_what_failed_links_hid(spark):
         for i in range(len(texts))
         for j in range(i + 1, len(texts))
         if bands[i] & bands[j]
-        and np.bitwise_count(fps[i] ^ fps[j]).sum() <= simhash.RADII[-1]
+        and np.bitwise_count(fps[i] ^ fps[j]).sum() <= simhash.FAR
         and len(sets[i] & sets[j]) >= simhash.SIMILARITY * len(sets[i] | sets[j])
     ]
     got = {r.doc_id: r.component_id for r in simhash.wide_groups(docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == groups(pairs, len(texts))
 
 
+def test_hot_keys_join_as_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    rows = spark.createDataFrame([(k, i) for k, m in ((1, 40), (2, 20), (3, 9), (4, 1)) for i in range(m)], "k long, i long")
+    counted = rows.groupBy("k").count().selectExpr("k", "count AS n", "k * 10 AS v")
+    got = sorted((r.k, r.i, r.n, r.v) for r in common.joined_by_count(rows, counted, ["k"]).collect())
+    assert got == sorted((r.k, r.i, r.n, r.v) for r in rows.join(counted, "k").collect()) and len(got) == 70
+
+
 def test_cross_links_against_every_pair():
     rng = np.random.default_rng(6)
     edges = np.array([0, 5, 6, 206, 300])
