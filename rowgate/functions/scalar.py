@@ -36,8 +36,9 @@ def plus(a: Column, b: Column, text: bool) -> Column:
 
 def divide(a: Column, b: Column, whole: bool) -> Column:
     """``/``: between whole numbers it truncates toward zero; by zero gives null."""
-    out = F.try_divide(a, b)
-    return F.when(out < 0, F.ceil(out)).otherwise(F.floor(out)).cast("bigint") if whole else out
+    if whole:
+        return F.call_function("div", a.cast("bigint"), F.nullif(b.cast("bigint"), F.lit(0).cast("bigint")))
+    return F.try_divide(a, b)
 
 
 def parse_int(c: Column) -> Column:

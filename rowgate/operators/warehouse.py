@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowgate.functions.scalar import date_key, percentage
 from rowgate.sources.files import calendar
+from rowgate.sources.scratch import staged
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[Column | str] | None = None) -> DataFrame:
@@ -26,10 +27,14 @@ def insert_new(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFra
 def surrogate(df: DataFrame, by: str, name: str, after: int = 0) -> DataFrame:
     """Dense keys from ``after`` + 1 in the order of the distinct business key ``by``, without sorting in one task.
 
-    Keys are counted for each range partition; only those counts, one number a partition, are summed in one place.
+    Keys are counted for each range partition; only those counts, one number a partition, are summed in one place. The
+    cut is written once, as ranges drawn twice may differ.
     """
-    cut = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("__p", F.spark_partition_id())
-    ranked = cut.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(by)))
+    ranked = staged(
+        df.repartitionByRange(by)
+        .withColumn("__p", F.spark_partition_id())
+        .withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(by)))
+    )
     counts = ranked.groupBy("__p").agg(F.count("*").alias("__c"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))

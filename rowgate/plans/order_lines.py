@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.contract import ITEM_KEYS, Contract
-from rowgate.operators.flow import dedupe, marked_lookup, replayed, union_all
-from rowgate.operators.ladder import Rule, alerts, ladder, order_rules, rejected, typed
+from rowgate.contract import Contract
+from rowgate.operators.flow import marked_lookup, rank_in_key
+from rowgate.operators.ladder import Rule, alerts, consistency, ladder, order_rules, rejected, typed
 from rowgate.operators.rollup import orders
 
 
@@ -46,39 +46,70 @@ def decide(lines: DataFrame, products: DataFrame, customers: DataFrame, contract
     return ladder(known, rules)
 
 
-def process(
-    lines: DataFrame,
-    products: DataFrame,
-    customers: DataFrame,
-    contract: Contract,
-    as_of_ms: int,
-    loaded: DataFrame | None = None,
-    order: tuple[str, ...] = ("source_file", "source_line_no"),
-) -> Batch:
-    """One batch. ``loaded`` has the keys of all batches before it: lines with one of them are DUP_KEY."""
-    judged = decide(lines, products, customers, contract, as_of_ms)
-    bad, good = rejected(judged), judged.filter(F.col("reason").isNull())
-    # dealt by order once: the dedupe by (order, line) and the rollup by order both use it
-    good = good.withColumns({"order_id": F.trim("order_id"), "line_no": F.col("line_no_v")}).repartition("order_id")
-    parts = dedupe(good, list(ITEM_KEYS), list(order))
-    first, again = parts["first"], parts["duplicate"]
+def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None = None) -> DataFrame:
+    """Judged lines, each once, with DUP_KEY where a clean line isn't the first of its key or ``loaded`` has the key.
+
+    ``__o`` and ``__l`` are the key of a clean line. One deal by order serves the choice of the first line and whatever is
+    grouped by ``__o`` later; rejected lines have no part in it and are spread by a hash.
+    """
+    good = F.col("reason").isNull()
+    spread = F.concat(F.lit("\x01"), F.xxhash64(*order, "order_id", "line_no").cast("string"))
+    keyed = judged.withColumns({"__o": F.when(good, F.trim("order_id")).otherwise(spread), "__l": F.when(good, F.col("line_no_v"))})
+    ranked = rank_in_key(keyed.repartition("__o"), ["__o", "__l"], list(order), "__n")
+    again = F.col("__n") > 1
     if loaded is not None:
-        seen = replayed(first, loaded, list(ITEM_KEYS))
-        first, again = seen["new"], again.unionByName(seen["replay"].select(*again.columns))
-    duplicate = again.withColumns({"reason": F.lit("DUP_KEY"), "detail": F.concat(F.col("order_id"), F.lit("#"), F.col("line_no").cast("string"))})
-    texts = {"line_no": F.col("line_no").cast("string")}
-    rejects = union_all(bad, duplicate.withColumns(texts))
+        known = loaded.select(F.col("order_id").alias("__o"), F.col("line_no").alias("__l"), F.lit(True).alias("__seen")).distinct()
+        ranked = ranked.join(known, ["__o", "__l"], "left")
+        again = again | F.coalesce("__seen", F.lit(False))
+    number = F.col("__l").cast("string")
+    return ranked.withColumns(
+        {
+            "reason": F.when(good & again, "DUP_KEY").otherwise(F.col("reason")),
+            "detail": F.when(good & again, F.concat("__o", F.lit("#"), number)).otherwise(F.col("detail")),
+            "order_id": F.when(good, F.col("__o")).otherwise(F.col("order_id")),
+            "line_no": F.when(good, number).otherwise(F.col("line_no")),
+        }
+    ).drop("__n", "__seen")
+
+
+def items_of(outcome: DataFrame) -> DataFrame:
+    """The lines that load, typed, with ``quality_status``, ``defects`` and the right total where it isn't quantity times price."""
+    first = outcome.filter(F.col("reason").isNull())
+    named = ("status", "channel", "payment_type", "category", "catalog_price", "country", "segment", "batch_id", "source_file")
     items = first.select(
-        "order_id",
-        F.col("line_no").cast("int").alias("line_no"),
+        F.col("__o").alias("order_id"),
+        F.col("__l").cast("int").alias("line_no"),
         F.trim("customer_id").alias("customer_id"),
         F.upper(F.trim("sku")).alias("sku"),
         F.col("qty_v").alias("qty"),
         F.col("price_v").cast("decimal(14,4)").alias("unit_price"),
         F.col("total_v").cast("decimal(14,2)").alias("line_total"),
         F.col("ts_v").alias("order_ts"),
-        *(c for c in ("status", "channel", "payment_type", "category", "catalog_price", "country", "segment", "batch_id", "source_file") if c in first.columns),
+        *(c for c in named if c in first.columns),
         F.upper(F.trim("currency")).alias("currency"),
     )
-    decided = union_all(rejects, first.withColumns(texts))
-    return Batch(decided, items, rejects, orders(items), alerts(items, contract))
+    return consistency(items, "qty", "unit_price", "line_total")
+
+
+def split(outcome: DataFrame, contract: Contract, clean: DataFrame | None = None) -> Batch:
+    """A batch from its outcomes; ``clean`` has those of clean lines alone, if that is cheaper to have than to filter."""
+    decided = outcome.drop("__o", "__l")
+    items = items_of(outcome if clean is None else clean)
+    return Batch(decided, items, rejected(decided), orders(items), alerts(items, contract))
+
+
+def process(
+    lines: DataFrame,
+    products: DataFrame,
+    customers: DataFrame,
+    contract: Contract,
+    as_of_ms: int,
+    loaded: DataFrame | None = None,
+    order: tuple[str, ...] = ("source_file", "source_line_no"),
+) -> Batch:
+    """One batch. ``loaded`` has the keys of all batches before it: lines with one of them are DUP_KEY.
+
+    Each output is a plan of its own with one scan of the lines. Where several are needed, keep ``outcomes`` and ``split`` it.
+    """
+    judged = decide(lines, products, customers, contract, as_of_ms)
+    return split(outcomes(judged, order, loaded), contract, outcomes(judged.filter(F.col("reason").isNull()), order, loaded))

@@ -17,27 +17,24 @@ def _files(spark: SparkSession, path: str):
 
 
 class Table:
-    """A Parquet table in a folder of versions; a write adds a version and then names it current.
+    """A Parquet table in a folder of versions; a write adds a version, an append a folder to the current one.
 
     A version that is being read is never written, and a write that fails leaves the old one current. The newest
-    version that was completed counts, so readers never see part of a write.
+    version that was completed counts, so readers never see part of a write. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def _versions(self) -> list[str]:
-        at, fs = _files(self.spark, self.path)
-        if not fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return sorted(n for n in names if n.startswith("v") and fs.exists(_files(self.spark, f"{self.path}/{n}/_SUCCESS")[0]))
+        return self._complete("v")
 
     def read(self) -> DataFrame:
         versions = self._versions()
         if not versions:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{versions[-1]}")
+        folders = [versions[-1], *self._complete(self._more(versions[-1]))]
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{n}" for n in folders))
 
     def overwrite(self, df: DataFrame, keep: int = 2) -> None:
         versions = self._versions()
@@ -45,11 +42,27 @@ class Table:
         empty = self.spark.createDataFrame([], self.schema)
         conform(df, empty).write.parquet(f"{self.path}/v{number:09d}-{uuid.uuid4().hex[:8]}")
         for old in self._versions()[:-keep]:
-            at, fs = _files(self.spark, f"{self.path}/{old}")
-            fs.delete(at, True)
+            for name in (old, *self._complete(self._more(old))):
+                at, fs = _files(self.spark, f"{self.path}/{name}")
+                fs.delete(at, True)
 
     def append(self, df: DataFrame) -> None:
-        self.overwrite(self.read().unionByName(conform(df, self.spark.createDataFrame([], self.schema))))
+        """Adds a folder to the current version, which isn't rewritten."""
+        versions = self._versions()
+        if not versions:
+            return self.overwrite(df)
+        rows = conform(df, self.spark.createDataFrame([], self.schema))
+        rows.write.parquet(f"{self.path}/{self._more(versions[-1])}{uuid.uuid4().hex[:12]}")
+        return None
+
+    @staticmethod
+    def _more(version: str) -> str:
+        return f"more-{version.split('-')[0]}-"
+
+    def _complete(self, prefix: str) -> list[str]:
+        at, fs = _files(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in names if n.startswith(prefix) and fs.exists(_files(self.spark, f"{self.path}/{n}/_SUCCESS")[0]))
 
     def upsert(self, df: DataFrame, keys: list[str], order: list[str] | None = None) -> None:
         self.overwrite(upsert(self.read(), df, keys, order))
@@ -102,6 +115,16 @@ def write_jdbc(df: DataFrame, url: str, name: str, batch: int = 500, **options:
     df.write.format("jdbc").option("url", url).option("dbtable", name).option("batchsize", batch).options(**options).mode("append").save()
 
 
+def copy_files(spark: SparkSession, source: str, target: str, names: list[str]) -> None:
+    """Named files of a folder copied byte by byte, by the file system; those that are gone or there already are left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in names:
+        (a, fs), (b, to) = _files(spark, f"{source}/{name}"), _files(spark, f"{target}/{name}")
+        if fs.exists(a) and not to.exists(b):
+            to.mkdirs(b.getParent())
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, b, False, conf)
+
+
 def park_files(texts: DataFrame, path: str) -> None:
     """Dead files as they were: whole texts (``source_file``, ``value``) by file."""
     texts.write.mode("append").partitionBy("source_file").option("compression", "none").text(path)

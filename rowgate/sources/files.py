@@ -25,11 +25,16 @@ def text_lines(reader, path: str) -> DataFrame:
 def number_lines(lines: DataFrame) -> DataFrame:
     """``raw_line``, ``source_file``, ``source_line_no`` (of all lines, from 1), blank lines left out.
 
-    Line numbers follow the file's blocks, so a file that is split over tasks keeps its order.
+    Lines are numbered within the blocks that the reader cut the file into, and each block starts after the lines of
+    those before it, so no task holds a whole file.
     """
-    order = Window.partitionBy("source_file").orderBy("block", "at")
-    numbered = lines.withColumn("at", F.monotonically_increasing_id()).withColumn("source_line_no", F.row_number().over(order).cast("long"))
-    return numbered.filter(F.trim("raw_line") != "").select("raw_line", "source_file", "source_line_no")
+    own = Window.partitionBy("source_file", "block").orderBy("at")
+    numbered = lines.withColumn("at", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(own))
+    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("source_file", "block").agg(F.count("*").alias("lines"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0))).drop("lines")
+    placed = numbered.join(blocks, ["source_file", "block"]).filter(F.trim("raw_line") != "")
+    return placed.select("raw_line", "source_file", (F.col("n") + F.col("before")).cast("long").alias("source_line_no"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -60,11 +65,17 @@ def read_ndjson(spark: SparkSession, path: str, on_bad_line: str = "line") -> Da
     """Record lines from files. ``on_bad_line="fail_file"`` marks every line of a file with a bad one READER_FAILURE."""
     parsed = parse_json_lines(read_lines(spark, path))
     if on_bad_line == "fail_file":
-        whole = F.bool_or(F.col("parse_error").isNotNull()).over(Window.partitionBy("source_file"))
-        parsed = parsed.withColumn("parse_status", F.when(whole, "READER_FAILURE").otherwise(F.col("parse_status")))
+        parsed = fail_files(parsed)
     return parsed
 
 
+def fail_files(parsed: DataFrame) -> DataFrame:
+    """Every line of a file that has a bad one is READER_FAILURE."""
+    bad = parsed.filter(F.col("parse_error").isNotNull()).select("source_file", F.lit(True).alias("__bad")).distinct()
+    status = F.when(F.col("__bad"), "READER_FAILURE").otherwise(F.col("parse_status"))
+    return parsed.join(bad, "source_file", "left").withColumn("parse_status", status).drop("__bad")
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -128,7 +139,8 @@ def pending(listing: DataFrame, ledger: DataFrame, as_of_ms: int | None = None,
 
 def empty_files(listing: DataFrame) -> DataFrame:
     """Zero-byte files as failed ledger rows."""
-    return listing.filter("bytes = 0").select("source_file", F.lit("FAILED").alias("status"), F.lit("<empty file>").alias("error_text"))
+    failed = {"status": F.lit("FAILED"), "error_text": F.lit("<empty file>")}
+    return listing.filter("bytes = 0").withColumns(failed).drop("bytes")
 
 
 def stamp(df: DataFrame, as_of: Column | None = None, source_file: str = "source_file") -> DataFrame:

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rowgate.contract import Contract
+from rowgate.operators.flow import union_all
 from rowgate.operators.rollup import per_file
 from rowgate.operators.warehouse import job_ledger
-from rowgate.plans.order_lines import process
-from rowgate.sinks.tables import conform, quarantine
-from rowgate.sources.files import number_lines, parse_json_lines, stamp, text_lines
+from rowgate.plans.order_lines import decide, outcomes, split
+from rowgate.sinks.tables import conform, copy_files, quarantine
+from rowgate.sources.files import empty_files, fail_files, list_files, number_lines, parse_json_lines, pending, stamp, text_lines
 
 LOADS = {
     "items": "order_id string, line_no int, customer_id string, sku string, qty int, unit_price decimal(14,4), line_total decimal(14,2), order_ts bigint,"
-    " status string, channel string, payment_type string, category string, catalog_price decimal(12,2), currency string, batch_id string, source_file string",
+    " status string, channel string, payment_type string, category string, catalog_price decimal(12,2), currency string, batch_id string, source_file string,"
+    " quality_status string, defects string, line_total_fixed decimal(14,2)",
     "orders": "order_id string, customer_id string, order_ts bigint, status string, channel string, payment_type string, currency string, batch_id string,"
     " source_file string, order_total decimal(14,2), item_count bigint",
     "rejects": "reason string, detail string, batch_id string, source_file string, order_id string, line_no string, customer_id string, order_ts string, sku string,"
     " qty string, unit_price string, line_total string, currency string, status string, channel string, raw_payload string, quarantined_at timestamp",
     "alerts": "alert_type string, severity string, metric_value decimal(14,2), order_id string, line_no int, customer_id string, batch_id string, source_file string",
-    "ledger": "source_file string, records_valid bigint, records_invalid bigint, orders_loaded bigint, status string",
+    "ledger": "source_file string, records_valid bigint, records_invalid bigint, orders_loaded bigint, status string, error_text string,"
+    " started_at timestamp, finished_at timestamp, duration_ms bigint",
+    "health": "pending_files bigint, files_done bigint, failed_files bigint, last_file string, last_status string, last_error string, seen_at timestamp",
 }
 #: Tables of which a later load's row replaces an earlier one's.
 KEYED = {"orders": "order_id", "ledger": "source_file"}
@@ -30,13 +36,16 @@ KEYED = {"orders": "order_id", "ledger": "source_file"}
 class OrderStream:
     """The tables of one pipeline under ``path`` and the function that loads a micro-batch into them.
 
-    Every table is partitioned by ``load_no``, the micro-batch. A load writes its own partitions only, so its cost doesn't
-    grow with what was loaded before, and a retried one replaces what its first try wrote.
+    Every table is partitioned by ``load_no``, the micro-batch. A load writes its own partitions only, and a retried one
+    replaces what its first try wrote. It reads the keys, two columns, of all loads before it, to tell replays.
+    ``on_bad_line="fail_file"`` rejects files whole that have a line which can't be read.
     """
 
-    def __init__(self, spark: SparkSession, path: str, products: DataFrame, customers: DataFrame, contract: Contract, as_of_ms: int) -> None:
+    def __init__(
+        self, spark: SparkSession, path: str, products: DataFrame, customers: DataFrame, contract: Contract, as_of_ms: int, on_bad_line: str = "line"
+    ) -> None:
         self.spark, self.path, self.products, self.customers = spark, path, products, customers
-        self.contract, self.as_of_ms = contract, as_of_ms
+        self.contract, self.as_of_ms, self.on_bad_line = contract, as_of_ms, on_bad_line
 
     def loads(self, name: str) -> DataFrame:
         """A table's rows with their ``load_no``."""
@@ -53,48 +62,95 @@ class OrderStream:
             rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(KEYED[name]).orderBy(F.desc("load_no")))).filter("__n = 1").drop("__n")
         return rows.drop("load_no")
 
+    def accumulated(self) -> DataFrame:
+        """The ledger over all loads of each file."""
+        return accumulate(self.loads("ledger"))
+
     def _write(self, name: str, df: DataFrame, load_no: int) -> None:
         rows = conform(df, self.spark.createDataFrame([], LOADS[name])).withColumn("load_no", F.lit(load_no).cast("bigint"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_no").parquet(f"{self.path}/{name}")
 
-    def load(self, lines: DataFrame, load_no: int) -> None:
-        """Load a micro-batch of raw lines (``raw_line``, ``source_file``, ``source_line_no``)."""
-        lines = stamp(parse_json_lines(lines)).drop("ingest_ts").persist()
+    def load(self, lines: DataFrame, load_no: int, landing: str | None = None) -> None:
+        """Load a micro-batch of raw lines (``raw_line``, ``source_file``, ``source_line_no``).
+
+        With ``landing``, empty files there that no earlier load has seen fail in this one, and failed files are parked as they are.
+        """
+        started = F.lit(datetime.now(UTC)).cast("timestamp")
+        parsed = parse_json_lines(lines)
+        parsed = stamp(fail_files(parsed) if self.on_bad_line == "fail_file" else parsed).drop("ingest_ts")
+        before = self.loads("items").filter(F.col("load_no") < load_no).select("order_id", "line_no")
+        judged = decide(parsed, self.products, self.customers, self.contract, self.as_of_ms)
+        whole = outcomes(judged, ("source_file", "source_line_no"), before).persist()
         try:
-            before = self.loads("items").filter(F.col("load_no") < load_no).select("order_id", "line_no")
-            out = process(lines, self.products, self.customers, self.contract, self.as_of_ms, before)
-            out.decided.persist()
-            try:
-                self._write("rejects", quarantine(out.rejects), load_no)
-                self._write("alerts", out.alerts, load_no)
-                self._write("orders", out.orders, load_no)
-                totals = out.decided.select("source_file", "reason", "order_id", F.col("total_v").alias("line_total"))
-                self._write("ledger", job_ledger(per_file(totals)), load_no)
-                self._write("items", out.items, load_no)
-            finally:
-                out.decided.unpersist()
+            out = split(whole, self.contract)
+            self._write("rejects", quarantine(out.rejects), load_no)
+            self._write("alerts", out.alerts, load_no)
+            self._write("orders", out.orders, load_no)
+            totals = out.decided.select("source_file", "reason", "order_id", F.col("total_v").alias("line_total"))
+            first = out.rejects.groupBy("source_file").agg(F.min_by("detail", "source_line_no").alias("error_text"))
+            ledger = job_ledger(per_file(totals)).join(first, "source_file", "left")
+            ledger = ledger.withColumn("error_text", F.when(F.col("status") == "FAILED", F.col("error_text")))
+            if landing is not None:
+                seen = self.loads("ledger").filter(F.col("load_no") < load_no)
+                empty = pending(empty_files(list_files(self.spark, landing)), seen).drop("modified")
+                ledger = union_all(ledger, empty).na.fill(0, ["records_valid", "records_invalid", "orders_loaded"])
+            finished = F.current_timestamp()
+            times = {"started_at": started, "finished_at": finished, "duration_ms": F.unix_millis(finished) - F.unix_millis(started)}
+            self._write("ledger", ledger.withColumns(times), load_no)
+            self._write("items", out.items, load_no)
+            if landing is not None:
+                mine = self.loads("ledger").filter((F.col("load_no") == load_no) & (F.col("status") == "FAILED"))
+                copy_files(self.spark, landing, f"{self.path}/parked", [r.source_file for r in mine.select("source_file").collect()])
+                now = health(list_files(self.spark, landing), self.read("ledger")).withColumn("seen_at", F.current_timestamp())
+                self._write("health", now, load_no)
         finally:
-            lines.unpersist()
+            whole.unpersist()
+
+    def start(
+        self, landing: str, checkpoint: str, files_per_batch: int = 1, archive: str | None = None, bytes_per_batch: str | None = None, **trigger
+    ) -> StreamingQuery:
+        """Watch a folder: files in order of arrival, so many (or so many bytes) a micro-batch, each committed before the next.
 
-    def start(self, landing: str, checkpoint: str, files_per_batch: int = 1, archive: str | None = None, **trigger) -> StreamingQuery:
-        """Watch a folder: files in order of arrival, so many a micro-batch, each committed before the next."""
-        reader = self.spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.json")
+        A micro-batch that fails ends the query; started again, it goes on with that one, and nothing is lost or doubled.
+        """
+        reader = self.spark.readStream.option("pathGlobFilter", "*.json")
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else reader.option("maxFilesPerTrigger", files_per_batch)
         if archive:
             reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
         lines = text_lines(reader, landing)
-        writer = lines.writeStream.foreachBatch(lambda lines, n: self.load(number_lines(lines), n)).option("checkpointLocation", checkpoint)
+        writer = lines.writeStream.foreachBatch(lambda lines, n: self.load(number_lines(lines), n, landing)).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def accumulate(ledger: DataFrame) -> DataFrame:
+    """One row a file over all its loads: counts add up, the best status stays, so that a replay doesn't make a success a failure."""
+    best = F.array("status", F.lit("SUCCESS"), F.lit("PARTIAL"), F.lit("RUNNING"), F.lit("FAILED"))
+    place = F.array_position(F.slice(best, 2, 4), F.col("status"))
+    return ledger.groupBy("source_file").agg(
+        *(F.sum(c).cast("bigint").alias(c) for c in ("records_valid", "records_invalid", "orders_loaded")),
+        F.min_by("status", place).alias("status"),
+        F.max_by("error_text", F.when(F.col("error_text").isNotNull(), F.col("load_no"))).alias("error_text"),
+        F.min("started_at").alias("started_at"),
+        F.max("finished_at").alias("finished_at"),
+        F.sum("duration_ms").cast("bigint").alias("duration_ms"),
+        F.count("*").alias("loads"),
+    )
+
+
 def windowed(stream: DataFrame, ts: str, interval: str, late: str, by: list[str], *measures: Column) -> DataFrame:
     """Tumbling event-time windows of a stream; rows later than ``late`` behind the newest are dropped."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, interval), *by).agg(*measures)
 
 
 def health(listing: DataFrame, ledger: DataFrame) -> DataFrame:
-    """One row: pending files, files done, failed files, the last file by name."""
+    """One row: pending files, files done, failed files; the last file by name, its status, and the error of the last one that failed."""
     left = listing.join(ledger.select("source_file"), "source_file", "left_anti").agg(F.count("*").alias("pending_files"))
+    failed = F.col("status") == "FAILED"
     done = ledger.agg(
-        F.count("*").alias("files_done"), F.count_if(F.col("status") == "FAILED").alias("failed_files"), F.max("source_file").alias("last_file")
+        F.count("*").alias("files_done"),
+        F.count_if(failed).alias("failed_files"),
+        F.max("source_file").alias("last_file"),
+        F.max_by("status", "source_file").alias("last_status"),
+        F.max_by("error_text", F.when(failed, F.col("source_file"))).alias("last_error"),
     )
     return left.crossJoin(done)

@@ -96,6 +96,81 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     assert (one.pending_files, one.files_done, one.failed_files, one.last_file) == (0, 2, 0, "two.json")
 
 
+def streamed(spark, tmp_path, **options):
+    products = spark.createDataFrame([("SKU-0001", "toys")], "sku string, category string")
+    customers = spark.createDataFrame([("CUST-00001",)], "customer_id string")
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    return landing, OrderStream(spark, str(tmp_path / "out"), products, customers, Contract(), AS_OF, **options)
+
+
+def test_failed_files_are_recorded_and_parked(spark, tmp_path):
+    landing, stream = streamed(spark, tmp_path, on_bad_line="fail_file")
+    write(landing, "bad.json", [json.dumps(BASE), "{not json", json.dumps(BASE | {"line_no": 2})])
+    (landing / "empty.json").write_text("")
+    write(landing, "good.json", [json.dumps(BASE | {"order_id": "ORD-9", "line_total": 40})])
+    stream.start(str(landing), str(tmp_path / "cp"), files_per_batch=10).awaitTermination()
+    ledger = {r.source_file: r for r in stream.read("ledger").collect()}
+    assert {k: (r.records_valid, r.records_invalid, r.status) for k, r in ledger.items()} == {
+        "bad.json": (0, 3, "FAILED"), "empty.json": (0, 0, "FAILED"), "good.json": (1, 0, "SUCCESS")
+    }
+    assert ledger["empty.json"].error_text == "<empty file>" and "can't be read" in ledger["bad.json"].error_text and ledger["good.json"].error_text is None
+    assert all(r.duration_ms >= 0 and r.started_at <= r.finished_at for r in ledger.values())
+    assert {r.reason for r in stream.read("rejects").collect()} == {"READER_FAILURE"}
+    item = stream.read("items").first()
+    assert (item.order_id, item.quality_status, float(item.line_total), float(item.line_total_fixed)) == ("ORD-9", "CLEANED", 40.0, 31.5)
+    parked = tmp_path / "out" / "parked"
+    assert (parked / "bad.json").read_bytes() == (landing / "bad.json").read_bytes() and (parked / "empty.json").read_bytes() == b""
+    assert not (parked / "good.json").exists()
+    one = stream.read("health").first()
+    assert (one.pending_files, one.files_done, one.failed_files, one.last_file, one.last_status, one.last_error) == (0, 3, 2, "good.json", "SUCCESS", "<empty file>")
+
+
+def test_a_replayed_file_keeps_its_status(spark, tmp_path):
+    landing, stream = streamed(spark, tmp_path)
+    write(landing, "a.json", [json.dumps(BASE)])
+    lines = files.read_lines(spark, str(landing))
+    stream.load(lines, 0)
+    stream.load(lines, 1)
+    assert [(r.records_valid, r.records_invalid, r.status) for r in stream.read("ledger").collect()] == [(0, 1, "FAILED")]
+    assert [(r.records_valid, r.records_invalid, r.status, r.loads) for r in stream.accumulated().collect()] == [(1, 1, "SUCCESS", 2)]
+
+
+def test_an_outage_loses_and_doubles_nothing(spark, tmp_path):
+    landing, stream = streamed(spark, tmp_path)
+    for n in range(3):
+        write(landing, f"f{n}.json", [json.dumps(BASE | {"order_id": f"ORD-{n}"}), json.dumps(BASE | {"order_id": f"ORD-{n}", "qty": 0})])
+    real, left = stream._write, [2]
+
+    def write_or_fail(name, df, load_no):
+        if name == "orders" and left[0]:
+            left[0] -= 1
+            raise OSError("the store is away")
+        real(name, df, load_no)
+
+    stream._write = write_or_fail
+    for _ in range(3):
+        try:
+            stream.start(str(landing), str(tmp_path / "cp")).awaitTermination()
+        except Exception:  # noqa: BLE001, S110
+            pass
+    assert not left[0] and sorted(r.order_id for r in stream.read("items").collect()) == ["ORD-0", "ORD-1", "ORD-2"]
+    assert stream.read("rejects").count() == 3 and stream.read("ledger").count() == 3
+
+
+def test_line_numbers_of_a_file_in_blocks(spark, tmp_path):
+    write(tmp_path, "long.json", ["" if i % 7 == 0 else json.dumps({"order_id": str(i)}) for i in range(1, 4001)])
+    write(tmp_path, "short.json", ['{"order_id": "1"}'])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = files.read_ndjson(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(int(r.order_id) for r in got if r.source_file == "long.json") == [i for i in range(1, 4001) if i % 7]
+    assert all(int(r.order_id) == r.source_line_no for r in got)
+
+
 def test_windowed_stream(spark, tmp_path):
     source = tmp_path / "ev"
     spark.createDataFrame([(0, 1), (30, 2), (70, 4)], "s int, v int").select(F.timestamp_seconds("s").alias("ts"), "v").write.parquet(str(source))
