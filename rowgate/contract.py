@@ -61,6 +61,31 @@ REASONS = (
 )
 
 
+#: The error codes of a data flow that have a text, and the texts.
+DATA_FLOW_ERRORS = {
+    -939524094: "The total number of outputs and error outputs is incorrect.",
+    -939524093: "Cannot retrieve output with the given index.",
+    -939524091: "The number of error outputs is incorrect.",
+    -939524090: "Incorrect validation status value. It must be one of the values found in the DTSValidationStatus enumeration.",
+    -939524089: "The input has no synchronous output.",
+    -939524088: "The input has no synchronous error output.",
+    -939524087: "The HowToProcessInput value is not valid. It must be one of the values from the HowToProcessInput enumeration.",
+    -939524086: "Failed to get information for the given row/column from the buffer.",
+    -939524085: "Failed to set information for the given row/column into the buffer.",
+    -939524084: "The property is not valid.",
+    -939524083: "The property was not found.",
+    -939524080: "Error assigning a value to a read-only property.",
+    -939524079: "The component does not allow the insertion of output columns.",
+    -939524078: "The output columns' metadata does not match the associated input columns' metadata. The output columns' metadata will be updated.",
+    -939524077: "There are input columns that do not have associated output columns. The output columns will be added.",
+    -939524076: "There are output columns that do not have associated input columns. The output columns will be removed.",
+    -939524075: "The output columns' metadata does not match the associated input columns' metadata. The input columns will be unmapped.",
+    -939524074: "There are input columns that do not have associated output columns. The input columns will be unmapped.",
+    -939524073: "An input column associated with an output column is already associated with another input column on the same input.",
+    -939524072: "The component does not allow the insertion of external metadata columns.",
+}
+
+
 @dataclass(frozen=True)
 class Limits:
     qty: tuple[int, int] = (1, 999)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowgate.contract import REASONS
@@ -15,22 +15,28 @@ from rowgate.operators.rollup import histogram
 RECORD = ("source_file", "order_id", "line_no")
 
 
-def paired(a: DataFrame, b: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
-    """Full outer join of two logs, columns suffixed ``_a`` and ``_b``, keys coalesced.
+def log(**sides: DataFrame) -> DataFrame:
+    """Reject logs of runs as one, each row with its ``side``."""
+    frames = [df.select(F.lit(name).alias("side"), *RECORD, "reason") for name, df in sides.items()]
+    return reduce(DataFrame.unionByName, frames)
 
-    Null keys pair with null keys, and the n-th row of a repeated key with the other side's n-th by ``order``.
-    """
 
-    def side(df: DataFrame, s: str) -> DataFrame:
-        ranked = rank_in_key(df, list(keys), order, "occurrence")
-        return ranked.select(*(F.col(c).alias(f"{c}_{s}") for c in ranked.columns), F.lit(True).alias(f"in_{s}"))
+def log_of(judged: DataFrame, sides: tuple[str, ...]) -> DataFrame:
+    """The log of runs that judged the same lines side by side (``reason_a`` and so on, null: clean), in one scan."""
+    found = [F.when(F.col(f"reason_{s}").isNotNull(), F.struct(F.lit(s).alias("side"), F.col(f"reason_{s}").alias("reason"))) for s in sides]
+    return judged.select(*RECORD, F.explode(F.array_compact(F.array(*found))).alias("r")).select("r.side", *RECORD, "r.reason")
+
 
-    left, right = side(a, "a"), side(b, "b")
-    every = [*keys, "occurrence"]
-    # null-safe by a value and a flag, so that Spark can join by hash
-    same = reduce(lambda x, y: x & y, (F.col(f"{k}_a").eqNullSafe(F.col(f"{k}_b")) for k in every))
-    joined = left.join(right, same, "full_outer")
-    return joined.withColumns({k: F.coalesce(f"{k}_a", f"{k}_b") for k in every}).drop(*(f"{k}_{s}" for k in every for s in "ab"))
+def paired(rows: DataFrame, keys: tuple[str, ...], values: list[str]) -> DataFrame:
+    """The sides ``a`` and ``b`` of a log beside each other: ``keys``, ``occurrence``, and each value suffixed ``_a`` and ``_b``.
+
+    Null keys pair with null keys, and the n-th row of a repeated key with the other side's n-th by the values. One deal by
+    the keys serves both the numbering and the pairing.
+    """
+    ranked = rank_in_key(rows.repartition(*keys), [*keys, "side"], values, "occurrence")
+    own = [F.any_value(F.when(F.col("side") == s, F.col(v)), True).alias(f"{v}_{s}") for v in values for s in "ab"]
+    has = [F.bool_or(F.col("side") == s).alias(f"in_{s}") for s in "ab"]
+    return ranked.groupBy(*keys, "occurrence").agg(*own, *has)
 
 
 def compare_files(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -61,32 +67,42 @@ def reason_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.withColumn("delta", F.col("n_a") - F.col("n_b"))
 
 
-def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row for each rejected record: the reasons of both sides, and same, only A, only B or different."""
-    both = paired(a.select(*RECORD, "reason"), b.select(*RECORD, "reason"), RECORD, ["reason"])
+def side_by_side(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
+    """One row for each rejected record: the reasons of both sides, and same, only A, only B or different.
+
+    ``a`` and ``b`` are reject logs; alone ``a`` is a ``log`` of both sides.
+    """
+    both = paired(a if b is None else log(a=a, b=b), RECORD, ["reason"])
     status = (
-        F.when(F.col("in_b").isNull(), "only in A")
-        .when(F.col("in_a").isNull(), "only in B")
+        F.when(~F.col("in_b"), "only in A")
+        .when(~F.col("in_a"), "only in B")
         .when(~F.col("reason_a").eqNullSafe(F.col("reason_b")), "different reason")
         .otherwise("same")
     )
     return both.select(*RECORD, "occurrence", "reason_a", "reason_b", status.alias("status"))
 
 
-def reject_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Records on which the runs disagree; none is a pass."""
+def reject_diff(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
+    """Records on which the sides disagree; none is a pass."""
     return side_by_side(a, b).filter(F.col("status") != "same")
 
 
-def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+def agreement(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
     """One row: decisions, agreeing ones, their percentage; 100 without decisions."""
     one = side_by_side(a, b).agg(F.count("*").alias("decisions"), F.count_if(F.col("status") == "same").alias("agreeing"))
     share = F.when(F.col("decisions") == 0, F.lit(100).cast("decimal(20,2)")).otherwise(percentage(F.col("agreeing"), F.col("decisions"), 2))
     return one.withColumn("agreement_pct", share)
 
 
-def disagreements_first(sides: DataFrame) -> DataFrame:
-    return sides.orderBy(F.col("status") == "same", "order_id", "line_no", "occurrence")
+def disagreements_first(sides: DataFrame, at: str | None = None) -> DataFrame:
+    """Disagreements, then the newest by ``at`` where the rows have it, then by record."""
+    newest = [F.desc(at)] if at else []
+    return sides.orderBy(F.col("status") == "same", *newest, "order_id", "line_no", "source_file", "occurrence")
+
+
+def by_delta(counts: DataFrame) -> DataFrame:
+    """The largest differences first."""
+    return counts.orderBy(F.abs("delta").desc(), "reason")
 
 
 def headline(decided: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -125,17 +141,37 @@ def diff_captures(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame
         return rows.filter(F.col("a") != F.col("b"))
 
     bars = F.concat_ws(":", "name", "label")
-    ab, ba = set_difference(a["sets"], b["sets"]), set_difference(b["sets"], a["sets"])
-    only = ab.select("name", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(ba.select("name", F.lit(0).alias("x"), F.lit(1).alias("y")))
-    counted = only.groupBy("name").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    sets = counted.select(F.lit("set").alias("part"), F.col("name").alias("item"), text("x").alias("a"), text("y").alias("b"))
+    sets = set_members(a["sets"], b["sets"]).filter("only_a + only_b > 0")
     return (
         values("scalar", a["scalars"], b["scalars"], F.col("measure"), "value")
         .unionByName(values("histogram", a["histograms"], b["histograms"], bars, "n"))
-        .unionByName(sets)
+        .unionByName(sets.select(F.lit("set").alias("part"), F.col("name").alias("item"), text("only_a").alias("a"), text("only_b").alias("b")))
     )
 
 
+def write_capture(capture_: dict[str, DataFrame], path: str) -> None:
+    """A capture to compare with later: a folder for each part."""
+    for part, df in capture_.items():
+        df.write.parquet(f"{path}/{part}")
+
+
+def read_capture(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {part: spark.read.parquet(f"{path}/{part}") for part in ("scalars", "histograms", "sets")}
+
+
+def set_members(a: DataFrame, b: DataFrame, samples: int = 5) -> DataFrame:
+    """For each ``name``: how many distinct members only A has, only B has, both have, and the first members that one lacks."""
+    sides = a.select("name", "member", F.lit(True).alias("a")).unionByName(b.select("name", "member", F.lit(False).alias("a")))
+    has = sides.groupBy("name", "member").agg(F.bool_or("a").alias("in_a"), F.bool_or(~F.col("a")).alias("in_b"))
+    only_a, only_b = F.col("in_a") & ~F.col("in_b"), F.col("in_b") & ~F.col("in_a")
+    counts = has.groupBy("name").agg(
+        F.count_if(only_a).alias("only_a"), F.count_if(only_b).alias("only_b"), F.count_if(F.col("in_a") & F.col("in_b")).alias("both")
+    )
+    first = rank_in_key(has.filter(only_a | only_b), ["name", "in_a"], ["member"], "n").filter(F.col("n") <= samples)
+    shown = [F.array_join(F.array_sort(F.collect_list(F.when(side, F.col("member")))), ",").alias(n) for side, n in ((only_a, "sample_a"), (only_b, "sample_b"))]
+    return counts.join(first.groupBy("name").agg(*shown), "name", "left").na.fill("", ["sample_a", "sample_b"])
+
+
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` that ``b`` lacks, null equal to null."""
     return a.subtract(b)
@@ -183,6 +219,14 @@ def conformance(items: DataFrame, rejects: DataFrame, alerts: DataFrame, orders:
     return reduce(DataFrame.unionByName, checks).withColumn("pass", F.col("violations") == 0)
 
 
+def replay_checks(loaded: DataFrame, again: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """Checks of a run that was fed once more: no line loads again, and every reject keeps its payload."""
+    keys = again.select("order_id", "line_no").join(loaded.select("order_id", "line_no"), ["order_id", "line_no"], "left_semi")
+    bare = quarantined.filter(F.coalesce(F.trim("raw_payload"), F.lit("")) == "")
+    checks = [df.agg(F.count("*").alias("violations")).withColumn("check_name", F.lit(n)) for n, df in (("replay_safe", keys), ("payload_kept", bare))]
+    return reduce(DataFrame.unionByName, checks).withColumn("pass", F.col("violations") == 0)
+
+
 def expected_vs_actual(rows: DataFrame, expected: str = "expected_reason", actual: str = "reason") -> DataFrame:
     """The confusion table of a run over rows of known outcome (null: clean)."""
     clean = F.lit("CLEAN")

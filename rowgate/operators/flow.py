@@ -218,6 +218,16 @@ def describe_codes(df: DataFrame, codes: DataFrame, column: str, name: str = "de
     return marked_lookup(df, codes.select("code", F.col("text").alias(name)), [(column, "code")], [name]).drop("__hit")
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """A reference that several lookups share; the caller unpersists it."""
+    return df.persist()
+
+
+def statement(sql: str, **tables: DataFrame) -> DataFrame:
+    """An SQL statement over frames that it names in braces."""
+    return next(iter(tables.values())).sparkSession.sql(sql, **tables)
+
+
 def accounted(source: DataFrame, outputs: dict[str, DataFrame]) -> DataFrame:
     """One row: rows in, rows in all outputs, and whether they are as many."""
     total = union_all(*(o.select(F.lit(1).alias("one")) for o in outputs.values())).agg(F.count("*").alias("rows_out"))

@@ -38,6 +38,51 @@ def seed(lines: DataFrame, percent: float, keys: list[str], random: int = 1) ->
     return out.withColumns(spoiled)
 
 
+#: More ways to the same reasons: fault, column, what it becomes (None: nothing is there), reason.
+VARIANTS = (
+    ("missing_field", "customer_id", None, "NULL_CRITICAL"),
+    ("missing_field", "sku", " ", "NULL_CRITICAL"),
+    ("missing_field", "order_ts", None, "NULL_CRITICAL"),
+    ("missing_field", "unit_price", "", "NULL_CRITICAL"),
+    ("wrong_type", "qty", "1 dozen", "PARSE_ERROR"),
+    ("wrong_type", "line_no", "first", "PARSE_ERROR"),
+    ("wrong_type", "unit_price", "free", "PARSE_ERROR"),
+    ("wrong_type", "order_ts", "soon", "PARSE_ERROR"),
+    ("bad_values", "qty", "0", "RANGE_VIOLATION"),
+    ("bad_values", "qty", "-4", "RANGE_VIOLATION"),
+    ("bad_values", "qty", "1000", "RANGE_VIOLATION"),
+    ("bad_values", "unit_price", "0.001", "RANGE_VIOLATION"),
+    ("unknown_sku", "sku", "SKU-none", "UNKNOWN_SKU"),
+    ("unknown_customer", "customer_id", "CUST-none", "UNKNOWN_CUSTOMER"),
+    ("late_timestamp", "order_ts", "1", "BAD_TIMESTAMP"),
+    ("late_timestamp", "order_ts", "9000000000000", "BAD_TIMESTAMP"),
+    ("unicode_currency", "currency", "₹", "BAD_CURRENCY"),
+    ("unicode_currency", "currency", None, "BAD_CURRENCY"),
+)
+
+
+def variants(lines: DataFrame, percent: float, keys: list[str], random: int = 1) -> DataFrame:
+    """As ``seed``, with one of ``VARIANTS`` for each spoiled line."""
+    hit = F.pmod(F.xxhash64(*keys, F.lit(random)), F.lit(1_000_000)) < int(percent * 10_000)
+    which = F.when(hit, F.pmod(F.xxhash64(*keys, F.lit(random + 1)), F.lit(len(VARIANTS))))
+    changed: dict[str, F.Column] = {}
+    for n, (_, column, becomes, _) in enumerate(VARIANTS):
+        value = F.lit(becomes).cast("string")
+        changed[column] = (changed[column] if column in changed else F).when(F.col("__v") == n, value)
+    named = {
+        name: F.when(F.col("__v").isNotNull(), F.element_at(F.array(*(F.lit(v[i]) for v in VARIANTS)), F.col("__v").cast("int") + 1))
+        for name, i in (("fault", 0), ("expected_reason", 3))
+    }
+    spoiled = {c: e.otherwise(F.col(c)) for c, e in changed.items()}
+    return lines.withColumn("__v", which).withColumns(named | spoiled).drop("__v")
+
+
+def replay(lines: DataFrame, percent: float, keys: list[str], random: int = 1) -> DataFrame:
+    """So many percent of the lines, to be fed once more, marked ``replayed``."""
+    hit = F.pmod(F.xxhash64(*keys, F.lit(random + 2)), F.lit(1_000_000)) < int(percent * 10_000)
+    return lines.filter(hit).withColumn("replayed", F.lit(True))
+
+
 def rebase(lines: DataFrame, shift_ms: int) -> DataFrame:
     """All order times moved by ``shift_ms``; what doesn't parse stays as it is."""
     moved = (F.col("order_ts").try_cast("bigint") + shift_ms).cast("string")

@@ -120,6 +120,15 @@ def reconcile(staged: DataFrame, clean: DataFrame, rejected: DataFrame, fact: Da
     return rows.withColumn("pass", F.col("source_count") == F.col("target_count"))
 
 
+def file_verdicts(lines: DataFrame, outcome: DataFrame, by: str = "source_file") -> DataFrame:
+    """For each file: lines read, loaded and rejected, and PASS if they add up."""
+    bad = F.col("reason").isNotNull()
+    done = outcome.groupBy(by).agg(F.count_if(~bad).alias("lines_clean"), F.count_if(bad).alias("lines_rejected"))
+    read = lines.groupBy(by).agg(F.count("*").alias("lines_in"))
+    both = read.join(done, by, "left").na.fill(0, ["lines_clean", "lines_rejected"])
+    return both.withColumn("verdict", F.when(F.col("lines_in") == F.col("lines_clean") + F.col("lines_rejected"), "PASS").otherwise("FAIL"))
+
+
 def job_ledger(per_file: DataFrame, listing: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
     """One row for each file, from its line counts; listed files without lines are FAILED, and so are those in ``failed``."""
     rows = per_file.select(

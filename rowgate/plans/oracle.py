@@ -57,6 +57,7 @@ _SIDES = """
    CASE WHEN b.reason IS NULL THEN 'only in A' WHEN a.reason IS NULL THEN 'only in B' WHEN a.reason <> b.reason THEN 'different reason' ELSE 'same' END AS status
   FROM a FULL JOIN b ON a.source_file = b.source_file AND a.order_id = b.order_id AND a.line_no = b.line_no AND a.occurrence = b.occurrence)"""
 _PCT = "CASE WHEN ({w}) = 0 THEN 0 ELSE round((100 * ({p}))::DECIMAL(20,4) / ({w}), {d}) END::DECIMAL(20,{d})"
+_LEDGER_STATUS = "CASE WHEN lines_clean = 0 THEN 'FAILED' WHEN lines_rejected = 0 THEN 'SUCCESS' WHEN 4 * lines_rejected > lines_in THEN 'PARTIAL' ELSE 'SUCCESS' END"
 _FACT = """
  goods AS (SELECT sku FROM products WHERE catalog_price > 905),
  fact AS (SELECT items.*, strftime(o_orderdate, '%Y%m%d')::INT AS date_key, (qty * up4 * 95 + 50) // 100 AS total4 FROM items SEMI JOIN goods ON items.sku = goods.sku)"""
@@ -196,6 +197,17 @@ SQL = {
   (SELECT count(*) FROM files) AS files, (SELECT count(*) FILTER (lines_clean = 0) FROM files) AS failed_files, (SELECT count(*) FILTER (source_count <> target_count) FROM checks) AS failed_checks,
   CASE WHEN (SELECT count(*) FILTER (source_count <> target_count) FROM checks) = 0 AND (SELECT count(*) FILTER (lines_clean = 0) FROM files) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM fact""",
     "latest_event": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "capture_diff": f"""{_BOTH},{_ALERTS},{_ALERTS.replace(" alerts AS", " alerts_b AS").replace("FROM items", "FROM items_b")},
+ d(measure, a, b) AS (SELECT x.measure, x.value, y.value FROM ({_headline('outcome')}) x JOIN ({_headline('outcome_b')}) y ON x.measure = y.measure),
+ ha AS (SELECT 'reasons:' || reason AS item, count(*) AS n FROM outcome WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'alerts:' || alert_type, count(*) FROM alerts GROUP BY 1),
+ hb AS (SELECT 'reasons:' || reason AS item, count(*) AS n FROM outcome_b WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'alerts:' || alert_type, count(*) FROM alerts_b GROUP BY 1),
+ sa AS (SELECT DISTINCT CASE WHEN reason IS NULL THEN 'loaded' ELSE 'rejected' END AS name, order_id || '#' || line_no AS member FROM outcome),
+ sb AS (SELECT DISTINCT CASE WHEN reason IS NULL THEN 'loaded' ELSE 'rejected' END AS name, order_id || '#' || line_no AS member FROM outcome_b),
+ s AS (SELECT coalesce(sa.name, sb.name) AS item, count(*) FILTER (sb.name IS NULL) AS a, count(*) FILTER (sa.name IS NULL) AS b
+  FROM sa FULL JOIN sb ON sa.name = sb.name AND sa.member = sb.member GROUP BY 1),
+ every AS (SELECT 'scalar' AS part, measure AS item, a, b FROM d
+  UNION ALL SELECT 'histogram', coalesce(ha.item, hb.item), coalesce(ha.n, 0), coalesce(hb.n, 0) FROM ha FULL JOIN hb ON ha.item = hb.item UNION ALL SELECT 'set', item, a, b FROM s)
+ SELECT part, item, a::DECIMAL(20,2)::VARCHAR AS a, b::DECIMAL(20,2)::VARCHAR AS b FROM every WHERE a <> b""",
     "conformance": f"""{_RUN} SELECT unnest(['reasons_declared', 'order_keys_unique', 'item_keys_unique', 'alert_severities', 'ledger_covers_orders', 'loaded_or_rejected']) AS check_name,
  unnest([0, 0, 0, 0, 0, (SELECT count(*) FROM items i JOIN outcome r ON r.reason <> 'DUP_KEY' AND i.order_id = r.order_id AND i.line_no = r.line_no AND i.sku = r.sku AND i.qty = r.qty AND i.up4 = r.up4)]) AS violations, true AS pass""",
 }

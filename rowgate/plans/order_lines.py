@@ -36,6 +36,18 @@ def with_references(lines: DataFrame, products: DataFrame, customers: DataFrame)
 def decide(lines: DataFrame, products: DataFrame, customers: DataFrame, contract: Contract, as_of_ms: int, strict: Column | None = None) -> DataFrame:
     """Every raw line with its first reason, or null; lines that are no records count as PARSE_ERROR."""
     known = with_references(typed(lines), products, customers)
+    return ladder(known, _rules(lines, contract, as_of_ms, strict))
+
+
+def decide_each(lines: DataFrame, products: DataFrame, customers: DataFrame, contracts: dict[str, Contract], as_of_ms: int) -> DataFrame:
+    """Every raw line under several contracts, in one scan: ``reason_`` and the contract's name."""
+    known = with_references(typed(lines), products, customers)
+    for name, contract in contracts.items():
+        known = ladder(known, _rules(lines, contract, as_of_ms, None)).withColumnRenamed("reason", f"reason_{name}").drop("detail")
+    return known
+
+
+def _rules(lines: DataFrame, contract: Contract, as_of_ms: int, strict: Column | None) -> list[Rule]:
     rules = order_rules(contract, as_of_ms, F.col("known_sku"), F.col("known_customer"), strict)
     if "parse_status" in lines.columns:
         unread = [
@@ -43,7 +55,7 @@ def decide(lines: DataFrame, products: DataFrame, customers: DataFrame, contract
             Rule("PARSE_ERROR", F.col("parse_status") == "PARSE_ERROR", F.col("parse_error")),
         ]
         rules = unread + rules
-    return ladder(known, rules)
+    return rules
 
 
 def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None = None) -> DataFrame:

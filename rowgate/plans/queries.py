@@ -10,7 +10,8 @@ from rowgate.functions import scalar as S
 from rowgate.functions.types import convert
 from rowgate.operators import compare, flow, ladder, rollup, seedfaults, warehouse
 from rowgate.sources.files import stamp
-from rowgate.plans.order_lines import decide, process
+from rowgate.plans.order_lines import decide, decide_each, outcomes, process, split
+from rowgate.sources.scratch import scratch_path, staged
 
 AS_OF_MS = 892_771_200_000  # 1998-04-17
 CONTRACT = Contract(
@@ -73,12 +74,24 @@ def batch(spark: SparkSession, sf_dir: str, contract: Contract = CONTRACT, loade
     return process(order_lines(spark, sf_dir), products(spark, sf_dir), customers(spark, sf_dir), contract, AS_OF_MS, loaded, TOTAL_ORDER)
 
 
+def kept(spark: SparkSession, sf_dir: str, contract: Contract = CONTRACT):
+    """A batch whose outputs are read more than once: its outcomes are written, and every output is a filter of them."""
+    judged = decided(spark, sf_dir, contract)
+    return split(staged(outcomes(judged, TOTAL_ORDER)), contract)
+
+
 #: A second run with other limits, to compare with.
 OTHER = Contract(limits=Limits(window_days=900, currencies=("INR", "EUR", "GBP")), alerts=CONTRACT.alerts)
 
 
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return ladder.rejected(decided(spark, sf_dir)), ladder.rejected(decided(spark, sf_dir, OTHER))
+def run_of(spark: SparkSession, sf_dir: str, **contracts: Contract) -> DataFrame:
+    """The lines under several contracts, in one scan."""
+    return decide_each(order_lines(spark, sf_dir), products(spark, sf_dir), customers(spark, sf_dir), contracts, AS_OF_MS)
+
+
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reject log of two runs."""
+    return compare.log_of(run_of(spark, sf_dir, a=CONTRACT, b=OTHER), ("a", "b"))
 
 
 # --- queries -------------------------------------------------------------------------------------------------------
@@ -232,8 +245,8 @@ def dim_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warehouse.dim_date(spark, f"{bounds[0].year}-01-01", f"{bounds[1].year}-12-31")
 
 
-def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items = batch(spark, sf_dir).items
+def _star(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    items = batch(spark, sf_dir).items if items is None else items
     email = F.concat(F.lower("customer_id"), F.lit("@example.org"))
     clean = items.select(
         flow.composite_key("order_id", "line_no").alias("order_line_id"),
@@ -262,8 +275,8 @@ def surrogate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = batch(spark, sf_dir)
-    clean, fact = _star(spark, sf_dir)
+    run = kept(spark, sf_dir)
+    clean, fact = _star(spark, sf_dir, run.items)
     return warehouse.reconcile(order_lines(spark, sf_dir).select("order_id"), clean, run.rejects, fact)
 
 
@@ -299,36 +312,39 @@ def compare_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reason_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.reason_counts(*sides(spark, sf_dir))
+    both = sides(spark, sf_dir)
+    return compare.reason_counts(both.filter("side = 'a'"), both.filter("side = 'b'"))
 
 
 def reject_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.reject_diff(*sides(spark, sf_dir)).groupBy("status", "reason_a", "reason_b").agg(F.count("*").alias("n"))
+    return compare.reject_diff(sides(spark, sf_dir)).groupBy("status", "reason_a", "reason_b").agg(F.count("*").alias("n"))
 
 
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.side_by_side(*sides(spark, sf_dir))
+    return compare.side_by_side(sides(spark, sf_dir))
 
 
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.agreement(*sides(spark, sf_dir))
+    return compare.agreement(sides(spark, sf_dir))
 
 
 def unified_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = sides(spark, sf_dir)
-    return compare.unified_rejects(a=a, b=b).groupBy("engine", "source_file").agg(F.count("*").alias("n"))
+    both = sides(spark, sf_dir)
+    return compare.unified_rejects(a=both.filter("side = 'a'"), b=both.filter("side = 'b'")).groupBy("engine", "source_file").agg(F.count("*").alias("n"))
 
 
 def capture_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = []
     for contract in (CONTRACT, OTHER):
-        run = batch(spark, sf_dir, contract)
-        captures.append(compare.capture(run.decided, run.alerts))
+        run = kept(spark, sf_dir, contract)
+        path = scratch_path(spark)
+        compare.write_capture(compare.capture(run.decided, run.alerts), path)
+        captures.append(compare.read_capture(spark, path))
     return compare.diff_captures(*captures)
 
 
 def conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = batch(spark, sf_dir)
+    run = kept(spark, sf_dir)
     severities = {a.name: a.severity for a in CONTRACT.alerts}
     return compare.conformance(run.items, run.rejects, run.alerts, run.orders, warehouse.job_ledger(_ledger(spark, sf_dir)), severities)
 
@@ -343,7 +359,7 @@ def fault_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accounted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = batch(spark, sf_dir)
+    run = kept(spark, sf_dir)
     return flow.accounted(order_lines(spark, sf_dir), {"items": run.items, "rejects": run.rejects})
 
 
@@ -384,7 +400,7 @@ def orders_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = batch(spark, sf_dir)
+    run = kept(spark, sf_dir)
     return run.orders.agg(
         F.count("*").alias("orders"), F.sum("order_total").cast("decimal(18,2)").alias("revenue"), F.sum("item_count").cast("bigint").alias("units"), F.max("order_ts").alias("last_order_ms")
     ).crossJoin(run.rejects.agg(F.count("*").alias("rejects"))).crossJoin(run.alerts.agg(F.count("*").alias("alerts")))
@@ -473,8 +489,9 @@ def newest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean, fact = _star(spark, sf_dir)
-    run = batch(spark, sf_dir)
+    run = kept(spark, sf_dir)
+    clean, fact = _star(spark, sf_dir, run.items)
+    fact = staged(fact)
     checks = warehouse.reconcile(order_lines(spark, sf_dir).select("order_id"), clean, run.rejects, fact)
     people = scd2_customer(spark, sf_dir)
     return warehouse.run_summary(run.decided, fact, people, products(spark, sf_dir), warehouse.job_ledger(_ledger(spark, sf_dir)), checks)

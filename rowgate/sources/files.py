@@ -102,8 +102,10 @@ def read_delimited(
         texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
         rows = rows.withColumns({c: F.translate(c, "".join(_C1), "".join(_C1.values())) for c in texts})
     names = [n for n, _ in columns]
-    good = rows.filter(F.col("_corrupt_record").isNull()).select(*names)
-    return good, rows.filter(F.col("_corrupt_record").isNotNull())
+    # a row is malformed by any of its columns, so each is read whatever is asked for; the length is always 0 or more
+    whole = F.length(F.concat_ws("", *(F.col(n).cast("string") for n in names))) >= 0
+    good = rows.filter(whole & F.col("_corrupt_record").isNull()).select(*names)
+    return good, rows.filter(whole & F.col("_corrupt_record").isNotNull())
 
 
 def split_columns(lines: DataFrame, columns: list[tuple[str, str]], line: str = "value") -> DataFrame:

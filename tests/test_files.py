@@ -25,6 +25,7 @@ def test_delimited(spark, tmp_path):
     (tmp_path / "r.txt").write_bytes("1.5\tGBP\tcaf\u20ac\r\nx\tEUR\tb\r\n".encode("windows-1252"))
     good, bad = files.read_delimited(spark, str(tmp_path / "r.txt"), [("rate", "double"), ("code", "string"), ("name", "string")], "\t", encoding="windows-1252", row_end="\r\n")
     assert [tuple(r) for r in good.collect()] == [(1.5, "GBP", "caf\u20ac")] and [r._corrupt_record for r in bad.collect()] == ["x\tEUR\tb"]
+    assert (good.select("code").count(), bad.count()) == (1, 1)
     lines = spark.createDataFrame([("a;b|c",)], "value string")
     assert tuple(files.split_columns(lines, [("x", ";"), ("y", "|"), ("z", "\n")]).first()) == ("a", "b", "c")
 

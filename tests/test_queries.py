@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rowgate.plans import oracle, queries
+from rowgate.plans import file_oracle, file_queries, oracle, queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -34,10 +34,13 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+SQL = oracle.SQL | file_oracle.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, duck, name):
-    df = {f.__name__: f for f in queries.QUERIES}[name](spark, DATA)
-    want = duck.execute(oracle.SQL[name])
+    df = {f.__name__: f for f in queries.QUERIES + file_queries.QUERIES}[name](spark, DATA)
+    want = duck.execute(SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(df.columns)
     expected = sorted((tuple(value(x) for x in r) for r in want.fetchall()), key=str)
