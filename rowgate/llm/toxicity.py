@@ -28,23 +28,30 @@ _QUOTES = re.compile(r"[\"“”«»„]")
 REPORTING = frozenset(
     "said says quoted quote quotes wrote called reported alleged dit écrit cité sagte schrieb zitat dijo escribió cita".split()
 )
-#: Shorter entries must match exactly.
-FUZZY_FROM = 5
+#: Shorter entries must match exactly, those from the second length on may have two edits, the others one.
+FUZZY_FROM, TWICE_FROM = 5, 10
+
+
+def edits_of(entry: str) -> int:
+    """How many edits an entry may be away."""
+    return (len(entry) >= FUZZY_FROM) + (len(entry) >= TWICE_FROM)
 
 
 class Matcher:
-    """Product of a trie and the automaton of at most one edit (change, loss, insertion, swap of neighbours).
+    """Product of a trie and the automaton of the edits (change, loss, insertion, swap of neighbours) that its entries may have.
 
-    A state is a set of (trie node, edits left, the letter a swap still owes). Determinised states and
-    their transitions are made when a word first needs them.
+    A state is a set of (trie node, edits so far, the letter a swap still owes); a branch is left when none of the entries
+    below may have so many. Determinised states and their transitions are made when a word first needs them.
     """
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
         self.child: list[dict[str, int]] = [{}]
-        self.entry: list[tuple[float, bool, bool] | None] = [None]  # weight, stem, may be misspelled
+        self.entry: list[tuple[float, bool, int] | None] = [None]  # weight, stem, edits it may have
+        self.most = [0]  # edits that any entry at or below may have
         for table, stem in ((words, False), (stems, True)):
             for text, weight in table.items():
-                at = 0
+                at, may = 0, edits_of(text)
+                self.most[0] = max(self.most[0], may)
                 for c in text:
                     nxt = self.child[at].get(c)
                     if nxt is None:
@@ -52,20 +59,31 @@ class Matcher:
                         self.child[at][c] = nxt
                         self.child.append({})
                         self.entry.append(None)
+                        self.most.append(0)
                     at = nxt
-                self.entry[at] = (weight, stem, len(text) >= FUZZY_FROM)
+                    self.most[at] = max(self.most[at], may)
+                self.entry[at] = (weight, stem, may)
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.start = self._state(self._close({(0, 1, "")}))
+        self.start = self._state(self._close({(0, 0, "")}))
 
     def _close(self, states: set[tuple[int, int, str]]) -> frozenset:
-        """With the letters of the lexicon that the text may have lost."""
-        out = set(states)
-        for node, edits, owes in states:
-            if edits and not owes:
-                out.update((n, 0, "") for n in self.child[node].values())
-        return frozenset(out)
+        """With the letters of the lexicon that the text may have lost; of a node's states that owe nothing the one of fewest edits."""
+        out, new = set(states), list(states)
+        while new:
+            node, edits, owes = new.pop()
+            if owes:
+                continue
+            for n in self.child[node].values():
+                if edits < self.most[n] and (n, edits + 1, "") not in out:
+                    out.add((n, edits + 1, ""))
+                    new.append((n, edits + 1, ""))
+        fewest: dict[int, int] = {}
+        for node, edits, owes in out:
+            if not owes:
+                fewest[node] = min(edits, fewest.get(node, edits))
+        return frozenset(x for x in out if x[2] or fewest[x[0]] == x[1])
 
     def _state(self, members: frozenset) -> int:
         found = self.states.get(members)
@@ -80,27 +98,28 @@ class Matcher:
         for node, edits, owes in self.sets[state]:
             if owes:
                 if owes == c:
-                    out.add((node, 0, ""))
+                    out.add((node, edits, ""))
                 continue
             entry = self.entry[node]
-            if entry is not None and entry[1]:  # a stem takes any ending
+            if entry is not None and entry[1] and edits <= entry[2]:  # a stem takes any ending
                 out.add((node, edits, ""))
             nxt = self.child[node].get(c)
-            if nxt is not None:
+            if nxt is not None and edits <= self.most[nxt]:
                 out.add((nxt, edits, ""))
-            if edits:
-                out.add((node, 0, ""))
+            if edits < self.most[node]:
+                out.add((node, edits + 1, ""))
                 for first, n in self.child[node].items():
-                    if first != c:
-                        out.add((n, 0, ""))
-                        swapped = self.child[n].get(c)
-                        if swapped is not None:
-                            out.add((swapped, 0, first))
+                    if first == c or edits >= self.most[n]:
+                        continue
+                    out.add((n, edits + 1, ""))
+                    swapped = self.child[n].get(c)
+                    if swapped is not None and edits < self.most[swapped]:
+                        out.add((swapped, edits + 1, first))
         found = self.moves[state][c] = self._state(self._close(out))
         return found
 
     def match(self, word: str) -> tuple[float, bool] | None:
-        """(weight, exact) of the best entry that the word is or is one edit away from."""
+        """(weight, exact) of the best entry that the word is, or is as few edits away from as that may have. Each edit halves what it weighs after the first."""
         state = self.start
         for c in word:
             known = self.moves[state].get(c)
@@ -110,8 +129,8 @@ class Matcher:
         best = None
         for node, edits, owes in self.sets[state]:
             entry = self.entry[node]
-            if entry is not None and not owes and (edits or entry[2]):
-                best = max(best or (0.0, False), (entry[0], bool(edits)), key=lambda x: (x[1], x[0]))
+            if entry is not None and not owes and edits <= entry[2]:
+                best = max(best or (0.0, False), (entry[0] / max(1, edits), not edits), key=lambda x: (x[1], x[0]))
         return best
 
 

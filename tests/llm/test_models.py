@@ -92,6 +92,19 @@ def test_automaton_against_distances():
             assert got[1] == (word in lexicon)
 
 
+def test_long_entries_may_have_two_edits():
+    rng = random.Random(5)
+    lexicon = {"".join(rng.choices("ab", k=n)): 1.0 for n in (4, 6, 8, 9, 9, 10, 11)}
+    matcher = toxicity.Matcher(lexicon, {})
+    found = 0
+    for _ in range(4000):
+        word = "".join(rng.choices("abc", weights=(5, 5, 1), k=rng.randint(3, 13)))
+        want = any(edits(word, w) <= toxicity.edits_of(w) for w in lexicon)
+        assert (matcher.match(word) is not None) == want, word
+        found += want
+    assert 100 < found < 3900
+
+
 def test_stems_take_any_ending():
     matcher = toxicity.Matcher({}, {"stump": 2.0, "vek": 1.0})
     assert matcher.match("stumping") == (2.0, True) and matcher.match("stmup") == (2.0, False) and matcher.match("sturping") == (2.0, False)
