@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than space and the controls tab to carriage return.
@@ -76,6 +76,21 @@ def joined_by_count(rows: DataFrame, counted: DataFrame, keys: list[str], n: str
     return rows.join(F.broadcast(hot), keys).unionByName(cold.join(counted, keys))
 
 
+def running_sums(df: DataFrame, by: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with the sums over all rows before each one in the order ``by``, which no two rows share.
+
+    Rows are summed within range partitions; only the partitions' totals, a row each, are summed in one place.
+    """
+    cut = stored(df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()))
+    own = Window.partitionBy("_p").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("_p").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    offsets = stored(totals.select("_p", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums)))
+    local = cut.withColumns({n: F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()})
+    joined = local.join(F.broadcast(offsets), "_p")
+    return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_p", *(f"_{n}" for n in sums))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The texts of an Arrow string column as UTF-8."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

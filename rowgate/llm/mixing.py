@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import WORD, stored
+from rowgate.llm.common import WORD, running_sums, stored
 
 WEIGHTS = (3, 1, 2)
 #: The mix's size as a part of all sizes, and the most a source or document is repeated.
@@ -21,24 +21,21 @@ def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TO
     level is found by ranking sources by the level at which they are full. Sources
     without words have target and rate 0.
     """
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    at = F.pmod(F.row_number().over(ordered) - 1, F.lit(len(weights)))
-    sizes = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), at.cast("int") + 1).cast("double"))
+    source = F.col("source").asc_nulls_last()
+    sizes = stored(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sizes = running_sums(sizes, [source], {"at": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod("at", F.lit(len(weights))).cast("int") + 1).cast("double")
+    sizes = sizes.withColumn("weight", weight).drop("at")
     sizes = sizes.withColumn("full_at", F.lit(most) * F.col("source_size") / F.col("weight"))
-    everything = Window.partitionBy()
-    before = Window.orderBy("full_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        sizes.withColumn("budget", F.lit(total) * F.sum("source_size").over(everything))
-        .withColumn("spent", F.coalesce(F.sum(F.lit(most) * F.col("source_size")).over(before), F.lit(0.0)))
-        .withColumn("left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("budget") - F.col("spent")) / F.col("left"))
-    )
+    spent = {"spent": F.lit(most) * F.col("source_size"), "weighed": F.col("weight")}
+    sizes = stored(running_sums(sizes, [F.col("full_at").asc(), source], spent))
+    whole = sizes.agg((F.lit(total) * F.sum("source_size")).alias("budget"), F.sum("weight").alias("weights"))
+    levelled = sizes.crossJoin(whole).withColumn("level", (F.col("budget") - F.col("spent")) / (F.col("weights") - F.col("weighed")))
     # the first source, in the order of filling, that is not full at its level fixes the level of all
-    level = F.min(F.when(F.col("level") < F.col("full_at"), F.struct("full_at", "level"))).over(everything)["level"]
+    first = levelled.agg(F.min(F.when(F.col("level") < F.col("full_at"), F.struct("full_at", "level"))).alias("first"))
     cap = F.lit(most) * F.col("source_size")
-    target = F.coalesce(F.least(cap, F.col("weight") * level), cap)
-    return sizes.select("source", "source_size", target.alias("target")).withColumn(
+    target = F.coalesce(F.least(cap, F.col("weight") * F.col("first.level")), cap)
+    return sizes.crossJoin(first).select("source", "source_size", target.alias("target")).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     )
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ HASHED = 192
 HIDDEN = 24
 #: Labelled rows of each class that the fit takes at most, by a hash of their ids.
 SAMPLE = 2000
+#: Bytes of text of a class that go to the driver.
+SAMPLE_BYTES = 128 << 20
 _CLASSES = (b"A-Z", b"a-z", b"0-9", b" ", b"\t\r\n", b".", b",", b"!", b"?", b"%", b"*", b"#", b"$", b"&", b"|", b"<>", b"{}[]()", b"@", b"/\\", b":;", b"=+", b"_-", b"\"'`^~")
 
 
@@ -189,7 +191,7 @@ class Network:
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> list[tuple[str, int]]:
     """Texts and labels of at most ``most`` labelled rows of each class, chosen by a hash of their ids.
 
-    The chosen ids, at most twice ``most`` rows, are broadcast; rows of ``docs`` with one id are all taken, up to the same number again.
+    Of each class they stop with the text that reaches ``SAMPLE_BYTES``. The chosen ids, at most twice ``most`` rows, are broadcast; rows of ``docs`` with one id are all taken, up to the same number again.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("int").alias("y"))
     own = own.filter(learn & F.col("y").isin(0, 1)).groupBy("label_id").agg(F.max("y").alias("y"))
@@ -197,6 +199,10 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     chosen = own.filter("y = 0").orderBy(mixed).limit(most).unionByName(own.filter("y = 1").orderBy(mixed).limit(most))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     one = rows.groupBy("label_id").agg(F.min(F.struct("text", "y")).alias("r")).select("label_id", "r.text", "r.y")
+    held = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(
+        Window.partitionBy("y").orderBy(mixed, "label_id").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    one = one.withColumn("held", held).filter(F.coalesce("held", F.lit(0)) < SAMPLE_BYTES)
     return [(r["text"], r["y"]) for r in sorted(one.collect(), key=lambda r: r["label_id"])]
 
 
