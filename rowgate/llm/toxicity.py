@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -221,14 +222,18 @@ class Model:
         hits = own & self.found.keys()
         if not hits:
             return out
-        spans = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(lowered)]
-        at = [i for i, s in enumerate(spans) if s[2] in hits]
+        starts, ends, at = array("q"), array("q"), []
+        for i, m in enumerate(_TOKEN.finditer(lowered)):
+            starts.append(m.start())
+            ends.append(m.end())
+            if m[0] in hits:
+                at.append(i)
         exact = fuzzy = quoted = crowd = strongest = 0.0
         for k, i in enumerate(at):
-            weight, is_exact = self.found[spans[i][2]]
-            lo, hi = max(0, i - WINDOW), min(len(spans) - 1, i + WINDOW)
-            before, after = lowered[spans[lo][0] : spans[i][0]], lowered[spans[i][1] : spans[hi][1]]
-            reported = any(spans[j][2] in REPORTING for j in range(lo, i))
+            weight, is_exact = self.found[lowered[starts[i] : ends[i]]]
+            lo, hi = max(0, i - WINDOW), min(len(starts) - 1, i + WINDOW)
+            before, after = lowered[starts[lo] : starts[i]], lowered[ends[i] : ends[hi]]
+            reported = any(lowered[starts[j] : ends[j]] in REPORTING for j in range(lo, i))
             quotes = (len(_QUOTES.findall(before)) % 2 == 1 and bool(_QUOTES.search(after))) or reported
             quoted += weight * quotes
             weight *= 0.3 if quotes else 1.0
@@ -247,7 +252,7 @@ class Model:
             math.log1p(quoted),
             math.log1p(crowd),
             strongest / 10,
-            math.log1p(100 * len(at) / len(spans)),
+            math.log1p(100 * len(at) / len(starts)),
         )
         return out
 

@@ -136,6 +136,18 @@ def test_toxicity_learns_words_stems_and_context(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_odd_texts(spark):
+    model = toxicity.Model({"nastyword": 5.0}, {"vil": 3.0}).fit([("you nastyword", 1), ("a vilest thing", 1), ("fine words", 0), ("good day", 0)])
+    rows = [(1, None), (2, ""), (3, "!?"), (4, "plain " * 300_000), (5, "plain nastyword " * 150_000), (6, "you nastyword"), (6, "you nastyword"), (None, "n" * 500_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS toxic_score", "2 AS label_id")
+    got = [(r.doc_id, r.toxic_score) for r in toxicity.score(df, model).collect()]
+    assert len(got) == len(rows) and all(0 <= s <= 1 for _, s in got)
+    by = {}
+    for d, s in got:
+        by.setdefault(d, set()).add(s)
+    assert all(len(s) == 1 for s in by.values()) and by[1] == by[2] == by[3] == by[4] and min(by[5] | by[6]) > max(by[1])
+
+
 # --- urls ---
 
 
