@@ -27,6 +27,8 @@ from rowgate.llm.graph import components
 RADIUS = 3
 #: Bit ranges of the blocks; radius 3 leaves two of them untouched.
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
+#: Shingles of the texts of a tile, some 8 MB.
+TILE_SHINGLES = 1 << 20
 #: Rows of a candidate key that are compared in one task at once are at most twice this.
 TILE = 4096
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -192,6 +194,18 @@ def _large_group(g: np.ndarray, first: int, radii: tuple[int, ...]) -> Iterator[
                         yield first + at + q, first + j
 
 
+def _shared_bits(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """For rows of ``values`` (row i has those from edge[i] to edge[i + 1]) a bit for each value that several rows have."""
+    _, kind, count = np.unique(values, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    several = count[kind] > 1
+    number = np.cumsum(count > 1) - 1
+    column, row = number[kind[several]], row[several]
+    bits = np.zeros((len(edge) - 1, -(-int((count > 1).sum()) // 64)), np.uint64)
+    np.bitwise_or.at(bits, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    return bits
+
+
 def cross_links(
     fps: np.ndarray, edges: np.ndarray, root: np.ndarray, deal: np.ndarray, radius: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -212,6 +226,35 @@ def cross_links(
                 yield i + at, j + at
 
 
+def verified_links(
+    fps: np.ndarray, edges: np.ndarray, root: np.ndarray, deal: np.ndarray, radius: int, values: np.ndarray, begin: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of the ``cross_links`` of each group whose sets have a similarity of ``SIMILARITY``, as many as it takes to join them.
+
+    Row i's set is the ``values`` from begin[i] to begin[i + 1]. Common values are counted on bit rows of what several rows have.
+    """
+    size = np.diff(begin)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        bits, label = None, root[lo:hi].copy()
+        for i, j in cross_links(fps[lo:hi], np.array([0, hi - lo]), root[lo:hi], deal[lo:hi], radius):
+            if bits is None:
+                bits = _shared_bits(values[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo])
+            step = max(1, (1 << 21) // max(1, bits.shape[1]))
+            for at in range(0, len(i), step):
+                a, b = i[at : at + step], j[at : at + step]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                common = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64)
+                alike = common >= SIMILARITY * (size[lo + a] + size[lo + b] - common)
+                alike |= size[lo + a] + size[lo + b] == 0
+                a, b = a[alike], b[alike]
+                while len(a):
+                    yield a[:1] + lo, b[:1] + lo
+                    label[label == label[b[0]]] = label[a[0]]
+                    apart = label[a] != label[b]
+                    a, b = a[apart], b[apart]
+
+
 def _compared(keyed: DataFrame, radii: tuple[int, ...], tile: int) -> DataFrame:
     """Links ``a``, ``b`` between the ``node``s (with ``fp``, binary) that share ``t``, ``key`` and are within the last radius.
 
@@ -230,23 +273,43 @@ def _compared(keyed: DataFrame, radii: tuple[int, ...], tile: int) -> DataFrame:
     return _dealt(keyed, ["fp"], pairs)
 
 
-def _unlinked(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
-    """All ``a``, ``b`` that share ``t``, ``key``, are within the radius and have different ``root``s.
+def _unlinked(keyed: DataFrame, radius: int, tile: int, sets: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` that join all that share ``t``, ``key``, are within the radius, have different ``root``s and are alike.
 
-    Keys whose nodes all have one root are left out.
+    ``sets`` has the ``shingles`` of the nodes. No task holds more than two tiles of nodes, or of ``TILE_SHINGLES``.
     """
-    mixed = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    keyed = keyed.join(mixed.filter("lo <> hi").drop("lo", "hi"), ["t", "key"]).withColumn(
-        "tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    )
+    sized = keyed.join(sets.select("node", F.size("shingles").alias("own")), "node")
+    mixed = sized.groupBy("t", "key").agg(F.count("*").alias("n"), F.sum("own").alias("held"))
+    tiles = F.greatest(F.ceil(F.col("n") / F.lit(tile)), F.ceil(F.col("held") / F.lit(TILE_SHINGLES)), F.lit(1)).cast("int")
+    keyed = keyed.join(mixed.select("t", "key", tiles.alias("tiles")), ["t", "key"])
 
     def pairs(rows: pa.Table, fps: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        yield from cross_links(fps, edges, rows.column("root").to_numpy(), rows.column("deal").to_numpy(), radius)
+        shingles = rows.column("shingles").combine_chunks()
+        begin = shingles.offsets.to_numpy().astype(np.int64)
+        root, deal = rows.column("root").to_numpy(), rows.column("deal").to_numpy()
+        yield from verified_links(fps, edges, root, deal, radius, shingles.values.to_numpy(), begin)
 
-    return _dealt(keyed, ["fp", "root"], pairs)
+    return _dealt(keyed.join(sets, "node"), ["fp", "root", "shingles"], pairs, 1024)
 
 
-def _dealt(keyed: DataFrame, columns: list[str], pairs) -> DataFrame:
+def _apart(keyed: DataFrame) -> DataFrame:
+    """The rows of those keys whose nodes have several ``root``s."""
+    several = keyed.groupBy("t", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    return keyed.join(several.select("t", "key"), ["t", "key"])
+
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``node``, ``shingles``: the distinct shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in slices(b)):
+            found = [np.unique(shingle_hashes(x, words)).view(np.int64) for x in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+def _dealt(keyed: DataFrame, columns: list[str], pairs, at_least: int = 16_384) -> DataFrame:
     """``pairs`` of the nodes of each cell: two tiles of a key, or one (then ``deal`` is negative)."""
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
     cells = F.transform(
@@ -260,7 +323,7 @@ def _dealt(keyed: DataFrame, columns: list[str], pairs) -> DataFrame:
     keyed = keyed.select("t", "key", "node", *columns, "c.cell", "c.deal")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs((x for b in batches for x in slices(b, 4096)), ["t", "key", "cell"], 16_384):
+        for rows in runs((x for b in batches for x in slices(b, min(4096, at_least))), ["t", "key", "cell"], at_least):
             part, key, cell, node = (rows.column(c).to_numpy() for c in ("t", "key", "cell", "node"))
             cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (cell[1:] != cell[:-1])) + 1
             edges = np.concatenate(([0], cut, [len(node)]))
@@ -356,8 +419,7 @@ def wide_sketch(text: bytes | None, words: int) -> tuple[bytes, list[int]]:
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The candidate links whose texts have a shingle similarity of ``SIMILARITY`` or more, by the shingle sets themselves."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.join(nodes.join(ends, "node").select("node", F.col("first.row").alias("row")), "row").select("node", "text")
-    texts = stored(texts.dropDuplicates(["node"]))
+    texts = _texts(ends, nodes, docs)
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,6 +434,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -
     return both.mapInArrow(run, "a long, b long")
 
 
+def _texts(some: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node``, ``text`` of some nodes."""
+    texts = docs.join(nodes.join(some, "node").select("node", F.col("first.row").alias("row")), "row").select("node", "text")
+    return stored(texts.dropDuplicates(["node"]))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -402,9 +470,10 @@ def _rooted(docs: DataFrame, words: int) -> DataFrame:
     linked = stored(_verified(pairs, nodes, own, words))
     roots = components(linked)
     # a link that failed may have kept another from being compared: now all that no verified links join
-    rooted = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node")))
-    rest = stored(_ordered(_unlinked(rooted, FAR, TILE // 4)).join(pairs, ["a", "b"], "left_anti"))
-    roots = components(linked.unionByName(_verified(rest, nodes, own, words)))
+    rooted = _apart(keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node"))))
+    rooted = stored(rooted)
+    sets = stored(_shingle_sets(_texts(rooted.select("node").distinct(), nodes, own), words))
+    roots = components(linked.unionByName(_unlinked(rooted, FAR, TILE // 4, sets)))
     return marked.select("first", "node").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
 
 
@@ -412,8 +481,8 @@ def wide_groups(docs: DataFrame, words: int = 5) -> DataFrame:
     """``doc_id``, ``component_id`` for each row of ``docs``: groups of documents linked by a shingle similarity of 0.8 or more.
 
     In every candidate block the closest fingerprints are linked first, as long as a link connects anything new, and the
-    links are verified by their shingle sets. Then every other candidate pair is verified whose ends no verified links
-    join. Null and wordless texts are one group. A null doc_id is a document like another, without a say in names.
+    links are verified by their shingle sets. Then, in blocks that these don't join, every pair is verified where it
+    meets, and what joins anything is a link. Null and wordless texts are one group. A null doc_id is a document like another, without a say in names.
     Of rows with one doc_id and several texts each is a document.
     """
     rooted = stored(_rooted(docs, words))

@@ -132,6 +132,38 @@ def test_stage_verifies_what_failed_links_hid(spark):
     assert [got[i] for i in range(len(texts))] == groups(pairs, len(texts))
 
 
+def test_verified_links_join_what_is_alike():
+    rng = np.random.default_rng(11)
+    sets, fps = [], []
+    for _ in range(4):
+        stem = rng.choice(10**6, 60, replace=False)
+        for _ in range(int(rng.integers(1, 90))):
+            own = np.unique(np.where(rng.random(60) < rng.choice([0.05, 0.12]), rng.integers(10**6, 10**9, 60), stem))
+            sets.append(own)
+            fps.append(rng.integers(0, 4, 4).astype(np.uint64))
+    sets += [np.zeros(0, np.int64)] * 2
+    fps += [np.zeros(4, np.uint64)] * 2
+    n = len(sets)
+    begin = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    edges = np.array([0, n // 3, n // 3 + 1, n])
+    root, deal = rng.integers(0, n, n), rng.integers(-1, 2, n)
+    alike = [
+        (i, j)
+        for a, b in zip(edges[:-1], edges[1:], strict=True)
+        for i in range(a, b)
+        for j in range(i + 1, b)
+        if (deal[i] != deal[j] or deal[i] < 0) and (not len(sets[i]) + len(sets[j]) or len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])))
+    ]
+    found = [
+        (int(i), int(j))
+        for a, b in simhash.verified_links(np.array(fps), edges, root, deal, 256, np.concatenate(sets), begin)
+        for i, j in zip(a, b, strict=True)
+    ]
+    assert set(found) <= set(alike) and len(found) < n < len(alike)
+    same = [(i, j) for a, b in zip(edges[:-1], edges[1:], strict=True) for i in range(a, b) for j in range(i + 1, b) if root[i] == root[j]]
+    assert groups(found + same, n) == groups(alike + same, n)
+
+
 def test_hot_keys_join_as_others(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 5)
     monkeypatch.setattr(common, "HOT_KEYS", 2)
