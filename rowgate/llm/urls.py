@@ -131,7 +131,8 @@ def classify(urls: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS,
     seeded = F.arrays_overlap("host_words", F.lit(list(seeds)))
     hosts = hosts.withColumn("seeded", seeded)
     path_words = F.transform(_letters(F.col("path")), lambda w: F.concat(F.lit("/"), w))
-    bags = urls.join(hosts, "host", "left").select(
+    named = stored(urls.groupBy("host").agg(F.count("*").alias("urls")).join(hosts, "host", "left"))
+    bags = joined_by_count(urls, named, ["host"], "urls").select(
         "url",
         F.md5(F.coalesce("url", F.lit(""))).alias("key"),  # a long url doesn't go with each of its tokens
         "n",
