@@ -54,17 +54,17 @@ def compare_files(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "source_file", "full_outer").withColumn("verdict", verdict).drop("in_a", "in_b")
 
 
-def unified_rejects(**logs: DataFrame) -> DataFrame:
-    """Reject logs of several runs as one, each row with its ``engine``."""
-    columns = ("source_file", "order_id", "line_no", "reason")
-    frames = [df.select(F.lit(name).alias("engine"), *(F.col(c).cast("string").alias(c) for c in columns)) for name, df in logs.items()]
-    return reduce(DataFrame.unionByName, frames)
+def unified_rejects(rows: DataFrame | None = None, **logs: DataFrame) -> DataFrame:
+    """Reject logs of several runs, or a ``log`` of them, as one, each row with its ``engine``."""
+    rows = log(**logs) if rows is None else rows
+    return rows.select(F.col("side").alias("engine"), *(F.col(c).cast("string").alias(c) for c in (*RECORD, "reason")))
 
 
-def reason_counts(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rejects by reason on both sides and their difference, 0 where one has none."""
-    joined = histogram(a, "reason", "n_a").join(histogram(b, "reason", "n_b"), "reason", "full_outer").na.fill(0, ["n_a", "n_b"])
-    return joined.withColumn("delta", F.col("n_a") - F.col("n_b"))
+def reason_counts(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
+    """Rejects by reason on both sides and their difference, 0 where one has none; alone ``a`` is a ``log`` of both."""
+    rows = a if b is None else log(a=a, b=b)
+    counted = rows.groupBy("reason").agg(*(F.count_if(F.col("side") == s).alias(f"n_{s}") for s in "ab"))
+    return counted.withColumn("delta", F.col("n_a") - F.col("n_b"))
 
 
 def side_by_side(a: DataFrame, b: DataFrame | None = None) -> DataFrame:

@@ -25,15 +25,21 @@ def histogram(df: DataFrame, label: str, count: str = "n") -> DataFrame:
 
 
 def per_file(decided: DataFrame, by: str = "source_file") -> DataFrame:
-    """From lines with a null or set ``reason``: lines in, clean, rejected, orders, revenue for each file."""
+    """From lines with a null or set ``reason``: lines in, clean, rejected, orders, revenue for each file.
+
+    Lines are added up by file and order first, so that a file's orders are counted without being gathered.
+    """
     clean = F.col("reason").isNull()
     total = F.when(clean, F.col("line_total").cast("decimal(14,2)"))
-    return decided.groupBy(by).agg(
-        F.count("*").alias("lines_in"),
-        F.count_if(clean).alias("lines_clean"),
-        F.count_if(~clean).alias("lines_rejected"),
-        F.count_distinct(F.when(clean, F.col("order_id"))).alias("orders_loaded"),
-        F.coalesce(F.sum(total), F.lit(0)).cast("decimal(18,2)").alias("revenue"),
+    by_order = decided.groupBy(by, "order_id").agg(
+        F.count("*").alias("n"), F.count_if(clean).alias("good"), F.sum(total).cast("decimal(18,2)").alias("revenue")
+    )
+    return by_order.groupBy(by).agg(
+        F.sum("n").alias("lines_in"),
+        F.sum("good").alias("lines_clean"),
+        F.sum(F.col("n") - F.col("good")).alias("lines_rejected"),
+        F.count_if((F.col("good") > 0) & F.col("order_id").isNotNull()).alias("orders_loaded"),
+        F.coalesce(F.sum("revenue"), F.lit(0)).cast("decimal(18,2)").alias("revenue"),
     )
 
 

@@ -88,7 +88,13 @@ SQL = {
  o_orderdate + INTERVAL 10 MINUTE AS later, round(o_totalprice::DECIMAL(14,2), 1)::DOUBLE AS price, o_custkey AS customer,
  -(o_orderkey * 1099511627776 // 3) AS third, 'a.' || o_orderstatus AS stem FROM orders""",
     "character_maps": "SELECT n_nationkey, lower(n_name) AS n_name, reverse(n_name) AS copy, 'maps' AS audit_package, 'b7' AS audit_batch FROM nation",
+    "packed_notes": f"{_RUN} SELECT status, channel, upper(currency) AS currency, count(*) AS n, sum(line_total)::DECIMAL(18,2) AS total FROM items GROUP BY 1, 2, 3",
     "wanted_terms": """WITH t AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS term FROM part), w AS (SELECT term FROM t WHERE term <> '' GROUP BY 1 HAVING count(*) > 1)
  SELECT term, count(*) AS n, count(DISTINCT p_partkey) AS parts FROM t SEMI JOIN w USING (term) GROUP BY 1""",
+    "fuzzy_groups": """WITH RECURSIVE c AS (SELECT left(md5(c_name), 5) AS code FROM customer), d AS (SELECT DISTINCT code FROM c),
+ near AS (SELECT x.code AS a, y.code AS b FROM d x, d y WHERE levenshtein(x.code, y.code) <= 1),
+ reach AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+ g AS (SELECT a AS code, min(b) AS "group" FROM reach GROUP BY 1)
+ SELECT "group", count(*) AS customers, count(DISTINCT code) AS codes FROM c JOIN g USING (code) GROUP BY 1""",
     "cached_reference": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
 }

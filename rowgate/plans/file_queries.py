@@ -237,19 +237,14 @@ def disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def largest_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = runs_log(spark, sf_dir)
-    return compare.by_delta(compare.reason_counts(log.filter("side = 'a'"), log.filter("side = 'b'"))).limit(3)
+    return compare.by_delta(compare.reason_counts(runs_log(spark, sf_dir))).limit(3)
 
 
 def set_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many keys only one side rejects and both do, with samples."""
-    sides = [log.select(F.col("reason").alias("name"), F.concat("order_id", F.lit("#"), F.col("line_no").cast("string")).alias("member")) for log in _sides(spark, sf_dir)]
-    return compare.set_members(*sides)
-
-
-def _sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    log = runs_log(spark, sf_dir)
-    return [log.filter(F.col("side") == s) for s in "ab"]
+    log = runs_log(spark, sf_dir).withColumn("member", F.concat("order_id", F.lit("#"), F.col("line_no").cast("string")))
+    a, b = (log.filter(F.col("side") == s).select(F.col("reason").alias("name"), "member") for s in "ab")
+    return compare.set_members(a, b)
 
 
 def row_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,6 +353,14 @@ def character_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.audit(both, "maps", "b7")
 
 
+def packed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a clean line's table has no columns for goes into notes and comes back."""
+    items = batch(spark, sf_dir).items.select("order_id", "status", "channel", "currency", "line_total")
+    notes = flow.pack(items, ["status", "channel", "currency", "line_total"])
+    back = flow.unpack(notes, "status string, channel string, currency string, line_total decimal(14,2)")
+    return back.groupBy("status", "channel", "currency").agg(F.count("*").alias("n"), F.sum("line_total").cast("decimal(18,2)").alias("total"))
+
+
 def wanted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that have one of the commonest terms of all part names."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -371,6 +374,12 @@ def cached_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.statement("SELECT n_name, count(*) AS n FROM {cust} JOIN {nat} ON c_nationkey = n_nationkey GROUP BY n_name", **tables)
 
 
+def fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of customers that are one edit apart form groups."""
+    c = table(spark, sf_dir, "customer").select(F.left(F.md5(F.col("c_name").cast("binary")), F.lit(5)).alias("code"))
+    return flow.fuzzy_groups(c, "code", 1).groupBy("group").agg(F.count("*").alias("customers"), F.count_distinct("code").alias("codes"))
+
+
 QUERIES = (
     source_records,
     source_failed_files,
@@ -407,6 +416,8 @@ QUERIES = (
     error_descriptions,
     scalar_functions,
     character_maps,
+    packed_notes,
     wanted_terms,
     cached_reference,
+    fuzzy_groups,
 )

@@ -312,8 +312,7 @@ def compare_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reason_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = sides(spark, sf_dir)
-    return compare.reason_counts(both.filter("side = 'a'"), both.filter("side = 'b'"))
+    return compare.reason_counts(sides(spark, sf_dir))
 
 
 def reject_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,8 +328,7 @@ def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unified_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = sides(spark, sf_dir)
-    return compare.unified_rejects(a=both.filter("side = 'a'"), b=both.filter("side = 'b'")).groupBy("engine", "source_file").agg(F.count("*").alias("n"))
+    return compare.unified_rejects(sides(spark, sf_dir)).groupBy("engine", "source_file").agg(F.count("*").alias("n"))
 
 
 def capture_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@ import json
 from pyspark.sql import functions as F
 
 from rowgate.contract import Contract
-from rowgate.sinks.tables import Table, conform, quarantine, reason_json, replace_batch, write_rejects
+from rowgate.sinks.tables import Table, conform, quarantine, reason_json, replace_batch, write_jdbc, write_rejects
 from rowgate.sources import files
+from rowgate.sources.tables import read_jdbc
 from rowgate.streaming.files import OrderStream, health, windowed
 from tests.test_ladder import AS_OF, BASE
 
@@ -172,6 +173,17 @@ def test_line_numbers_of_a_file_in_blocks(spark, tmp_path):
     assert all(int(r.order_id) == r.source_line_no for r in got)
 
 
+def test_database_round_trip(spark):
+    """Against the database that comes with Spark, in memory."""
+    url = "jdbc:derby:memory:rowgate;create=true"
+    rows = spark.range(1200).selectExpr("id AS k", "concat('n', id % 7) AS name", "cast(id / 4 AS decimal(14,2)) AS amount")
+    write_jdbc(rows, url, "items", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    write_jdbc(rows.filter("k < 10"), url, "items", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    back = read_jdbc(spark, url, "items", ["k", "amount"], "k", (0, 1200), 3, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert back.columns == ["k", "amount"] and back.rdd.getNumPartitions() == 3
+    assert tuple(back.agg(F.count("*"), F.sum("k")).first()) == (1210, 719_400 + 45) and back.filter("k = 1000").count() == 1
+
+
 def test_windowed_stream(spark, tmp_path):
     source = tmp_path / "ev"
     spark.createDataFrame([(0, 1), (30, 2), (70, 4)], "s int, v int").select(F.timestamp_seconds("s").alias("ts"), "v").write.parquet(str(source))
