@@ -1,47 +1,5 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components of links, as the rest of the library has them."""
 
-from __future__ import annotations
+from rowgate.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from rowgate.llm.common import stored
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Smallest node reachable from each linked node: ``node``, ``root``.
-
-    Each round points neighbours at the smallest node they share (first the larger ones, then
-    the smaller ones), so paths shorten geometrically. A round's links are written to the shared
-    folder; the loop ends when a round changes nothing. Nodes without links don't appear; null
-    ends and loops are ignored; an empty input gives an empty result.
-    """
-    edges = stored(_canonical(links.select(F.col(a).alias("u"), F.col(b).alias("v"))))
-    seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
-        edges = stored(_small_star(_large_star(edges)))
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-
-
-def _canonical(pairs: DataFrame) -> DataFrame:
-    """u > v, each link once."""
-    return pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return _canonical(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u")
-    return _canonical(
-        moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    )
+__all__ = ["components"]
