@@ -58,13 +58,15 @@ def _rules(lines: DataFrame, contract: Contract, as_of_ms: int, strict: Column |
     return rules
 
 
-def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None = None) -> DataFrame:
+def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None = None, clean_only: bool = False) -> DataFrame:
     """Judged lines, each once, with DUP_KEY where a clean line isn't the first of its key or ``loaded`` has the key.
 
     ``__o`` and ``__l`` are the key of a clean line. One deal by order serves the choice of the first line and whatever is
-    grouped by ``__o`` later; rejected lines have no part in it and are spread by a hash.
+    grouped by ``__o`` later; rejected lines have no part in it and are spread by a hash. With ``clean_only`` there are none.
     """
-    good = F.col("reason").isNull()
+    if clean_only:
+        judged = judged.filter(F.col("reason").isNull())
+    good = F.lit(True) if clean_only else F.col("reason").isNull()
     spread = F.concat(F.lit("\x01"), F.xxhash64(*order, "order_id", "line_no").cast("string"))
     keyed = judged.withColumns({"__o": F.when(good, F.trim("order_id")).otherwise(spread), "__l": F.when(good, F.col("line_no_v"))})
     ranked = rank_in_key(keyed.repartition("__o"), ["__o", "__l"], list(order), "__n")
@@ -124,4 +126,4 @@ def process(
     Each output is a plan of its own with one scan of the lines. Where several are needed, keep ``outcomes`` and ``split`` it.
     """
     judged = decide(lines, products, customers, contract, as_of_ms)
-    return split(outcomes(judged, order, loaded), contract, outcomes(judged.filter(F.col("reason").isNull()), order, loaded))
+    return split(outcomes(judged, order, loaded), contract, outcomes(judged, order, loaded, clean_only=True))
