@@ -50,12 +50,17 @@ def stored(df: DataFrame) -> DataFrame:
 
     The files go when the session's JVM ends.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(shared_table(df))
+
+
+def shared_table(df: DataFrame) -> str:
+    """The folder that ``df`` is written to, in the shared one; it goes when it is discarded, or when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     at, fs = _file_system(spark, path)
     fs.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgate.llm import chat, decontam, mixing, order_minhash, quality, secret_scan, simhash, suffix_dedup, toxicity, urls
+from rowgate.llm import chat, clustering, decontam, mixing, order_minhash, quality, secret_scan, simhash, suffix_dedup, toxicity, urls
 from rowgate.llm.common import fold, table
 
 
@@ -86,6 +86,10 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -104,6 +108,7 @@ def queries() -> dict:
         op8_simhash_near_dedup,
         op9_benchmark_decontamination,
         op10_mixing_sources,
+        op11_centroid_clustering,
         pipeline,
     )
     return {f.__name__: f for f in own}
@@ -149,8 +154,33 @@ FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
 """
 
 
+def _op11_sql(rounds: int = 10) -> str:
+    """All rounds one after the other, every vector against every centroid."""
+    steps = [
+        """
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: isfinite(c::DOUBLE))) = 64),
+long AS MATERIALIZED (SELECT r, unnest(x) AS x, unnest(range(64)) AS i FROM v),
+first AS (SELECT x, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, x) - 1 AS c FROM v QUALIFY c < 8),
+c0 AS MATERIALIZED (SELECT c, unnest(x) AS m, unnest(range(64)) AS i FROM first)"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, sum((x - m) * (x - m)) AS d FROM long JOIN c{n} USING (i) GROUP BY r, c)
+ QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if n < rounds:
+            steps.append(f"""
+c{n + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN m ELSE (s - ((s % n) + n) % n) // n END AS m FROM c{n}
+ LEFT JOIN (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{n} JOIN long USING (r) GROUP BY c, i) USING (c, i))""")
+    return f"""WITH {",".join(steps)},
+named AS (SELECT c, sha256(string_agg(m::BIGINT::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+ centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN named USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op4_chat_formatting": OP4_SQL, "op10_mixing_sources": OP10_SQL}
+    out = {"op4_chat_formatting": OP4_SQL, "op10_mixing_sources": OP10_SQL, "op11_centroid_clustering": _op11_sql()}
     from corpus_pipeline import ORACLE_SQL
 
     if ORACLE_SQL:
