@@ -35,12 +35,16 @@ def usable(vector: str | Column) -> Column:
     return F.coalesce(v.isNotNull() & good, F.lit(False))
 
 
+def whole(component: Column, scale: int) -> Column:
+    """floor(scale * component) as a long; an error where that is beyond 2^62."""
+    scaled = component.cast("double") * scale
+    return F.when(F.abs(scaled) < F.lit(2.0**62), F.floor(scaled).cast("long")).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))
+
+
 def integer_vectors(embeddings: DataFrame, dims: int = 64, scale: int = 1024) -> DataFrame:
     """``vec_id``, ``x``: floor(scale * component) of the vectors that have exactly ``dims`` finite components."""
     kept = embeddings.filter(usable("embedding") & (F.size("embedding") == dims))
-    return kept.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("x")
-    )
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda c: whole(c, scale)).alias("x"))
 
 
 def seeds(vectors: DataFrame, k: int, salt: int) -> np.ndarray:
@@ -217,7 +221,7 @@ def clusters(embeddings: DataFrame, k: int = 8, rounds: int = 10, salt: int = 3,
     """``vec_id``, ``cluster``, ``distance``, ``cluster_inertia``, ``inertia``, ``centroid_sha256`` of the usable vectors of ``embeddings``.
 
     Vectors that are null, have another length, or hold a null or a number that isn't finite get no row. Repeated rows each
-    get one; a null vec_id is a row like another, and last among the seeds. Columns other than vec_id and embedding
+    get one; a null vec_id is a row like another, and last among the seeds. A component beyond 2^52 is an error. Columns other than vec_id and embedding
     are not looked at.
     """
     rows, centers = cluster(integer_vectors(embeddings, dims, scale), k, rounds, salt)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgate.llm import chat, clustering, decontam, mixing, order_minhash, quality, secret_scan, simhash, suffix_dedup, toxicity, urls
+from rowgate.llm import chat, clustering, decontam, mixing, order_minhash, quality, secret_scan, simhash, suffix_dedup, toxicity, urls, whitening
 from rowgate.llm.common import fold, table
 
 
@@ -90,6 +90,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -109,6 +113,7 @@ def queries() -> dict:
         op9_benchmark_decontamination,
         op10_mixing_sources,
         op11_centroid_clustering,
+        op12_embedding_whitening,
         pipeline,
     )
     return {f.__name__: f for f in own}

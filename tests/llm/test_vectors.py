@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowgate.llm import clustering, queries
+from rowgate.llm import clustering, queries, whitening
 from rowgate.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -90,3 +90,98 @@ def test_kmeans_matches_sql(spark):
     df = queries.op11_centroid_clustering(spark, DATA)
     assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(want.fetchall())
     assert df.count() == table(spark, DATA, "embeddings").count()
+
+
+# --- whitening ---
+
+
+def spectrum(values, seed=0):
+    """A symmetric matrix of these eigenvalues, in extended precision, and its eigenvectors."""
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(values),) * 2))[0].astype(np.longdouble)
+    for _ in range(3):
+        q = q @ (3 * np.eye(len(q)) - q.T @ q) / 2
+    order = np.argsort(-np.array(values), kind="stable")
+    q, v = q[:, order], np.array(values, np.longdouble)[order]
+    a = (q * v) @ q.T
+    return (a + a.T) / 2, v, q
+
+
+CLOSE = [1 + 1e-9 * i for i in range(16)] + [2 + 1e-12 * i for i in range(4)] + [5.0, 7.0, 7.5]
+
+
+@pytest.mark.parametrize("values", [[3.0], [4.0, 3.0], list(range(1, 41)), CLOSE, [2.0] * 5 + [1.0] * 9, [0.0] * 6 + [1.0, 2.0], [0.0] * 4])
+def test_refined_eigenvectors(values):
+    a, want, q = spectrum([float(v) for v in values])
+    got, x = whitening.refined(a)
+    assert np.abs(got - want).max() <= 1e-17 * max(1, want[0]) * len(want)
+    assert np.abs(x.T @ x - np.eye(len(x))).max() < 1e-17 * len(x) and np.abs(a @ x - x * got).max() < 1e-17 * len(x) * max(1, want[0])
+    if len(set(values)) == len(values):
+        gap = min(np.abs(np.diff(want)), default=1) / want[0]
+        assert (1 - np.abs((x * q).sum(0))).max() < (1e-17 / gap) ** 2 + 1e-15
+
+
+def test_single_precision_alone_isnt_enough():
+    a, _, q = spectrum(CLOSE)
+    rough = np.linalg.eigh(a.astype(np.float32))[1][:, ::-1]
+    assert (1 - np.abs((rough * q).sum(0))).max() > 0.01
+
+
+def whitened(spark, rows, dims, most=32, scale=64):
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA).withColumn("component", F.lit("clash")).repartition(3)
+    return whitening.components(df, most, dims, scale).collect()
+
+
+def test_whitening_against_plain(spark):
+    rng = np.random.default_rng(2)
+    values = (rng.normal(size=(400, 6)) @ rng.normal(size=(6, 6))).astype(np.float32)
+    got = whitened(spark, [(i, [float(c) for c in v]) for i, v in enumerate(values)], 6, 4)
+    x = np.floor(64 * values.astype(float)).astype(np.int64) + 1_000_000
+    n, total = len(x), x.sum(0)
+    cov = np.cov(x - total / n, rowvar=False, bias=True)
+    e, u = np.linalg.eigh(cov)
+    e, u = e[::-1], u[:, ::-1]
+    want = (x - total / n) @ u / np.sqrt(e)
+    table_ = np.full((n, 4), np.nan)
+    for r in got:
+        table_[r.vec_id, r.component - 1] = r.whitened
+        assert r.n == n and r.deviation == ((n * x[r.vec_id] - total) ** 2).sum() and r.identity_error < 1e-10
+        assert r.explained == pytest.approx(e[r.component - 1] / np.trace(cov), rel=1e-10)
+    sign = np.sign((table_ * want[:, :4]).sum(0))
+    assert len(got) == 4 * n and np.abs(table_ * sign - want[:, :4]).max() < 1e-9
+
+
+def test_whitening_of_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    good = [(1, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0]), (None, [4.0, 2.0, -3.0]), (2, [0.0, 2.0, 1.0]), (3, [-5.0, 2.0, 9.0])]
+    bad = [(4, None), (5, [1.0, None, 2.0]), (6, [nan, 1.0, 1.0]), (7, [1.0, inf, 1.0]), (8, []), (9, [1.0])]
+    got = whitened(spark, good + bad, 3)
+    assert sorted((r.vec_id or 0, r.component) for r in got) == sorted((i or 0, c) for i, _ in good for c in (1, 2, 3))
+    assert all((r.whitened is None) == (r.component == 3) for r in got)  # the second dimension is constant
+    assert {r.explained for r in got if r.component == 3} == {0.0} and got[0].identity_error < 1e-12
+    assert sum(r.whitened**2 for r in got if r.component == 1) == pytest.approx(5)
+    one = whitened(spark, [(1, [1.0, 2.0])], 2)
+    assert [(r.whitened, r.explained, r.deviation, r.identity_error) for r in one] == [(None, 0.0, 0, 0.0)] * 2
+    assert whitened(spark, bad, 3) == [] and whitened(spark, [], 3) == []
+
+
+def test_whitening_of_large_numbers(spark):
+    values = [[1e15, 0.0], [-1e15, 1.0], [3e15, 2.0]]
+    got = whitened(spark, list(enumerate(values)), 2, scale=1)
+    x = [[int(np.float32(c)) + 1_000_000 for c in v] for v in values]
+    total = [sum(c) for c in zip(*x, strict=True)]
+    exact = [sum((3 * a - t) ** 2 for a, t in zip(v, total, strict=True)) for v in x]
+    assert {r.vec_id: r.deviation for r in got} == {i: v if v < 1 << 63 else None for i, v in enumerate(exact)}
+    assert got[0].identity_error < 1e-9
+
+
+def test_whitening_of_the_given_tables(spark):
+    df = queries.op12_embedding_whitening(spark, DATA)
+    rows = table(spark, DATA, "embeddings").collect()
+    x = np.floor(64 * np.array([r.embedding for r in rows])).astype(np.int64) + 1_000_000
+    got = {(r.vec_id, r.component): r for r in df.collect()}
+    assert len(got) == 32 * len(rows)
+    c = (x - x.mean(0)) @ np.linalg.eigh(np.cov(x, rowvar=False, bias=True))[1][:, ::-1][:, :32]
+    c = c / c.std(0)
+    w = np.array([[got[r.vec_id, k + 1].whitened for k in range(32)] for r in rows])
+    assert np.abs(np.abs(w) - np.abs(c)).max() < 1e-6
+    assert all(got[r.vec_id, 1].deviation == int(d) for r, d in zip(rows, ((len(x) * x - x.sum(0)) ** 2).sum(1), strict=True))
