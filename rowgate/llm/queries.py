@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgate.llm import chat, clustering, decontam, mixing, order_minhash, quality, secret_scan, simhash, suffix_dedup, toxicity, urls, whitening
+from rowgate.llm import chat, clustering, decontam, minhash, mixing, order_minhash, quality, secret_scan, simhash, suffix_dedup, toxicity, urls, whitening
 from rowgate.llm.common import fold, table
 
 
@@ -94,6 +94,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(table(spark, sf_dir, "embeddings"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -114,6 +118,7 @@ def queries() -> dict:
         op10_mixing_sources,
         op11_centroid_clustering,
         op12_embedding_whitening,
+        op13_minhash_near_dedup,
         pipeline,
     )
     return {f.__name__: f for f in own}
@@ -184,8 +189,28 @@ SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTI
 """
 
 
+OP13_SQL = r"""
+WITH RECURSIVE cut AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+ whole AS MATERIALIZED (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM cut),
+ sizes AS MATERIALIZED (SELECT r, doc_id, len(s) AS n FROM whole),
+ shingles AS MATERIALIZED (SELECT r, unnest(s) AS s FROM whole),
+ pairs AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r) p
+   JOIN sizes a ON p.a = a.r JOIN sizes b ON p.b = b.r WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+ reached(a, b) AS (SELECT r, r FROM sizes UNION SELECT reached.a, pairs.b FROM reached JOIN pairs ON reached.b = pairs.a)
+SELECT x.doc_id, x.n::BIGINT AS n_shingles, min(y.doc_id) AS component_id, x.doc_id IS NOT DISTINCT FROM min(y.doc_id) AS kept
+FROM reached JOIN sizes x ON reached.a = x.r JOIN sizes y ON reached.b = y.r GROUP BY x.r, x.doc_id, x.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op4_chat_formatting": OP4_SQL, "op10_mixing_sources": OP10_SQL, "op11_centroid_clustering": _op11_sql()}
+    out = {"op4_chat_formatting": OP4_SQL, "op10_mixing_sources": OP10_SQL, "op11_centroid_clustering": _op11_sql(), "op13_minhash_near_dedup": OP13_SQL}
     from corpus_pipeline import ORACLE_SQL
 
     if ORACLE_SQL:
