@@ -47,6 +47,18 @@ SQL = {
  SELECT status, count(*) AS files, sum(lines_clean)::BIGINT AS records_valid, sum(lines_rejected)::BIGINT AS records_invalid FROM l GROUP BY 1""",
     "recent_runs": f"""{_RUN_FILES} SELECT source_file, {_pct('lines_rejected', 'lines_in')} AS reject_pct,
  CASE WHEN lines_clean = 0 THEN 'FAILED' WHEN {_NO} % 2 = 1 AND {_NO} > 87 THEN 'RUNNING' ELSE {_LEDGER_STATUS} END AS status FROM files ORDER BY {_NO} DESC LIMIT 30""",
+    "bucket_upserts": """
+WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 100 = 5 THEN 'late' WHEN o_orderkey % 3 < 2 THEN o_orderstatus ELSE 'new' END AS s,
+  CASE WHEN o_orderkey % 100 = 5 THEN 1 ELSE o_totalprice END::DECIMAL(14,2) AS t FROM orders WHERE o_orderkey % 50 <> 7)
+SELECT s AS o_orderstatus, count(*) AS n, sum(t)::DECIMAL(18,2) AS total FROM a GROUP BY 1""",
+    "change_feed": """
+SELECT user_id, event_type, value::DECIMAL(14,2) AS value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'""",
+    "change_feed_net": """
+WITH f AS (SELECT *, CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'I' ELSE 'U' END AS op FROM events),
+ g AS (SELECT *, first_value(op) OVER (PARTITION BY user_id ORDER BY event_id) AS born, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM f)
+SELECT CASE WHEN born = 'I' THEN 'I' WHEN op = 'D' THEN 'D' ELSE 'U' END AS op, event_id AS seq, user_id, event_type, value::DECIMAL(14,2) AS value
+FROM g WHERE n = 1 AND NOT (born = 'I' AND op = 'D')""",
     "stream_load": f"{_RUN} SELECT coalesce(reason, 'CLEAN') AS reason, count(*) AS n FROM outcome GROUP BY 1",
     "stream_health": f"""{_RUN_FILES}, l AS (SELECT source_file, {_LEDGER_STATUS} AS status FROM files)
  SELECT (SELECT count(*) FROM nation) AS pending_files, count(*) AS files_done, count(*) FILTER (status = 'FAILED') AS failed_files, max(source_file) AS last_file,

@@ -12,6 +12,7 @@ from rowgate.plans.order_lines import decide, process
 from rowgate.plans.queries import AS_OF_MS, CONTRACT, OTHER, batch, customers, decided, order_lines, products, run_of, table
 from rowgate.plans.views import views
 from rowgate.sinks import tables as sinks
+from rowgate.sinks.buckets import BucketTable, ChangeTable, net_changes
 from rowgate.sources import files
 from rowgate.sources.scratch import scratch_path, staged
 from rowgate.sources.tables import read_reference, read_whole_files, read_xml
@@ -127,6 +128,37 @@ def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read().groupBy("v").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
 
 
+def bucket_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals kept by upserts of three loads, the last of which changes a hundredth of the orders, and deletions."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(14,2)").alias("total"))
+    t = BucketTable(spark, scratch_path(spark), "o_orderkey bigint, o_orderstatus string, total decimal(14,2)", ["o_orderkey"], 16)
+    t.upsert(o.filter("o_orderkey % 3 < 2"))
+    t.insert_new(o.withColumn("o_orderstatus", F.lit("new")))
+    t.upsert(o.filter("o_orderkey % 100 = 5").withColumns({"total": F.lit(1).cast("decimal(14,2)"), "o_orderstatus": F.lit("late")}))
+    t.delete(o.filter("o_orderkey % 50 = 7"))
+    return t.read().groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("total").cast("decimal(18,2)").alias("total"))
+
+
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes to their users: the first of a user inserts, errors delete, and what follows a deletion inserts again."""
+    op = F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "signup", "I").otherwise("U")
+    return table(spark, sf_dir, "events").select(op.alias("op"), F.col("event_id").alias("seq"), "user_id", "event_type", F.col("value").cast("decimal(14,2)").alias("value"))
+
+
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed applied in four loads that are out of order."""
+    feed = _feed(spark, sf_dir)
+    t = ChangeTable(spark, scratch_path(spark), "user_id bigint, event_type string, value decimal(14,2)", ["user_id"], "seq", 8)
+    for part in (2, 0, 3, 1):
+        t.apply(feed.filter(F.col("seq") % 4 == part))
+    return t.current()
+
+
+def change_feed_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the changes of each user come to."""
+    return net_changes(_feed(spark, sf_dir), ["user_id"], "seq")
+
+
 def sink_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run table is emptied, the dimension stays."""
     n = table(spark, sf_dir, "nation")
@@ -391,6 +423,9 @@ QUERIES = (
     source_xml,
     source_reference,
     sink_append,
+    bucket_upserts,
+    change_feed,
+    change_feed_net,
     sink_reset,
     sink_batches,
     sink_quarantine,

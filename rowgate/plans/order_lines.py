@@ -58,6 +58,11 @@ def _rules(lines: DataFrame, contract: Contract, as_of_ms: int, strict: Column |
     return rules
 
 
+def clean_keys(judged: DataFrame) -> DataFrame:
+    """``order_id``, ``line_no`` of the lines without a reason, as they will be loaded."""
+    return judged.filter(F.col("reason").isNull()).select(F.trim("order_id").alias("order_id"), F.col("line_no_v").cast("bigint").alias("line_no"))
+
+
 def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None = None, clean_only: bool = False) -> DataFrame:
     """Judged lines, each once, with DUP_KEY where a clean line isn't the first of its key or ``loaded`` has the key.
 

@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 
 from rowgate.contract import QUARANTINE
 from rowgate.operators.warehouse import insert_new, upsert
-
-
-def _files(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+from rowgate.sources.scratch import files_of
 
 
 class Table:
@@ -43,7 +39,7 @@ class Table:
         conform(df, empty).write.parquet(f"{self.path}/v{number:09d}-{uuid.uuid4().hex[:8]}")
         for old in self._versions()[:-keep]:
             for name in (old, *self._complete(self._more(old))):
-                at, fs = _files(self.spark, f"{self.path}/{name}")
+                at, fs = files_of(self.spark, f"{self.path}/{name}")
                 fs.delete(at, True)
 
     def append(self, df: DataFrame) -> None:
@@ -60,9 +56,9 @@ class Table:
         return f"more-{version.split('-')[0]}-"
 
     def _complete(self, prefix: str) -> list[str]:
-        at, fs = _files(self.spark, self.path)
+        at, fs = files_of(self.spark, self.path)
         names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        return sorted(n for n in names if n.startswith(prefix) and fs.exists(_files(self.spark, f"{self.path}/{n}/_SUCCESS")[0]))
+        return sorted(n for n in names if n.startswith(prefix) and fs.exists(files_of(self.spark, f"{self.path}/{n}/_SUCCESS")[0]))
 
     def upsert(self, df: DataFrame, keys: list[str], order: list[str] | None = None) -> None:
         self.overwrite(upsert(self.read(), df, keys, order))
@@ -119,7 +115,7 @@ def copy_files(spark: SparkSession, source: str, target: str, names: list[str])
     """Named files of a folder copied byte by byte, by the file system; those that are gone or there already are left out."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in names:
-        (a, fs), (b, to) = _files(spark, f"{source}/{name}"), _files(spark, f"{target}/{name}")
+        (a, fs), (b, to) = files_of(spark, f"{source}/{name}"), files_of(spark, f"{target}/{name}")
         if fs.exists(a) and not to.exists(b):
             to.mkdirs(b.getParent())
             jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, b, False, conf)

@@ -20,11 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def files_of(spark: SparkSession, path: str):
+    """A path and its file system, whichever that is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder; what is written there goes when the session's JVM ends."""
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at, fs = files_of(spark, path)
     fs.mkdirs(at)
     fs.deleteOnExit(at)
     return f"{path}/data"

@@ -12,9 +12,10 @@ from rowgate.contract import Contract
 from rowgate.operators.flow import union_all
 from rowgate.operators.rollup import per_file
 from rowgate.operators.warehouse import job_ledger
-from rowgate.plans.order_lines import decide, outcomes, split
+from rowgate.plans.order_lines import clean_keys, decide, outcomes, split
 from rowgate.sinks.tables import conform, copy_files, quarantine
 from rowgate.sources.files import empty_files, fail_files, list_files, number_lines, parse_json_lines, pending, stamp, text_lines
+from rowgate.streaming.seen import SeenKeys
 
 LOADS = {
     "items": "order_id string, line_no int, customer_id string, sku string, qty int, unit_price decimal(14,4), line_total decimal(14,2), order_ts bigint,"
@@ -37,7 +38,8 @@ class OrderStream:
     """The tables of one pipeline under ``path`` and the function that loads a micro-batch into them.
 
     Every table is partitioned by ``load_no``, the micro-batch. A load writes its own partitions only, and a retried one
-    replaces what its first try wrote. It reads the keys, two columns, of all loads before it, to tell replays.
+    replaces what its first try wrote. Replays are told by the state of a query beside the loads (``seen``), which looks up the load's
+    own keys. ``close()`` ends that query.
     ``on_bad_line="fail_file"`` rejects files whole that have a line which can't be read.
     """
 
@@ -46,6 +48,10 @@ class OrderStream:
     ) -> None:
         self.spark, self.path, self.products, self.customers = spark, path, products, customers
         self.contract, self.as_of_ms, self.on_bad_line = contract, as_of_ms, on_bad_line
+        self.seen = SeenKeys(spark, f"{path}/seen", "order_id string, line_no bigint")
+
+    def close(self) -> None:
+        self.seen.close()
 
     def loads(self, name: str) -> DataFrame:
         """A table's rows with their ``load_no``."""
@@ -78,8 +84,8 @@ class OrderStream:
         started = F.lit(datetime.now(UTC)).cast("timestamp")
         parsed = parse_json_lines(lines)
         parsed = stamp(fail_files(parsed) if self.on_bad_line == "fail_file" else parsed).drop("ingest_ts")
-        before = self.loads("items").filter(F.col("load_no") < load_no).select("order_id", "line_no")
         judged = decide(parsed, self.products, self.customers, self.contract, self.as_of_ms)
+        before = self.seen.earlier(clean_keys(judged), load_no)
         whole = outcomes(judged, ("source_file", "source_line_no"), before).persist()
         try:
             out = split(whole, self.contract)
@@ -103,6 +109,7 @@ class OrderStream:
                 copy_files(self.spark, landing, f"{self.path}/parked", [r.source_file for r in mine.select("source_file").collect()])
                 now = health(list_files(self.spark, landing), self.read("ledger")).withColumn("seen_at", F.current_timestamp())
                 self._write("health", now, load_no)
+            self.seen.forget_answers()
         finally:
             whole.unpersist()
 
