@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowgate.operators.graph import components
-from rowgate.sources.scratch import staged
 
 
 def derive(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -167,62 +165,6 @@ def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str, value:
     return df.unpivot(ids, values, name, value)
 
 
-def _deletions(c: Column, most: int) -> Column:
-    """Hashes of a text and of all that it becomes by deleting at most so many letters."""
-
-    def without_one(c: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))
-        )
-
-    found = F.array(c)
-    for _ in range(most):
-        found = F.array_union(found, F.flatten(F.transform(found, without_one)))
-    return F.transform(found, lambda x: F.xxhash64(x))
-
-
-def fuzzy_groups(df: DataFrame, column: str, most: int = 1) -> DataFrame:
-    """``df`` with ``group``: texts that at most so many edits link, over any number of others, share the smallest of them.
-
-    Case and outer blanks don't count. A null text has no group.
-    """
-    named = df.withColumn("__t", F.lower(F.trim(F.col(column))))
-    texts = named.filter("__t is not null").select("__t").distinct()
-    keyed = staged(texts.withColumn("__b", F.explode(_deletions(F.col("__t"), most))))
-    other = keyed.select(F.col("__t").alias("__u"), "__b")
-    links = keyed.join(other, "__b").filter("__t < __u").select("__t", "__u").distinct().filter(F.levenshtein("__t", "__u") <= most)
-    roots = components(links, "__t", "__u").withColumnsRenamed({"node": "__t", "root": "__r"})
-    return named.join(roots, "__t", "left").withColumn("group", F.coalesce("__r", "__t")).drop("__t", "__r")
-
-
-def fuzzy_lookup(df: DataFrame, reference: DataFrame, column: str, ref_column: str, most: int = 2) -> DataFrame:
-    """``df`` with the closest reference text within ``most`` edits.
-
-    Two texts within that distance have a text in common that each becomes by deleting at most as many letters, so
-    all of them meet by their deletions, and texts that merely start or end alike don't.
-    """
-    left = df.withColumn("__id", F.monotonically_increasing_id())
-    text, other = F.lower(F.trim(F.col(column))), F.lower(F.trim(F.col(ref_column)))
-    a = left.withColumn("__t", text).filter("__t is not null").withColumn("__b", F.explode(_deletions(F.col("__t"), most)))
-    b = reference.select(F.col(ref_column).alias("matched"), other.alias("__o")).filter("__o is not null").distinct()
-    b = b.withColumn("__b", F.explode(_deletions(F.col("__o"), most)))
-    close = a.join(b, "__b").withColumn("edits", F.levenshtein("__t", "__o")).filter(F.col("edits") <= most)
-    best = close.groupBy("__id").agg(F.min(F.struct("edits", "matched")).alias("m"))
-    return left.join(best, "__id", "left").select(*df.columns, F.col("m.matched").alias("matched"), F.col("m.edits").alias("edits"))
-
-
-def terms(df: DataFrame, text: str) -> DataFrame:
-    """Term extraction: ``term`` and ``n`` over all rows."""
-    words = df.select(F.explode(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+")).alias("term"))
-    return words.filter("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
-
-
-def term_lookup(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """Rows that have a wanted term, with the term and how often."""
-    words = df.withColumn("term", F.explode(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+")))
-    return words.join(wanted.select("term").distinct(), "term", "left_semi").groupBy(*df.columns, "term").agg(F.count("*").alias("n"))
-
-
 def audit(df: DataFrame, package: str, batch_id: str) -> DataFrame:
     return df.withColumns({"audit_package": F.lit(package), "audit_batch": F.lit(batch_id)})
 

@@ -103,6 +103,19 @@ FROM g WHERE n = 1 AND NOT (born = 'I' AND op = 'D')""",
     "packed_notes": f"{_RUN} SELECT status, channel, upper(currency) AS currency, count(*) AS n, sum(line_total)::DECIMAL(18,2) AS total FROM items GROUP BY 1, 2, 3",
     "wanted_terms": """WITH t AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS term FROM part), w AS (SELECT term FROM t WHERE term <> '' GROUP BY 1 HAVING count(*) > 1)
  SELECT term, count(*) AS n, count(DISTINCT p_partkey) AS parts FROM t SEMI JOIN w USING (term) GROUP BY 1""",
+    "similar_names": r"""WITH p AS (SELECT *, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^a-z0-9]+'), lambda w: w <> ''))) AS w FROM part),
+ a AS (SELECT DISTINCT w FROM p WHERE p_size % 5 = 0), b AS (SELECT w, min(p_type || ', ' || p_brand || ', ' || p_name) AS name FROM p WHERE p_size % 5 = 1 GROUP BY w),
+ c AS (SELECT a.w, name, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM a, b),
+ d AS (SELECT w, arg_min(name, (-i / (n - i), name)) AS matched, max(i / (n - i)) AS score FROM c WHERE i / (n - i) >= 0.5 GROUP BY w)
+ SELECT p_partkey, matched, round(score, 4) AS score FROM p LEFT JOIN d USING (w) WHERE p_size % 5 = 0""",
+    "document_phrases": r"""WITH d AS (SELECT row_number() OVER () AS r, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda w: w <> '') AS w FROM documents),
+ g AS (SELECT r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM d
+  UNION ALL SELECT r, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM d),
+ k AS (SELECT * FROM g WHERE split_part(term, ' ', 1) NOT IN ('the', 'and', 'of') AND split_part(term, ' ', -1) NOT IN ('the', 'and', 'of'))
+ SELECT term, count(*) AS n, count(DISTINCT r) AS "rows", round(count(*) * ln((SELECT count(*) FROM documents) / count(DISTINCT r)), 3) AS score FROM k GROUP BY 1 HAVING count(*) >= 20""",
+    "phrases_found": """WITH w AS (SELECT p_name AS term FROM part WHERE p_size <= 5 UNION SELECT 'by ' || replace(lower(p_brand), '#', ' ') FROM part WHERE p_size = 7),
+ s AS (SELECT p_partkey, ' ' || lower('this ' || p_type || ' ' || p_name || ' by ' || replace(p_brand, '#', ' ')) || ' ' AS said FROM part)
+ SELECT term, count(*)::BIGINT AS n, count(*) AS parts FROM s JOIN w ON contains(said, ' ' || term || ' ') GROUP BY term""",
     "fuzzy_groups": """WITH RECURSIVE c AS (SELECT left(md5(c_name), 5) AS code FROM customer), d AS (SELECT DISTINCT code FROM c),
  near AS (SELECT x.code AS a, y.code AS b FROM d x, d y WHERE levenshtein(x.code, y.code) <= 1),
  reach AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowgate.contract import DATA_FLOW_ERRORS
 from rowgate.functions import scalar as S
-from rowgate.operators import compare, flow, ladder, rollup, seedfaults, warehouse
+from rowgate.operators import compare, flow, fuzzy, ladder, rollup, seedfaults, terms, warehouse
 from rowgate.plans.order_lines import decide, process
 from rowgate.plans.queries import AS_OF_MS, CONTRACT, OTHER, batch, customers, decided, order_lines, products, run_of, table
 from rowgate.plans.views import views
@@ -239,7 +239,10 @@ def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing, path = scratch_path(spark), scratch_path(spark)
     order_lines(spark, sf_dir).select(*LINE).write.json(landing)
     stream = OrderStream(spark, path, products(spark, sf_dir), customers(spark, sf_dir), CONTRACT, AS_OF_MS)
-    stream.start(landing, f"{path}-checkpoint", files_per_batch=1000).awaitTermination()
+    try:
+        stream.start(landing, f"{path}-checkpoint", files_per_batch=1000).awaitTermination()
+    finally:
+        stream.close()
     parts = (stream.read("items").select(F.lit("CLEAN").alias("reason")), stream.read("rejects").select("reason"))
     return rollup.histogram(flow.union_all(*parts), "reason")
 
@@ -396,8 +399,8 @@ def packed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wanted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that have one of the commonest terms of all part names."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    wanted = flow.terms(part, "p_name").filter("n > 1").select("term")
-    return flow.term_lookup(part, "p_name", wanted).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
+    wanted = terms.terms(part, "p_name").filter("n > 1").select("term")
+    return terms.term_lookup(part, "p_name", wanted).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
 
 
 def cached_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,7 +412,30 @@ def cached_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of customers that are one edit apart form groups."""
     c = table(spark, sf_dir, "customer").select(F.left(F.md5(F.col("c_name").cast("binary")), F.lit(5)).alias("code"))
-    return flow.fuzzy_groups(c, "code", 1).groupBy("group").agg(F.count("*").alias("customers"), F.count_distinct("code").alias("codes"))
+    return fuzzy.fuzzy_groups(c, "code", 1).groupBy("group").agg(F.count("*").alias("customers"), F.count_distinct("code").alias("codes"))
+
+
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part descriptions found again among others by their words, which stand in another order there."""
+    described = [F.concat_ws(sep, *order).alias("words") for sep, order in ((" ", ("p_name", "p_brand", "p_type")), (", ", ("p_type", "p_brand", "p_name")))]
+    part = table(spark, sf_dir, "part")
+    own, other = part.filter("p_size % 5 = 0").select("p_partkey", described[0]), part.filter("p_size % 5 = 1").select(described[1])
+    found = fuzzy.similar_lookup(own, other.withColumnRenamed("words", "ref"), "words", "ref", 0.5)
+    return found.select("p_partkey", "matched", F.round("score", 4).alias("score"))
+
+
+def document_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two and three words that the documents have twenty times or more, without those that a stop word begins or ends."""
+    found = terms.phrases(table(spark, sf_dir, "documents"), "text", 3, ("the", "and", "of"), 20, 2)
+    return found.select("term", "n", "rows", F.round("score", 3).alias("score"))
+
+
+def phrases_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of parts that are phrases of two words, found in what is said of parts."""
+    part = table(spark, sf_dir, "part")
+    said = part.select("p_partkey", F.concat(F.lit("This "), F.upper("p_type"), F.lit(" -- "), "p_name", F.lit("; by "), "p_brand").alias("said"))
+    wanted = part.filter("p_size <= 5").select(F.col("p_name").alias("term")).unionByName(part.filter("p_size = 7").select(F.concat(F.lit("by "), "p_brand").alias("term")))
+    return terms.term_lookup(said, "said", wanted.distinct()).groupBy("term").agg(F.sum("n").cast("bigint").alias("n"), F.count("*").alias("parts"))
 
 
 QUERIES = (
@@ -455,4 +481,7 @@ QUERIES = (
     wanted_terms,
     cached_reference,
     fuzzy_groups,
+    similar_names,
+    document_phrases,
+    phrases_found,
 )

@@ -186,11 +186,13 @@ SQL = {
     "incremental": "SELECT count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))",
     "newest_alerts": f"{_RUN},{_ALERTS} SELECT alert_type, order_id, line_no, metric_value FROM alerts ORDER BY order_ts DESC, order_id, line_no, alert_type LIMIT 200",
     "sampling": "SELECT 'all' AS part, count(*) AS n FROM orders UNION ALL SELECT 'in both', 0 UNION ALL SELECT 'fixed', least(100, count(*)) FROM orders",
-    "fuzzy_names": """WITH w AS (SELECT left(n_name, length(n_name) - 2) || '#' || right(n_name, 1) AS wrong FROM nation),
- c AS (SELECT wrong, n_name AS matched, levenshtein(lower(wrong), lower(n_name))::INT AS edits FROM w, nation
-  WHERE levenshtein(lower(wrong), lower(n_name)) <= 1 AND (left(lower(wrong), 3) IN (left(lower(n_name), 3), right(lower(n_name), 3)) OR right(lower(wrong), 3) IN (left(lower(n_name), 3), right(lower(n_name), 3)))),
- b AS (SELECT wrong, arg_min(matched, edits || matched) AS matched, min(edits) AS edits FROM c GROUP BY 1)
- SELECT w.wrong, matched, edits FROM w LEFT JOIN b USING (wrong)""",
+    "fuzzy_names": """WITH p AS (SELECT p_partkey, left(md5(p_partkey::VARCHAR), 9) || ' ' || p_name AS mark FROM part),
+ o AS (SELECT *, left(mark, 3) || '#' || substr(mark, 5) AS once FROM p),
+ w AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN substr(once, 2) WHEN 1 THEN once || ' x' ELSE once END AS wrong FROM o),
+ r AS (SELECT upper(mark) AS name FROM p WHERE p_partkey % 2 = 0),
+ c AS (SELECT p_partkey, name, levenshtein(lower(wrong), lower(name))::INT AS edits FROM w, r WHERE levenshtein(lower(wrong), lower(name)) <= 2),
+ b AS (SELECT p_partkey, arg_min(name, (edits, name)) AS matched, min(edits) AS edits FROM c GROUP BY 1)
+ SELECT p_partkey, wrong, matched, edits FROM w LEFT JOIN b USING (p_partkey)""",
     "run_verdict": f"""{_RUN},{_FACT},{_RECONCILED},{_FILES.format(s='')}
  SELECT (SELECT count(*) FROM outcome) AS staged, (SELECT count(reason) FROM outcome) AS rejected, count(*) AS fact_rows, count(DISTINCT order_id) AS orders,
   (sum(total4)::DECIMAL(28,4) * 0.0001::DECIMAL(5,4))::DECIMAL(24,4) AS revenue, (SELECT count(DISTINCT o_custkey) FROM orders) AS current_customers, (SELECT count(*) FROM products) AS products,

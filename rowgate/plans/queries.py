@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowgate.contract import Alert, Contract, Limits
 from rowgate.functions import scalar as S
 from rowgate.functions.types import convert
-from rowgate.operators import compare, flow, ladder, rollup, seedfaults, warehouse
+from rowgate.operators import compare, flow, fuzzy, ladder, rollup, seedfaults, terms, warehouse
 from rowgate.sources.files import stamp
 from rowgate.plans.order_lines import decide, decide_each, outcomes, process, split
 from rowgate.sources.scratch import scratch_path, staged
@@ -453,7 +453,7 @@ def merge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.terms(table(spark, sf_dir, "part"), "p_name")
+    return terms.terms(table(spark, sf_dir, "part"), "p_name")
 
 
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,10 +475,13 @@ def sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations found again by misspelled names."""
-    n = table(spark, sf_dir, "nation")
-    wrong = n.select(F.concat(F.left("n_name", F.length("n_name") - 2), F.lit("#"), F.right("n_name", F.lit(1))).alias("wrong"))
-    return flow.fuzzy_lookup(wrong, n, "wrong", "n_name", 1)
+    """Marks of parts, misspelled in one or two places, found again among the marks of half of them."""
+    mark = F.concat(F.left(F.md5(F.col("p_partkey").cast("string").cast("binary")), F.lit(9)), F.lit(" "), "p_name")
+    part = table(spark, sf_dir, "part").select("p_partkey", mark.alias("mark"))
+    once = F.concat(F.left("mark", F.lit(3)), F.lit("#"), F.substring("mark", F.lit(5), F.length("mark")))
+    wrong = F.when(F.col("p_partkey") % 3 == 0, F.substring(once, F.lit(2), F.length("mark"))).when(F.col("p_partkey") % 3 == 1, F.concat(once, F.lit(" x"))).otherwise(once)
+    reference = part.filter("p_partkey % 2 = 0").select(F.upper("mark").alias("name"))
+    return fuzzy.fuzzy_lookup(part.select("p_partkey", wrong.alias("wrong")), reference, "wrong", "name", 2)
 
 
 def newest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

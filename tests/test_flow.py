@@ -1,9 +1,12 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from rowgate.functions import scalar as S
 from rowgate.functions.types import convert, spark_type
-from rowgate.operators import compare, flow, rollup, seedfaults, warehouse
+from rowgate.operators import compare, flow, fuzzy, rollup, seedfaults, terms, warehouse
 
 
 def rows(df):
@@ -119,14 +122,72 @@ def test_feed_profile_and_fuzzy(spark):
     assert (one.lines, one.orders, one.dup_keys, one.most_lines_of_an_order, one.zero) == (3, 2, 1, 2, 1)
     names = spark.createDataFrame([("Jon Smith",), ("Unrelated",)], "n string")
     ref = spark.createDataFrame([("John Smith",), ("Joan Smythe",)], "r string")
-    assert {r.n: r.matched for r in flow.fuzzy_lookup(names, ref, "n", "r").collect()} == {"Jon Smith": "John Smith", "Unrelated": None}
+    assert {r.n: r.matched for r in fuzzy.fuzzy_lookup(names, ref, "n", "r").collect()} == {"Jon Smith": "John Smith", "Unrelated": None}
 
 
 def test_fuzzy_finds_all_within_the_distance(spark):
     names = spark.createDataFrame([("IR#N",), ("cut",), ("xmiddley",), ("",), (None,), ("ab",), ("Customer#12",), ("abcdef",)], "n string")
     ref = spark.createDataFrame([("IRAN",), ("cat",), ("amiddleb",), ("Customer#1",), ("fedcba",), (None,)], "r string")
-    got = {r.n: (r.matched, r.edits) for r in flow.fuzzy_lookup(names, ref, "n", "r").collect()}
+    got = {r.n: (r.matched, r.edits) for r in fuzzy.fuzzy_lookup(names, ref, "n", "r").collect()}
     assert got == {
         "IR#N": ("IRAN", 1), "cut": ("cat", 1), "xmiddley": ("amiddleb", 2), "": (None, None), None: (None, None),
         "ab": ("cat", 2), "Customer#12": ("Customer#1", 1), "abcdef": (None, None),
     }
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_fuzzy_against_all_pairs(spark, most):
+    rng = random.Random(most)
+    texts = {"".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(60)}
+    left, right = sorted(texts)[::2], sorted(texts)[1::2]
+    df = spark.createDataFrame([(t,) for t in left], "n string")
+    ref = spark.createDataFrame([(t,) for t in right], "r string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    want = {a: min(((edits(a, b), b) for b in right if edits(a, b) <= most), default=(None, None)) for a in left}
+    assert {r.n: (r.edits, r.matched) for r in fuzzy.fuzzy_lookup(df, ref, "n", "r", most).collect()} == want
+
+
+def test_fuzzy_of_long_texts(spark):
+    long = "".join(random.Random(1).choices("abcdef", k=30_000))
+    df = spark.createDataFrame([(long[:5000] + "##" + long[5000:],), (long[:29_000],)], "n string")
+    got = fuzzy.fuzzy_lookup(df, spark.createDataFrame([(long,)], "r string"), "n", "r", 2)
+    assert sorted(str(r.edits) for r in got.collect()) == ["2", "None"]
+
+
+def test_similar_by_words_against_all_pairs(spark):
+    rng = random.Random(4)
+    make = lambda: " ".join(rng.choices(["the", "the", "red", "blue", "old", "ring", "bolt", "nut", "x1", "x2"], k=rng.randint(0, 7)))
+    left, right = [make() for _ in range(80)] + [None], [make().upper() for _ in range(60)] + [None, ""]
+    df, ref = (spark.createDataFrame([(t,) for t in texts], "n string") for texts in (left, right))
+    for least in (0.34, 0.8, 1.0):
+        def best(a):
+            a = set((a or "").split())
+            scored = [(-len(a & b) / len(a | b), t) for t in right if t and a and (b := set(t.lower().split())) and len(a & b) / len(a | b) >= least]
+            by_set = {}
+            for s, t in scored:
+                key = frozenset(t.lower().split())
+                by_set[key] = min(by_set.get(key, (s, t)), (s, t))
+            return min(by_set.values(), default=(None, None))
+
+        got = sorted(((r.n, -r.score if r.score else None, r.matched) for r in fuzzy.similar_lookup(df, ref, "n", "n", least).collect()), key=str)
+        assert got == sorted(((a, *best(a)) for a in left), key=str)
+    with pytest.raises(ValueError):
+        fuzzy.similar_lookup(df, ref, "n", "n", 0)
+
+
+def test_phrases_and_lookup(spark):
+    df = spark.createDataFrame([(1, "The red ring, the RED ring!"), (2, "a red  bolt of steel"), (3, None), (4, "")], "k int, s string")
+    got = {r.term: (r.n, r.rows, round(r.score, 4)) for r in terms.phrases(df, "s", 2, ("the", "of", "a")).collect()}
+    assert got == {"red": (3, 2, round(3 * math.log(2), 4)), "ring": (2, 1, round(2 * math.log(4), 4)), "red ring": (2, 1, round(2 * math.log(4), 4))}
+    wanted = spark.createDataFrame([("Red Ring",), ("bolt of steel",), ("ring",), (None,), ("...",), ("missing words here",)], "term string")
+    found = sorted((r.k, r.term, r.n) for r in terms.term_lookup(df, "s", wanted).collect())
+    assert found == [(1, "red ring", 2), (1, "ring", 2), (2, "bolt of steel", 1)]
+    assert terms.term_lookup(df, "s", wanted.limit(0)).columns == ["k", "s", "term", "n"]

@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from rowgate.plans import file_oracle, file_queries, oracle, queries
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
