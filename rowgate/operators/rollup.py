@@ -43,6 +43,32 @@ def per_file(decided: DataFrame, by: str = "source_file") -> DataFrame:
     )
 
 
+def with_sketch(decided: DataFrame, by: str = "source_file", size: int = 12) -> DataFrame:
+    """``per_file`` with ``orders_sketch``, from which the distinct orders of several loads of a file can be told without their lines.
+
+    A sketch has 2^``size`` registers at most; what is told from it is off by 1.6 % (one standard deviation) at 12.
+    """
+    clean = F.col("reason").isNull()
+    total = F.when(clean, F.col("line_total").cast("decimal(14,2)"))
+    return decided.groupBy(by).agg(
+        F.count("*").alias("lines_in"),
+        F.count_if(clean).alias("lines_clean"),
+        F.count_if(~clean).alias("lines_rejected"),
+        F.coalesce(F.sum(total), F.lit(0)).cast("decimal(18,2)").alias("revenue"),
+        F.hll_sketch_agg(F.when(clean, F.col("order_id")), size).alias("orders_sketch"),
+    )
+
+
+def merged(ledger: DataFrame, by: str = "source_file") -> DataFrame:
+    """Loads of one file (or of whatever ``by`` is) as one: counts add up, and ``orders`` counts an order of several loads once."""
+    return ledger.groupBy(by).agg(
+        *(F.sum(c).cast("bigint").alias(c) for c in ("lines_in", "lines_clean", "lines_rejected")),
+        F.sum("revenue").cast("decimal(18,2)").alias("revenue"),
+        F.hll_sketch_estimate(F.hll_union_agg("orders_sketch")).alias("orders"),
+        F.hll_union_agg("orders_sketch").alias("orders_sketch"),
+    )
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -116,6 +116,15 @@ FROM g WHERE n = 1 AND NOT (born = 'I' AND op = 'D')""",
     "phrases_found": """WITH w AS (SELECT p_name AS term FROM part WHERE p_size <= 5 UNION SELECT 'by ' || replace(lower(p_brand), '#', ' ') FROM part WHERE p_size = 7),
  s AS (SELECT p_partkey, ' ' || lower('this ' || p_type || ' ' || p_name || ' by ' || replace(p_brand, '#', ' ')) || ' ' AS said FROM part)
  SELECT term, count(*)::BIGINT AS n, count(*) AS parts FROM s JOIN w ON contains(said, ' ' || term || ' ') GROUP BY term""",
+    "logged_branches": """WITH b AS (SELECT CASE WHEN l_quantity >= 40 THEN 'bulk' WHEN l_discount > 0.05 THEN 'discounted' ELSE 'rest' END AS measure FROM lineitem),
+ c AS (SELECT measure, count(*) AS value, count(*) AS in_files FROM b GROUP BY 1 UNION ALL SELECT 'rows', count(*), NULL FROM b UNION ALL SELECT 'unaccounted', 0, NULL)
+ SELECT 'b1' AS batch_id, 'split' AS stage, * FROM c""",
+    "orders_over_loads": f"""{_RUN} SELECT source_file, count(*) AS lines_in, count(*) - count(reason) AS lines_clean, count(reason) AS lines_rejected,
+ coalesce(sum(line_total) FILTER (reason IS NULL), 0)::DECIMAL(18,2) AS revenue, true AS near FROM decided GROUP BY 1""",
+    "exported_files": """WITH f AS (SELECT s_nationkey || '/' || s_name || '.txt' AS file, s_name || ' €' || chr(10) || s_nationkey AS c FROM supplier)
+ SELECT file, strlen(c) AS bytes, sha256(c) AS sha256, sha256(c) AS read_sha256 FROM f""",
+    "source_flat_file": """SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'error' ELSE o_orderstatus END AS status, count(*) AS n, sum(o_orderkey) FILTER (o_orderkey % 10 <> 3) AS keys,
+ count(DISTINCT o_orderpriority) AS priorities FROM orders GROUP BY 1""",
     "fuzzy_groups": """WITH RECURSIVE c AS (SELECT left(md5(c_name), 5) AS code FROM customer), d AS (SELECT DISTINCT code FROM c),
  near AS (SELECT x.code AS a, y.code AS b FROM d x, d y WHERE levenshtein(x.code, y.code) <= 1),
  reach AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),

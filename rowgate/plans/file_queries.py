@@ -12,6 +12,7 @@ from rowgate.plans.order_lines import decide, process
 from rowgate.plans.queries import AS_OF_MS, CONTRACT, OTHER, batch, customers, decided, order_lines, products, run_of, table
 from rowgate.plans.views import views
 from rowgate.sinks import tables as sinks
+from rowgate.sinks.logged import export_column, logged_split
 from rowgate.sinks.buckets import BucketTable, ChangeTable, net_changes
 from rowgate.sources import files
 from rowgate.sources.scratch import scratch_path, staged
@@ -438,6 +439,48 @@ def phrases_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.term_lookup(said, "said", wanted.distinct()).groupBy("term").agg(F.sum("n").cast("bigint").alias("n"), F.count("*").alias("parts"))
 
 
+def logged_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dealt to three outputs in one scan, with the counts that the write took, beside what the files hold."""
+    cases = [("bulk", F.col("l_quantity") >= 40), ("discounted", F.col("l_discount") > 0.05)]
+    outputs, log = logged_split(table(spark, sf_dir, "lineitem"), cases, scratch_path(spark), "b1", "split", "rest")
+    held = flow.union_all(*(df.agg(F.count("*").alias("in_files")).withColumn("measure", F.lit(n)) for n, df in outputs.items()))
+    return log.select("batch_id", "stage", "measure", "value").join(held, "measure", "left")
+
+
+def orders_over_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files loaded in three parts that share orders: counts from the ledger alone, and whether its distinct orders are within 7 %."""
+    lines = staged(decided(spark, sf_dir).select("source_file", "reason", "order_id", "line_total", "l_partkey"))
+    ledger = staged(flow.union_all(*(rollup.with_sketch(lines.filter(F.col("l_partkey") % 3 == part)) for part in range(3))))
+    exact = lines.filter("reason is null").groupBy("source_file").agg(F.count_distinct("order_id").alias("exact"))
+    both = rollup.merged(ledger).join(exact, "source_file", "left").na.fill(0, ["exact"])
+    return both.select("source_file", "lines_in", "lines_clean", "lines_rejected", "revenue", (F.abs(F.col("orders") - F.col("exact")) <= 0.07 * F.col("exact")).alias("near"))
+
+
+def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each supplier, written by the tasks, read back and compared by its digest."""
+    path = scratch_path(spark)
+    s = table(spark, sf_dir, "supplier")
+    named = s.select(F.concat(F.col("s_nationkey").cast("string"), F.lit("/"), "s_name", F.lit(".txt")).alias("file"), F.concat("s_name", F.lit(" \u20ac\n"), F.col("s_nationkey").cast("string")).alias("content"))
+    written = staged(export_column(named, path, "file", "content"))
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    back = back.select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("file"), F.sha2("content", 256).alias("read_sha256"))
+    return written.join(back.withColumn("file", F.url_decode("file")), "file", "full").select("file", "bytes", "sha256", "read_sha256")
+
+
+def source_flat_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several header rows, whose row end is the last column's delimiter, and whose columns end in delimiters of their own."""
+    path, header = scratch_path(spark), "first;second|third\r\nmade today\r\n"
+    o = table(spark, sf_dir, "orders")
+    key = F.when(F.col("o_orderkey") % 10 == 3, F.lit("none")).otherwise(F.col("o_orderkey").cast("string"))
+    lines = o.select("o_orderkey", F.concat("o_orderstatus", F.lit(";"), key, F.lit("|"), "o_orderpriority").alias("line"))
+    whole = lines.groupBy(F.pmod("o_orderkey", F.lit(7)).alias("part")).agg(F.array_join(F.sort_array(F.collect_list("line")), "\r\n").alias("body"))
+    staged(export_column(whole.select(F.concat(F.lit("f"), F.col("part").cast("string"), F.lit(".txt")).alias("file"), F.concat(F.lit(header), "body", F.lit("\r\n")).alias("body")), path, "file", "body"))
+    columns = [("status", "string", "_x003B_"), ("k", "bigint", "|"), ("priority", "string", "_x000D__x000A_")]
+    good, bad = files.read_flat_file(spark, path, columns, header_rows=2)
+    ok = good.groupBy("status").agg(F.count("*").alias("n"), F.sum("k").alias("keys"), F.count_distinct("priority").alias("priorities"))
+    return ok.unionByName(bad.groupBy(F.lit("error").alias("status")).agg(F.count("*").alias("n"), F.sum("k").alias("keys"), F.count_distinct("priority").alias("priorities")))
+
+
 QUERIES = (
     source_records,
     source_failed_files,
@@ -481,6 +524,10 @@ QUERIES = (
     wanted_terms,
     cached_reference,
     fuzzy_groups,
+    logged_branches,
+    orders_over_loads,
+    exported_files,
+    source_flat_file,
     similar_names,
     document_phrases,
     phrases_found,

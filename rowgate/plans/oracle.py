@@ -143,6 +143,7 @@ SQL = {
  CASE WHEN lines_clean = 0 THEN 'FAILED' WHEN lines_rejected = 0 THEN 'SUCCESS' WHEN 4 * lines_rejected > lines_in THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM files""",
     "settled_files": f"{_RUN},{_FILES.format(s='')} SELECT source_file FROM files WHERE regexp_extract(source_file, '(\\d+)', 1)::INT % 4 <> 0",
     "headline": f"{_RUN} {_headline('decided')}",
+    "headline_settled": f"{_RUN}, settled AS (SELECT * FROM decided WHERE regexp_extract(source_file, '(\\d+)', 1)::INT % 4 <> 0) {_headline('settled')}",
     "compare_files": f"""{_BOTH},{_FILES.format(s='')},{_FILES.format(s='_b')},
  x AS (SELECT source_file, lines_clean AS lines_clean_a, lines_rejected AS lines_rejected_a FROM files WHERE source_file <> 'batch-1.json'),
  y AS (SELECT source_file, lines_clean AS lines_clean_b, lines_rejected AS lines_rejected_b FROM files_b WHERE source_file <> 'batch-2.json')

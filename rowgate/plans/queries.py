@@ -296,7 +296,10 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the ladder run whose ledger accounts for all their lines; one in four is made to miss lines."""
-    full = _ledger(spark, sf_dir)
+    return _settled(_ledger(spark, sf_dir))
+
+
+def _settled(full: DataFrame) -> DataFrame:
     late = F.pmod(F.regexp_extract("source_file", r"(\d+)", 1).cast("int"), F.lit(4)) == 0
     ledger = warehouse.job_ledger(full).withColumn("records_valid", F.col("records_valid") - F.when(late, 1).otherwise(0))
     return warehouse.settled(ledger, full)
@@ -306,9 +309,16 @@ def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.headline(decided(spark, sf_dir))
 
 
+def headline_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of those files alone whose ledger accounts for all their lines."""
+    judged = staged(decided(spark, sf_dir).select("source_file", "reason", "order_id", "line_total"))
+    return compare.headline(judged, _settled(rollup.per_file(judged)))
+
+
 def compare_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _ledger(spark, sf_dir).filter("source_file <> 'batch-1.json'")
-    return compare.compare_files(a, _ledger(spark, sf_dir, OTHER).filter("source_file <> 'batch-2.json'"))
+    both = staged(run_of(spark, sf_dir, a=CONTRACT, b=OTHER).select("source_file", "order_id", "line_total", "reason_a", "reason_b"))
+    a, b = (rollup.per_file(both.withColumn("reason", F.col(f"reason_{side}"))) for side in ("a", "b"))
+    return compare.compare_files(a.filter("source_file <> 'batch-1.json'"), b.filter("source_file <> 'batch-2.json'"))
 
 
 def reason_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -535,6 +545,7 @@ QUERIES = (
     job_status,
     settled_files,
     headline,
+    headline_settled,
     compare_files,
     reason_delta,
     reject_diff,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,9 +88,10 @@ def read_delimited(
     qualifier: str | None = None,
     row_end: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of a delimited file with the declared (name, DDL type) columns, and its malformed rows."""
-    if header_rows not in (0, 1):
-        raise ValueError("a file has one header row or none")
+    """Rows of a delimited file with the declared (name, DDL type) columns, and its malformed rows.
+
+    The first ``header_rows`` lines of each file that aren't empty are left out.
+    """
     ddl = ", ".join(f"{n} {t}" for n, t in columns) + ", _corrupt_record string"
     paged = encoding.lower() in ("windows-1252", "cp1252", "1252")
     reader = spark.read.schema(ddl).option("sep", sep).option("header", header_rows == 1)
@@ -98,6 +101,8 @@ def read_delimited(
     if row_end and row_end not in ("\n", "\r\n"):
         reader = reader.option("lineSep", row_end)
     rows = reader.csv(path)
+    if header_rows > 1:
+        rows = _without_first(rows, header_rows)
     if paged:
         texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
         rows = rows.withColumns({c: F.translate(c, "".join(_C1), "".join(_C1.values())) for c in texts})
@@ -108,11 +113,61 @@ def read_delimited(
     return good, rows.filter(whole & F.col("_corrupt_record").isNotNull())
 
 
-def split_columns(lines: DataFrame, columns: list[tuple[str, str]], line: str = "value") -> DataFrame:
-    """Columns that each end in a delimiter of their own; (name, delimiter), the last one's ends the line."""
+def _without_first(rows: DataFrame, n: int) -> DataFrame:
+    """A file reader's rows without the first ``n`` of each file.
+
+    A file starts with its first block, whose rows follow one another in one task; so its first rows are told by their place in that.
+    """
+    places = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()}
+    placed = rows.withColumns(places)
+    first = placed.filter("__block = 0").groupBy("__file").agg(F.min("__at").alias("__first"))
+    header = (F.col("__block") == 0) & (F.col("__at") < F.col("__first") + n)
+    return placed.join(first, "__file", "left").filter(~F.coalesce(header, F.lit(False))).select(*rows.columns)
+
+
+def plain(delimiter: str) -> str:
+    """A delimiter as it stands in a connection's description: ``_x000D_`` and the like are characters by their code."""
+    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), delimiter)
+
+
+def read_flat_file(
+    spark: SparkSession, path: str, columns: list[tuple[str, str, str]], row_end: str = "", header_rows: int = 0, code_page: int = 65001, qualifier: str = ""
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of a flat file by its description, (name, type, delimiter) for each column, and its malformed rows (``_corrupt_record``).
+
+    Without ``row_end`` the last column's delimiter ends a row, whatever the description says elsewhere; with neither, a line break does. Columns may
+    each end in a delimiter of their own, in UTF-8 files without a qualifier. ``<none>`` is no qualifier. There is a header only if rows are to be skipped.
+    """
+    ends = [plain(d) for _, _, d in columns]
+    end = plain(row_end) or ends[-1] or "\n"
+    quote = "" if plain(qualifier) == "<none>" else plain(qualifier)
+    named, body = [(n, t) for n, t, _ in columns], [d or "," for d in ends[:-1]]
+    if len(set(body)) <= 1:
+        encoding = "windows-1252" if code_page == 1252 else "UTF-8"
+        return read_delimited(spark, path, named, body[0] if body else ",", header_rows, encoding, quote or None, end)
+    if quote or code_page == 1252:
+        raise ValueError("columns with delimiters of their own are read without a qualifier, in UTF-8")
+    lines = spark.read.option("lineSep", end).text(path)
+    lines = _without_first(lines, header_rows) if header_rows else lines
+    cut = split_columns(lines.filter("value <> ''"), [(n, d) for (n, _), d in zip(named, [*body, end], strict=True)], keep=True)
+    typed = {n: F.col(n).try_cast(t) for n, t in named}
+    wrong = ~F.col("__split")
+    for n, value in typed.items():
+        wrong = wrong | (value.isNull() & (F.col(n) != ""))
+    marked = cut.withColumn("__wrong", wrong)
+    good = marked.filter(~F.col("__wrong")).select(*(F.when(F.col(n) != "", v).alias(n) for n, v in typed.items()))
+    return good, marked.filter("__wrong").select(*(v.alias(n) for n, v in typed.items()), F.col("value").alias("_corrupt_record"))
+
+
+def split_columns(lines: DataFrame, columns: list[tuple[str, str]], line: str = "value", keep: bool = False) -> DataFrame:
+    """Columns that each end in a delimiter of their own; (name, delimiter), the last one's ends the line.
+
+    With ``keep`` also the line, and ``__split``, whether it has all the delimiters.
+    """
     escaped = ["".join("\\" + c if not c.isalnum() else c for c in d) for _, d in columns[:-1]]
-    pattern = "^" + "".join(f"(.*?){d}" for d in escaped) + "(.*)$"
-    return lines.select(*(F.regexp_extract(line, pattern, i + 1).alias(n) for i, (n, _) in enumerate(columns)))
+    pattern = "(?s)^" + "".join(f"(.*?){d}" for d in escaped) + "(.*)$"
+    kept = [F.col(line), F.col(line).rlike(pattern).alias("__split")] if keep else []
+    return lines.select(*(F.regexp_extract(line, pattern, i + 1).alias(n) for i, (n, _) in enumerate(columns)), *kept)
 
 
 def list_files(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
