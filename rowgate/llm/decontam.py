@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgate.llm.common import row_key, stored, utf8
+from rowgate.llm.common import row_key, slices, stored, utf8
 from rowgate.llm.simhash import majority
 
 SHINGLE = 5
@@ -31,6 +31,8 @@ BLOCKS = 4
 REACH = RADIUS // BLOCKS
 #: Bytes of items that are held against documents at once; a larger benchmark takes more steps.
 BLOCK_BYTES = 16 << 20
+#: Documents that meet a block in one task.
+DEAL = 20_000
 #: Bits of the filter by which a benchmark of several blocks picks the documents that have any of its shingles.
 FILTER_BITS = 1 << 27
 #: Windows that are hashed at once, pairs of windows and items that are looked at at once.
@@ -222,9 +224,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     document row and item of at least ``similarity``. Null and wordless texts and items match nothing. Repeated
     documents each get their rows; items of one id count as one, by their best. Empty tables give no rows.
 
-    The benchmark is a stated query set: it goes to the workers in blocks of about ``BLOCK_BYTES`` (or one item). Where
-    that takes several, one pass picks the documents that have any shingle of any item, by a filter of ``FILTER_BITS``
-    whatever the benchmark's size, and the blocks meet those alone.
+    The benchmark is a stated query set. One of up to ``BLOCK_BYTES`` (or one item) goes to all workers. A larger one is cut into
+    blocks of about that size: one pass picks the documents that have any shingle of any item, by a filter of ``FILTER_BITS``
+    whatever the benchmark's size, and each block goes to tasks of its own with those documents that share a shingle with it.
     """
     return _found(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, similarity)
 
@@ -235,15 +237,58 @@ def _found(texts: DataFrame, benchmark: DataFrame, similarity: float) -> DataFra
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
-    if blocks > 1:
-        texts = stored(_having_shingles(texts, items))
     schema = f"{key} {texts.schema[key].dataType.simpleString()}, item_id long, similarity double, first_word long"
-    found = None
-    for n in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()
-        pairs = texts.mapInArrow(_matcher(Items([(r[0], r[1].encode()) for r in rows]), similarity), schema)
-        found = pairs if found is None else found.unionByName(pairs)
-    return found if found is not None else texts.sparkSession.createDataFrame([], schema)
+    if not blocks:
+        return texts.sparkSession.createDataFrame([], schema)
+    if blocks == 1:
+        held = Items([(r[0], r[1].encode()) for r in items.collect()])
+        return texts.mapInArrow(_matcher(held, similarity), schema)
+    return _in_blocks(texts.select(F.col(key).alias("key"), "text"), items, blocks, similarity).toDF(key, "item_id", "similarity", "first_word")
+
+
+def _in_blocks(texts: DataFrame, items: DataFrame, blocks: int, similarity: float) -> DataFrame:
+    """``leaks`` of a benchmark of several blocks: each block and the documents that have any of its shingles go to tasks of their own.
+
+    Nothing of the benchmark comes to the driver. A block that many documents meet is dealt to several tasks, each with ``DEAL`` of them.
+    """
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    picked = stored(_having_shingles(texts, items).withColumn("id", F.monotonically_increasing_id()))
+    theirs = items.select("block", "text").mapInArrow(_item_marks, "block int, mark long").distinct()
+    met = stored(picked.select("id", F.explode("marks").alias("mark")).join(theirs, "mark").select("id", "block").distinct())
+    sizes = stored(met.groupBy("block").agg(F.ceil(F.count("*") / F.lit(DEAL)).cast("int").alias("deals")))
+    dealt = met.join(sizes, "block").withColumn("deal", F.pmod(F.xxhash64("id"), F.col("deals")).cast("int"))
+    own = dealt.join(picked.select("id", "text"), "id").select("block", "deal", F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("item_id"), "text")
+    copies = items.join(sizes, "block").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    both = copies.select("block", "deal", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "item_id", "text").unionByName(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, match = None, [], None
+        for batch in (x for b in batches for x in slices(b)):
+            group = list(zip(batch.column("block").to_pylist(), batch.column("deal").to_pylist(), batch.column("kind").to_pylist(), strict=True))
+            cuts = [i for i in range(batch.num_rows) if not i or group[i] != group[i - 1]]
+            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if group[lo][:2] != at:
+                    at, rows, match = group[lo][:2], [], None
+                if group[lo][2] == 0:
+                    rows += zip(part.column("item_id").to_pylist(), utf8(part.column("text")), strict=True)
+                    continue
+                if match is None:
+                    match, rows = _matcher(Items(rows), similarity), []
+                yield from match(iter([part.select(["id", "text"])]))
+
+    sorted_ = both.repartition("block", "deal").sortWithinPartitions("block", "deal", "kind")
+    found = sorted_.mapInArrow(run, "id long, item_id long, similarity double, first_word long")
+    # texts of one item may stand in several blocks
+    best = found.groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("place"))).alias("b"))
+    return best.join(picked.select("id", "key"), "id").select("key", "item_id", "b.similarity", (-F.col("b.place")).alias("first_word"))
+
+
+def _item_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(n, _marks(w, min(SHINGLE, len(w)))) for n, w in zip(batch.column("block").to_pylist(), map(words_of, utf8(batch.column("text"))), strict=True) if w]
+        at = np.concatenate([np.zeros(0, np.int64), *(m.astype(np.int64) for _, m in found)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([n for n, _ in found], [len(m) for _, m in found]).astype(np.int32)), pa.array(at)], ["block", "mark"])
 
 
 def _marks(words: list[bytes], width: int) -> np.ndarray:
@@ -253,7 +298,7 @@ def _marks(words: list[bytes], width: int) -> np.ndarray:
 
 
 def _having_shingles(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """The ``texts`` with a shingle of any item, and a few others."""
+    """The ``texts`` (``key``, ``text``) with a shingle of any item, and a few others, with the ``marks`` of such shingles."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,13 +318,14 @@ def _having_shingles(texts: DataFrame, items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            keep = []
+            found = []
             for words in map(words_of, utf8(batch.column("text"))):
-                places = (_marks(words, n).astype(np.int64) for n in widths if len(words) >= n)
-                keep.append(any(bool((table[p >> 3] >> (p & 7).astype(np.uint8) & 1).any()) for p in places))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                places = np.concatenate([np.zeros(0, np.int64), *(_marks(words, n).astype(np.int64) for n in widths if len(words) >= n)])
+                found.append(np.unique(places[(table[places >> 3] >> (places & 7).astype(np.uint8) & 1) != 0]))
+            whole = pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text"), pa.array(found, pa.list_(pa.int64()))], ["key", "text", "marks"])
+            yield whole.filter(pa.array([len(m) > 0 for m in found], pa.bool_()))
 
-    return texts.mapInArrow(run, texts.schema)
+    return texts.mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, text string, marks array<long>")
 
 
 def _matcher(items: Items, similarity: float):
@@ -291,7 +337,7 @@ def _matcher(items: Items, similarity: float):
                 for n, likeness, start in items.matches(text):
                     if likeness >= similarity:
                         best[items.ids[n]] = max(best.get(items.ids[n], (0.0, 0)), (likeness, start))
-                rows += ((doc_id, item_id, *x) for item_id, x in sorted(best.items()))
+                rows += ((doc_id, item_id, *x) for item_id, x in sorted(best.items(), key=lambda b: (b[0] is None, b[0] or 0)))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             types = (batch.column(0).type, pa.int64(), pa.float64(), pa.int64())
             names = [batch.schema.names[0], "item_id", "similarity", "first_word"]

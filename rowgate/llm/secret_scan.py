@@ -1,7 +1,7 @@
 """Secret scans: base patterns over whole texts, and over every layer that decoding uncovers.
 
-A worklist unwraps percent-encoded, Unicode-escaped, base64 (also wrapped in lines) and compressed stretches of a
-text, rescans what comes out, and the text with the decoded stretches in their places, and unwraps that again, until
+A worklist unwraps percent-encoded, Unicode-escaped, base64 (also wrapped in lines, also of UTF-16) and compressed stretches
+(gzip, zlib, deflate without a head) of a text, rescans what comes out, and the text with the decoded stretches in their places, and unwraps that again, until
 nothing new appears. A layer that lies within itself (a cycle) isn't taken up again; what a layer holds is
 remembered, so that one that comes up in several places counts in each of them. A secret found in a layer
 gets the span of the stretch of the original text that it came from. Layers beyond ``EXPANSION`` are
@@ -40,6 +40,8 @@ _LINE_END = re.compile(r"[A-Za-z0-9+/_-]{16}[\x20\t]*\r?$")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))")
 #: What a run that isn't cut where base64 starts must show to be taken for text behind other letters.
 _PLAIN = re.compile(rb"[\x20-\x7e]{12}")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_LETTERS = re.compile(rb"[\t\n\r\x20-\x7e]+")
 _JOINT = re.compile(r"[+/_-]")
 #: Kind of a stretch of which something may be unseen.
 _CUT = len(KINDS)
@@ -64,29 +66,57 @@ def _key(data: bytes | str) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
+def _utf16(data: bytes) -> str | None:
+    """The kind of UTF-16 that ``data`` starts as: by its mark, or as most of its letters have a zero byte on the same side."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    head = data[:256]
+    if len(head) >= 16:
+        pairs = len(head) // 2
+        for odd, name in ((1, "utf-16-le"), (0, "utf-16-be")):
+            if head[odd::2].count(0) >= 0.8 * pairs and head[1 - odd :: 2].count(0) <= 0.1 * pairs:
+                return name
+    return None
+
+
 def _readable(data: bytes) -> str | None:
     try:
-        text = data.decode()
+        text = data.decode(_utf16(data) or "utf-8")
     except UnicodeDecodeError:
         return None
-    odd = sum(c < " " and c not in "\t\n\r" for c in text)
-    return text if text and not odd else None
+    return text if text and not _CONTROL.search(text) else None
 
 
-def _compressed(data: bytes) -> bool:
-    """Whether gzip or zlib data starts here, by its head and the first byte that comes out."""
+def _format(data: bytes) -> int:
+    """How zlib is to read what starts here: 47 for gzip and zlib data, -15 for deflated data without a head, 0 for anything else.
+
+    The first are told by head and first byte, the last by 32 plain characters that come out, or by 8 that are all there is.
+    """
     if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
         try:
             unpack = zlib.decompressobj(47)
-            return bool(unpack.decompress(data, 1)) or unpack.eof
+            if unpack.decompress(data, 1) or unpack.eof:
+                return 47
         except zlib.error:
             pass
-    return False
+    if len(data) > 8 and not _LETTERS.fullmatch(data[:64]):
+        try:
+            unpack = zlib.decompressobj(-15)
+            out = unpack.decompress(data[:4096], 32)
+        except zlib.error:
+            return 0
+        if (len(out) == 32 or (unpack.eof and len(out) >= 8)) and _LETTERS.fullmatch(out):
+            return -15
+    return 0
 
 
-def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+def _compressed(data: bytes) -> bool:
+    return _format(data) != 0
+
+
+def _inflated(chunks: Iterator[bytes], kind: int = 47) -> Iterator[bytes]:
     """What all members come to, in pieces; of damaged data what comes before the damage. Other data behind it follows as it is."""
-    unpack, data = zlib.decompressobj(47), b""
+    unpack, data = zlib.decompressobj(kind), b""
     while True:
         data = data or next(chunks, b"")
         if not data:
@@ -107,12 +137,17 @@ def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
             data = unpack.unused_data.lstrip(b"\0")
             while len(data) < 64 and (more := next(chunks, b"")):
                 data = (data + more).lstrip(b"\0")
-            if not _compressed(data):
+            if not (kind := _format(data)):
                 if data:
                     yield data
                 yield from chunks
                 return
-            unpack = zlib.decompressobj(47)
+            unpack = zlib.decompressobj(kind)
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    for at in range(0, len(data), 65_536):
+        yield data[at : at + 65_536]
 
 
 def _head(chunks: Iterator[bytes]) -> tuple[bytes, bool]:
@@ -132,21 +167,21 @@ def _opened(data: bytes) -> Iterator[bytes]:
     seen = set()
     while True:
         data, whole = _head(chunks)
-        if not _compressed(data):
+        if not (kind := _format(data)):
             return chain((data,), chunks)
         key = _key(data) + (b"" if whole else b"+")
         if key in seen:
             return iter(())
         seen.add(key)
-        rest = () if whole else chunks
-        chunks = _inflated(chain((data[at : at + 65_536] for at in range(0, len(data), 65_536)), rest))
+        chunks = _inflated(chain(_pieces(data), () if whole else chunks), kind)
 
 
 def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
     """The text of ``chunks``, whole or in windows, and whether a stretch may not fit the window."""
-    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    first = next(chunks, b"")
+    decoder = codecs.getincrementaldecoder(_utf16(first) or "utf-8")("replace")
     held, n = [], 0
-    for piece in chunks:
+    for piece in chain((first,), chunks):
         held.append(decoder.decode(piece))
         n += len(held[-1])
         if n <= EXPANSION:

@@ -249,6 +249,24 @@ def test_benchmark_in_blocks_finds_the_same(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == {(i, i) for i in range(12)}
 
 
+@pytest.mark.parametrize("size, deal", [(400, 3), (4000, 20_000), (150_000, 20_000)])
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch, size, deal):
+    """Fifty blocks, five and one; a passage that a third of all documents have, an item of two texts, repeated documents, odd rows."""
+    rng = random.Random(7)
+    make = lambda n: " ".join(rng.choices([f"w{i}" for i in range(900)], k=n))
+    texts = {i: make(rng.choice([3, 12, 30])) for i in range(150)}
+    rows = [*texts.items(), (5, texts[6]), (200, None), (201, ""), (None, texts[9])]
+    docs = [(i, make(40) + " " + texts[i % 150] + " " + make(20)) for i in range(90)] + [(i, make(15) + " " + texts[3]) for i in range(90, 140)]
+    docs += [(300, texts[6]), (300, texts[6]), (301, None), (302, ""), (None, texts[30])]
+    items, df = spark.createDataFrame(rows, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = sorted((tuple(r) for r in decontam.leaks(df, items).collect()), key=str)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+    monkeypatch.setattr(decontam, "DEAL", deal)
+    assert sorted((tuple(r) for r in decontam.leaks(df, items).collect()), key=str) == want and len(want) > 140
+    kept = {r.text for r in decontam.drop_leaking(df, items).collect()}
+    assert kept == {t for _, t in docs} - {t for d, t in docs if any(w[0] == d for w in want)}
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
     fps = rng.integers(0, 2**63, 3000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000, np.uint64)

@@ -254,3 +254,49 @@ def test_pairs_with_the_next_document(spark):
     assert order_minhash.fingerprint_pairs(one.limit(0), 3).count() == 0
     twice = spark.createDataFrame([(4, "a b"), (4, "a b"), (None, "c")], "doc_id long, text string")
     assert order_minhash.fingerprint_pairs(twice, 3).count() == 3
+
+
+def deflated(data, kind):
+    pack = zlib.compressobj(9, zlib.DEFLATED, kind)
+    return pack.compress(data) + pack.flush()
+
+
+def test_deflate_without_a_head_and_utf16():
+    secret = "some words then password=hunter22 and more of them"
+    for data in (deflated(secret.encode(), -15), deflated(b"token=abcdef99", -15), secret.encode("utf-16-le"), secret.encode("utf-16-be"), secret.encode("utf-16"), gzip.compress(secret.encode("utf-16-le"))):
+        text = "before " + base64.b64encode(data).decode() + " after"
+        assert secret_scan._scan(text)[1] == {(7, 0, len(text) - 6)}, data
+    twice = base64.b64encode(deflated(base64.b64encode(deflated(secret.encode(), -15)), 31)).decode()
+    assert secret_scan._scan("x " + twice)[1] == {(2, 0, len(twice) + 2)}
+    rng = np.random.default_rng(0)
+    for n in range(300):  # what isn't deflated isn't taken for it
+        noise = rng.integers(0, 256, 20 + n, np.uint8).tobytes()
+        assert secret_scan._format(noise) in (0, 47) and secret_scan._utf16(noise) is None
+
+
+def test_the_end_of_a_large_layer_is_seen():
+    lines = b"".join(b"line %d of plain words\n" % i for i in range(1000))
+    data = gzip.compress(lines * 800 + b"password=hunter22\n")
+    assert len(data) > 2 * 65_536
+    text = "x " + base64.b64encode(data).decode() + " y"
+    assert secret_scan._scan(text)[1:] == ({(2, 0, len(text) - 2)}, set())
+    assert sum(len(w) for w, _ in secret_scan._windows(secret_scan._opened(data))) == len(lines) * 800 + 18
+
+
+def test_base_spans_of_a_table_by_another_scan(spark):
+    """All base spans of the given documents, found again by looking at every position."""
+    assign = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    rules = ((0, assign, 6, 2), (1, re.compile(r"AKIA[A-Z0-9]+"), 20, 0), (2, re.compile(r"[0-9a-f]+"), 24, 0))
+    seen = 0
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        want, text = [], r.text or ""
+        for kind, pattern, least, group in rules:
+            at = 0
+            while at < len(text):
+                m = pattern.match(text, at)
+                if m and m.end(group) - m.start(group) >= least:
+                    want.append((m.start(), kind, m.end()))
+                at = m.end() if m else at + 1
+        assert secret_scan.base_spans(text) == sorted(want)
+        seen += len(want)
+    assert seen > 5
