@@ -288,7 +288,7 @@ def test_base_spans_of_a_table_by_another_scan(spark):
     assign = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
     rules = ((0, assign, 6, 2), (1, re.compile(r"AKIA[A-Z0-9]+"), 20, 0), (2, re.compile(r"[0-9a-f]+"), 24, 0))
     seen = 0
-    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
         want, text = [], r.text or ""
         for kind, pattern, least, group in rules:
             at = 0
