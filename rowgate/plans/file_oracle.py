@@ -60,6 +60,12 @@ WITH f AS (SELECT *, CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'I
 SELECT CASE WHEN born = 'I' THEN 'I' WHEN op = 'D' THEN 'D' ELSE 'U' END AS op, event_id AS seq, user_id, event_type, value::DECIMAL(14,2) AS value
 FROM g WHERE n = 1 AND NOT (born = 'I' AND op = 'D')""",
     "stream_load": f"{_RUN} SELECT coalesce(reason, 'CLEAN') AS reason, count(*) AS n FROM outcome GROUP BY 1",
+    "stream_alerts": f"""{_RUN},{_ALERTS}, once AS (SELECT order_id, line_no FROM lines GROUP BY ALL HAVING count(*) = 1)
+ SELECT alert_type, severity, count(*) AS n, sum(metric_value)::DECIMAL(18,2) AS total FROM alerts SEMI JOIN once USING (order_id, line_no) GROUP BY 1, 2
+ UNION ALL SELECT 'LOADS', 'INFO', 1, NULL""",
+    "stream_recovery": f"{_RUN} SELECT coalesce(reason, 'CLEAN') AS reason, count(*) AS n FROM outcome GROUP BY 1",
+    "revenue_by_batch": f"""{_RUN} SELECT regexp_extract(source_file, '^(.*)\\.json$', 1) AS batch_id, count(DISTINCT order_id) AS orders, sum(line_total)::DECIMAL(18,2) AS revenue
+ FROM items GROUP BY 1""",
     "stream_health": f"""{_RUN_FILES}, l AS (SELECT source_file, {_LEDGER_STATUS} AS status FROM files)
  SELECT (SELECT count(*) FROM nation) AS pending_files, count(*) AS files_done, count(*) FILTER (status = 'FAILED') AS failed_files, max(source_file) AS last_file,
  arg_max(status, source_file) AS last_status, max(CASE WHEN status = 'FAILED' THEN 'no valid line' END) AS last_error FROM l""",

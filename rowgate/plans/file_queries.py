@@ -18,6 +18,7 @@ from rowgate.sources import files
 from rowgate.sources.scratch import scratch_path, staged
 from rowgate.sources.tables import read_reference, read_whole_files, read_xml
 from rowgate.streaming.files import OrderStream, accumulate, health
+from rowgate.streaming.supervise import supervise
 
 LINE = ("order_id", "line_no", "customer_id", "order_ts", "status", "channel", "currency", "sku", "qty", "unit_price", "line_total")
 
@@ -248,6 +249,56 @@ def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.histogram(flow.union_all(*parts), "reason")
 
 
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts that a stream raises over lines whose keys come once, in files that are read two a micro-batch and archived.
+
+    A further row says whether there were so many loads, each finished after its start, and whether no file was left.
+    """
+    landing, path, archive = (scratch_path(spark) for _ in range(3))
+    lines = order_lines(spark, sf_dir)
+    once = lines.groupBy("order_id", "line_no").agg(F.count("*").alias("n")).filter("n = 1")
+    lines.join(once, ["order_id", "line_no"], "left_semi").select(*LINE).repartition(6).write.json(landing)
+    given = files.list_files(spark, landing).filter("bytes > 0").count()
+    stream = OrderStream(spark, path, products(spark, sf_dir), customers(spark, sf_dir), CONTRACT, AS_OF_MS)
+    try:
+        stream.start(landing, f"{path}-checkpoint", files_per_batch=2, archive=archive).awaitTermination()
+    finally:
+        stream.close()
+    raised = stream.read("alerts").groupBy("alert_type", "severity").agg(F.count("*").alias("n"), F.sum("metric_value").cast("decimal(18,2)").alias("total"))
+    loads = stream.loads("ledger").agg(F.count_distinct("load_no").alias("loads"), F.min(F.col("started_at") <= F.col("finished_at")).alias("timed"), F.count("*").alias("files"))
+    fine = F.col("timed") & (F.col("loads") == -(-given // 2)) & (F.col("files") == given)
+    return raised.unionByName(loads.select(F.lit("LOADS").alias("alert_type"), F.lit("INFO").alias("severity"), fine.cast("bigint").alias("n"), F.lit(None).cast("decimal(18,2)").alias("total")))
+
+
+class _Flaky(OrderStream):
+    """A stream whose store is away at the first try of every load."""
+
+    def _write(self, name: str, df: DataFrame, load_no: int) -> None:
+        if name == "ledger" and load_no not in self.__dict__.setdefault("tried", set()):
+            self.tried.add(load_no)
+            raise OSError("the store is away")
+        super()._write(name, df, load_no)
+
+
+def stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream through an outage at every load: it goes on by itself, and every line comes out once."""
+    landing, path = scratch_path(spark), scratch_path(spark)
+    order_lines(spark, sf_dir).select(*LINE).repartition(3).write.json(landing)
+    stream = _Flaky(spark, path, products(spark, sf_dir), customers(spark, sf_dir), CONTRACT, AS_OF_MS)
+    try:
+        supervise(lambda: stream.start(landing, f"{path}-checkpoint", files_per_batch=2), wait=lambda seconds: None)
+    finally:
+        stream.close()
+    parts = (stream.read("items").select(F.lit("CLEAN").alias("reason")), stream.read("rejects").select("reason"))
+    return rollup.histogram(flow.union_all(*parts), "reason")
+
+
+def revenue_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and revenue of each file."""
+    loaded = batch(spark, sf_dir).orders
+    return loaded.groupBy("batch_id").agg(F.count("*").alias("orders"), F.sum("order_total").cast("decimal(18,2)").alias("revenue"))
+
+
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = warehouse.job_ledger(rollup.per_file(decided(spark, sf_dir))).withColumn("error_text", F.when(F.col("status") == "FAILED", "no valid line"))
     return health(_listing(spark, sf_dir), ledger)
@@ -505,6 +556,9 @@ QUERIES = (
     ledger_with_empty_files,
     recent_runs,
     stream_load,
+    stream_alerts,
+    stream_recovery,
+    revenue_by_batch,
     stream_health,
     run_log,
     disagreements,

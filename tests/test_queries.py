@@ -4,6 +4,7 @@ import datetime
 import decimal
 import math
 import os
+import sys
 
 import duckdb
 import pytest
@@ -52,6 +53,14 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("missing", ["rowgate.llm", "corpus_pipeline"])
+def test_registry_without_the_corpus_part(monkeypatch, missing):
+    for name in [m for m in sys.modules if m.startswith(missing)]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)  # an import of it fails
+    assert set(entry.queries()) == {f.__name__ for f in queries.QUERIES + file_queries.QUERIES} and set(entry.oracle_sql()) == set(SQL)
+
+
 def test_capture_of_one_run_has_no_difference(spark):
     from rowgate.operators import compare
 
