@@ -352,3 +352,24 @@ def test_leaking_rows_go_by_their_own_text(spark):
     df = spark.createDataFrame([(None, item), (None, "other"), (7, f"x {item}"), (7, "more")], "doc_id long, text string")
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert sorted(r.text for r in decontam.drop_leaking(df, items).collect()) == ["more", "other"]
+
+
+# --- held-out labels of the given tables ---
+
+
+def under_the_curve(rows):
+    """Share of pairs of a labelled 1 and a labelled 0 in which the first has the higher score."""
+    high, low = ([s for s, y in rows if y == v] for v in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in high for b in low) / (len(high) * len(low))
+
+
+@pytest.mark.parametrize("name, label, curve, right", [("op1_quality_classifier", "quality", 0.95, 0.95), ("op3_toxicity", "toxic", 0.8, 0.93)])
+def test_held_out_documents(spark, name, label, curve, right):
+    from rowgate.llm import queries
+
+    data = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", label)
+    found = queries.queries()[name](spark, data).filter("held_out").join(labels, "doc_id").filter(F.col(label).isNotNull()).collect()
+    assert len(found) > 50
+    assert under_the_curve([(r.score, r[label]) for r in found]) >= curve
+    assert sum(r.predicted == r[label] for r in found) / len(found) >= right

@@ -300,3 +300,42 @@ def test_base_spans_of_a_table_by_another_scan(spark):
         assert secret_scan.base_spans(text) == sorted(want)
         seen += len(want)
     assert seen > 5
+
+
+def plain_order_minhash(text):
+    """The definition: numbered k-mers, for each hash function the two smallest, in the order of the text, as a tuple."""
+    mask, words = (1 << 64) - 1, [ord(c) + 1 for c in text]
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    padded, prime, seen, kmers = [0] * (order_minhash.K - 1) + words, int(order_minhash._PRIME), {}, []
+    for i in range(len(words)):
+        h = 0
+        for w in padded[i : i + order_minhash.K]:
+            h = (h * prime + w) & mask
+        h = mixed(h)
+        seen[h] = seen.get(h, -1) + 1
+        kmers.append(mixed((h + seen[h] * prime) & mask))
+    kmers = kmers or [0]
+    out = []
+    for m in map(int, order_minhash._MULTIPLY):
+        first = sorted(sorted(range(len(kmers)), key=lambda i: (kmers[i] * m & mask, i))[:2])
+        a, b = kmers[first[0]], kmers[first[-1]]
+        out.append(mixed((a * prime + b) & mask) >> 48)
+    return out
+
+
+def test_order_minhash_against_its_definition():
+    rng = np.random.default_rng(11)
+    texts = ["abcabcabcabc", "a", "ab", "the same words the same words é ñ", "x" * 400]
+    texts += ["".join(rng.choice(list("abcdef gh"), n)) for n in (7, 90, 300, 4097, 9000)]
+    for text in texts:
+        got = order_minhash.signature(order_minhash.word_hashes(text.encode())).tolist()
+        if len(text) > 1:
+            assert got == plain_order_minhash(text), text[:20]
+    # repeats are numbered: of two texts with the same k-mers the one with more of them differs
+    one, two = (order_minhash.signature(order_minhash.word_hashes(t)) for t in (b"abcde" * 3, b"abcde" * 12))
+    assert order_minhash.likeness(one, two) < 0.5
