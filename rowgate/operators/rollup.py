@@ -24,22 +24,26 @@ def histogram(df: DataFrame, label: str, count: str = "n") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias(count))
 
 
-def per_file(decided: DataFrame, by: str = "source_file") -> DataFrame:
+def per_file(decided: DataFrame, by: str = "source_file", sketch: int | None = None) -> DataFrame:
     """From lines with a null or set ``reason``: lines in, clean, rejected, orders, revenue for each file.
 
-    Lines are added up by file and order first, so that a file's orders are counted without being gathered.
+    Lines are added up by file and order first, so that a file's orders are counted without being gathered. With ``sketch`` (12, say)
+    also ``orders_sketch``, as ``with_sketch`` has it.
     """
     clean = F.col("reason").isNull()
     total = F.when(clean, F.col("line_total").cast("decimal(14,2)"))
     by_order = decided.groupBy(by, "order_id").agg(
         F.count("*").alias("n"), F.count_if(clean).alias("good"), F.sum(total).cast("decimal(18,2)").alias("revenue")
     )
+    loaded = (F.col("good") > 0) & F.col("order_id").isNotNull()
+    own = [F.hll_sketch_agg(F.when(loaded, F.col("order_id")), sketch).alias("orders_sketch")] if sketch else []
     return by_order.groupBy(by).agg(
         F.sum("n").alias("lines_in"),
         F.sum("good").alias("lines_clean"),
         F.sum(F.col("n") - F.col("good")).alias("lines_rejected"),
-        F.count_if((F.col("good") > 0) & F.col("order_id").isNotNull()).alias("orders_loaded"),
+        F.count_if(loaded).alias("orders_loaded"),
         F.coalesce(F.sum("revenue"), F.lit(0)).cast("decimal(18,2)").alias("revenue"),
+        *own,
     )
 
 

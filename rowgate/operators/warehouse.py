@@ -132,7 +132,11 @@ def file_verdicts(lines: DataFrame, outcome: DataFrame, by: str = "source_file")
 def job_ledger(per_file: DataFrame, listing: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
     """One row for each file, from its line counts; listed files without lines are FAILED, and so are those in ``failed``."""
     rows = per_file.select(
-        "source_file", F.col("lines_clean").alias("records_valid"), F.col("lines_rejected").alias("records_invalid"), "orders_loaded"
+        "source_file",
+        F.col("lines_clean").alias("records_valid"),
+        F.col("lines_rejected").alias("records_invalid"),
+        "orders_loaded",
+        *(c for c in per_file.columns if c == "orders_sketch"),
     )
     if listing is not None:
         rows = rows.join(listing.select("source_file"), "source_file", "full_outer").na.fill(0)

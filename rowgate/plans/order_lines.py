@@ -74,7 +74,9 @@ def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None
     good = F.lit(True) if clean_only else F.col("reason").isNull()
     spread = F.concat(F.lit("\x01"), F.xxhash64(*order, "order_id", "line_no").cast("string"))
     keyed = judged.withColumns({"__o": F.when(good, F.trim("order_id")).otherwise(spread), "__l": F.when(good, F.col("line_no_v"))})
-    ranked = rank_in_key(keyed.repartition("__o"), ["__o", "__l"], list(order), "__n")
+    # sorted by a number first: texts that start alike are dear to tell apart
+    keyed = keyed.repartition("__o").withColumn("__h", F.xxhash64("__o", "__l"))
+    ranked = rank_in_key(keyed, ["__h", "__o", "__l"], list(order), "__n").drop("__h")
     again = F.col("__n") > 1
     if loaded is not None:
         known = loaded.select(F.col("order_id").alias("__o"), F.col("line_no").alias("__l"), F.lit(True).alias("__seen")).distinct()

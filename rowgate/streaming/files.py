@@ -26,7 +26,7 @@ LOADS = {
     "rejects": "reason string, detail string, batch_id string, source_file string, order_id string, line_no string, customer_id string, order_ts string, sku string,"
     " qty string, unit_price string, line_total string, currency string, status string, channel string, raw_payload string, quarantined_at timestamp",
     "alerts": "alert_type string, severity string, metric_value decimal(14,2), order_id string, line_no int, customer_id string, batch_id string, source_file string",
-    "ledger": "source_file string, records_valid bigint, records_invalid bigint, orders_loaded bigint, status string, error_text string,"
+    "ledger": "source_file string, records_valid bigint, records_invalid bigint, orders_loaded bigint, orders_sketch binary, status string, error_text string,"
     " started_at timestamp, finished_at timestamp, duration_ms bigint",
     "health": "pending_files bigint, files_done bigint, failed_files bigint, last_file string, last_status string, last_error string, seen_at timestamp",
 }
@@ -94,7 +94,7 @@ class OrderStream:
             self._write("orders", out.orders, load_no)
             totals = out.decided.select("source_file", "reason", "order_id", F.col("total_v").alias("line_total"))
             first = out.rejects.groupBy("source_file").agg(F.min_by("detail", "source_line_no").alias("error_text"))
-            ledger = job_ledger(per_file(totals)).join(first, "source_file", "left")
+            ledger = job_ledger(per_file(totals, sketch=12)).join(first, "source_file", "left")
             ledger = ledger.withColumn("error_text", F.when(F.col("status") == "FAILED", F.col("error_text")))
             if landing is not None:
                 seen = self.loads("ledger").filter(F.col("load_no") < load_no)
@@ -130,9 +130,13 @@ class OrderStream:
 
 
 def accumulate(ledger: DataFrame) -> DataFrame:
-    """One row a file over all its loads: counts add up, the best status stays, so that a replay doesn't make a success a failure."""
+    """One row a file over all its loads: counts add up, the best status stays, so that a replay doesn't make a success a failure.
+
+    ``orders_loaded`` counts an order in each load that had lines of it; ``orders``, told from the ledger's sketches where it has them, once.
+    """
     best = F.array("status", F.lit("SUCCESS"), F.lit("PARTIAL"), F.lit("RUNNING"), F.lit("FAILED"))
     place = F.array_position(F.slice(best, 2, 4), F.col("status"))
+    distinct = [F.hll_sketch_estimate(F.hll_union_agg("orders_sketch")).alias("orders")] if "orders_sketch" in ledger.columns else []
     return ledger.groupBy("source_file").agg(
         *(F.sum(c).cast("bigint").alias(c) for c in ("records_valid", "records_invalid", "orders_loaded")),
         F.min_by("status", place).alias("status"),
@@ -141,6 +145,7 @@ def accumulate(ledger: DataFrame) -> DataFrame:
         F.max("finished_at").alias("finished_at"),
         F.sum("duration_ms").cast("bigint").alias("duration_ms"),
         F.count("*").alias("loads"),
+        *distinct,
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ class SeenKeys:
     failed must be repeated under its number, as its keys are known. A null is a key like another.
     """
 
+    #: Those whose query runs.
+    running: ClassVar[set[SeenKeys]] = set()
+
     def __init__(self, spark: SparkSession, path: str, keys: str, partitions: int | None = None) -> None:
         self.session, self.path, self.keys = spark.newSession(), path, T.StructType.fromDDL(keys)
         for name, value in _STATE.items():
@@ -59,6 +63,7 @@ class SeenKeys:
         if self.query is not None:
             self.query.stop()
             self.query = None
+        SeenKeys.running.discard(self)
 
     def _running(self):
         if self.query is None or not self.query.isActive:
@@ -67,6 +72,7 @@ class SeenKeys:
             least = inbox.groupBy(*self.keys.fieldNames()).agg(F.min("load_no").alias("load_no"))
             writer = least.writeStream.outputMode("update").option("checkpointLocation", f"{self.path}/state")
             self.query = writer.foreachBatch(self._answered).start()
+            SeenKeys.running.add(self)
         return self.query
 
     def _answered(self, batch: DataFrame, number: int) -> None:

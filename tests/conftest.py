@@ -22,3 +22,12 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def no_query_is_left():
+    yield
+    from rowgate.streaming.seen import SeenKeys
+
+    for seen in list(SeenKeys.running):
+        seen.close()

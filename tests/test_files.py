@@ -138,6 +138,15 @@ def test_a_replayed_file_keeps_its_status(spark, tmp_path):
     assert [(r.records_valid, r.records_invalid, r.status, r.loads) for r in stream.accumulated().collect()] == [(1, 1, "SUCCESS", 2)]
 
 
+def test_orders_of_several_loads_count_once(spark, tmp_path):
+    landing, stream = streamed(spark, tmp_path)
+    for load, line in enumerate((1, 2, 2)):
+        write(landing, "a.json", [json.dumps(BASE | {"line_no": line}), json.dumps(BASE | {"order_id": f"ORD-{load}x"})])
+        stream.load(files.read_lines(spark, str(landing)), load)
+    one = stream.accumulated().first()
+    assert (one.records_valid, one.orders_loaded, one.orders, one.loads) == (5, 5, 4, 3)
+
+
 def test_an_outage_loses_and_doubles_nothing(spark, tmp_path):
     landing, stream = streamed(spark, tmp_path)
     for n in range(3):
