@@ -198,3 +198,38 @@ def test_stage_keeps_rows_of_null_and_shared_ids(spark):
     kept = sorted(((r.doc_id or 0, r.text) for r in simhash.drop_near_duplicates(df).collect()))
     assert [x for x in kept if x[0]] == [(3, c), (7, d)]
     assert len(kept) == 4 and {t.removesuffix(" end") for i, t in kept if not i} == {a, b}
+
+
+def varied(rng, many, members, length, changes):
+    """Texts in families, each changed in some words."""
+    texts = []
+    for _ in range(many):
+        stem = [f"w{x}" for x in rng.integers(0, 10**6, length)]
+        for _ in range(members):
+            words = list(stem)
+            for at in rng.integers(0, length, int(rng.integers(0, changes + 1))):
+                words[at] = f"z{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    texts = [*varied(np.random.default_rng(6), 12, 14, 150, 3), "", " ", "one", "ONE", "one two"]
+    fps = [plain_fingerprint(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    want = groups(pairs, len(texts))
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(zip(fps, want, strict=True))
+    assert 20 < len(set(want)) < len(texts) - 20
+
+
+def test_stage_finds_what_is_alike(spark):
+    """Recall against all pairs of whole shingle sets, whether or not they share a band: families around the similarity."""
+    texts = varied(np.random.default_rng(7), 10, 12, 220, 7)
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= simhash.SIMILARITY * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.component_id for r in simhash.wide_groups(docs(spark, texts)).collect()}
+    found = sum(got[i] == got[j] for i, j in alike)
+    assert len(alike) > 100 and found >= 0.99 * len(alike)
+    want = groups(alike, len(texts))
+    assert all(want[i] == want[j] for i in range(len(texts)) for j in range(i) if got[i] == got[j])  # and nothing else
