@@ -110,14 +110,12 @@ class BucketTable:
     def _merge(self, rows: DataFrame, order: list[Column], keep: Column | None = None) -> int:
         """One row for each key of the touched buckets, the first by ``order``, if ``keep`` holds for it."""
         base, before = self._manifest()
-        extra = [f for f in rows.schema.fields if f.name.startswith("__")]
-        own = conform(rows, self.empty) if not extra else rows
-        own = staged(own)
+        own = staged(conform(rows, self.empty))
         touched = self._touched(own)
         if not touched:
             return base
         old = self._rows([before[b] for b in touched if b in before]).withColumn("__new", F.lit(0))
-        both = old.unionByName(own.withColumn("__new", F.lit(1)), allowMissingColumns=True).withColumns(
+        both = old.unionByName(own.withColumn("__new", F.lit(1))).withColumns(
             {"__bucket": self.bucket(), "__part": F.pmod(F.xxhash64(*self.keys, F.lit(12)), F.lit(self.parts))}
         )
         # this one deal serves the choice and the files
