@@ -2,14 +2,12 @@
 
 import random
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowgate.llm import minhash, queries
+from rowgate.llm import minhash
 
-DATA = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(5000)]
 
 
@@ -106,11 +104,3 @@ def test_pairs_at_the_similarity_meet():
         ka, kb = minhash.keys(np.array([a, b]))
         met += (ka == kb).any() and (a != b).sum() <= minhash.REACH
     assert met == 2000
-
-
-def test_matches_sql(spark):
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
-    want = con.execute(queries.oracle_sql()["op13_minhash_near_dedup"])
-    names = [d[0] for d in want.description]
-    assert sorted(tuple(r[c] for c in names) for r in queries.op13_minhash_near_dedup(spark, DATA).collect()) == sorted(want.fetchall())

@@ -10,7 +10,7 @@ from tests.test_queries import DATA, pytestmark, value  # noqa: F401
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     want = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in want.description]
@@ -22,7 +22,7 @@ def test_query_matches_sql(spark, name):
 
 def test_all_are_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
 
 
 def test_stages_in_order(spark, tmp_path):

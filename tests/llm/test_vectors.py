@@ -2,7 +2,6 @@
 
 import hashlib
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,16 +81,6 @@ def test_bounds_save_work(spark, monkeypatch):
     assert sum(searched) < n // 20
 
 
-def test_kmeans_matches_sql(spark):
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{DATA}/embeddings.parquet')")
-    want = con.execute(queries.oracle_sql()["op11_centroid_clustering"])
-    names = [d[0] for d in want.description]
-    df = queries.op11_centroid_clustering(spark, DATA)
-    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(want.fetchall())
-    assert df.count() == table(spark, DATA, "embeddings").count()
-
-
 # --- whitening ---
 
 
