@@ -46,17 +46,17 @@ def conditional_split(df: DataFrame, cases: list[tuple[str, Column]], default: s
     return {n: labelled.filter(F.col("__branch") == n).drop("__branch") for n in [*dict(cases), default]}
 
 
-def marked_lookup(df: DataFrame, reference: DataFrame, on: list[tuple[str, str]], returns: list[str], hit: str = "__hit") -> DataFrame:
+def marked_lookup(df: DataFrame, reference: DataFrame, on: list[tuple[str | Column, str]], returns: list[str], hit: str = "__hit") -> DataFrame:
     """``df`` with the reference's ``returns`` and whether a reference row was found; one row out for each row in.
 
-    ``on`` pairs a column of ``df`` with one of the reference. Of reference rows with equal keys the smallest
+    ``on`` pairs a column of ``df`` (or what is computed of its columns) with one of the reference. Of reference rows with equal keys the smallest
     counts. Returned names that ``df`` has replace its columns. Spark broadcasts the reference if its measured size allows.
     """
     keys = [f"__k{i}" for i in range(len(on))]
     columns = [F.col(r).alias(k) for k, (_, r) in zip(keys, on, strict=True)]
     slim = reference.select(*columns, F.struct(F.lit(True).alias("found"), *returns).alias("__r"))
     slim = slim.groupBy(*keys).agg(F.min("__r").alias("__r"))
-    condition = reduce(lambda a, b: a & b, (F.col(d) == F.col(k) for k, (d, _) in zip(keys, on, strict=True)))
+    condition = reduce(lambda a, b: a & b, ((F.col(d) if isinstance(d, str) else d) == F.col(k) for k, (d, _) in zip(keys, on, strict=True)))
     joined = df.join(slim, condition, "left").withColumn(hit, F.col("__r").isNotNull())
     return joined.withColumns({r: F.col("__r")[r] for r in returns}).drop("__r", *keys)
 

@@ -10,14 +10,17 @@ from rowgate.functions.scalar import percentage
 HEADER = ("customer_id", "order_ts", "status", "channel", "payment_type", "currency", "batch_id", "source_file")
 
 
-def orders(items: DataFrame, header: tuple[str, ...] = HEADER) -> DataFrame:
-    """One row for each order: the largest of each header value, the sum of totals (decimal, so in any order) and quantities."""
+def orders(items: DataFrame, header: tuple[str, ...] = HEADER, dealt: str | None = None) -> DataFrame:
+    """One row for each order: the largest of each header value, the sum of totals (decimal, so in any order) and quantities.
+
+    ``dealt`` is a column that the items of an order share and are dealt by already, so that they needn't be dealt again.
+    """
     own = [c for c in header if c in items.columns]
-    return items.groupBy("order_id").agg(
+    return items.groupBy(*([dealt] if dealt else []), "order_id").agg(
         *(F.max(c).alias(c) for c in own),
         F.sum(F.col("line_total").cast("decimal(14,2)")).alias("order_total"),
         F.sum("qty").cast("bigint").alias("item_count"),
-    )
+    ).drop(*([dealt] if dealt else []))
 
 
 def histogram(df: DataFrame, label: str, count: str = "n") -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from rowgate.contract import DATA_FLOW_ERRORS
 from rowgate.functions import scalar as S
 from rowgate.operators import compare, flow, fuzzy, ladder, rollup, seedfaults, terms, warehouse
-from rowgate.plans.order_lines import decide, process
-from rowgate.plans.queries import AS_OF_MS, CONTRACT, OTHER, batch, customers, decided, order_lines, products, run_of, table
+from rowgate.plans.order_lines import judge, judge_changed, process_judged
+from rowgate.plans.queries import AS_OF_MS, CONTRACT, DEALT, OTHER, _ledger_of, batch, customers, decided, kept, known_lines, order_lines, products, run_of, table
 from rowgate.plans.views import views
 from rowgate.sinks import tables as sinks
 from rowgate.sinks.logged import export_column, logged_split
@@ -345,19 +345,20 @@ def row_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rebased_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order times moved by a day: what falls out of the window then."""
-    moved = seedfaults.rebase(order_lines(spark, sf_dir), -86_400_000)
-    judged = decide(moved, products(spark, sf_dir), customers(spark, sf_dir), CONTRACT, AS_OF_MS)
+    judged = judge(seedfaults.rebase(known_lines(spark, sf_dir), -86_400_000), CONTRACT, AS_OF_MS)
     return rollup.histogram(judged.select(F.coalesce("reason", F.lit("CLEAN")).alias("reason")), "reason")
 
 
 def replay_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of known outcome and a replay of the clean ones: each fault's variants get its reason, each replayed line DUP_KEY."""
-    clean = staged(batch(spark, sf_dir).decided.filter("reason is null").select(*order_lines(spark, sf_dir).columns))
+    named = (*LINE, "source_file", "l_partkey", "l_suppkey", "known_sku", "known_customer")
+    clean = staged(batch(spark, sf_dir).decided.filter("reason is null").select(*named))
     keys = ["order_id", "line_no"]
     spoiled = seedfaults.variants(clean, 20, keys)
     replayed = seedfaults.replay(clean.withColumns({"fault": F.lit(None).cast("string"), "expected_reason": F.lit(None).cast("string")}), 10, keys)
     lines = spoiled.withColumn("replayed", F.lit(False)).unionByName(replayed)
-    out = process(lines, products(spark, sf_dir), customers(spark, sf_dir), CONTRACT, AS_OF_MS, order=("source_file", "replayed", "l_partkey", "l_suppkey"))
+    judged = judge_changed(lines, F.col("fault").isNotNull(), products(spark, sf_dir), customers(spark, sf_dir), CONTRACT, AS_OF_MS)
+    out = process_judged(judged, CONTRACT, order=("source_file", "replayed", "l_partkey", "l_suppkey"))
     table_ = compare.expected_vs_actual(out.decided.withColumn("expected_reason", F.when(F.col("replayed"), "DUP_KEY").otherwise(F.col("expected_reason"))))
     wrong = F.col("expected") != F.col("actual")
     # a replayed line whose first copy was spoiled loads in its place
@@ -368,25 +369,24 @@ def replay_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replay-safe and payload-kept checks of a run that is fed twice."""
     first = batch(spark, sf_dir)
-    loaded = staged(first.items.select("order_id", "line_no", "sku", "qty", "line_total"))
-    again = batch(spark, sf_dir, loaded=loaded.select("order_id", "line_no"))
+    loaded = staged(first.items.select("order_id", "line_no", DEALT))
+    again = kept(spark, sf_dir, loaded=loaded)
     return compare.replay_checks(loaded, again.items, sinks.quarantine(again.rejects))
 
 
 def file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PASS or FAIL for each file: every line loaded or rejected, no clean line lost. Files of lines with a late part miss some."""
-    kept = batch(spark, sf_dir).decided
-    outcome = kept.filter("not (l_partkey % 1000 = 7)")
+    outcome = batch(spark, sf_dir).decided.filter("not (l_partkey % 1000 = 7)")
     return warehouse.file_verdicts(order_lines(spark, sf_dir), outcome)
 
 
 def views_of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts and totals of the reports over a loaded run."""
-    run = batch(spark, sf_dir)
+    run = kept(spark, sf_dir)
     at = F.timestamp_millis("order_ts")
     items, raised = run.items.withColumn("ingest_ts", at), run.alerts.withColumn("alert_ts", at)
     rejects = sinks.quarantine(run.rejects).withColumn("quarantined_at", F.timestamp_millis(F.col("order_ts").cast("bigint")))
-    ledger = warehouse.job_ledger(rollup.per_file(decided(spark, sf_dir))).withColumns({"finished_at": F.timestamp_seconds(F.lit(0)), "duration_ms": F.lit(1).cast("bigint")})
+    ledger = warehouse.job_ledger(_ledger_of(run)).withColumns({"finished_at": F.timestamp_seconds(F.lit(0)), "duration_ms": F.lit(1).cast("bigint")})
     reports = views(run.orders.withColumn("ingest_ts", at), items, rejects, raised, ledger, F.timestamp_seconds(F.lit(0)), "1 day")
     measures = {
         "orders_per_minute": F.sum("orders"), "revenue_by_category": F.sum("orders"), "quality_per_minute": F.sum("rejected"), "reject_reasons": F.sum("n"),

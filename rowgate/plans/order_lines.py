@@ -28,23 +28,36 @@ def with_references(lines: DataFrame, products: DataFrame, customers: DataFrame)
     """Lines with ``known_sku``, ``known_customer`` and the references' columns (category, catalog_price, country, segment where given)."""
     product = [c for c in ("category", "catalog_price") if c in products.columns]
     person = [c for c in ("country", "segment") if c in customers.columns]
-    trimmed = lines.withColumns({"__sku": F.trim("sku"), "__customer": F.trim("customer_id")})
-    out = marked_lookup(trimmed, products, [("__sku", "sku")], product, "known_sku")
-    return marked_lookup(out, customers, [("__customer", "customer_id")], person, "known_customer").drop("__sku", "__customer")
+    out = marked_lookup(lines, products, [(F.trim("sku"), "sku")], product, "known_sku")
+    return marked_lookup(out, customers, [(F.trim("customer_id"), "customer_id")], person, "known_customer")
 
 
-def decide(lines: DataFrame, products: DataFrame, customers: DataFrame, contract: Contract, as_of_ms: int, strict: Column | None = None) -> DataFrame:
-    """Every raw line with its first reason, or null; lines that are no records count as PARSE_ERROR."""
-    known = with_references(typed(lines), products, customers)
-    return ladder(known, _rules(lines, contract, as_of_ms, strict))
+def judge(known: DataFrame, contract: Contract, as_of_ms: int, strict: Column | None = None) -> DataFrame:
+    """Every raw line that has its references' marks (``with_references``) with its first reason, or null."""
+    return ladder(typed(known), _rules(known, contract, as_of_ms, strict))
 
 
-def decide_each(lines: DataFrame, products: DataFrame, customers: DataFrame, contracts: dict[str, Contract], as_of_ms: int) -> DataFrame:
-    """Every raw line under several contracts, in one scan: ``reason_`` and the contract's name."""
-    known = with_references(typed(lines), products, customers)
+def judge_each(known: DataFrame, contracts: dict[str, Contract], as_of_ms: int) -> DataFrame:
+    """The same under several contracts, in one scan: ``reason_`` and the contract's name."""
+    out = typed(known)
     for name, contract in contracts.items():
-        known = ladder(known, _rules(lines, contract, as_of_ms, None)).withColumnRenamed("reason", f"reason_{name}").drop("detail")
-    return known
+        out = ladder(out, _rules(known, contract, as_of_ms, None)).withColumnRenamed("reason", f"reason_{name}").drop("detail")
+    return out
+
+
+def judge_changed(known: DataFrame, changed: Column, products: DataFrame, customers: DataFrame, contract: Contract, as_of_ms: int) -> DataFrame:
+    """``judge`` for lines of which some were ``changed`` after their references were looked up: those alone are looked up again.
+
+    The lines are read twice, so write them first.
+    """
+    found = [c for c in ("category", "catalog_price", "country", "segment") if c in known.columns]
+    again = with_references(known.filter(changed).drop("known_sku", "known_customer", *found), products, customers)
+    return judge(known.filter(~changed).unionByName(again.select(*known.columns)), contract, as_of_ms)
+
+
+def decide(lines: DataFrame, products: DataFrame, customers: DataFrame, contract: Contract, as_of_ms: int, strict: Column | None = None) -> DataFrame:
+    """Every raw line with its first reason, or null; lines that are no records count as PARSE_ERROR."""
+    return judge(with_references(lines, products, customers), contract, as_of_ms, strict)
 
 
 def _rules(lines: DataFrame, contract: Contract, as_of_ms: int, strict: Column | None) -> list[Rule]:
@@ -63,22 +76,32 @@ def clean_keys(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("reason").isNull()).select(F.trim("order_id").alias("order_id"), F.col("line_no_v").cast("bigint").alias("line_no"))
 
 
-def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None = None, clean_only: bool = False) -> DataFrame:
+def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None = None, clean_only: bool = False, dealt: str | None = None) -> DataFrame:
     """Judged lines, each once, with DUP_KEY where a clean line isn't the first of its key or ``loaded`` has the key.
 
     ``__o`` and ``__l`` are the key of a clean line. One deal by order serves the choice of the first line and whatever is
     grouped by ``__o`` later; rejected lines have no part in it and are spread by a hash. With ``clean_only`` there are none.
+    ``dealt`` is a column that lines of an order share and that they are dealt by already (by a join, say): then they stay where
+    they are. ``loaded`` must have it, too.
     """
     if clean_only:
         judged = judged.filter(F.col("reason").isNull())
     good = F.lit(True) if clean_only else F.col("reason").isNull()
     spread = F.concat(F.lit("\x01"), F.xxhash64(*order, "order_id", "line_no").cast("string"))
-    keyed = judged.withColumns({"__o": F.when(good, F.trim("order_id")).otherwise(spread), "__l": F.when(good, F.col("line_no_v"))})
+    key = F.when(good, F.trim("order_id"))
+    keyed = judged.withColumns({"__o": key if dealt else key.otherwise(spread), "__l": F.when(good, F.col("line_no_v"))})
     # sorted by a number first: texts that start alike are dear to tell apart
-    keyed = keyed.repartition("__o").withColumn("__h", F.xxhash64("__o", "__l"))
-    ranked = rank_in_key(keyed, ["__h", "__o", "__l"], list(order), "__n").drop("__h")
+    keyed = (keyed if dealt else keyed.repartition("__o")).withColumn("__h", F.xxhash64("__o", "__l"))
+    ranked = rank_in_key(keyed, [*([dealt] if dealt else []), "__h", "__o", "__l"], list(order), "__n").drop("__h")
     again = F.col("__n") > 1
-    if loaded is not None:
+    if loaded is not None and dealt:
+        # an order's keys in one row, so that the lines meet them where they are
+        mine = F.struct(F.col("order_id").alias("o"), F.col("line_no").cast("bigint").alias("l"))
+        known = loaded.groupBy(F.col(dealt).alias("__d")).agg(F.collect_set(mine).alias("__keys"))
+        own = F.struct(F.col("__o").alias("o"), F.col("__l").cast("bigint").alias("l"))
+        ranked = ranked.join(known, F.col(dealt) == F.col("__d"), "left").withColumn("__seen", F.array_contains("__keys", own)).drop("__d", "__keys")
+        again = again | F.coalesce("__seen", F.lit(False))
+    elif loaded is not None:
         known = loaded.select(F.col("order_id").alias("__o"), F.col("line_no").alias("__l"), F.lit(True).alias("__seen")).distinct()
         ranked = ranked.join(known, ["__o", "__l"], "left")
         again = again | F.coalesce("__seen", F.lit(False))
@@ -93,7 +116,7 @@ def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None
     ).drop("__n", "__seen")
 
 
-def items_of(outcome: DataFrame) -> DataFrame:
+def items_of(outcome: DataFrame, dealt: str | None = None) -> DataFrame:
     """The lines that load, typed, with ``quality_status``, ``defects`` and the right total where it isn't quantity times price."""
     first = outcome.filter(F.col("reason").isNull())
     named = ("status", "channel", "payment_type", "category", "catalog_price", "country", "segment", "batch_id", "source_file")
@@ -107,16 +130,17 @@ def items_of(outcome: DataFrame) -> DataFrame:
         F.col("total_v").cast("decimal(14,2)").alias("line_total"),
         F.col("ts_v").alias("order_ts"),
         *(c for c in named if c in first.columns),
+        *([dealt] if dealt else []),
         F.upper(F.trim("currency")).alias("currency"),
     )
     return consistency(items, "qty", "unit_price", "line_total")
 
 
-def split(outcome: DataFrame, contract: Contract, clean: DataFrame | None = None) -> Batch:
+def split(outcome: DataFrame, contract: Contract, clean: DataFrame | None = None, dealt: str | None = None) -> Batch:
     """A batch from its outcomes; ``clean`` has those of clean lines alone, if that is cheaper to have than to filter."""
     decided = outcome.drop("__o", "__l")
-    items = items_of(outcome if clean is None else clean)
-    return Batch(decided, items, rejected(decided), orders(items), alerts(items, contract))
+    items = items_of(outcome if clean is None else clean, dealt)
+    return Batch(decided, items, rejected(decided), orders(items, dealt=dealt), alerts(items, contract))
 
 
 def process(
@@ -132,5 +156,11 @@ def process(
 
     Each output is a plan of its own with one scan of the lines. Where several are needed, keep ``outcomes`` and ``split`` it.
     """
-    judged = decide(lines, products, customers, contract, as_of_ms)
-    return split(outcomes(judged, order, loaded), contract, outcomes(judged, order, loaded, clean_only=True))
+    return process_judged(decide(lines, products, customers, contract, as_of_ms), contract, loaded, order)
+
+
+def process_judged(
+    judged: DataFrame, contract: Contract, loaded: DataFrame | None = None, order: tuple[str, ...] = ("source_file", "source_line_no"), dealt: str | None = None
+) -> Batch:
+    """``process`` for lines that are judged already."""
+    return split(outcomes(judged, order, loaded, dealt=dealt), contract, outcomes(judged, order, loaded, clean_only=True, dealt=dealt), dealt)
