@@ -56,7 +56,8 @@ def _pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     a = left.select("t", F.explode(_probes(F.col("t"), most)).alias("k"))
     b = right.select("u", F.explode(F.array_distinct(_segments(F.col("u"), most))).alias("k"))
     edits = F.levenshtein("t", "u", most)  # -1 beyond it, and no more work than up to it
-    return a.join(b, "k").select("t", "u", edits.alias("edits")).filter("edits >= 0").distinct()
+    # the keys are many times what they are made of, which is what Spark would judge a broadcast by
+    return a.join(b.hint("merge"), "k").select("t", "u", edits.alias("edits")).filter("edits >= 0").distinct()
 
 
 def fuzzy_lookup(df: DataFrame, reference: DataFrame, column: str, ref_column: str, most: int = 2) -> DataFrame:
@@ -70,7 +71,7 @@ def fuzzy_lookup(df: DataFrame, reference: DataFrame, column: str, ref_column: s
     texts = df.select(_clean(column).alias("t")).filter("t is not null").distinct()
     others = reference.select(_clean(ref_column).alias("u"), F.col(ref_column).alias("name")).filter("u is not null")
     names = others.groupBy("u").agg(F.min("name").alias("name"))
-    close = _pairs(texts, names.select("u"), most).join(names, "u")
+    close = _pairs(texts, names.select("u"), most).join(names.hint("merge"), "u")
     best = close.groupBy("t").agg(F.min(F.struct("edits", "name")).alias("m")).withColumnRenamed("t", "__t")
     joined = df.withColumn("__t", _clean(column)).join(best, "__t", "left")
     return joined.select(*df.columns, F.col("m.name").alias("matched"), F.col("m.edits").alias("edits"))
