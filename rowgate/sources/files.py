@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowgate.contract import RAW_LINE
 from rowgate.functions.scalar import file_stem
+from rowgate.sources.scratch import files_of
 
 #: The bytes in which code page 1252 differs from ISO 8859-1, which Spark reads.
 _C1 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
@@ -207,12 +211,26 @@ def stamp(df: DataFrame, as_of: Column | None = None, source_file: str = "source
 
 
 def dead_letters(spark: SparkSession, path: str, seen: DataFrame, most: int = 4000) -> DataFrame:
-    """One READER_FAILURE row for each parked file that ``seen`` doesn't name, with its first ``most`` characters."""
-    texts = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("source_file"), F.substring("value", 1, most).alias("payload")
-    )
-    listing = list_files(spark, path, "")
-    rows = listing.select("source_file").join(texts, "source_file", "left").join(seen.select("source_file"), "source_file", "left_anti")
+    """One READER_FAILURE row for each parked file that ``seen`` doesn't name, with its first ``most`` characters.
+
+    The tasks read no more of a file than that, whatever its size and lines. ``path`` is a folder that all executors reach: a shared one,
+    or an address that Arrow's file systems know.
+    """
+    at, _ = files_of(spark, path)
+    uri = at.toUri()
+    where = uri.getPath() if uri.getScheme() in (None, "file") else path.rstrip("/")
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(where)
+        for batch in batches:
+            found = []
+            for name in batch.column("source_file").to_pylist():
+                with fs.open_input_stream(f"{base}/{name}") as file:
+                    found.append(file.read(4 * most))  # a character has four bytes at most
+            yield pa.RecordBatch.from_arrays([batch.column("source_file"), pa.array(found, pa.binary())], ["source_file", "head"])
+
+    new = list_files(spark, path, "").select("source_file").join(seen.select("source_file"), "source_file", "left_anti")
+    rows = new.mapInArrow(heads, "source_file string, head binary").withColumn("payload", F.substring(F.col("head").cast("string"), 1, most))
     shown = F.when(F.coalesce(F.trim("payload"), F.lit("")) == "", "<empty file>").otherwise(F.col("payload"))
     return rows.select("source_file", F.lit("READER_FAILURE").alias("reason"), shown.alias("raw_payload"))
 
