@@ -80,10 +80,11 @@ def source_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.pending(_listing(spark, sf_dir), done, 10**15, 5).select("source_file", "bytes")
 
 
-def source_files_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_files_on_disk(spark: SparkSession, sf_dir: str, records_per_file: int = 50_000) -> DataFrame:
     """Files as the file system lists them, and as whole files: all bytes are there."""
     path = scratch_path(spark)
-    _records(spark, sf_dir).select("value").write.text(path)
+    # a whole file is one row, so files are kept small
+    _records(spark, sf_dir).select("value").write.option("maxRecordsPerFile", records_per_file).text(path)
     listed = files.list_files(spark, path, ".txt").filter("bytes > 0").agg(F.sum("bytes").alias("listed_bytes"))
     read = read_whole_files(spark, path, "*.txt").agg(F.sum("bytes").alias("read_bytes"), F.sum(F.octet_length("content")).cast("bigint").alias("content_bytes"))
     lines = files.read_lines(spark, path).agg(F.count("*").alias("lines"), F.sum(F.octet_length("raw_line") + 1).alias("line_bytes"))

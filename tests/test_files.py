@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from rowgate.contract import Contract
+from rowgate.plans import file_queries
 from rowgate.sinks.tables import Table, conform, quarantine, reason_json, replace_batch, write_jdbc, write_rejects
 from rowgate.sources import files
 from rowgate.sources.tables import read_jdbc
@@ -200,3 +201,19 @@ def test_windowed_stream(spark, tmp_path):
     query = windowed(stream, "ts", "1 minute", "10 minutes", [], F.sum("v").alias("total")).writeStream.format("memory").queryName("w").outputMode("complete")
     query.trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.total for r in spark.table("w").collect()) == [3, 4]
+
+
+def test_dead_letters_read_no_more_than_they_show(spark, tmp_path):
+    with open(tmp_path / "huge.json", "wb") as f:
+        f.write("é".encode() * 5000)
+        f.truncate(3 << 30)  # holes: no disk, but more than a row may have
+    (tmp_path / "small.json").write_text("one\r\ntwo\n")
+    rows = {r.source_file: r.raw_payload for r in files.dead_letters(spark, str(tmp_path), spark.createDataFrame([], "source_file string")).collect()}
+    assert rows == {"huge.json": "é" * 4000, "small.json": "one\r\ntwo\n"}
+
+
+def test_whole_files_are_written_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_queries, "scratch_path", lambda spark: str(tmp_path / "w"))
+    one = file_queries.source_files_on_disk(spark, "/root/testdata/sf0.001", 1000).first()
+    assert one.lines > 1000 and one.same_listed_bytes and one.same_read_bytes and one.same_content_bytes
+    assert max(len(p.read_text().splitlines()) for p in (tmp_path / "w").glob("*.txt")) == 1000
