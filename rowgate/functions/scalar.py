@@ -41,6 +41,13 @@ def divide(a: Column, b: Column, whole: bool) -> Column:
     return F.try_divide(a, b)
 
 
+def divide_wide(a: Column, b: Column) -> Column:
+    """``/`` of a whole number of up to 38 digits by one of eight bytes; null by zero, and where the quotient is 2^63 or more either way."""
+    dividend, divisor = a.cast("decimal(38,0)"), F.nullif(b.cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)"))
+    fits = F.abs(dividend) < F.abs(divisor) * F.lit(str(1 << 63)).cast("decimal(19,0)")
+    return F.when(fits, F.call_function("div", dividend, divisor))
+
+
 def parse_int(c: Column) -> Column:
     """Whole numbers with an optional sign and outer blanks; anything else, ``5.0`` and ``1_0`` too, is null."""
     return F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c)).try_cast("int")

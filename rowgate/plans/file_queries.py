@@ -428,7 +428,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderdate") + F.expr("interval 10 minutes")).alias("later"),
         F.round(S.parse_number(priced).cast("decimal(14,2)"), 1).cast("double").alias("price"),
         F.from_json(F.to_json(F.struct(F.col("o_custkey").alias("c"))), "c bigint")["c"].alias("customer"),
-        S.divide(F.col("o_orderkey") * F.lit(1 << 40), F.lit(-3), True).alias("third"),
+        S.divide_wide(F.col("o_orderkey").cast("decimal(19,0)") * F.lit(1 << 40).cast("decimal(13,0)"), F.lit(-3)).alias("third"),
         S.file_stem(F.concat(F.lit("a."), F.col("o_orderstatus"), F.lit(".json"))).alias("stem"),
     )
 

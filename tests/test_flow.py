@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from rowgate.functions import scalar as S
 from rowgate.functions.types import convert, spark_type
 from rowgate.operators import compare, flow, fuzzy, rollup, seedfaults, terms, warehouse
+from rowgate.plans import file_queries
 
 
 def rows(df):
@@ -191,3 +193,23 @@ def test_phrases_and_lookup(spark):
     found = sorted((r.k, r.term, r.n) for r in terms.term_lookup(df, "s", wanted).collect())
     assert found == [(1, "red ring", 2), (1, "ring", 2), (2, "bolt of steel", 1)]
     assert terms.term_lookup(df, "s", wanted.limit(0)).columns == ["k", "s", "term", "n"]
+
+
+def test_keys_of_a_fuzzy_lookup_are_never_broadcast(spark):
+    texts = spark.createDataFrame([("abc",), ("abd",)], "name string")
+    plan = fuzzy.fuzzy_lookup(texts, texts, "name", "name", 1)._jdf.queryExecution().executedPlan().toString()
+    pairs = plan[plan.index("levenshtein"):]
+    assert "SortMergeJoin" in pairs and "BroadcastHashJoin" not in pairs
+
+
+def test_wide_division(spark):
+    product = F.lit(9_000_000).cast("decimal(19,0)") * F.lit(1 << 40).cast("decimal(13,0)")  # beyond eight bytes
+    one = spark.range(1).select(S.divide_wide(product, F.lit(-3)), S.divide_wide(product, F.lit(1)), S.divide_wide(product, F.lit(0)), S.divide_wide(F.lit(-7), F.lit(2))).first()
+    assert tuple(one) == (-(9_000_000 * (1 << 40) // 3), None, None, -3)
+
+
+def test_scalar_functions_of_large_keys(spark, tmp_path):
+    row = [(9_000_000, 1, "O", 1.25, datetime.datetime(1998, 1, 1), "1-URGENT")]
+    made = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(row, made).write.parquet(str(tmp_path / "orders.parquet"))
+    assert file_queries.scalar_functions(spark, str(tmp_path)).first().third == -(9_000_000 * (1 << 40) // 3)
