@@ -184,7 +184,8 @@ def sink_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejects as text rows, written by two outputs to one folder, and read back."""
     path = scratch_path(spark)
-    rows = sinks.quarantine(ladder.rejected(decided(spark, sf_dir)), as_of=F.lit("2020-01-01").cast("timestamp"))
+    judged = decided(spark, sf_dir).withColumn("raw_line", F.to_json(F.struct(*LINE)))
+    rows = sinks.quarantine(ladder.rejected(judged), as_of=F.lit("2020-01-01").cast("timestamp"))
     sinks.write_rejects(rows.filter("reason = 'UNKNOWN_SKU'"), path)
     sinks.write_rejects(rows.filter("reason <> 'UNKNOWN_SKU'"), path)
     back = spark.read.schema(rows.schema).json(path)

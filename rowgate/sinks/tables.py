@@ -103,8 +103,8 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = Tru
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:
-    """JSON lines; every write has file names of its own, so two rejecting outputs share a folder."""
-    rejects.write.mode("append").json(path)
+    """JSON lines, compressed; every write has file names of its own, so two rejecting outputs share a folder."""
+    rejects.write.mode("append").option("compression", "gzip").json(path)
 
 
 def write_jdbc(df: DataFrame, url: str, name: str, batch: int = 500, **options: str) -> None:

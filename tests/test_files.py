@@ -217,3 +217,25 @@ def test_whole_files_are_written_small(spark, tmp_path, monkeypatch):
     one = file_queries.source_files_on_disk(spark, "/root/testdata/sf0.001", 1000).first()
     assert one.lines > 1000 and one.same_listed_bytes and one.same_read_bytes and one.same_content_bytes
     assert max(len(p.read_text().splitlines()) for p in (tmp_path / "w").glob("*.txt")) == 1000
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text("".join(f"{name}{i}\n" if i % 7 else "\n" for i in range(1, 3001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = files.read_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 4
+        found = rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(tuple(r) for r in found) == sorted((f"{n}{i}", f"{n}.json", i) for n in "ab" for i in range(1, 3001) if i % 7)
+    assert "SortMergeJoin" not in plan
+
+
+def test_quarantined_text_is_the_record_and_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_queries, "scratch_path", lambda spark: str(tmp_path / "w"))
+    back = file_queries.sink_quarantine(spark, "/root/testdata/sf0.001")
+    assert back.count() > 1 and {p.suffix for p in (tmp_path / "w").glob("part-*")} == {".gz"}
+    assert set(json.loads(spark.read.json(str(tmp_path / "w")).first().raw_payload)) <= set(file_queries.LINE)
