@@ -32,15 +32,15 @@ def number_lines(lines: DataFrame) -> DataFrame:
     """``raw_line``, ``source_file``, ``source_line_no`` (of all lines, from 1), blank lines left out.
 
     Lines are numbered within the blocks that the reader cut the file into, and each block starts after the lines of
-    those before it, so no task holds a whole file.
+    those before it, so no task holds a whole file. A block's lines follow one another in one task, so a line's number in it is
+    told by its place, and lines stay where they were read; only the blocks, a row each, come together.
     """
-    own = Window.partitionBy("source_file", "block").orderBy("at")
-    numbered = lines.withColumn("at", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(own))
+    placed = lines.withColumn("at", F.monotonically_increasing_id())
     before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("source_file", "block").agg(F.count("*").alias("lines"))
+    blocks = placed.groupBy("source_file", "block").agg(F.count("*").alias("lines"), F.min("at").alias("first"))
     blocks = blocks.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0))).drop("lines")
-    placed = numbered.join(blocks, ["source_file", "block"]).filter(F.trim("raw_line") != "")
-    return placed.select("raw_line", "source_file", (F.col("n") + F.col("before")).cast("long").alias("source_line_no"))
+    numbered = placed.join(F.broadcast(blocks), ["source_file", "block"]).filter(F.trim("raw_line") != "")
+    return numbered.select("raw_line", "source_file", (F.col("at") - F.col("first") + 1 + F.col("before")).cast("long").alias("source_line_no"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
