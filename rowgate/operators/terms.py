@@ -31,15 +31,17 @@ def phrases(df: DataFrame, text: str, longest: int = 3, stop: tuple[str, ...] =
     ``score`` is n * ln(all rows / rows), so a phrase that every row has scores 0. Phrases that start or end with a word of ``stop`` are left
     out, and no phrase crosses what isn't a letter, a digit or a blank's kind of gap between two words. Null texts have none.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("row"), words_of(text).alias("w"))
     found = F.flatten(F.array(*(_grams(F.col("w"), size) for size in range(shortest, longest + 1))))
+    # sorted within the row, so that a row's first of a term is told by the one before it, and nothing is dealt by row
+    sorted_ = df.select(words_of(text).alias("w")).select(F.sort_array(found).alias("g"))
+    pairs = F.arrays_zip("g", F.concat(F.array(F.lit(None).cast("string")), "g")).cast("array<struct<term: string, before: string>>")
     term = F.col("term")
-    each = rows.select("row", F.explode(found).alias("term"))
+    each = sorted_.select(F.explode(pairs).alias("p")).select("p.term", "p.before").filter("term is not null")
     if stop:
         ends = F.array(*(F.lit(s) for s in stop))
         each = each.filter(~F.array_contains(ends, F.substring_index(term, " ", 1)) & ~F.array_contains(ends, F.substring_index(term, " ", -1)))
-    by_row = each.groupBy("row", "term").agg(F.count("*").alias("n"))
-    counted = by_row.groupBy("term").agg(F.sum("n").cast("bigint").alias("n"), F.count("*").alias("rows")).filter(F.col("n") >= at_least)
+    first = ~term.eqNullSafe(F.col("before"))
+    counted = each.groupBy("term").agg(F.count("*").alias("n"), F.count_if(first).alias("rows")).filter(F.col("n") >= at_least)
     total = df.agg(F.count("*").alias("total"))  # one row
     score = F.col("n") * F.log(F.col("total") / F.col("rows"))
     return counted.crossJoin(total).select("term", "n", "rows", score.alias("score"))
