@@ -116,6 +116,19 @@ def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None
     ).drop("__n", "__seen")
 
 
+def outcomes_each(judged: DataFrame, names: tuple[str, ...], order: tuple[str, ...], dealt: str) -> DataFrame:
+    """Lines of ``judge_each``, each once, with a struct ``run_`` and its name for every contract: what ``outcomes`` says, without details.
+
+    The lines stay where ``dealt`` put them, so one deal serves all contracts.
+    """
+    out = judged
+    for name in names:
+        own = out.withColumns({"reason": F.col(f"reason_{name}"), "detail": F.lit(None).cast("string"), "__order": F.col("order_id"), "__line": F.col("line_no")})
+        run = F.struct("reason", "order_id", "line_no", "__o", "__l").alias(f"run_{name}")
+        out = outcomes(own, order, dealt=dealt).select(*(c for c in out.columns if c not in ("order_id", "line_no", f"reason_{name}")), F.col("__order").alias("order_id"), F.col("__line").alias("line_no"), run)
+    return out.drop("order_id", "line_no")
+
+
 def items_of(outcome: DataFrame, dealt: str | None = None) -> DataFrame:
     """The lines that load, typed, with ``quality_status``, ``defects`` and the right total where it isn't quantity times price."""
     first = outcome.filter(F.col("reason").isNull())

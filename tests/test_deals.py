@@ -6,9 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rowgate.operators import seedfaults
+from rowgate.operators import seedfaults, terms
 from rowgate.plans import queries as q
 from rowgate.plans.order_lines import decide, judge_changed, process
+from rowgate.sources.scratch import staged
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -57,3 +58,31 @@ def test_changed_lines_alone_are_looked_up_again(spark):
     slow = decide(lines.drop(*q._MARKS), *references, q.CONTRACT, q.AS_OF_MS)
     count = lambda df: sorted(map(str, df.groupBy("fault", "reason", "known_sku", "known_customer").count().collect()))
     assert count(fast) == count(slow)
+
+
+def test_two_captures_read_the_lines_once(spark, monkeypatch):
+    read, table = [], q.table
+    monkeypatch.setattr(q, "table", lambda s, d, name: read.append(name) or table(s, d, name))
+    q.capture_diff(spark, DATA)
+    assert read.count("lineitem") == 1
+
+
+def test_outcomes_under_several_contracts_are_those_of_each(spark):
+    for run, contract in zip(q.kept_each(spark, DATA, a=q.CONTRACT, b=q.OTHER).values(), (q.CONTRACT, q.OTHER), strict=True):
+        alone = q.kept(spark, DATA, contract)
+        for many, one in ((run.decided, alone.decided.drop("detail")), (run.items, alone.items), (run.alerts, alone.alerts), (run.orders, alone.orders)):
+            names = sorted(one.columns)
+            assert sorted(many.columns) == names
+            many, one = many.select(*names), one.select(*names)
+            assert many.exceptAll(one).count() == one.exceptAll(many).count() == 0 < one.count()
+
+
+def test_phrases_are_dealt_by_term_alone(spark):
+    df = spark.createDataFrame([("a b a b c",), ("a b",), (None,)], "s string")
+    found = terms.phrases(df, "s", 2, (), 1, 2)
+    assert deals(found) == {"term"}
+    assert {r.term: (r.n, r.rows) for r in found.collect()} == {"a b": (3, 2), "b a": (1, 1), "b c": (1, 1)}
+
+
+def test_scratch_tables_are_packed(spark):
+    assert all(f.endswith(".zstd.parquet") for f in staged(spark.range(10)).inputFiles())
