@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def derive(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Computed columns; an existing name is an error."""
     taken = set(columns) & set(df.columns)
@@ -61,6 +61,29 @@ def marked_lookup(df: DataFrame, reference: DataFrame, on: list[tuple[str | Colu
     return joined.withColumns({r: F.col("__r")[r] for r in returns}).drop("__r", *keys)
 
 
+def _broadcast_limit(spark) -> int:
+    """Spark's limit of broadcasts in bytes, negative where it may not broadcast."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def number_lookup(df: DataFrame, reference: DataFrame, on: tuple[str, str], returns: list[str], hit: str = "__hit") -> DataFrame:
+    """``marked_lookup`` by one whole number.
+
+    Whether the reference has it is told by a row of bits for every 64 numbers in succession, as long as Spark may broadcast those rows (they are
+    counted here). Then rows are dealt by the number only if a plan uses the ``returns``: else Spark leaves that join out.
+    """
+    column, key = (F.col(c).cast("bigint") for c in on)
+    word, bit = (lambda c: F.shiftright(c, 6)), (lambda c: c.bitwiseAND(F.lit(63)).cast("int"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(key))
+    words = reference.filter(key.isNotNull()).groupBy(word(key).alias("__w")).agg(F.bit_or(one).alias("__bits"))
+    if words.count() * 24 > _broadcast_limit(df.sparkSession):
+        return marked_lookup(df, reference, [on], returns, hit)
+    marked = df.join(F.broadcast(words), word(column) == F.col("__w"), "left")
+    marked = marked.withColumn(hit, F.coalesce(F.getbit("__bits", bit(column)) == 1, F.lit(False))).drop("__w", "__bits")
+    return marked_lookup(marked, reference, [on], returns, "__found").drop("__found") if returns else marked
+
+
 def lookup(
     df: DataFrame, reference: DataFrame, on: list[tuple[str, str]], returns: list[str], on_miss: str = "redirect"
 ) -> dict[str, DataFrame]:

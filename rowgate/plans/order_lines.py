@@ -37,6 +37,17 @@ def judge(known: DataFrame, contract: Contract, as_of_ms: int, strict: Column |
     return ladder(typed(known), _rules(known, contract, as_of_ms, strict))
 
 
+def judge_clean(known: DataFrame, contract: Contract, as_of_ms: int, strict: Column | None = None) -> DataFrame:
+    """The lines of ``judge`` that no rule rejects, with a null reason.
+
+    Each rule is a filter of its own, so Spark applies those that need the columns of one table before it deals that for a join.
+    """
+    out = typed(known)
+    for rule in _rules(known, contract, as_of_ms, strict):
+        out = out.filter(~F.coalesce(rule.fails, F.lit(False)))
+    return ladder(out, [])
+
+
 def judge_each(known: DataFrame, contracts: dict[str, Contract], as_of_ms: int) -> DataFrame:
     """The same under several contracts, in one scan: ``reason_`` and the contract's name."""
     out = typed(known)
@@ -173,7 +184,8 @@ def process(
 
 
 def process_judged(
-    judged: DataFrame, contract: Contract, loaded: DataFrame | None = None, order: tuple[str, ...] = ("source_file", "source_line_no"), dealt: str | None = None
+    judged: DataFrame, contract: Contract, loaded: DataFrame | None = None, order: tuple[str, ...] = ("source_file", "source_line_no"), dealt: str | None = None, clean: DataFrame | None = None
 ) -> Batch:
-    """``process`` for lines that are judged already."""
-    return split(outcomes(judged, order, loaded, dealt=dealt), contract, outcomes(judged, order, loaded, clean_only=True, dealt=dealt), dealt)
+    """``process`` for lines that are judged already; ``clean`` has those without a reason (``judge_clean``), if that is cheaper to have than to filter."""
+    first = outcomes(judged if clean is None else clean, order, loaded, clean_only=True, dealt=dealt)
+    return split(outcomes(judged, order, loaded, dealt=dealt), contract, first, dealt)

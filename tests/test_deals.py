@@ -6,9 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rowgate.operators import seedfaults, terms
+from rowgate.operators import flow, seedfaults, terms
 from rowgate.plans import queries as q
-from rowgate.plans.order_lines import decide, judge_changed, process
+from rowgate.plans.order_lines import decide, judge, judge_changed, judge_clean, process
 from rowgate.sources.scratch import staged
 
 DATA = "/root/testdata/sf0.001"
@@ -33,6 +33,48 @@ def test_lines_are_dealt_by_numbers_alone(no_broadcast):
         assert deals(df) == {"l_partkey", "l_orderkey", "o_orderkey", "o_custkey", "__k"}
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """Rows of bits may be broadcast, no table may."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2000b")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_are_dealt_once_where_bits_tell_the_known_keys(small_broadcasts):
+    run = q.batch(small_broadcasts, DATA)
+    for df in (run.decided.drop("category", "catalog_price", "segment"), run.orders, q.alerts(small_broadcasts, DATA)):
+        assert deals(df) == {"l_orderkey", "o_orderkey", "_groupingexpression"}  # the last are the rows of bits
+    assert deals(run.items.drop("segment")) == {"l_orderkey", "o_orderkey", "_groupingexpression", "l_partkey", "__k"}
+
+
+def test_lookup_by_bits_is_the_lookup(small_broadcasts):
+    numbers = [None, 0, 1, 63, 64, 65, -1, -64, -65, 2**62, -(2**63), 2**63 - 1, 7]
+    df = small_broadcasts.createDataFrame([(x,) for x in numbers + numbers], "n bigint")
+    reference = small_broadcasts.createDataFrame([(x, f"a{x}") for x in numbers[:-1:2] + [None, 63, 63]], "k bigint, name string")
+    count = lambda df: sorted(map(str, df.groupBy(*df.columns).count().collect()))
+    for returns in ([], ["name"]):
+        bits = flow.number_lookup(df, reference, ("n", "k"), returns, "known")
+        assert "BroadcastHashJoin" in bits._jdf.queryExecution().executedPlan().toString()
+        plain = flow.marked_lookup(df, reference, [("n", "k")], returns, "known")
+        assert count(bits.select(*plain.columns)) == count(plain)
+    wide = small_broadcasts.range(0, 64 * 100, 64).withColumnRenamed("id", "k")  # 2,400 bytes
+    assert "__bits" not in flow.number_lookup(df, wide, ("n", "k"), [])._jdf.queryExecution().analyzed().toString()
+
+
+def test_lines_without_a_reason_are_the_clean_ones(spark):
+    lines = seedfaults.seed(q.known_lines(spark, DATA), 3, ["order_id", "line_no", "l_partkey"])
+    clean, want = judge_clean(lines, q.CONTRACT, q.AS_OF_MS), judge(lines, q.CONTRACT, q.AS_OF_MS).filter("reason is null")
+    assert clean.columns == want.columns
+    assert clean.exceptAll(want).count() == want.exceptAll(clean).count() == 0 < clean.count() < lines.count()
+
+
+def test_rules_are_applied_before_the_tables_are_joined(no_broadcast):
+    plan = q.batch(no_broadcast, DATA).alerts._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("l_orderkey#", plan.index("Join Inner")) :]
+    assert {"XXX", "timestampdiff"} <= set(re.findall("XXX|timestampdiff", "".join(x for x in below.splitlines() if " Filter " in x)))
+
+
 def test_a_loaded_run_is_met_where_the_lines_are(no_broadcast):
     loaded = q.batch(no_broadcast, DATA).items.filter("line_no % 2 = 0").select("order_id", "line_no", q.DEALT)
     again = q.batch(no_broadcast, DATA, loaded=loaded)
