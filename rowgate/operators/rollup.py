@@ -27,15 +27,15 @@ def histogram(df: DataFrame, label: str, count: str = "n") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias(count))
 
 
-def per_file(decided: DataFrame, by: str = "source_file", sketch: int | None = None) -> DataFrame:
+def per_file(decided: DataFrame, by: str = "source_file", sketch: int | None = None, dealt: str | None = None) -> DataFrame:
     """From lines with a null or set ``reason``: lines in, clean, rejected, orders, revenue for each file.
 
     Lines are added up by file and order first, so that a file's orders are counted without being gathered. With ``sketch`` (12, say)
-    also ``orders_sketch``, as ``with_sketch`` has it.
+    also ``orders_sketch``, as ``with_sketch`` has it. ``dealt`` is as in ``orders``.
     """
     clean = F.col("reason").isNull()
     total = F.when(clean, F.col("line_total").cast("decimal(14,2)"))
-    by_order = decided.groupBy(by, "order_id").agg(
+    by_order = decided.groupBy(*([dealt] if dealt else []), by, "order_id").agg(
         F.count("*").alias("n"), F.count_if(clean).alias("good"), F.sum(total).cast("decimal(18,2)").alias("revenue")
     )
     loaded = (F.col("good") > 0) & F.col("order_id").isNotNull()

@@ -302,7 +302,7 @@ def revenue_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = warehouse.job_ledger(rollup.per_file(decided(spark, sf_dir))).withColumn("error_text", F.when(F.col("status") == "FAILED", "no valid line"))
+    ledger = warehouse.job_ledger(rollup.per_file(decided(spark, sf_dir), dealt=DEALT)).withColumn("error_text", F.when(F.col("status") == "FAILED", "no valid line"))
     return health(_listing(spark, sf_dir), ledger)
 
 

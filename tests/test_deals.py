@@ -75,6 +75,10 @@ def test_rules_are_applied_before_the_tables_are_joined(no_broadcast):
     assert {"XXX", "timestampdiff"} <= set(re.findall("XXX|timestampdiff", "".join(x for x in below.splitlines() if " Filter " in x)))
 
 
+def test_files_are_added_up_where_their_lines_are(small_broadcasts):
+    assert "order_id" not in deals(q.file_ledger(small_broadcasts, DATA)) and deals(q.file_ledger(small_broadcasts, DATA)) >= {"l_orderkey", "source_file"}
+
+
 def test_a_loaded_run_is_met_where_the_lines_are(no_broadcast):
     loaded = q.batch(no_broadcast, DATA).items.filter("line_no % 2 = 0").select("order_id", "line_no", q.DEALT)
     again = q.batch(no_broadcast, DATA, loaded=loaded)
