@@ -84,6 +84,36 @@ def number_lookup(df: DataFrame, reference: DataFrame, on: tuple[str, str], retu
     return marked_lookup(marked, reference, [on], returns, "__found").drop("__found") if returns else marked
 
 
+def _numbered(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with a text as what stands before its last digits (``__head``), how many those are (``__digits``), and their number as a word and a bit of it.
+
+    A text with over 18 last digits is taken whole. Each step is a column, so that it is worked out once a row.
+    """
+    df = df.withColumn("__x", text).withColumn("__head", F.rtrim("__x", F.lit("0123456789")))
+    df = df.withColumn("__digits", F.length("__x") - F.length("__head")).withColumn("__fits", F.col("__digits").between(1, 18))
+    df = df.withColumn("__no", F.when(F.col("__fits"), F.right("__x", F.col("__digits")).try_cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    whole = {"__head": F.when(F.col("__fits"), F.col("__head")).otherwise(F.col("__x")), "__digits": F.when(F.col("__fits"), F.col("__digits")).otherwise(0)}
+    return df.withColumns(whole | {"__w": F.shiftright("__no", 6), "__bit": F.col("__no").bitwiseAND(F.lit(63)).cast("int")}).drop("__x", "__fits", "__no")
+
+
+def text_lookup(df: DataFrame, reference: DataFrame, on: tuple[Column, str], returns: list[str], hit: str = "__hit") -> DataFrame:
+    """``marked_lookup`` by one text.
+
+    Codes that differ in their last digits are told by a row of bits for every 64 numbers in succession, as in ``number_lookup``; other texts
+    have a row each. Where those rows are too many to broadcast, both tables are dealt by the text.
+    """
+    text, key = on
+    names = ["__head", "__digits", "__w"]
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__bit"))
+    words = _numbered(reference.filter(F.col(key).isNotNull()), F.col(key)).groupBy(*names).agg(F.bit_or(one).alias("__bits"))
+    rows, letters = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__head")), F.lit(0))).first()
+    if rows * 64 + letters > _broadcast_limit(df.sparkSession):
+        return marked_lookup(df, reference, [on], returns, hit)
+    marked = _numbered(df, text).join(F.broadcast(words), names, "left")
+    marked = marked.withColumn(hit, F.coalesce(F.getbit("__bits", "__bit") == 1, F.lit(False))).drop(*names, "__bit", "__bits")
+    return marked_lookup(marked, reference, [on], returns, "__found").drop("__found") if returns else marked
+
+
 def lookup(
     df: DataFrame, reference: DataFrame, on: list[tuple[str, str]], returns: list[str], on_miss: str = "redirect"
 ) -> dict[str, DataFrame]:

@@ -241,7 +241,7 @@ def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines as files, through the stream: every line comes out once, with the batch plan's reasons."""
     landing, path = scratch_path(spark), scratch_path(spark)
-    order_lines(spark, sf_dir).select(*LINE).write.json(landing)
+    order_lines(spark, sf_dir).select(*LINE).write.option("compression", "gzip").json(landing)
     stream = OrderStream(spark, path, products(spark, sf_dir), customers(spark, sf_dir), CONTRACT, AS_OF_MS)
     try:
         stream.start(landing, f"{path}-checkpoint", files_per_batch=1000).awaitTermination()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowgate.contract import Contract
-from rowgate.operators.flow import marked_lookup, rank_in_key
+from rowgate.operators.flow import rank_in_key, text_lookup
 from rowgate.operators.ladder import Rule, alerts, consistency, ladder, order_rules, rejected, typed
 from rowgate.operators.rollup import orders
 
@@ -28,8 +28,8 @@ def with_references(lines: DataFrame, products: DataFrame, customers: DataFrame)
     """Lines with ``known_sku``, ``known_customer`` and the references' columns (category, catalog_price, country, segment where given)."""
     product = [c for c in ("category", "catalog_price") if c in products.columns]
     person = [c for c in ("country", "segment") if c in customers.columns]
-    out = marked_lookup(lines, products, [(F.trim("sku"), "sku")], product, "known_sku")
-    return marked_lookup(out, customers, [(F.trim("customer_id"), "customer_id")], person, "known_customer")
+    out = text_lookup(lines, products, (F.trim("sku"), "sku"), product, "known_sku")
+    return text_lookup(out, customers, (F.trim("customer_id"), "customer_id"), person, "known_customer")
 
 
 def judge(known: DataFrame, contract: Contract, as_of_ms: int, strict: Column | None = None) -> DataFrame:
@@ -82,9 +82,9 @@ def _rules(lines: DataFrame, contract: Contract, as_of_ms: int, strict: Column |
     return rules
 
 
-def clean_keys(judged: DataFrame) -> DataFrame:
-    """``order_id``, ``line_no`` of the lines without a reason, as they will be loaded."""
-    return judged.filter(F.col("reason").isNull()).select(F.trim("order_id").alias("order_id"), F.col("line_no_v").cast("bigint").alias("line_no"))
+def clean_keys(outcome: DataFrame) -> DataFrame:
+    """``order_id``, ``line_no`` of the lines without a reason, as they will be loaded, each once."""
+    return outcome.filter(F.col("reason").isNull()).select(F.col("__o").alias("order_id"), F.col("__l").cast("bigint").alias("line_no"))
 
 
 def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None = None, clean_only: bool = False, dealt: str | None = None) -> DataFrame:
@@ -127,6 +127,15 @@ def outcomes(judged: DataFrame, order: tuple[str, ...], loaded: DataFrame | None
     ).drop("__n", "__seen")
 
 
+def replays(outcome: DataFrame, loaded: DataFrame) -> DataFrame:
+    """``outcomes`` with DUP_KEY where a line that would load has one of the keys (each once) that are ``loaded``."""
+    known = loaded.select(F.col("order_id").alias("__o"), F.col("line_no").cast("int").alias("__l"), F.lit(True).alias("__seen"))
+    again = F.col("reason").isNull() & F.col("__seen").isNotNull()
+    marked = outcome.join(known, ["__o", "__l"], "left").withColumn("__again", again).drop("__seen")
+    detail = F.concat("__o", F.lit("#"), F.col("__l").cast("string"))
+    return marked.withColumns({"reason": F.when(F.col("__again"), "DUP_KEY").otherwise(F.col("reason")), "detail": F.when(F.col("__again"), detail).otherwise(F.col("detail"))}).drop("__again")
+
+
 def outcomes_each(judged: DataFrame, names: tuple[str, ...], order: tuple[str, ...], dealt: str) -> DataFrame:
     """Lines of ``judge_each``, each once, with a struct ``run_`` and its name for every contract: what ``outcomes`` says, without details.
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,10 +175,10 @@ def split_columns(lines: DataFrame, columns: list[tuple[str, str]], line: str =
     return lines.select(*(F.regexp_extract(line, pattern, i + 1).alias(n) for i, (n, _) in enumerate(columns)), *kept)
 
 
-def list_files(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+def list_files(spark: SparkSession, path: str, suffix: str | tuple[str, ...] = ".json") -> DataFrame:
     """``source_file``, ``bytes``, ``modified`` of a folder, empty files too, which no Spark reader returns.
 
-    The listing comes from the file system that ``path`` names.
+    The listing comes from the file system that ``path`` names. A packed file (``.gz``) that holds nothing has 0 bytes.
     """
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -186,10 +187,23 @@ def list_files(spark: SparkSession, path: str, suffix: str = ".json") -> DataFra
     for s in fs.listStatus(at):
         name = s.getPath().getName()
         if s.isFile() and name.endswith(suffix):
-            found.append((name, int(s.getLen()), int(s.getModificationTime())))
+            size = int(s.getLen())
+            if name.endswith(".gz") and 0 < size < 512 and _holds_nothing(sc._jvm, fs, s.getPath()):
+                size = 0
+            found.append((name, size, int(s.getModificationTime())))
     return spark.createDataFrame(sorted(found), "source_file string, bytes long, modified long")
 
 
+def _holds_nothing(jvm, fs, at) -> bool:
+    stream = fs.open(at)
+    try:
+        return jvm.java.util.zip.GZIPInputStream(stream).read() < 0
+    except Py4JJavaError:  # no packed file
+        return False
+    finally:
+        stream.close()
+
+
 def pending(listing: DataFrame, ledger: DataFrame, as_of_ms: int | None = None, min_age_ms: int = 0) -> DataFrame:
     """Listed files that the ledger doesn't have, old enough, by name."""
     new = listing.join(ledger.select("source_file"), "source_file", "left_anti")

@@ -38,14 +38,15 @@ class SeenKeys:
             self.session.conf.set(name, value)
         if partitions:
             self.session.conf.set("spark.sql.shuffle.partitions", partitions)
-        self.spark, self.query, self._answer = spark, None, ""
+        self.spark, self.query, self._answer, self._load = spark, None, "", 0
 
-    def earlier(self, rows: DataFrame, load_no: int) -> DataFrame:
-        """Those of the keys of ``rows`` that a load before ``load_no`` has, each once."""
+    def earlier(self, rows: DataFrame, load_no: int, distinct: bool = False) -> DataFrame:
+        """Those of the keys of ``rows`` that a load before ``load_no`` has, each once. ``distinct`` says that ``rows`` has each once."""
         names = self.keys.fieldNames()
-        self._answer = f"{self.path}/answers/{uuid.uuid4().hex}"
-        own = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.keys)).distinct()
-        own.withColumn("load_no", F.lit(load_no).cast("bigint")).write.mode("append").parquet(f"{self.path}/inbox")
+        self._answer, self._load = f"{self.path}/answers/{uuid.uuid4().hex}", load_no
+        own = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.keys))
+        own = (own if distinct else own.distinct()).withColumn("load_no", F.lit(load_no).cast("bigint"))
+        own.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/inbox")
         self._running().processAllAvailable()
         at, fs = files_of(self.spark, self._answer)
         if not fs.exists(at):
@@ -76,4 +77,4 @@ class SeenKeys:
         return self.query
 
     def _answered(self, batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self._answer}/{number}")
+        batch.filter(F.col("load_no") < self._load).write.mode("overwrite").option("compression", "zstd").parquet(f"{self._answer}/{number}")

@@ -132,3 +132,19 @@ def test_phrases_are_dealt_by_term_alone(spark):
 
 def test_scratch_tables_are_packed(spark):
     assert all(f.endswith(".zstd.parquet") for f in staged(spark.range(10)).inputFiles())
+
+
+def test_lookup_of_codes_by_bits_is_the_lookup(small_broadcasts):
+    texts = [None, "", "SKU-1", "SKU-01", "SKU-64", "SKU-63", "sku-1", "SKU-", "7", "07", "é9", "A" + "9" * 18, "A" + "9" * 19, "A" + "0" * 18, "٣", "x 1 "]
+    df = small_broadcasts.createDataFrame([(x,) for x in texts + texts], "n string")
+    reference = small_broadcasts.createDataFrame([(x, f"a{x}") for x in texts[::2] + [None, "SKU-1"]], "k string, name string")
+    count = lambda df: sorted(map(str, df.groupBy(*df.columns).count().collect()))
+    for returns in ([], ["name"]):
+        bits = flow.text_lookup(df, reference, (F.col("n"), "k"), returns, "known")
+        assert "__bits" in bits._jdf.queryExecution().analyzed().toString()
+        plain = flow.marked_lookup(df, reference, [("n", "k")], returns, "known")
+        assert bits.columns == plain.columns and count(bits) == count(plain)
+    codes = small_broadcasts.range(20 * 64).selectExpr("concat('SKU-', id + 1000) AS k")  # 21 rows of bits
+    assert "__bits" in flow.text_lookup(df, codes, (F.col("n"), "k"), [])._jdf.queryExecution().analyzed().toString()
+    wide = small_broadcasts.range(40).selectExpr("concat('SKU-', id * 64) AS k")
+    assert "__bits" not in flow.text_lookup(df, wide, (F.col("n"), "k"), [])._jdf.queryExecution().analyzed().toString()

@@ -1,5 +1,6 @@
 """Keys of all history, recovery without help, and what the engine says of runs."""
 
+import gzip
 import json
 from datetime import UTC, datetime, timedelta
 
@@ -110,3 +111,16 @@ def test_a_stream_that_hangs_is_stalled(spark, tmp_path):
     finally:
         query.stop()
         history.close()
+
+
+def test_packed_files_are_loaded_with_their_texts(spark, tmp_path):
+    landing, stream = streamed(spark, tmp_path)
+    lines = [json.dumps(BASE), json.dumps(BASE | {"line_no": "2", "qty": "0"}), '{"order_id":"ORD-7","line_no":"3"}', '{"order_id":"ORD-7 ","line_no":"3"}', "junk"]
+    for name, text in (("a.json.gz", "\n".join(lines) + "\n"), ("none.json.gz", "")):
+        (landing / name).write_bytes(gzip.compress(text.encode()))
+    stream.start(str(landing), str(tmp_path / "cp"), files_per_batch=10).awaitTermination()
+    stream.close()
+    assert sorted(r.raw_payload for r in stream.read("rejects").collect()) == sorted(lines[1:])
+    assert {(r.source_file, r.status, r.error_text) for r in stream.read("ledger").collect()} >= {("none.json.gz", "FAILED", "<empty file>")}
+    assert [r.batch_id for r in stream.read("items").collect()] == ["a"]
+    assert all(f.endswith(".zstd.parquet") for f in stream.read("rejects").inputFiles())
