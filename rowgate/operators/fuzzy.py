@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations, count, product
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,64 +16,102 @@ def _clean(column: str) -> Column:
     return F.lower(F.trim(F.col(column)))
 
 
-def _segment(length: Column, n: int, most: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``n`` of ``most`` + 1 that are as even as can be, the longer ones last."""
-    parts = most + 1
+def _segment(length: Column, n: int, parts: int) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment ``n`` of ``parts`` that are as even as can be, the longer ones last."""
     short = F.floor(length / parts).cast("int")
     longer = F.pmod(length, F.lit(parts))
     before = F.greatest(longer - (parts - n), F.lit(0))  # longer ones before this one
     return F.lit(n) * short + before + 1, short + F.when(F.lit(n) >= parts - longer, 1).otherwise(0)
 
 
-def _segments(text: Column, most: int) -> Column:
-    """Keys of a text's segments: of ``most`` + 1 disjoint ones, so many edits leave one as it was."""
+def _segments(texts: DataFrame, text: str, most: int, parts: int) -> DataFrame:
+    """``texts`` with ``k``, keys of all but ``most`` of a text's ``parts`` disjoint segments: so many edits leave one key as it was."""
     length = F.length(text)
-    keys = []
-    for n in range(most + 1):
-        at, size = _segment(length, n, most)
-        keys.append(F.xxhash64(length, F.lit(n), F.substring(text, at, size)))
-    return F.array(*keys)
+    pieces = [F.xxhash64(F.substring(F.col(text), *_segment(length, n, parts))) for n in range(parts)]
+    cut = texts.withColumn("__h", F.array(*pieces))
+    keys = [F.xxhash64(length, F.lit(str(left)), *(F.col("__h")[n] for n in left)) for left in combinations(range(parts), parts - most)]
+    return cut.select(text, F.explode(F.array_distinct(F.array(*keys))).alias("k"))
 
 
-def _probes(text: Column, most: int) -> Column:
-    """Keys under which the segments of every text within ``most`` edits are: as many whatever the length.
+def _ways(most: int, parts: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """How ``most`` edits may leave segments untouched: what they add to the length, and the untouched segments with how far each has moved.
 
-    A segment that no edit touched has moved by what was added or taken away before it, and the rest of the difference in length
-    comes after it; both together are no more than the edits.
+    What is added between two segments counts to the later one, at the end to the last. So an untouched segment has moved by what was added
+    to or taken from the touched ones before it, and the rest of the difference in length comes after it.
+    """
+    ways = set()
+    for touched in combinations(range(parts), most):
+        for added in product(range(-most, most + 1), repeat=most):
+            if sum(map(abs, added)) <= most:
+                left = [n for n in range(parts) if n not in touched]
+                ways.add((sum(added), tuple((n, sum(x for i, x in zip(touched, added, strict=True) if i < n)) for n in left)))
+    return sorted(ways)
+
+
+def _probes(texts: DataFrame, text: str, most: int, parts: int) -> DataFrame:
+    """``texts`` with ``k``, keys under which the segments of every text within ``most`` edits are: as many whatever the length."""
+    length, ways = F.length(text), _ways(most, parts)
+    places = {place: i for i, place in enumerate(sorted({(longer, n, moved) for longer, left in ways for n, moved in left}))}
+    pieces = []
+    for longer, n, moved in places:  # the text has so many letters more than the other
+        other = length - longer
+        at, size = _segment(other, n, parts)
+        inside = (other >= 0) & (at + moved >= 1) & (at + moved + size <= length + 1)
+        pieces.append(F.when(inside, F.xxhash64(F.substring(F.col(text), at + moved, size))))
+    cut, keys = texts.withColumn("__h", F.array(*pieces)), []
+    for longer, left in ways:
+        own = [F.col("__h")[places[longer, n, moved]] for n, moved in left]
+        whole = ~F.array_contains(F.transform(F.array(*own), lambda h: h.isNull()), True)
+        keys.append(F.when(whole, F.xxhash64(length - longer, F.lit(str(tuple(n for n, _ in left))), *own)))
+    return cut.select(text, F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("k"))
+
+
+def _parts(texts: DataFrame, text: str, most: int) -> int:
+    """The number of segments with the least work: a key for each way of the edits, and the texts that share a key by chance.
+
+    Few segments make few keys; but where texts have much in common (a prefix, one of a few names), only keys of more of the text are rare.
     """
-    keys = []
-    for longer in range(-most, most + 1):  # the text has so many letters more than the other
-        other = F.length(text) - longer
-        for n in range(most + 1):
-            at, size = _segment(other, n, most)
-            for moved in range(-most, most + 1):
-                if abs(moved) + abs(moved - longer) <= most:
-                    here = at + moved
-                    inside = (other >= 0) & (here >= 1) & (here + size <= F.length(text) + 1)
-                    keys.append(F.when(inside, F.xxhash64(other, F.lit(n), F.substring(text, here, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    work = {}
+    for parts in count(most + 1):
+        ways = len(_ways(most, parts))
+        # keys alone cost more than the least so far, or are too many for one row
+        if work and (ways + comb(parts, most) >= min(work.values()) or ways > 400):
+            return min(work, key=work.get)
+        met = _segments(texts, text, most, parts).groupBy("k").agg(F.count("*").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).first().n
+        work[parts] = ways + comb(parts, most) * (met or 0)
+        if most == 0:
+            return parts
+
+
+def _met(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """``t``, ``u`` of all texts of ``left`` (``t``) and ``right`` (``u``) that share a key; the fewer texts have the more keys. Both are read several times."""
+    if right.count() < left.count():
+        parts = _parts(left, "t", most)
+        a, b = _segments(left.select("t"), "t", most, parts), _probes(right.select("u"), "u", most, parts)
+    else:
+        parts = _parts(right, "u", most)
+        a, b = _probes(left.select("t"), "t", most, parts), _segments(right.select("u"), "u", most, parts)
+    # the keys are many times what they are made of, which is what Spark would judge a broadcast by
+    return a.join(b.hint("merge"), "k").select("t", "u")
 
 
 def _pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     """``t``, ``u``, ``edits`` of all texts of ``left`` (``t``) and ``right`` (``u``) within ``most`` edits, each pair once."""
-    a = left.select("t", F.explode(_probes(F.col("t"), most)).alias("k"))
-    b = right.select("u", F.explode(F.array_distinct(_segments(F.col("u"), most))).alias("k"))
     edits = F.levenshtein("t", "u", most)  # -1 beyond it, and no more work than up to it
-    # the keys are many times what they are made of, which is what Spark would judge a broadcast by
-    return a.join(b.hint("merge"), "k").select("t", "u", edits.alias("edits")).filter("edits >= 0").distinct()
+    return _met(left, right, most).select("t", "u", edits.alias("edits")).filter("edits >= 0").distinct()
 
 
 def fuzzy_lookup(df: DataFrame, reference: DataFrame, column: str, ref_column: str, most: int = 2) -> DataFrame:
     """``df`` with the closest reference text within ``most`` edits, ``matched``, and its ``edits``; the smallest of several.
 
     One row out for each row in; nulls and texts without a match get nulls. Case and outer blanks don't count. Texts are
-    compared once each, however many rows have them. Texts meet by a segment that no edit touched, so all within the distance are
-    found; a text costs as many keys whatever its length. What many texts share in one place (a common prefix of all
-    codes) makes many of them meet.
+    compared once each, however many rows have them. Texts meet by segments that no edit touched, so all within the distance are
+    found; a text costs as many keys whatever its length. The more texts share in one place (a common prefix of all
+    codes), the more segments a key has.
     """
-    texts = df.select(_clean(column).alias("t")).filter("t is not null").distinct()
+    texts = staged(df.select(_clean(column).alias("t")).filter("t is not null").distinct())
     others = reference.select(_clean(ref_column).alias("u"), F.col(ref_column).alias("name")).filter("u is not null")
-    names = others.groupBy("u").agg(F.min("name").alias("name"))
+    names = staged(others.groupBy("u").agg(F.min("name").alias("name")))
     close = _pairs(texts, names.select("u"), most).join(names.hint("merge"), "u")
     best = close.groupBy("t").agg(F.min(F.struct("edits", "name")).alias("m")).withColumnRenamed("t", "__t")
     joined = df.withColumn("__t", _clean(column)).join(best, "__t", "left")

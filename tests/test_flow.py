@@ -213,3 +213,24 @@ def test_scalar_functions_of_large_keys(spark, tmp_path):
     made = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
     spark.createDataFrame(row, made).write.parquet(str(tmp_path / "orders.parquet"))
     assert file_queries.scalar_functions(spark, str(tmp_path)).first().third == -(9_000_000 * (1 << 40) // 3)
+
+
+def test_fuzzy_texts_with_names_in_common_seldom_meet(spark):
+    mark = F.concat(F.left(F.md5(F.col("id").cast("string").cast("binary")), F.lit(9)), F.lit(" "), F.element_at(F.array(F.lit("large ring"), F.lit("hot bolt")), (F.col("id") % 2 + 1).cast("int")))
+    marks = spark.range(2000).select(mark.alias("u")).cache()
+    wrong = marks.select(F.concat(F.left("u", F.lit(3)), F.lit("#"), F.substring("u", F.lit(5), F.lit(99))).alias("t")).cache()
+    assert fuzzy._met(wrong, marks, 2).distinct().count() < 2000 * 40  # one segment of three is a name that half of all have: 2,000,000
+    got = fuzzy.fuzzy_lookup(wrong, marks.limit(1500), "t", "u", 2)
+    want = wrong.join(marks.limit(1500), F.levenshtein("t", "u") <= 2).groupBy("t").agg(F.min(F.struct(F.levenshtein("t", "u"), "u").alias("m")).alias("m"))
+    assert sorted((r.t, r.edits, r.matched) for r in got.filter("matched is not null").collect()) == sorted((r.t, *r.m) for r in want.collect())
+    assert want.count() >= 1500
+
+
+@pytest.mark.parametrize(("most", "parts"), [(0, 2), (1, 4), (2, 4), (2, 5), (3, 5)])
+def test_fuzzy_keys_of_any_number_of_segments_find_all(spark, most, parts):
+    rng = random.Random(parts)
+    texts = sorted({"".join(rng.choices("ab", k=rng.randint(0, 9))) for _ in range(80)})
+    left, right = spark.createDataFrame([(t,) for t in texts[::2]], "t string"), spark.createDataFrame([(t,) for t in texts[1::2]], "u string")
+    near = F.levenshtein("t", "u") <= most
+    found = fuzzy._probes(left, "t", most, parts).join(fuzzy._segments(right, "u", most, parts), "k").select("t", "u").filter(near).distinct()
+    assert sorted(found.collect()) == sorted(left.crossJoin(right).filter(near).collect())
