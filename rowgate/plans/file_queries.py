@@ -95,9 +95,10 @@ def source_files_on_disk(spark: SparkSession, sf_dir: str, records_per_file: int
 def source_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parked files come back as one reject each, cut at 4000 characters."""
     path = scratch_path(spark)
-    _records(spark, sf_dir).select("value").repartition(5).write.text(path)
+    # five files hold all lines, so they are packed
+    _records(spark, sf_dir).select("value").repartition(5).write.option("compression", "gzip").text(path)
     seen = spark.createDataFrame([], "source_file string")
-    rows = files.dead_letters(spark, path, seen).filter("source_file like '%.txt' and raw_payload <> '<empty file>'")
+    rows = files.dead_letters(spark, path, seen).filter("source_file like '%.txt.gz' and raw_payload <> '<empty file>'")
     return rows.groupBy("reason").agg(F.count("*").alias("n"), F.max(F.length("raw_payload")).alias("longest"))
 
 

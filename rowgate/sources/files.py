@@ -227,7 +227,8 @@ def stamp(df: DataFrame, as_of: Column | None = None, source_file: str = "source
 def dead_letters(spark: SparkSession, path: str, seen: DataFrame, most: int = 4000) -> DataFrame:
     """One READER_FAILURE row for each parked file that ``seen`` doesn't name, with its first ``most`` characters.
 
-    The tasks read no more of a file than that, whatever its size and lines. ``path`` is a folder that all executors reach: a shared one,
+    The tasks read no more of a file than that, whatever its size and lines. Packed files (by their name, ``.gz`` say) are unpacked as far; one
+    that can't be is shown as it is. ``path`` is a folder that all executors reach: a shared one,
     or an address that Arrow's file systems know.
     """
     at, _ = files_of(spark, path)
@@ -239,8 +240,13 @@ def dead_letters(spark: SparkSession, path: str, seen: DataFrame, most: int = 40
         for batch in batches:
             found = []
             for name in batch.column("source_file").to_pylist():
-                with fs.open_input_stream(f"{base}/{name}") as file:
-                    found.append(file.read(4 * most))  # a character has four bytes at most
+                try:
+                    with fs.open_input_stream(f"{base}/{name}") as file:
+                        head = file.read(4 * most)  # a character has four bytes at most
+                except OSError:
+                    with fs.open_input_stream(f"{base}/{name}", compression=None) as file:
+                        head = file.read(4 * most)
+                found.append(head)
             yield pa.RecordBatch.from_arrays([batch.column("source_file"), pa.array(found, pa.binary())], ["source_file", "head"])
 
     new = list_files(spark, path, "").select("source_file").join(seen.select("source_file"), "source_file", "left_anti")

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 from pyspark.sql import functions as F
@@ -239,3 +240,14 @@ def test_quarantined_text_is_the_record_and_small(spark, tmp_path, monkeypatch):
     back = file_queries.sink_quarantine(spark, "/root/testdata/sf0.001")
     assert back.count() > 1 and {p.suffix for p in (tmp_path / "w").glob("part-*")} == {".gz"}
     assert set(json.loads(spark.read.json(str(tmp_path / "w")).first().raw_payload)) <= set(file_queries.LINE)
+
+
+def test_packed_dead_letters_are_unpacked_as_far_as_shown(spark, tmp_path, monkeypatch):
+    (tmp_path / "long.json.gz").write_bytes(gzip.compress(b"x" * 10_000_000))
+    (tmp_path / "broken.json.gz").write_text("no packed file")
+    (tmp_path / "none.json.gz").write_bytes(gzip.compress(b""))
+    rows = {r.source_file: r.raw_payload for r in files.dead_letters(spark, str(tmp_path), spark.createDataFrame([], "source_file string")).collect()}
+    assert rows == {"long.json.gz": "x" * 4000, "broken.json.gz": "no packed file", "none.json.gz": "<empty file>"}
+    monkeypatch.setattr(file_queries, "scratch_path", lambda spark: str(tmp_path / "w"))
+    one = file_queries.source_dead_letters(spark, "/root/testdata/sf0.001").first()
+    assert (one.n, one.longest) == (5, 4000) and len(list((tmp_path / "w").glob("*.txt.gz"))) == 5
