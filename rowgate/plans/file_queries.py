@@ -9,7 +9,7 @@ from rowgate.contract import DATA_FLOW_ERRORS
 from rowgate.functions import scalar as S
 from rowgate.operators import compare, flow, fuzzy, ladder, rollup, seedfaults, terms, warehouse
 from rowgate.plans.order_lines import judge, judge_changed, process_judged
-from rowgate.plans.queries import AS_OF_MS, CONTRACT, DEALT, OTHER, _ledger_of, batch, customers, decided, kept, known_lines, order_lines, products, run_of, table
+from rowgate.plans.queries import AS_OF_MS, CONTRACT, DEALT, OTHER, _ledger_of, batch, customers, decided, kept, known_lines, lines_alone, order_lines, products, run_of, table
 from rowgate.plans.views import views
 from rowgate.sinks import tables as sinks
 from rowgate.sinks.logged import export_column, logged_split
@@ -258,9 +258,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     A further row says whether there were so many loads, each finished after its start, and whether no file was left.
     """
     landing, path, archive = (scratch_path(spark) for _ in range(3))
-    lines = order_lines(spark, sf_dir)
-    once = lines.groupBy("order_id", "line_no").agg(F.count("*").alias("n")).filter("n = 1")
-    lines.join(once, ["order_id", "line_no"], "left_semi").select(*LINE).repartition(6).write.json(landing)
+    lines_alone(spark, sf_dir).select(*LINE).repartition(6).write.json(landing)
     given = files.list_files(spark, landing).filter("bytes > 0").count()
     stream = OrderStream(spark, path, products(spark, sf_dir), customers(spark, sf_dir), CONTRACT, AS_OF_MS)
     try:

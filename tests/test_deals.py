@@ -148,3 +148,10 @@ def test_lookup_of_codes_by_bits_is_the_lookup(small_broadcasts):
     assert "__bits" in flow.text_lookup(df, codes, (F.col("n"), "k"), [])._jdf.queryExecution().analyzed().toString()
     wide = small_broadcasts.range(40).selectExpr("concat('SKU-', id * 64) AS k")
     assert "__bits" not in flow.text_lookup(df, wide, (F.col("n"), "k"), [])._jdf.queryExecution().analyzed().toString()
+
+
+def test_lines_alone_are_told_where_they_are_dealt(no_broadcast):
+    lines, own = q.order_lines(no_broadcast, DATA), q.lines_alone(no_broadcast, DATA)
+    assert deals(own) == {"l_orderkey", "o_orderkey"}
+    want = lines.join(lines.groupBy("order_id", "line_no").count().filter("count = 1"), ["order_id", "line_no"], "left_semi").select(*lines.columns)
+    assert sorted(map(str, own.collect())) == sorted(map(str, want.collect())) and 0 < own.count() < lines.count()
