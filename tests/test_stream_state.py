@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from rowgate.contract import Contract
+from rowgate.streaming import files as stream_files
 from rowgate.streaming.files import OrderStream
 from rowgate.streaming.seen import SeenKeys
 from rowgate.streaming.supervise import RunHistory, supervise
@@ -124,3 +126,25 @@ def test_packed_files_are_loaded_with_their_texts(spark, tmp_path):
     assert {(r.source_file, r.status, r.error_text) for r in stream.read("ledger").collect()} >= {("none.json.gz", "FAILED", "<empty file>")}
     assert [r.batch_id for r in stream.read("items").collect()] == ["a"]
     assert all(f.endswith(".zstd.parquet") for f in stream.read("rejects").inputFiles())
+
+
+def test_a_further_try_does_not_judge_the_lines_again(spark, tmp_path, monkeypatch):
+    landing, stream = streamed(spark, tmp_path)
+    for n in range(2):
+        put(landing, f"f{n}.json", f"ORD-{n}", "ORD-0")
+    calls, kept, real, tried, decide = [], [], stream._write, set(), stream_files.decide
+    monkeypatch.setattr(stream_files, "decide", lambda *a: calls.append(1) or decide(*a))
+
+    def away(name, df, load_no):
+        kept.append(stream._kept[1])
+        if name == "ledger" and load_no not in tried:
+            tried.add(load_no)
+            raise OSError("the store is away")
+        real(name, df, load_no)
+
+    stream._write = away
+    supervise(lambda: stream.start(str(landing), str(tmp_path / "cp")), wait=lambda seconds: None)
+    stream.close()
+    assert len(tried) == len(calls) == len(set(kept)) == 2 and not any(os.path.exists(k) for k in kept)
+    assert sorted(r.order_id for r in stream.read("items").collect()) == ["ORD-0", "ORD-1"]
+    assert [r.detail for r in stream.read("rejects").collect()] == ["ORD-0#1"] * 2
